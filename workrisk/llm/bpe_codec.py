@@ -91,7 +91,11 @@ class Codec:
 
         self.ranks = read_ranks(vocabulary)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
-        self._to_chars = str.maketrans(dict(enumerate(byte_characters())))
+        chars = byte_characters()
+        whole = ["".join(chars[b] for b in token) for token in self.ranks]
+        if self.model.encode(whole, num_threads=1) != [[rank] for rank in self.ranks.values()]:
+            raise ValueError("a token of the vocabulary can't be reached by merges")
+        self._to_chars = str.maketrans(dict(enumerate(chars)))
         found = regex.compile(pattern)
         self.cache = PieceCache(found.findall, found.finditer, self._encode_many)
         tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -102,17 +106,12 @@ class Codec:
         self._bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
     def _encode_many(self, pieces: list[str]) -> list[list[int]]:
-        raw = [p.encode() for p in pieces]
-        out: list = [[self.ranks[r]] if r in self.ranks else None for r in raw]
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        mapped = [raw[i].decode("latin-1").translate(self._to_chars) for i in rest]
-        for i, ids in zip(rest, self.model.encode(mapped, num_threads=1) if mapped else [], strict=True):
-            out[i] = ids
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian int32 bytes."""
-        return self.cache.ids(text)
+        mapped = [p.encode().decode("latin-1").translate(self._to_chars) for p in pieces]
+        return self.model.encode(mapped, num_threads=1) if mapped else []
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian int32 bytes."""
+        return self.cache.ids_many(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that a list of ids stands for."""
@@ -145,7 +144,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, pattern)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.column(1).to_pylist()]
+            ids = own.encode(batch.column(1).to_pylist())
             decoded = [own.decode(np.frombuffer(x, dtype="<i4")) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(ids), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,40 +69,61 @@ def field_ddl(df: DataFrame, name: str) -> str:
     return f"{name} {df.schema[name].dataType.simpleString()}"
 
 
-class PieceCache(dict):
+class PieceCache:
     """Pre-token -> its ids as little-endian int32 bytes.
 
-    ``encode_many`` turns a list of pre-tokens into lists of ids. When the
-    cache holds ``limit`` pieces it starts anew, which bounds its memory.
+    ``encode_many`` turns a list of pre-tokens into lists of ids. Two
+    generations of at most ``limit`` pieces each bound the memory: when the
+    young one is full it becomes the old one, and what is met again comes back.
     """
 
-    def __init__(self, find_all, find_iter, encode_many: Callable[[list[str]], list], limit: int = 400_000):
+    def __init__(self, find_all, find_iter, encode_many: Callable[[list[str]], list], limit: int = 600_000):
         self.find_all, self.find_iter, self.encode_many, self.limit = find_all, find_iter, encode_many, limit
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        new = [p for p in set(pieces) if p not in self]
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-            for p, ids in zip(new, self.encode_many(new), strict=True):
-                self[p] = np.asarray(ids, dtype="<i4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        # after clear(), pieces learned before in the same text come back here
-        out = self[piece] = np.asarray(self.encode_many([piece])[0], dtype="<i4").tobytes()
-        return out
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a whole text, as int32 bytes."""
-        if len(text) <= LONG_TEXT:
-            pieces = self.find_all(text)
-            self.learn(pieces)
-            return b"".join(map(self.__getitem__, pieces))
-        out, found = [], self.find_iter(text)
-        while pieces := [m.group() for m in islice(found, 100_000)]:
-            self.learn(pieces)
-            out.append(b"".join(map(self.__getitem__, pieces)))
-        return b"".join(out)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        """Have all of ``pieces`` in the young generation."""
+        new = pieces - self.young.keys()
+        if not new:
+            return
+        if len(self.young) + len(new) > self.limit:
+            self.old, self.young = self.young, {}
+            new = pieces
+        back = new & self.old.keys()
+        for p in back:
+            self.young[p] = self.old[p]
+        if len(back) < len(new):
+            unseen = list(new - back)
+            found = self.encode_many(unseen)
+            raw = np.fromiter(chain.from_iterable(found), dtype="<i4").tobytes()
+            at = 0
+            for p, ids in zip(unseen, found, strict=True):
+                end = at + 4 * len(ids)
+                self.young[p] = raw[at:end]
+                at = end
+
+    def _join(self, found: list[list[str]]) -> list[bytes]:
+        self.learn(set(chain.from_iterable(found)))
+        get = self.young.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in found]
+
+    def ids_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, as int32 bytes."""
+        out: list[bytes] = []
+        found: list[list[str]] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > LONG_TEXT:
+                out += self._join(found)
+                found, size = [], 0
+            if len(text) > LONG_TEXT:
+                pieces = (m.group() for m in self.find_iter(text))
+                out.append(b"".join(self._join([part])[0] for part in iter(lambda: list(islice(pieces, 100_000)), [])))
+            else:
+                found.append(self.find_all(text))
+                size += len(text)
+        return out + self._join(found)
 
 
 def list_array(parts: list[bytes]) -> pa.Array:
