@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, token_store
+from workrisk.llm import bpe_codec, count_transducer, hash_tree, pca_neighbours, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,22 @@ def op5_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_transducer.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op9_pca_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_neighbours.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = hash_tree.tree(8)
+    return hash_tree.shard_documents(table(spark, sf_dir, "documents"), shards, hash_tree.grow(shards))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
         "op3_token_store": op3_token_store,
         "op5_count_transducer": op5_count_transducer,
+        "op9_pca_neighbours": op9_pca_neighbours,
+        "op10_hash_tree": op10_hash_tree,
     }
 
 
