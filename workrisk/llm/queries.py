@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, hash_tree, pca_neighbours, token_store
+from workrisk.llm import bpe_codec, count_transducer, hash_tree, hyperminhash, pca_neighbours, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_transducer.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=75)
+
+
 def op9_pca_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pca_neighbours.link(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_codec": op1_bpe_codec,
         "op3_token_store": op3_token_store,
         "op5_count_transducer": op5_count_transducer,
+        "op8_hyperminhash": op8_hyperminhash,
         "op9_pca_neighbours": op9_pca_neighbours,
         "op10_hash_tree": op10_hash_tree,
     }
