@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, hash_tree, hyperminhash, pca_neighbours, token_store
+from workrisk.llm import bpe_codec, count_transducer, hash_tree, hyperminhash, line_quality, pca_neighbours, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(encoded)
 
 
+def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.judge_documents(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     back = token_store.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0)
@@ -48,6 +53,7 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
+        "op2_line_quality": op2_line_quality,
         "op3_token_store": op3_token_store,
         "op5_count_transducer": op5_count_transducer,
         "op8_hyperminhash": op8_hyperminhash,
@@ -56,5 +62,61 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def line_quality_sql() -> str:
+    """The rules of line_quality in DuckDB's SQL."""
+    word = r"[^\x20\x09-\x0D]+"
+    endings = _quoted(line_quality.ENDINGS)
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, k, line, regexp_extract_all(line, '{word}') AS w
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs)
+),
+told AS (
+  SELECT r, k, len(w) AS n, w, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again,
+    len(list_filter(w, lambda x: x IN ({_quoted(line_quality.SEPARATORS)}))) AS bars,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+    len(list_filter(w, lambda x: ends_with(x, '!!'))) AS loud,
+    len(list_distinct(w)) AS kinds,
+    regexp_matches(line, '{"|".join(line_quality.BOILERPLATE)}', 'i') AS notice,
+    right(w[len(w)], 1) IN ({endings}) AS ended
+  FROM lines WHERE len(w) > 0
+),
+judged AS (
+  SELECT *, 5 * bars >= n OR 3 * symbols > n OR (loud > 0 AND 3 * loud >= n) OR (n >= 10 AND 3 * kinds < n)
+    OR (again AND n >= 3) OR notice OR (n < 30 AND NOT ended) AS failed
+  FROM told
+),
+by_doc AS (
+  SELECT r, sum(n) AS n_words, sum(CASE WHEN again THEN 1 ELSE 0 END) AS dup, sum(CASE WHEN failed THEN n ELSE 0 END) AS lost
+  FROM judged GROUP BY r
+),
+spread AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT r, regexp_extract_all(text, '{word}') AS w FROM docs)),
+windows AS (
+  SELECT r, i, word AS a, lead(word) OVER (PARTITION BY r ORDER BY i) AS b, lead(word, 2) OVER (PARTITION BY r ORDER BY i) AS c FROM spread
+),
+found AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM windows WHERE c IS NOT NULL),
+covered AS (
+  SELECT r, count(DISTINCT i + d) AS n_repeat FROM found, (SELECT unnest([0, 1, 2]) AS d) WHERE times > 1 GROUP BY r
+),
+chars AS (SELECT r, sum(length(word)) AS word_chars FROM spread GROUP BY r),
+stats AS (
+  SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM docs LEFT JOIN by_doc USING (r) LEFT JOIN covered USING (r) LEFT JOIN chars USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * n_words AS kept
+FROM stats"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_line_quality": line_quality_sql(),
+    }
