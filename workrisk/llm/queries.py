@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, hash_tree, hyperminhash, line_quality, pca_neighbours, token_store
+from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, line_quality, pca_neighbours, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_quality.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
+
+
 def op5_count_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return count_transducer.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe_codec": op1_bpe_codec,
         "op2_line_quality": op2_line_quality,
         "op3_token_store": op3_token_store,
+        "op4_fm_quality": op4_fm_quality,
         "op5_count_transducer": op5_count_transducer,
         "op8_hyperminhash": op8_hyperminhash,
         "op9_pca_neighbours": op9_pca_neighbours,
