@@ -64,8 +64,9 @@ class Shingler:
         if len(self.words) > self.limit:
             self.words.clear()
         known = self.words
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         n = len(words)
         one = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
         if not n:
