@@ -84,13 +84,13 @@ class PieceCache:
 
     def learn(self, pieces: set[str]) -> None:
         """Have all of ``pieces`` in the young generation."""
-        new = pieces - self.young.keys()
+        new = {p for p in pieces if p not in self.young}
         if not new:
             return
         if len(self.young) + len(new) > self.limit:
             self.old, self.young = self.young, {}
             new = pieces
-        back = new & self.old.keys()
+        back = {p for p in new if p in self.old}
         for p in back:
             self.young[p] = self.old[p]
         if len(back) < len(new):
