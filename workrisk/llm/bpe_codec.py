@@ -151,11 +151,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return id_text(docs).mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, ids array<int>, decoded binary")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded bytes."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )

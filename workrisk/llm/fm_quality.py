@@ -138,6 +138,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
     them, chosen by a hash. The chosen ids are few, so they are broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
     known = known.groupBy("doc_id").agg(F.avg(F.col(label).cast("double")).alias("label"))
+    return chosen(docs, known, most)
+
+
+def chosen(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """``docs`` of at most about ``most`` ids of ``known`` (doc_id, label)."""
     count = known.count()
     if count > most:
         parts = 1 << 20
@@ -150,12 +155,13 @@ def _stated(docs: DataFrame) -> Column:
     return F.col("n_chars").cast("long") if dict(docs.dtypes).get("n_chars") in numeric else F.lit(None).cast("long")
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Machine:
-    """Fit on labelled documents outside the held-out fold. The features of the
-    bounded sample are made on the executors; the driver holds only those."""
-    bounded_batches(docs.sparkSession)
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _stated(docs).alias("stated"))
-    chosen = labelled(own, labels.select("doc_id", "quality"), "quality", folds, held, sample)
+def inputs_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and the stated length."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _stated(docs).alias("stated"))
+
+
+def collect_inputs(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Inputs, values and label of a bounded sample; made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
@@ -165,9 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
                 raw = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *raw, batch.column("label")], ["doc_id", "inputs", "values", "label"])
 
-    rows = chosen.mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, inputs binary, values binary, label double").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.inputs))
-    return fit([(np.frombuffer(r.inputs, dtype=np.int32), np.frombuffer(r["values"], dtype=np.float32), r.label) for r in rows])
+    found = rows.mapInArrow(run, f"{field_ddl(rows, 'doc_id')}, inputs binary, values binary, label double").collect()
+    found.sort(key=lambda r: (r.doc_id, r.inputs))
+    return [(np.frombuffer(r.inputs, dtype=np.int32), np.frombuffer(r["values"], dtype=np.float32), r.label) for r in found]
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Machine:
+    """Fit on labelled documents outside the held-out fold. The features of the
+    bounded sample are made on the executors; the driver holds only those."""
+    bounded_batches(docs.sparkSession)
+    return fit(collect_inputs(labelled(inputs_of(docs), labels.select("doc_id", "quality"), "quality", folds, held, sample)))
 
 
 def _scorer(docs: DataFrame, machine: Machine):
@@ -206,8 +219,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
             found = scores(batch.column("text").to_pylist(), batch.column("stated").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    own = docs.select("doc_id", "text", _stated(docs).alias("stated"))
-    return own.mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, score double, predicted int")
+    return inputs_of(docs).mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:

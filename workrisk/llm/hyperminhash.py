@@ -266,3 +266,10 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75) -> DataFrame:
     found = all_rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, threshold_percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates of a document
+    with a smaller id. Only the ids that go are joined."""
+    gone = near_duplicates(docs, threshold_percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

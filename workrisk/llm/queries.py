@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, line_quality, pca_neighbours, token_store, toxicity
+from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, line_quality, pca_neighbours, soft_mix, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=4, held=2)
 
 
+def op7_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), threshold_percent=75)
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fm_quality": op4_fm_quality,
         "op5_count_transducer": op5_count_transducer,
         "op6_toxicity": op6_toxicity,
+        "op7_soft_mix": op7_soft_mix,
         "op8_hyperminhash": op8_hyperminhash,
         "op9_pca_neighbours": op9_pca_neighbours,
         "op10_hash_tree": op10_hash_tree,
