@@ -35,9 +35,11 @@ SHINGLE = 5
 #: with a chance of (1 - 0.75**4)**32 < 6e-6.
 BUCKETS, MANTISSA, BANDS = 128, 10, 32
 BUCKET_BITS = 7
-#: Estimates this far below the threshold are still verified: 4.7 standard
-#: deviations of an estimate from 128 buckets.
-MARGIN = 0.18
+#: More buckets, of 4 and 4 bits, for the estimates alone.
+FINE, FINE_MANTISSA, FINE_BITS = 256, 4, 8
+LONGS = BANDS + FINE // 8
+#: Estimates so many standard deviations below the threshold are still verified.
+DEVIATIONS = 4.7
 #: Members of a hub, or of a bucket, that one group of rows holds.
 GROUP = 2000
 
@@ -79,48 +81,72 @@ class Shingler:
         return np.unique(_mix(rows))
 
 
+def _smallest(hashes: np.ndarray, bits: int, mantissa_bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes: the buckets (their top bits) that have one, and the
+    smallest rest in each as leading zeros (``most`` at most) and mantissa."""
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rest = hashes[first] << np.uint64(bits) | np.uint64(1)  # never 0
+    zeros = (63 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64)).clip(0, 63)
+    zeros += (rest << zeros.astype(np.uint64)) >> np.uint64(63) == 0  # a double rounded up
+    mantissa = (rest << zeros.astype(np.uint64) << np.uint64(1)) >> np.uint64(64 - mantissa_bits)
+    return bucket[first], (zeros.clip(0, most) + 1 << mantissa_bits) | mantissa.astype(np.int64)
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """The sketch of sorted hashes: per bucket (their top bits) the smallest rest
-    as leading zeros and mantissa; 0: nothing in the bucket."""
-    out = np.zeros(BUCKETS, dtype=np.uint16)
+    """The sketch of sorted hashes as LONGS longs; an empty bucket is 0."""
+    bands, fine = np.zeros(BUCKETS, dtype=np.uint16), np.zeros(FINE, dtype=np.uint8)
     if len(hashes):
-        bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-        first = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rest = hashes[first] << np.uint64(BUCKET_BITS) | np.uint64(1)  # never 0
-        zeros = 63 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64).clip(0, 63)
-        wrong = (rest << zeros.astype(np.uint64)) >> np.uint64(63) == 0  # a double rounded up
-        zeros = zeros + wrong
-        mantissa = (rest << zeros.astype(np.uint64) << np.uint64(1)) >> np.uint64(64 - MANTISSA)
-        out[bucket[first]] = (zeros + 1 << MANTISSA) | mantissa.astype(np.int64)
-    return out
-
-
-def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Similarities of rows of sketches of sets of sizes n and m: the share of
-    equal registers, less those that different minima are expected to make."""
-    seen = ((a != 0) | (b != 0)).sum(axis=-1)
-    same = ((a == b) & (a != 0)).sum(axis=-1)
+        at, values = _smallest(hashes, BUCKET_BITS, MANTISSA, 62)
+        bands[at] = values
+        at, values = _smallest(np.sort(_mix(hashes ^ _ODD[0])), FINE_BITS, FINE_MANTISSA, 14)
+        fine[at] = values
+    return np.concatenate([bands.view(np.int64), fine.view(np.int64)])
+
+
+def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, at: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities of rows of sketches of sets of sizes n and m, and the
+    standard deviation that the estimate has where the similarity is ``at``.
+
+    The similarity is the share of equal registers, less those that different
+    minima are expected to make. The buckets of either kind draw from the union
+    without putting back, so a small union is drawn nearly whole."""
     # Yu and Weber, 2017: collisions of large sets, by the ratio of their sizes
-    chance = 0.169919487159739093975 * 4 * n * m / np.maximum((n + m) ** 2.0, 1) / 2**MANTISSA
-    share = same / np.maximum(seen, 1)
-    return np.clip((share - chance) / (1 - chance), 0, 1)
+    ratio = 0.169919487159739093975 * 4 * n * m / np.maximum((n + m) ** 2.0, 1)
+    union = np.maximum((n + m) / (1 + at), 1)
+    same = seen = chance = spread = 0
+    for kind, part, bits in ((np.uint16, slice(0, BANDS), MANTISSA), (np.uint8, slice(BANDS, LONGS), FINE_MANTISSA)):
+        x, y = (np.ascontiguousarray(z[..., part]).view(kind) for z in (a, b))
+        here = ((x | y) != 0).sum(axis=-1)
+        same, seen, chance = same + ((x == y) & (x != 0)).sum(axis=-1), seen + here, chance + here * ratio / 2**bits
+        spread = spread + here * (at * (1 - at) * np.clip(1 - (here - 1) / union, 0, 1) + ratio / 2**bits)
+    seen = np.maximum(seen, 1)
+    chance = chance / seen
+    return np.clip((same / seen - chance) / (1 - chance), 0, 1), np.sqrt(spread) / seen
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets may be as similar as the threshold."""
+    found, deviation = estimate(a, b, n, m, threshold)
+    sizes = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+    return sizes & (found >= threshold - DEVIATIONS * deviation - 1 / np.maximum(n + m, 1))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fingerprint (of the set; null where it is empty or the
-    row has no id) and sketch (one long a band) of every row."""
+    row has no id) and sketch (one long a band, then the fine registers)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sizes, prints, rows = [], [], np.zeros((batch.num_rows, BANDS), dtype=np.int64)
+            sizes, prints, rows = [], [], np.zeros((batch.num_rows, LONGS), dtype=np.int64)
             for k, text in enumerate(batch.column(1).to_pylist()):
                 found = shingler.hashes(text)
                 sizes.append(len(found))
                 prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                rows[k] = registers(found).view(np.int64)
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+                rows[k] = registers(found)
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * LONGS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))],
                 ["doc_id", "n_shingles", "fingerprint", "sketch"],
@@ -138,8 +164,8 @@ def _likely(pairs: DataFrame, kinds: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).flatten().to_numpy().view(np.uint16).reshape(-1, BUCKETS) for c in ("sketch", "hub_sketch"))
-            good = estimate(a, b, batch.column("n").to_numpy(), batch.column("hub_n").to_numpy()) >= threshold - MARGIN
+            a, b = (batch.column(c).flatten().to_numpy().reshape(-1, LONGS) for c in ("sketch", "hub_sketch"))
+            good = may_reach(a, b, batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), threshold)
             yield batch.select(["hub", "id"]).filter(pa.array(good))
 
     return both.mapInArrow(run, "hub long, id long")
@@ -156,7 +182,8 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold_percent: int) -> DataFra
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("groups"))
     hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("order"), F.col("hub").alias("id"))
     members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("groups")).cast("int").alias("group"), F.lit(1).alias("order"), "id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # texts are dealt by id whatever the sizes are: what is joined to them grows too
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).hint("merge")
     dealt = hubs.union(members).join(texts, "id").repartition("hub", "group").sortWithinPartitions("hub", "group", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +227,6 @@ def _rest(members: DataFrame, roots: DataFrame, kinds: DataFrame, threshold: flo
         ids, roots_, sizes = (np.array([r[k] for r in held]) for k in (0, 1, 3))
         major = np.array([r[2] for r in held], dtype=bool)
         bands = np.array([r[4] for r in held], dtype=np.int64)
-        regs = bands.view(np.uint16).reshape(-1, BUCKETS)
         for k in np.flatnonzero(~major).tolist():
             # the major part, and those of the minor ones that come later (once, in group 0)
             cand = np.flatnonzero((roots_ != roots_[k]) & (major | ((ids > ids[k]) & (group == 0))))
@@ -208,7 +234,7 @@ def _rest(members: DataFrame, roots: DataFrame, kinds: DataFrame, threshold: flo
                 met = ((bands[cand, :band] == bands[k, :band]) & (bands[k, :band] != 0)).any(axis=1)
                 cand = cand[~met]
             if len(cand):
-                good = cand[estimate(regs[cand], regs[k], sizes[cand], sizes[k]) >= threshold - MARGIN]
+                good = cand[may_reach(bands[cand], bands[k], sizes[cand], sizes[k], threshold)]
                 hubs += np.minimum(ids[good], ids[k]).tolist()
                 others += np.maximum(ids[good], ids[k]).tolist()
 
@@ -247,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold_percent: int = 75) -> DataFrame:
     grouped = all_rows.where("fingerprint IS NOT NULL").groupBy("fingerprint")
     kinds = written(grouped.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     sets = kinds.select("id", "n", "sketch")
-    banded = kinds.select("id", F.posexplode("sketch").alias("band", "key")).where("key <> 0")
+    banded = kinds.select("id", F.posexplode(F.slice("sketch", 1, BANDS)).alias("band", "key")).where("key <> 0")
     shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(shared, ["band", "key"]), "members")
     # the hub of a bucket: the member with the most neighbours over all bands
