@@ -4,10 +4,12 @@ expected tokens of the domains match target weights.
 The table of labels names the domains; a softmax classifier over the inputs of
 the quality model predicts each document's posterior over them. With a[d, k] =
 tokens of d times its posterior of k, nonnegative rates r are fitted by least
-squares, sum over k of (sum over d of r[d] a[d, k] - target[k])^2 in units of
-what domain k can move, by projected gradient steps from rate 1. A step needs
-only the K residuals, which one aggregation gives; rates are an expression of
-the residuals so far, so no state of the documents is kept between steps.
+squares of the K residuals a' r - target, by projected gradient steps from rate
+1. The residuals are measured in the metric of the inverse of S = a' a, summed
+over the documents whose rate is not at a bound: in it the curvature is 1, and so
+is the length of a step; a step that makes things worse is halved. A step needs
+only the residuals and S, which one aggregation gives; rates are an expression of
+the steps so far, so no state of the documents is kept between them.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from workrisk.llm.fm_quality import SIZE, Features, chosen, collect_inputs, inpu
 #: Domains of the labels, in the order of posteriors.
 DOMAINS = ("good", "toxic", "poor")
 #: Target shares of the tokens. The total is set so that the first keeps its own.
-WEIGHTS = (0.96, 0.02, 0.02)
+WEIGHTS = (0.90, 0.05, 0.05)
 SAMPLE = 8_000
 #: Rates stay between 0 and this.
 MOST_RATE = 2.0
@@ -122,35 +124,41 @@ class Fit:
         return F.aggregate(factors, F.lit(1.0), lambda r, step: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move(step))))
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 40, tolerance: float = 1e-4) -> Fit:
+def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 30, tolerance: float = 1e-3) -> Fit:
     """Projected gradient least squares over ``members`` (tokens, posterior).
 
-    The length of a step is 1 / the largest eigenvalue of the K x K products.
     What the driver holds is K numbers a step.
     """
     kinds = len(weights)
     part = [F.col("tokens") * F.col("posterior")[k] for k in range(kinds)]
-    sums = [F.sum(p).alias(f"c{k}") for k, p in enumerate(part)]
-    products = [F.sum(part[i] * part[j]).alias(f"s{i}_{j}") for i in range(kinds) for j in range(i, kinds)]
-    first = members.agg(*sums, *products).head().asDict()
-    totals = np.array([first[f"c{k}"] or 0.0 for k in range(kinds)])
-    square = np.array([[first[f"s{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(kinds)] for i in range(kinds)])
+
+    def measure(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals, and the products of the documents that can move."""
+        rated = members.select(rate.alias("rate"), *[p.alias(f"a{k}") for k, p in enumerate(part)])
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < most), 1.0).otherwise(0.0)
+        sums = [F.sum(F.col("rate") * F.col(f"a{k}")) for k in range(kinds)]
+        sums += [F.sum(free * F.col(f"a{i}") * F.col(f"a{j}")) for i in range(kinds) for j in range(i, kinds)]
+        found = [x or 0.0 for x in rated.agg(*[x.alias(f"s{n}") for n, x in enumerate(sums)]).head()]
+        square = np.zeros((kinds, kinds))
+        square[np.triu_indices(kinds)] = found[kinds:]
+        return np.array(found[:kinds]), square + np.triu(square, 1).T
+
+    totals, square = measure(F.lit(1.0))
     if not totals.sum():
         return Fit(totals, [], totals, 0.0)
-    anchor = totals[0] / weights[0] if totals[0] and weights[0] else totals.sum()
-    targets = anchor * np.array(weights) / sum(weights) * (sum(weights) if totals[0] and weights[0] else 1.0)
-    unit = np.sqrt(np.maximum(np.diag(square), 1e-12))  # what one domain can move
-    length = 1 / np.linalg.eigvalsh(square / np.outer(unit, unit)).max()
-    out = Fit(targets, [], totals, float(np.abs(totals - targets).max() / targets.sum()))
-    while out.residual > tolerance and len(out.steps) < steps:
-        out.steps.append(length * (out.totals - targets) / unit**2)
-        rate = out.rate(F.col("tokens"), F.col("posterior"), most)
-        rated = members.select("tokens", "posterior", rate.alias("rate"))
-        now = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[k]).alias(f"c{k}") for k in range(kinds)]).head()
-        before, out.totals = out.totals, np.array(now, dtype=float)
-        out.residual = float(np.abs(out.totals - targets).max() / targets.sum())
-        if np.abs(out.totals - before).max() <= 1e-6 * targets.sum():
-            break  # the bounds on rates allow no more
+    shares = np.array(weights) / sum(weights)
+    targets = shares * (totals[0] / shares[0] if totals[0] and shares[0] else totals.sum())
+    far = lambda x: float(np.abs(x - targets).max() / targets.sum())
+    out = Fit(targets, [], totals, far(totals))
+    floor, length = np.trace(square), 1.0
+    while out.residual > tolerance and len(out.steps) < steps and length > 0.01:
+        move = np.linalg.solve(square + np.eye(kinds) * 1e-6 * floor, out.totals - targets)
+        trial = Fit(targets, [*out.steps, length * move], totals, 0.0)
+        moved, free = measure(trial.rate(F.col("tokens"), F.col("posterior"), most))
+        if far(moved) < out.residual:
+            out, square, length = Fit(targets, trial.steps, moved, far(moved)), free, min(1.0, 2 * length)
+        else:
+            length /= 2
     return out
 
 
