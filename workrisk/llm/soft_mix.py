@@ -114,9 +114,11 @@ class Fit:
     steps: list[np.ndarray]
     totals: np.ndarray
     residual: float
+    wanted: list[int]
 
     def rate(self, tokens: Column, posterior: Column, most: float) -> Column:
         """A document's rate: the steps replayed from 1."""
+        posterior = F.array(*[posterior[k] for k in self.wanted])
         if not self.steps:
             return F.lit(1.0)
         factors = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in self.steps])
@@ -124,13 +126,15 @@ class Fit:
         return F.aggregate(factors, F.lit(1.0), lambda r, step: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move(step))))
 
 
-def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 30, tolerance: float = 1e-3) -> Fit:
+def fit_rates(members: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 30, tolerance: float = 1e-3) -> Fit:
     """Projected gradient least squares over ``members`` (tokens, posterior).
 
-    What the driver holds is K numbers a step.
+    A domain whose weight is None has no target. What the driver holds is K
+    numbers a step.
     """
-    kinds = len(weights)
-    part = [F.col("tokens") * F.col("posterior")[k] for k in range(kinds)]
+    wanted = [k for k, w in enumerate(weights) if w is not None]
+    weights, kinds = tuple(weights[k] for k in wanted), len(wanted)
+    part = [F.col("tokens") * F.col("posterior")[k] for k in wanted]
 
     def measure(rate: Column) -> tuple[np.ndarray, np.ndarray]:
         """Expected totals, and the products of the documents that can move."""
@@ -145,18 +149,18 @@ def fit_rates(members: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: fl
 
     totals, square = measure(F.lit(1.0))
     if not totals.sum():
-        return Fit(totals, [], totals, 0.0)
+        return Fit(totals, [], totals, 0.0, wanted)
     shares = np.array(weights) / sum(weights)
     targets = shares * (totals[0] / shares[0] if totals[0] and shares[0] else totals.sum())
     far = lambda x: float(np.abs(x - targets).max() / targets.sum())
-    out = Fit(targets, [], totals, far(totals))
+    out = Fit(targets, [], totals, far(totals), wanted)
     floor, length = np.trace(square), 1.0
     while out.residual > tolerance and len(out.steps) < steps and length > 0.01:
         move = np.linalg.solve(square + np.eye(kinds) * 1e-6 * floor, out.totals - targets)
-        trial = Fit(targets, [*out.steps, length * move], totals, 0.0)
+        trial = Fit(targets, [*out.steps, length * move], totals, 0.0, wanted)
         moved, free = measure(trial.rate(F.col("tokens"), F.col("posterior"), most))
         if far(moved) < out.residual:
-            out, square, length = Fit(targets, trial.steps, moved, far(moved)), free, min(1.0, 2 * length)
+            out, square, length = Fit(targets, trial.steps, moved, far(moved), wanted), free, min(1.0, 2 * length)
         else:
             length /= 2
     return out
@@ -168,7 +172,7 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_RATE, sample: int = SAMPLE) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, sample: int = SAMPLE) -> DataFrame:
     """doc_id, tokens, posterior, rate and copies of every row.
 
     A null or empty text has no tokens and keeps the rate 1. Rows that repeat are
@@ -183,7 +187,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).select("doc_id", "tokens", "posterior", "rate", "copies")
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_RATE) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, as often as their copies say. Rows that
     repeat a doc_id have the same number; a row without one stays once."""
     found = mix(docs, labels, weights, most).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("n"))
