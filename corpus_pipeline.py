@@ -12,6 +12,10 @@ from workrisk.llm import bpe_codec, fm_quality, hyperminhash, line_quality, soft
 from workrisk.llm.common import work_dir
 
 
+#: Target shares of the tokens of soft_mix.DOMAINS.
+MIX_WEIGHTS = (0.96, 0.04, None)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -32,8 +36,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
-    return soft_mix.mixed_documents(docs, _labels(spark, sf_dir))
+    """Documents as often as their rates say. The stages before have left next to
+    nothing of poor quality, so only good and toxic tokens have a target."""
+    return soft_mix.mixed_documents(docs, _labels(spark, sf_dir), weights=MIX_WEIGHTS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
