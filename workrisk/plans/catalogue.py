@@ -5,15 +5,695 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from workrisk.config import INDICATORS
+from workrisk.functions import numeric, text
+from workrisk.operators import benchmark, build, datagen, detectors, evaluation, multivariate, peers, reviews, rollups, scoring, similarity
+from workrisk.operators import validation as v
+from workrisk.plans import adapter, register, sql
+from workrisk.plans.storage import stored
+from workrisk.sources import sinks
+from workrisk.streaming import alerts
+
+CONFIG = sql.CONFIG
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return priority_queue(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+_t = adapter.table
+_works = register.build_works
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return register.features(_works(spark, sf_dir), CONFIG)
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detectors.detect(_features(spark, sf_dir), CONFIG)
+
+
+def _days_as_text(df: DataFrame) -> DataFrame:
+    """Dates as text, which all engines' clients compare alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"}) if any(k == "date" for _, k in df.dtypes) else df
+
+
+_scored = register.plain_scored
+
+# ---------------------------------------------------------------- parsing
+
+
+@query(r"""WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '₹ ' || o_totalprice::DECIMAL(20,2)::VARCHAR WHEN 1 THEN '(' || o_orderkey::VARCHAR || ')' WHEN 2 THEN 'n/a' WHEN 3 THEN '1,25,' || (100 + o_orderkey % 900)::VARCHAR WHEN 4 THEN '' WHEN 5 THEN '1-2' ELSE ' 500000 ' END AS s FROM orders),
+d AS (SELECT *, regexp_replace(trim(s), '[^0-9.\-]', '', 'g') AS x FROM raw)
+SELECT o_orderkey, CASE WHEN regexp_matches(trim(s), '^\(.*\)$') THEN -try_cast(x AS DOUBLE) ELSE try_cast(CASE WHEN x IN ('', '-', '.') THEN NULL ELSE x END AS DOUBLE) END AS amount FROM d""")
+def parse_amount(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = (
+        F.when(k % 7 == 0, F.concat(F.lit("₹ "), F.col("o_totalprice").cast("decimal(20,2)").cast("string"))).when(k % 7 == 1, F.concat(F.lit("("), k.cast("string"), F.lit(")"))).when(k % 7 == 2, "n/a")
+        .when(k % 7 == 3, F.concat(F.lit("1,25,"), (100 + k % 900).cast("string"))).when(k % 7 == 4, "").when(k % 7 == 5, "1-2").otherwise(" 500000 ")
+    )
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.parse_amount(raw).alias("amount"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate::DATE::VARCHAR END AS day FROM orders""")
+def parse_date(spark, sf_dir):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    raw = F.when(k % 4 == 0, F.date_format(d, "dd-MMM-yyyy")).when(k % 4 == 1, F.date_format(d, "d/M/yyyy")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd")).otherwise("rubbish")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.parse_date(raw).cast("string").alias("day"))
+
+
+_TITLE = "'WS/MP' || c_custkey || '/2023-2024/' || (c_custkey * 7) || '- Construction of ' || c_mktsegment || ' road'"
+
+
+def _titles(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    title = F.concat(F.lit("WS/MP"), k, F.lit("/2023-2024/"), (F.col("c_custkey") * 7).cast("string"), F.lit("- Construction of "), F.col("c_mktsegment"), F.lit(" road"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.when(F.col("c_custkey") % 5 != 0, title).otherwise(F.lit("no id here")).alias("title"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'WS/MP' || c_custkey || '/2023-2024/' || (c_custkey * 7) END AS work_id FROM customer")
+def extract_work_id(spark, sf_dir):
+    return _titles(spark, sf_dir).select("c_custkey", text.work_id(F.col("title")).alias("work_id"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'Construction of ' || c_mktsegment || ' road' ELSE 'no id here' END AS bare FROM customer")
+def strip_work_id(spark, sf_dir):
+    return _titles(spark, sf_dir).select("c_custkey", text.without_work_id(F.col("title")).alias("bare"))
+
+
+@query("""SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE list_aggregate(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') END AS district FROM nation""")
+def extract_district(spark, sf_dir):
+    raw = F.when(F.col("n_nationkey") % 6 == 0, F.lit("nowhere")).otherwise(F.concat(F.upper("n_name"), F.lit("(DISTRICT MAGISTRATE)")))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", text.district(raw).alias("district"))
+
+
+@query("SELECT c_custkey, c_name AS name FROM customer")
+def clean_member_name(spark, sf_dir):
+    raw = F.concat(F.lit(" "), F.col("c_name"), F.lit(" (2022-28)  (2022-2028) (NaN-NaN)"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.member_name(raw).alias("name"))
+
+
+@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text[1:400]), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS plain FROM documents""")
+def normalise_text(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.substring("text", 1, 400)).alias("plain"))
+
+
+@query("""SELECT doc_id, length(t) > 0 AND (length(t) - length(replace(t, '?', ''))) >= 0.30 * length(t) AS lost FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeiou', '?????') ELSE text END AS t FROM documents)""")
+def mojibake_flag(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeiou", "?????")).otherwise(F.col("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.is_mojibake(raw).alias("lost"))
+
+
+@query("""SELECT n_nationkey, round(2 * 6371.0 * asin(sqrt(least(1, greatest(0, pow(sin(radians(n_regionkey - n_nationkey) / 2), 2) + cos(radians(n_nationkey)) * cos(radians(n_regionkey)) * pow(sin(radians(3 * n_regionkey - n_nationkey) / 2), 2))))), 4) AS km FROM nation""")
+def haversine(spark, sf_dir):
+    a, b = F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("double")
+    return _t(spark, sf_dir, "nation").select("n_nationkey", F.round(numeric.haversine_km(a, a, b, b * 3), 4).alias("km"))
+
+
+@query()
+def display_formats(spark, sf_dir):
+    c = F.col("o_totalprice") * 50
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", text.rupees(c).alias("words"), text.indian_grouping(c).alias("grouped"), text.compact_rupees(c).alias("compact"), text.percent(c / 1e6).alias("share"),
+        text.ordinal(F.col("o_orderkey")).alias("place"), text.shown_date(F.col("o_orderdate")).alias("day"), text.shortened(F.col("o_orderpriority"), 5).alias("short"),
+    )
+
+
+# ------------------------------------------------------- validation, reports
+
+
+def _raw_payments(spark, sf_dir):
+    k = F.col("l_orderkey")
+    return _t(spark, sf_dir, "lineitem").select(
+        F.when((k % 50 == 0) & (F.col("l_linenumber") == 1), "Grand Total").when(k % 51 == 0, " TOTAL ").otherwise(k.cast("string")).alias("row_key"), F.when(k % 13 != 0, k.cast("string")).alias("work_id"),
+        F.when(k % 17 == 0, None).when(k % 19 == 0, F.lit(-5.0)).when(k % 23 == 0, F.lit(6e8)).otherwise(F.col("l_extendedprice")).alias("amount"), "l_linenumber",
+    )
+
+
+_RAW = """raw AS (SELECT CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 'Grand Total' WHEN l_orderkey % 51 = 0 THEN ' TOTAL ' ELSE l_orderkey::VARCHAR END AS row_key,
+  CASE WHEN l_orderkey % 13 <> 0 THEN l_orderkey::VARCHAR END AS work_id, CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN -5.0 WHEN l_orderkey % 23 = 0 THEN 6e8 ELSE l_extendedprice END AS amount FROM lineitem),
+tagged AS (SELECT *, CASE WHEN lower(trim(row_key)) IN ('grand total', 'total', 'subtotal', 'summary', 'overall total') THEN 'summary row' WHEN work_id IS NULL THEN 'no work id'
+  WHEN amount > 5e8 THEN 'implausible amount' WHEN amount <= 0 THEN 'amount not positive' END AS reject_reason FROM raw)"""
+
+
+@query(f"WITH {_RAW} SELECT reject_reason, count(*) AS rows, sum(amount::DECIMAL(20,2))::DOUBLE AS amount FROM tagged GROUP BY reject_reason")
+def validate_payments_tagged(spark, sf_dir):
+    raw = _raw_payments(spark, sf_dir)
+    return v.tag(raw, v.payment_checks(raw)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("amount"))
+
+
+@query(f"WITH {_RAW} SELECT count(*) FILTER (reject_reason = 'summary row') AS summaries, count(*) AS rows FROM tagged")
+def summary_rows(spark, sf_dir):
+    return _raw_payments(spark, sf_dir).agg(F.count_if(v.is_summary(F.col("row_key"))).alias("summaries"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'summary row' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown work status' WHEN o_orderkey % 11 = 0 THEN 'no work id' END AS reject_reason, count(*) AS rows FROM orders GROUP BY 1""")
+def validate_spine_tagged(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = _t(spark, sf_dir, "orders").select(F.when(k % 40 == 0, "Subtotal").otherwise("1").alias("row_key"), F.when(k % 11 != 0, k.cast("string")).alias("work_id"), F.col("o_orderstatus").alias("work_status"))
+    return v.tag(raw, v.spine_checks(raw, ("F", "O"))).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"""WITH {_RAW} SELECT 'payments' AS source, reject_reason AS reason, count(*) AS rows FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'allocation', 'no state', count(*) FROM customer WHERE c_custkey % 9 = 0 HAVING count(*) > 0""")
+def quarantine_summary(spark, sf_dir):
+    q = v.Quarantine()
+    raw = _raw_payments(spark, sf_dir)
+    q.add(v.split(v.tag(raw, v.payment_checks(raw)))[1], "payments")
+    limits = _t(spark, sf_dir, "customer").select(F.lit("1").alias("row_key"), F.when(F.col("c_custkey") % 9 != 0, F.col("c_mktsegment")).alias("state"), "c_name")
+    q.add(v.split(v.tag(limits, v.allocation_checks(limits)))[1], "allocation")
+    return q.summary()
+
+
+@query("UNION ALL ".join(f"SELECT 'customer' AS dataset, '{c}' AS \"column\", count({e}) AS non_null, count(*) - count({e}) AS missing, round(count({e}) * 100.0::DOUBLE / count(*), 2) AS completeness_pct, count(DISTINCT {e}) AS distinct_values FROM customer "
+                         for c, e in (("c_custkey", "c_custkey"), ("c_name", "c_name"), ("segment", "nullif(c_mktsegment, 'BUILDING')"))))
+def column_profile(spark, sf_dir):
+    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    return v.column_profile(own, "customer")
+
+
+def _sources(spark, sf_dir):
+    return adapter.spine(spark, sf_dir).where("CAST(work_id AS BIGINT) % 10 <> 0"), adapter.completed(spark, sf_dir), adapter.payments(spark, sf_dir)
+
+
+_IDS = f"""WITH {sql.BASE}, s AS (SELECT DISTINCT work_id FROM spine WHERE k % 10 <> 0), c AS (SELECT DISTINCT work_id FROM completed), p AS (SELECT DISTINCT work_id FROM payments)"""
+
+
+@query(f"""{_IDS}, n AS (SELECT (SELECT count(*) FROM s) AS spine_ids, (SELECT count(*) FROM c) AS completed_ids, (SELECT count(*) FROM p) AS paid_ids,
+  (SELECT count(*) FROM c SEMI JOIN s USING (work_id)) AS completed_matched, (SELECT count(*) FROM c ANTI JOIN s USING (work_id)) AS completed_unmatched,
+  (SELECT count(*) FROM p SEMI JOIN s USING (work_id)) AS paid_matched, (SELECT count(*) FROM p ANTI JOIN s USING (work_id)) AS paid_unmatched,
+  (SELECT count(*) FROM p SEMI JOIN c USING (work_id)) AS paid_and_completed, (SELECT count(*) FROM c ANTI JOIN p USING (work_id)) AS completed_unpaid)
+SELECT *, 0::BIGINT AS spine_duplicate_rows, 0::BIGINT AS completed_duplicate_rows, round(completed_matched * 100.0::DOUBLE / completed_ids, 1) AS completed_match_pct, round(paid_matched * 100.0::DOUBLE / paid_ids, 1) AS paid_match_pct FROM n""")
+def matching_report(spark, sf_dir):
+    return v.matching_report(*_sources(spark, sf_dir))
+
+
+@query(f"{_IDS} SELECT work_id FROM c INTERSECT SELECT work_id FROM s")
+def ids_intersect(spark, sf_dir):
+    s, c, _ = _sources(spark, sf_dir)
+    return c.select("work_id").intersect(s.select("work_id"))
+
+
+@query(f"{_IDS} SELECT work_id FROM c EXCEPT SELECT work_id FROM s")
+def ids_except(spark, sf_dir):
+    s, c, _ = _sources(spark, sf_dir)
+    return c.select("work_id").subtract(s.select("work_id"))
+
+
+@query(f"{_IDS} SELECT work_id, completion_date::VARCHAR AS completion_date FROM completed ANTI JOIN s USING (work_id)")
+def unmatched_anti(spark, sf_dir):
+    s, c, _ = _sources(spark, sf_dir)
+    return _days_as_text(c.join(s, "work_id", "left_anti"))
+
+
+@query(sql.with_works(f"""SELECT count(*) FILTER (recommended_date > sanction_date) AS recommended_after_sanction, count(*) FILTER (completion_date < sanction_date) AS completed_before_sanction,
+  count(*) FILTER (first_payment_date < sanction_date) AS paid_before_sanction, count(*) FILTER (last_payment_date > completion_date) AS paid_after_completion, count(*) FILTER (sanction_date IS NULL) AS no_sanction_date,
+  count(*) FILTER (sanction_date > DATE '{adapter.AS_OF}') AS sanction_in_future, count(*) FILTER (completion_date > DATE '{adapter.AS_OF}') AS completion_in_future, count(*) FILTER (last_payment_date > DATE '{adapter.AS_OF}') AS payment_in_future FROM works"""))
+def date_consistency(spark, sf_dir):
+    return v.date_consistency(_works(spark, sf_dir), adapter.AS_OF)
+
+
+@query(sql.with_works("""SELECT count(*) FILTER (sanction_amount IS NULL) AS no_amount, count(*) FILTER (sanction_amount <= 0) AS amount_not_positive, count(*) FILTER (total_expenditure > sanction_amount) AS spent_above_sanction,
+  count(*) FILTER (max_single_payment > sanction_amount) AS single_payment_above_sanction, count(*) FILTER (is_completed AND total_expenditure IS NULL) AS completed_without_payment FROM works"""))
+def amount_consistency(spark, sf_dir):
+    return v.amount_consistency(_works(spark, sf_dir))
+
+
+_COVERED = ["work_type", "total_expenditure", "completion_date", "recommended_amount"]
+
+
+@query(sql.with_works(" UNION ALL ".join(f"SELECT '{c}' AS field, round(avg(({c} IS NOT NULL)::INT::DOUBLE) * 100, 2) AS covered_pct FROM works" for c in _COVERED)))
+def coverage(spark, sf_dir):
+    return v.coverage(_works(spark, sf_dir), _COVERED)
+
+
+# --------------------------------------------------------------- building
+
+
+@query(f"WITH {sql.BASE} SELECT * REPLACE (first_payment_date::VARCHAR AS first_payment_date, last_payment_date::VARCHAR AS last_payment_date) FROM rollup_")
+def payment_rollup(spark, sf_dir):
+    return _days_as_text(build.payment_rollup(adapter.payments(spark, sf_dir)).drop("work_type", "primary_vendor"))
+
+
+@query(f"WITH {sql.BASE} SELECT work_id, work_type, primary_vendor FROM paid")
+def payment_mode(spark, sf_dir):
+    return build.payment_rollup(adapter.payments(spark, sf_dir)).select("work_id", "work_type", "primary_vendor")
+
+
+_UNIFIED = ["work_id", "state", "district", "work_category", "sanction_amount", "sanction_date", "recommended_date", "completion_date", "total_expenditure", "payment_count", "max_single_payment", "first_payment_date", "last_payment_date",
+            "distinct_vendors", "work_type", "primary_vendor", "payments_not_successful", "recommended_amount", "has_recommendation", "has_expenditure", "is_completed", "days_recommendation_to_sanction", "days_sanction_to_reference",
+            "age_basis", "description_normalised", "data_completeness"]
+
+
+@query(sql.with_works(f"SELECT {', '.join(c + '::VARCHAR AS ' + c if c.endswith('_date') else c for c in _UNIFIED)}, round(sanction_uplift_pct, 6) AS sanction_uplift_pct, round(expenditure_ratio, 6) AS expenditure_ratio FROM works"))
+def unified_works(spark, sf_dir):
+    return _days_as_text(_works(spark, sf_dir).select(*_UNIFIED, F.round("sanction_uplift_pct", 6).alias("sanction_uplift_pct"), F.round("expenditure_ratio", 6).alias("expenditure_ratio")))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM lineitem) WHERE n = 1")
+def dedup_keep_first(spark, sf_dir):
+    return build.keep_first(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def _open(spark, sf_dir):
+    return build.recommendations(adapter.recommended(spark, sf_dir))[1]
+
+
+_OPEN = f"WITH {sql.BASE}, open_ AS (SELECT * FROM recommended WHERE work_id IS NULL AND sanction_date IS NULL)"
+
+
+@query(f"{_OPEN}, g AS (SELECT state, count(*) AS works, sum(recommended_amount::DECIMAL(20,2))::DOUBLE AS value FROM open_ GROUP BY state) SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 2) AS share_pct FROM g")
+def recommendation_pipeline_state(spark, sf_dir):
+    return rollups.pipeline_by_state(_open(spark, sf_dir))
+
+
+@query(f"{_OPEN} SELECT state, recommended_amount, recommended_on::VARCHAR AS recommended_on, source_row FROM open_ ORDER BY open_.recommended_on NULLS LAST, source_row LIMIT 200")
+def recommendation_oldest(spark, sf_dir):
+    return _days_as_text(rollups.oldest_recommendations(_open(spark, sf_dir), ["source_row"]).select("state", "recommended_amount", "recommended_on", "source_row"))
+
+
+# ------------------------------------------------------ peers and features
+
+
+@query(sql.with_features("SELECT work_id, peer_key, peer_level, peer_size FROM p4"))
+def peer_cascade(spark, sf_dir):
+    return peers.assign_peers(stored(_works(spark, sf_dir)), CONFIG.min_peer_group).select("work_id", "peer_key", "peer_level", "peer_size")
+
+
+_FEATS = ("peer_median_cost", "peer_median_duration", "cost_robust_z", "duration_ratio", "underspend_gap", "vendor_district_share")
+
+
+@query(sql.with_features(f"SELECT work_id, peer_cost_percentile, district_work_count, identical_description_count, {', '.join(f'round({c}, 6) AS {c}' for c in _FEATS)} FROM feats"))
+def peer_features(spark, sf_dir):
+    return _features(spark, sf_dir).select("work_id", "peer_cost_percentile", "district_work_count", "identical_description_count", *[F.round(c, 6).alias(c) for c in _FEATS])
+
+
+@query("""WITH m AS (SELECT c_mktsegment AS g, median(c_acctbal) AS mid, stddev_samp(c_acctbal) AS std FROM customer GROUP BY 1), d AS (SELECT g, median(abs(c_acctbal - mid)) AS mad FROM customer JOIN m ON c_mktsegment = g GROUP BY g)
+SELECT c_custkey, round(coalesce((c_acctbal - mid) / nullif(1.4826::DOUBLE * mad, 0), (c_acctbal - mid) / nullif(std, 0), 0), 6) AS z FROM customer JOIN m ON c_mktsegment = m.g JOIN d ON m.g = d.g""")
+def robust_z(spark, sf_dir):
+    return peers.robust_z(_t(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "z").select("c_custkey", F.round("z", 6).alias("z"))
+
+
+_PCT = "(rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE) / count(*) OVER ()"
+
+
+@query(f"SELECT o_orderkey, round({_PCT}, 9) AS pct FROM (SELECT o_orderkey, round(o_totalprice / 10000) AS v FROM orders)")
+def global_pct_rank(spark, sf_dir):
+    own = _t(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10000).alias("v"))
+    return peers.percent_rank(own, "v", "pct").select("o_orderkey", F.round("pct", 9).alias("pct"))
+
+
+# --------------------------------------------------------------- detectors
+
+
+@query(sql.with_signals("SELECT work_id, round(signal_cost_deviation, 6) AS signal FROM detected"))
+def d_cost(spark, sf_dir):
+    return _signals(spark, sf_dir).select("work_id", F.round("signal_cost_deviation", 6).alias("signal"))
+
+
+@query(sql.with_signals("SELECT work_id, round(signal_timeline, 6) AS signal FROM detected"))
+def d_timeline(spark, sf_dir):
+    return _signals(spark, sf_dir).select("work_id", F.round("signal_timeline", 6).alias("signal"))
+
+
+@query(sql.with_signals("SELECT work_id, round(signal_expenditure_consistency, 6) AS signal FROM detected"))
+def d_expenditure(spark, sf_dir):
+    return _signals(spark, sf_dir).select("work_id", F.round("signal_expenditure_consistency", 6).alias("signal"))
+
+
+@query(sql.with_signals("SELECT work_id, round(signal_compliance, 6) AS signal, rule_reasons FROM detected"))
+def d_compliance(spark, sf_dir):
+    return _signals(spark, sf_dir).select("work_id", F.round("signal_compliance", 6).alias("signal"), "rule_reasons")
+
+
+@query(sql.with_signals(" UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, 'evaluated' AS status, count(*) FILTER ({sql._CONDITIONS[r.rule_id]}) AS flagged FROM detected" if r.rule_id in sql._CONDITIONS else f"SELECT '{r.rule_id}', 'not_evaluated', 0" for r in CONFIG.rules)))
+def rule_report(spark, sf_dir):
+    return detectors.rule_report(_signals(spark, sf_dir), CONFIG)
+
+
+@query(sql.with_signals(" UNION ALL ".join(f"SELECT '{n}' AS detector, count(signal_{n}) AS evaluated, count(*) FILTER (signal_{n} > 0) AS flagged, CASE WHEN count(signal_{n}) > 0 THEN 'evaluated' ELSE 'skipped' END AS status FROM detected" for n in sql.SIGNALS)))
+def detector_report(spark, sf_dir):
+    return detectors.detector_report(_signals(spark, sf_dir), sql.SIGNALS)
+
+
+_GRAMS = r"""used AS (SELECT doc_id, lang || '/' || source AS block, nullif(trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM documents),
+sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS rows FROM used WHERE t IS NOT NULL),
+words AS (SELECT doc_id, block, rows, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM sized WHERE rows BETWEEN 2 AND 900),
+grams AS (SELECT doc_id, block, rows, w[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT *, unnest([3, 4, 5]) AS n FROM words) WHERE n <= length(w))),
+tf AS (SELECT block, doc_id, rows, g, 1 + ln(count(*)) AS f FROM grams GROUP BY ALL),
+raw AS (SELECT block, doc_id, g, f * (ln((1 + rows) / (1 + count(*) OVER (PARTITION BY block, g))::DOUBLE) + 1) AS x FROM tf),
+unit AS (SELECT block, doc_id, g, x / sqrt(sum(x * x) OVER (PARTITION BY block, doc_id)) AS x FROM raw),
+met AS (SELECT a.block, a.doc_id AS a, b.doc_id AS b, sum(a.x * b.x) AS s FROM unit a JOIN unit b ON a.block = b.block AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS n FROM met) WHERE n = 1)
+SELECT doc_id AS work_id, round(CASE WHEN t IS NOT NULL THEN coalesce(s, 0) END, 3) AS similarity_score, CASE WHEN s >= 0.62 THEN b END AS similar_work_id,
+  round(CASE WHEN t IS NOT NULL THEN greatest(0, least(1, (round(coalesce(s, 0), 9) - 0.62) / (1 - 0.62::DOUBLE))) END, 6) AS signal FROM used LEFT JOIN top ON doc_id = a"""
+
+
+def _described(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.concat("lang", F.lit("/"), "source").alias("district"), text.normalise(F.substring("text", 1, 60)).alias("description_normalised"))
+
+
+def _similar(df):
+    return df.select("work_id", "similarity_score", "similar_work_id", F.round("signal_similarity", 6).alias("signal"))
+
+
+@query(f"WITH {_GRAMS}")
+def d_similarity(spark, sf_dir):
+    return _similar(similarity.similarity(_described(spark, sf_dir)))
+
+
+@query(f"WITH {_GRAMS}")
+def d_similarity_by_block(spark, sf_dir):
+    return _similar(similarity.similarity_by_block(_described(spark, sf_dir)))
+
+
+@query("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.5) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS r FROM customer) SELECT c_custkey, round((c_acctbal - m) / CASE WHEN r = 0 THEN 1 ELSE r END, 6) AS scaled FROM customer, q""")
+def robust_scale(spark, sf_dir):
+    return multivariate.robust_scale(_t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("scaled")), ["scaled"]).select("c_custkey", F.round("scaled", 6).alias("scaled"))
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_acctbal / 1000 AS x, s_nationkey::DOUBLE AS y FROM supplier), n AS (SELECT a.s_suppkey, b.s_suppkey AS o FROM p a JOIN p b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 1.44),
+d AS (SELECT s_suppkey FROM n GROUP BY 1 HAVING count(*) >= 5) SELECT s_suppkey, NOT EXISTS (SELECT 1 FROM n JOIN d ON n.o = d.s_suppkey WHERE n.s_suppkey = p.s_suppkey) AS is_noise FROM p""")
+def dbscan_noise(spark, sf_dir):
+    own = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return multivariate.dbscan_noise(own, "s_suppkey", ["x", "y"], 1.2, 5).select("s_suppkey", "is_noise")
+
+
+@query()
+def d_multivariate(spark, sf_dir):
+    return multivariate.multivariate(_features(spark, sf_dir), CONFIG).select("work_id", "signal_multivariate")
+
+
+# ----------------------------------------------------------------- scoring
+
+
+@query(sql.with_scores(f"SELECT work_id, {', '.join(f'points_{n}' for n in sql.SIGNALS)}, risk_score, risk_band FROM scored"))
+def noisy_or_points(spark, sf_dir):
+    return _scored(spark, sf_dir).select("work_id", *[f"points_{n}" for n in sql.SIGNALS], "risk_score", "risk_band")
+
+
+@query(sql.with_scores("SELECT work_id, detectors_evaluated, peer_strength, confidence, confidence_band FROM scored"))
+def confidence(spark, sf_dir):
+    return _scored(spark, sf_dir).select("work_id", "detectors_evaluated", "peer_strength", "confidence", "confidence_band")
+
+
+_LABELLED = " UNION ALL ".join(f"SELECT work_id, risk_score, {k} AS place, '{scoring.LABELS[n]}' AS indicator, points_{n} AS points FROM scored" for k, n in enumerate(INDICATORS) if n in sql.SIGNALS)
+_REASONED = f"parts AS ({_LABELLED}), firsts AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY points DESC, place) AS n FROM parts WHERE points >= 3)"
+
+
+@query(sql.with_scores("SELECT work_id, n, indicator, round(points, 1) AS points, round(100 * points / greatest(risk_score, 1e-9), 1) AS share_pct FROM firsts WHERE n <= 3", _REASONED))
+def explanations(spark, sf_dir):
+    return _scored(spark, sf_dir).select("work_id", F.posexplode("explanation").alias("k", "e")).select("work_id", (F.col("k") + 1).alias("n"), "e.indicator", "e.points", "e.share_pct")
+
+
+@query(sql.with_scores("SELECT coalesce(indicator, 'No material indicator') AS primary_reason, count(*) AS works FROM scored LEFT JOIN (SELECT work_id, indicator FROM firsts WHERE n = 1) USING (work_id) WHERE risk_band <> 'Low' GROUP BY 1", _REASONED))
+def primary_reason_counts(spark, sf_dir):
+    return rollups.reason_counts(_scored(spark, sf_dir))
+
+
+@query()
+def briefings(spark, sf_dir):
+    return _scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing", F.to_json("explanation").alias("explanation"))
+
+
+@query()
+def register_full(spark, sf_dir):
+    """Every detector, similarity and the unusual ones included."""
+    out = register.scored(spark, sf_dir)
+    return out.select("work_id", *[f"points_{n}" for n in INDICATORS], "risk_score", "risk_band", "confidence", "similar_work_id", "similarity_score", "primary_reason")
+
+
+@query("SELECT NULL::VARCHAR AS work_id, NULL::DOUBLE AS risk_score WHERE false")
+def decomposition_check(spark, sf_dir):
+    return scoring.decomposition_gaps(_scored(spark, sf_dir)).select("work_id", "risk_score")
+
+
+# ---------------------------------------------------------------- roll-ups
+
+_M = """count(*) AS works, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure, count(*) FILTER (is_completed) AS completed,
+  count(*) FILTER (risk_band = 'High') AS high_risk, count(*) FILTER (risk_band <> 'Low') AS flagged, round(avg(risk_score), 9) AS mean_risk, round(avg(confidence), 9) AS mean_confidence"""
+_R = "round(expenditure / nullif(sanctioned, 0) * 100, 1) AS utilisation_pct, round(completed / works::DOUBLE * 100, 1) AS completion_pct, round(high_risk / works::DOUBLE * 100, 1) AS high_risk_pct"
+
+
+def _rollup_sql(keys: str, having: str = "") -> str:
+    return sql.with_scores(f"SELECT *, {_R} FROM (SELECT {keys}, {_M} FROM scored GROUP BY {keys}) {having}")
+
+
+@query(_rollup_sql("state"))
+def rollup_state(spark, sf_dir):
+    return rollups.rollup(_scored(spark, sf_dir), ["state"])
+
+
+@query(_rollup_sql("state, district"))
+def rollup_district(spark, sf_dir):
+    return rollups.rollup(_scored(spark, sf_dir), ["state", "district"])
+
+
+@query(_rollup_sql("mp_name, state"))
+def rollup_member(spark, sf_dir):
+    return rollups.rollup(_scored(spark, sf_dir), ["mp_name", "state"])
+
+
+@query(_rollup_sql("primary_vendor, district", "WHERE works >= 5 AND primary_vendor IS NOT NULL"))
+def rollup_vendor(spark, sf_dir):
+    return rollups.rollup(_scored(spark, sf_dir).where("primary_vendor IS NOT NULL"), ["primary_vendor", "district"], 5)
+
+
+@query(sql.with_scores(f"""SELECT * EXCLUDE (g), CASE g WHEN 1 THEN 'state' WHEN 2 THEN 'district' WHEN 3 THEN 'member' ELSE 'vendor' END AS level, {_R} FROM (
+  SELECT state, NULL AS district, NULL AS mp_name, NULL AS primary_vendor, 1 AS g, {_M} FROM scored GROUP BY state UNION ALL SELECT state, district, NULL, NULL, 2, {_M} FROM scored GROUP BY state, district
+  UNION ALL SELECT state, NULL, mp_name, NULL, 3, {_M} FROM scored GROUP BY mp_name, state UNION ALL SELECT NULL, district, NULL, primary_vendor, 4, {_M} FROM scored WHERE primary_vendor IS NOT NULL GROUP BY primary_vendor, district HAVING count(*) >= 5)"""))
+def rollup_grouping_sets(spark, sf_dir):
+    return rollups.all_rollups(_scored(spark, sf_dir))
+
+
+@query(sql.with_scores(f"SELECT *, {_R} FROM (SELECT {_M}, count(DISTINCT state) AS states, count(DISTINCT district) AS districts, count(DISTINCT mp_name) AS members FROM scored)"))
+def national_summary(spark, sf_dir):
+    return rollups.national(_scored(spark, sf_dir))
+
+
+@query(sql.with_scores("""SELECT count(*) AS works, count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium, count(*) FILTER (confidence_band = 'High') AS trusted,
+  coalesce(sum(CASE WHEN risk_band = 'High' THEN sanction_amount END::DECIMAL(20,2))::DOUBLE, 0) AS high_value, round(median(risk_score), 2) AS median_risk, round(max(risk_score), 2) AS max_risk FROM scored"""))
+def dashboard(spark, sf_dir):
+    return rollups.dashboard(_scored(spark, sf_dir))
+
+
+@query(sql.with_scores("SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 2) AS share_pct FROM (SELECT risk_band, count(*) AS works, round(avg(risk_score), 2) AS mean_score, round(avg(confidence), 3) AS mean_confidence FROM scored GROUP BY 1)"))
+def band_summary(spark, sf_dir):
+    return rollups.band_summary(_scored(spark, sf_dir))
+
+
+def _series(table: str, day: str, amount: str, name: str) -> str:
+    return f"SELECT strftime({day}, '%Y-%m') AS month, count(*) AS n, sum({amount}::DECIMAL(20,2))::DOUBLE AS amount, '{name}' AS series FROM {table} WHERE {day} IS NOT NULL GROUP BY 1"
+
+
+_MONTHS = " UNION ALL ".join([_series("works", "sanction_date", "sanction_amount", "sanctioned"), _series("works", "completion_date", "sanction_amount", "completed"), _series("payments", "paid_on", "amount", "paid")])
+
+
+@query(sql.with_works(_MONTHS))
+def monthly_series(spark, sf_dir):
+    return rollups.monthly(_works(spark, sf_dir), adapter.payments(spark, sf_dir))
+
+
+@query(sql.with_works(f"SELECT *, max(n) OVER () AS peak, sum(n) OVER ()::BIGINT AS total FROM ({_MONTHS}) WHERE series = 'paid'"))
+def trend_paid(spark, sf_dir):
+    return reviews.trend(monthly_series(spark, sf_dir), "paid")
+
+
+@query(sql.with_scores("SELECT *, round(high / works::DOUBLE * 100, 1) AS high_pct FROM (SELECT strftime(sanction_date, '%Y-%m') AS month, count(*) AS works, count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium, round(avg(risk_score), 2) AS mean_risk FROM scored GROUP BY 1)"))
+def risk_by_month(spark, sf_dir):
+    return rollups.risk_by_month(_scored(spark, sf_dir))
+
+
+@query(sql.with_scores("""SELECT g.*, c_mktsegment AS constituency, c_acctbal * 1000 AS allocated, round(sanctioned / nullif(c_acctbal * 1000, 0) * 100, 1) AS sanctioned_pct_of_allocation, round(expenditure / nullif(c_acctbal * 1000, 0) * 100, 1) AS spent_pct_of_allocation, c_acctbal IS NOT NULL AS allocation_matched
+  FROM (SELECT *, round(expenditure / nullif(sanctioned, 0) * 100, 1) AS utilisation_pct FROM (SELECT mp_name, state, count(*) AS works, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure,
+    count(*) FILTER (is_completed) AS completed, count(*) FILTER (risk_band = 'High') AS high_risk FROM scored GROUP BY 1, 2)) g LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON mp_name = c_name AND state = n_name"""))
+def fund_utilisation(spark, sf_dir):
+    return rollups.fund_utilisation(_scored(spark, sf_dir), adapter.allocation(spark, sf_dir))[0]
+
+
+@query(sql.with_scores(f"""SELECT work_id, state, district, sanction_amount, days_sanction_to_reference, peer_median_duration, DATE '{adapter.AS_OF}' - last_payment_date AS days_since_last_payment, risk_score, risk_band,
+  CASE WHEN NOT has_expenditure THEN 'Open past the peer-group duration with no payment recorded at all' ELSE 'Open past the peer-group duration with no payment for over a year' END AS warning_reason
+  FROM scored WHERE NOT is_completed AND days_sanction_to_reference > peer_median_duration * 1.5 AND (NOT has_expenditure OR DATE '{adapter.AS_OF}' - last_payment_date > 365) ORDER BY days_sanction_to_reference DESC, work_id LIMIT 300"""))
+def early_warning(spark, sf_dir):
+    return rollups.early_warning(_scored(spark, sf_dir), adapter.AS_OF).select("work_id", "state", "district", "sanction_amount", "days_sanction_to_reference", "peer_median_duration", "days_since_last_payment", "risk_score", "risk_band", "warning_reason")
+
+
+# ------------------------------------------------- queue, readers, reviews
+
+_QUEUE = ("work_id", "state", "district", "work_type", "sanction_amount", "peer_size", "risk_score", "risk_band", "confidence")
+
+
+@query(sql.with_scores(f"SELECT {', '.join(_QUEUE)} FROM scored ORDER BY risk_score DESC, confidence DESC, work_id LIMIT 500"))
+def priority_queue(spark, sf_dir):
+    return rollups.queue(_scored(spark, sf_dir), 500).select(*_QUEUE)
+
+
+@query(sql.with_scores("SELECT work_id, risk_score, risk_band FROM scored WHERE risk_band IN ('High', 'Medium') AND state = (SELECT min(n_name) FROM nation)"))
+def queue_filter(spark, sf_dir):
+    first = _t(spark, sf_dir, "nation").agg(F.min("n_name")).head()[0]
+    return reviews.filter_queue(_scored(spark, sf_dir), ["High", "Medium"], first).select("work_id", "risk_score", "risk_band")
+
+
+def _log(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 6 == 0, None).otherwise(F.element_at(F.array(*[F.lit(s) for s in reviews.STATUSES]), (F.col("event_id") % 5 + 1).cast("int")))
+    return e.select(F.col("user_id").cast("string").alias("work_id"), status.alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+_LOG = f"log AS (SELECT user_id::VARCHAR AS work_id, CASE WHEN event_id % 6 <> 0 THEN [{', '.join(repr(s) for s in reviews.STATUSES)}][event_id % 5 + 1] END AS status, ts AS at_, event_id AS seq FROM events), latest AS (SELECT work_id, status, seq FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY at_ DESC, seq DESC) AS n FROM log) WHERE n = 1 AND status IS NOT NULL)"
+
+
+@query(f"WITH {_LOG} SELECT * FROM latest")
+def reviews_latest(spark, sf_dir):
+    return reviews.latest_reviews(_log(spark, sf_dir)).select("work_id", "status", "seq")
+
+
+@query(sql.with_scores("SELECT work_id, risk_score FROM scored ANTI JOIN latest USING (work_id)", _LOG))
+def queue_hide_reviewed(spark, sf_dir):
+    return reviews.filter_queue(_scored(spark, sf_dir), reviewed=reviews.latest_reviews(_log(spark, sf_dir))).select("work_id", "risk_score")
+
+
+@query(sql.with_scores("SELECT work_id, risk_score FROM scored WHERE contains(lower(concat_ws(' ', work_id, work_description, state, district, mp_name, primary_vendor, work_category, work_type)), 'urgent lot 7')"))
+def works_search(spark, sf_dir):
+    return reviews.search(_scored(spark, sf_dir), "urgent lot 7").select("work_id", "risk_score")
+
+
+@query(sql.with_scores("SELECT work_id, risk_score FROM scored ORDER BY risk_score DESC, confidence DESC, work_id LIMIT 100 OFFSET 200"))
+def queue_page(spark, sf_dir):
+    return reviews.page(rollups.queue(_scored(spark, sf_dir)), 2).select("work_id", "risk_score")
+
+
+@query("SELECT DISTINCT n_name AS state FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey")
+def distinct_states(spark, sf_dir):
+    return reviews.states(adapter.spine(spark, sf_dir))
+
+
+@query("SELECT doc_id AS work_id, CASE WHEN length(text) > 90 THEN left(text, 90) || '…' ELSE text END AS short FROM documents")
+def works_index_truncated(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), text.shortened(F.col("text")).alias("short"))
+
+
+@query(sql.with_scores(f"SELECT work_id, round(sum(points) FILTER (points < 3), 2) AS other_points, count(*) FILTER (points >= 3) AS material FROM parts GROUP BY 1", _REASONED))
+def points_breakdown(spark, sf_dir):
+    out = reviews.material_points(_scored(spark, sf_dir), sql.SIGNALS)
+    return out.select("work_id", F.when(F.size("material") < len(sql.SIGNALS), F.col("other_points")).alias("other_points"), F.size("material").cast("long").alias("material"))
+
+
+@query()
+def sparse_records(spark, sf_dir):
+    return sinks.records(sinks.index(_scored(spark, sf_dir)))
+
+
+@query(f"""WITH {_GRAMS.rpartition("SELECT doc_id AS work_id")[0]}, s AS (SELECT doc_id, b, round(s, 3) AS similarity_score FROM used JOIN top ON doc_id = a WHERE s >= 0.62),
+p AS (SELECT least(doc_id, b)::VARCHAR || '||' || greatest(doc_id, b)::VARCHAR AS pair_key, doc_id, similarity_score FROM s)
+SELECT pair_key, similarity_score FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY similarity_score DESC, doc_id) AS n FROM p) WHERE n = 1 ORDER BY similarity_score DESC, pair_key LIMIT 200""")
+def similar_pairs(spark, sf_dir):
+    found = similarity.similarity(_described(spark, sf_dir)).withColumn("risk_score", F.lit(0.0))
+    return similarity.top_pairs(found).select("pair_key", "similarity_score")
+
+
+# --------------------------------------------------- evaluation, benchmark
+
+_LAB = "SELECT l.doc_id, quality AS y, d.n_chars::DOUBLE AS s, lang FROM labels l JOIN documents d USING (doc_id)"
+
+
+def _labelled(spark, sf_dir):
+    return _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("s"), "lang")
+
+
+@query(f"WITH l AS ({_LAB}), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM l) SELECT round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) AS roc_auc FROM r")
+def roc_auc(spark, sf_dir):
+    return evaluation.roc_auc(_labelled(spark, sf_dir), "s", "y")
+
+
+@query(f"WITH l AS ({_LAB}), g AS (SELECT s, sum(y) AS own, count(*) AS n FROM l GROUP BY s), c AS (SELECT own, sum(own) OVER w AS hits, sum(n) OVER w AS seen, sum(own) OVER () AS total FROM g WINDOW w AS (ORDER BY s DESC)) SELECT round(sum(hits / seen::DOUBLE * own / total::DOUBLE), 6) AS average_precision FROM c")
+def average_precision(spark, sf_dir):
+    return evaluation.average_precision(_labelled(spark, sf_dir), "s", "y")
+
+
+@query(f"WITH l AS ({_LAB}), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM l), b AS (SELECT sum(y) AS total, count(*) AS rows FROM l), k AS (SELECT unnest([25, 50, 100]) AS k) SELECT k, round(sum(y) / count(*)::DOUBLE, 6) AS precision_at_k, round(sum(y) / any_value(total)::DOUBLE, 6) AS recall_at_k, round(sum(y) / count(*)::DOUBLE / (any_value(total) / any_value(rows)::DOUBLE), 6) AS lift FROM n, b, k WHERE n <= k GROUP BY k")
+def precision_at_k(spark, sf_dir):
+    return evaluation.at_k(_labelled(spark, sf_dir), "s", "y", "doc_id")
+
+
+@query(f"WITH l AS ({_LAB}), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM l) SELECT lang, count(*) AS planted, round(avg((n <= 100)::INT::DOUBLE), 6) AS recall, round(avg(s), 4) AS mean_score FROM n WHERE y = 1 GROUP BY lang")
+def recall_by_kind(spark, sf_dir):
+    return evaluation.recall_by_kind(_labelled(spark, sf_dir), "s", "y", "lang", "doc_id")
+
+
+@query()
+def benchmark_run(spark, sf_dir):
+    """The labelled benchmark end to end, with its measures."""
+    return evaluation.evaluate(benchmark.run(datagen.generate(spark)), "risk_score", "is_anomaly", "project_id")
+
+
+def _projects(spark, sf_dir):
+    """Orders as the benchmark's projects."""
+    k = F.col("o_orderkey")
+    kinds = list(benchmark.EXPECTED_DAYS)
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("last"), F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).cast("double").alias("spent"))
+    own = _t(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    return own.select(k.alias("project_id"), F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % len(kinds) + 1).cast("int")).alias("work_category"), F.col("o_orderdate").cast("date").alias("sanction_date"), F.col("last").alias("actual_completion_date"),
+                      F.col("o_totalprice").alias("sanctioned_cost"), F.col("spent").alias("expenditure"), (k % 101).cast("double").alias("physical_progress_pct"))
+
+
+_KINDS = list(benchmark.EXPECTED_DAYS)
+_PROJECTS = f"""lines AS (SELECT l_orderkey, max(l_shipdate)::DATE AS last, sum(l_extendedprice::DECIMAL(20,2))::DOUBLE AS spent FROM lineitem GROUP BY 1),
+projects AS (SELECT o_orderkey AS project_id, [{", ".join(str(float(benchmark.EXPECTED_DAYS[c])) for c in _KINDS)}][o_orderkey % {len(_KINDS)} + 1]::DOUBLE AS expected, (coalesce(last, DATE '2026-09-01') - o_orderdate::DATE)::DOUBLE AS elapsed, spent / o_totalprice * 100 - (o_orderkey % 101) AS gap FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey)"""
+
+
+@query(f"WITH {_PROJECTS} SELECT project_id, round(greatest(0, least(1, (greatest(elapsed - expected, 0) / expected - 0.25) / 1.0::DOUBLE)), 6) AS signal FROM projects")
+def v1_delay(spark, sf_dir):
+    p = _projects(spark, sf_dir)
+    elapsed = F.date_diff(F.coalesce(F.col("actual_completion_date"), F.lit("2026-09-01").cast("date")), F.col("sanction_date"))
+    expected = benchmark.expected_days(F.col("work_category"))
+    out = p.withColumn("delay_ratio", F.greatest(elapsed - expected, F.lit(0.0)) / expected)
+    return out.select("project_id", F.round(benchmark.delay(benchmark.BenchmarkConfig()), 6).alias("signal"))
+
+
+@query(f"WITH {_PROJECTS} SELECT project_id, round(coalesce(greatest(0, least(1, (gap - 15) / 35.0::DOUBLE)), 0), 6) AS signal FROM (SELECT project_id, CASE WHEN gap IS NULL THEN NULL ELSE gap END AS gap FROM projects) WHERE gap IS NOT NULL UNION ALL SELECT project_id, 0 FROM projects WHERE gap IS NULL")
+def v1_mismatch(spark, sf_dir):
+    out = _projects(spark, sf_dir).withColumn("progress_gap_pct", F.col("expenditure") / F.col("sanctioned_cost") * 100 - F.col("physical_progress_pct"))
+    return out.select("project_id", F.round(benchmark.mismatch(benchmark.BenchmarkConfig()), 6).alias("signal"))
+
+
+@query()
+def generated_register(spark, sf_dir):
+    return datagen.generate(spark).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("projects"))
+
+
+# --------------------------------------------------------------- streaming
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return alerts.windowed_counts(_t(spark, sf_dir, "events"))
+
+
+@query()
+def event_sessions(spark, sf_dir):
+    return alerts.sessions(_t(spark, sf_dir, "events"))
