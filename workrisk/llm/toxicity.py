@@ -57,7 +57,7 @@ class Matcher:
     """The trie of a lexicon intersected with its Levenshtein automata, as a
     deterministic automaton that is compiled as far as words reach."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 200_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 600_000):
         self.lexicon, self.limit = lexicon, limit
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -149,12 +149,19 @@ class Matcher:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(entry, errors) of the nearest entry, or None."""
-        if word in self.found:
-            return self.found[word]
+        if word not in self.found:
+            self.found[word] = self._match(word) if len(word) < 64 else None
+        return self.found[word]
+
+    def hits(self, words: set[str]) -> set[str]:
+        """Those that match an entry."""
         if len(self.found) > self.limit or len(self.states) > self.limit:
             self.reset()
-        out = self.found[word] = self._match(word) if len(word) < 64 else None
-        return out
+        known = self.found
+        for w in words:
+            if w not in known:
+                known[w] = self._match(w) if len(w) < 64 else None
+        return {w for w in words if known[w]}
 
 
 FEATURES = ("open", "quoted", "density", "whole", "stems", "strongest", "errors", "words")
@@ -164,7 +171,7 @@ def features(text: str, matcher: Matcher) -> list[float]:
     """What a document's hits add up to."""
     low = text.lower()
     words = _WORD.findall(low)
-    hit_words = {w for w in set(words) if matcher.match(w)}
+    hit_words = matcher.hits(set(words))
     if not hit_words:
         return [0.0] * len(FEATURES)
     open_, quoted, whole, stems, strongest, wrong = 0.0, 0.0, 0, 0, 0.0, 0
