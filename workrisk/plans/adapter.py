@@ -49,7 +49,7 @@ def recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     return joined.select(
-        F.when(k % 3 != 0, k.cast("string")).alias("work_id"), F.col("n_name").alias("state"), F.round(F.col("o_totalprice") * (0.75 + (k % 40) / 100), 2).alias("recommended_amount"),
+        F.when(k % 3 != 0, k.cast("string")).alias("work_id"), F.col("n_name").alias("state"), F.round(F.round("o_totalprice") * (75 + k % 40) / 100, 2).alias("recommended_amount"),
         F.date_sub(F.col("o_orderdate").cast("date"), (k % 300).cast("int")).alias("recommended_on"), F.when(k % 2 == 0, F.col("o_orderdate").cast("date")).alias("sanction_date"), k.alias("source_row"),
     )
 

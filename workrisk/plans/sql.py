@@ -28,7 +28,7 @@ completed AS (
 )"""
 RECOMMENDED = """
 recommended AS (
-  SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR END AS work_id, n_name AS state, round(o_totalprice * (0.75 + (o_orderkey % 40) / 100.0::DOUBLE), 2) AS recommended_amount,
+  SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey::VARCHAR END AS work_id, n_name AS state, round(round(o_totalprice) * (75 + o_orderkey % 40) / 100.0::DOUBLE, 2) AS recommended_amount,
     o_orderdate::DATE - (o_orderkey % 300)::INT AS recommended_on, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE END AS sanction_date, o_orderkey AS source_row
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 )"""
