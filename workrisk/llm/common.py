@@ -77,7 +77,7 @@ class PieceCache:
     young one is full it becomes the old one, and what is met again comes back.
     """
 
-    def __init__(self, find_all, find_iter, encode_many: Callable[[list[str]], list], limit: int = 600_000):
+    def __init__(self, find_all, find_iter, encode_many: Callable[[list[str]], list], limit: int = 200_000):
         self.find_all, self.find_iter, self.encode_many, self.limit = find_all, find_iter, encode_many, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

@@ -57,7 +57,7 @@ class Matcher:
     """The trie of a lexicon intersected with its Levenshtein automata, as a
     deterministic automaton that is compiled as far as words reach."""
 
-    def __init__(self, lexicon: Lexicon, limit: int = 600_000):
+    def __init__(self, lexicon: Lexicon, limit: int = 400_000):
         self.lexicon, self.limit = lexicon, limit
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
