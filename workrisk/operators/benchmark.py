@@ -13,6 +13,7 @@ from workrisk.operators import multivariate as mv
 from workrisk.operators.peers import group_size, percent_rank, robust_z
 from workrisk.operators.scoring import band, combine, explain
 from workrisk.operators.similarity import similarity_nearby
+from workrisk.plans.storage import stored
 
 REQUIRED = (
     "project_id", "state", "district", "block", "latitude", "longitude", "mp_name", "constituency", "sector", "work_category", "work_description", "implementing_agency",
@@ -108,10 +109,12 @@ def run(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig(), model:
     missing = [c for c in REQUIRED if c not in register.columns]
     if missing:
         raise ValueError(f"the register lacks {', '.join(missing)}")
-    out = similarity_nearby(signals(features(register, config), config), config.duplicate_floor, config.duplicate_km)
+    # stored where the next step reads a table several times
+    out = stored(signals(stored(features(stored(register), config)), config))
+    out = stored(similarity_nearby(out, config.duplicate_floor, config.duplicate_km))
     out = out.withColumn("signal_duplicate", F.coalesce("signal_similarity", F.lit(0.0))).drop("signal_similarity")
     out = mv.multivariate(out, model, "project_id", FEATURES)
-    out = combine(out, config.caps).withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
+    out = stored(combine(stored(out), config.caps)).withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
     out = out.withColumn("confidence", F.round(0.7 * F.col("data_completeness") + 0.3 * F.least(F.col("peer_size") / float(config.min_peer_group), F.lit(1.0)), 3))
     out = explain(out, BENCHMARK_LABELS, details())
     return out.withColumn("review_status", F.when(F.col("risk_band") == "High", "Pending review").otherwise("Not required"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from workrisk.config import RiskConfig
 from workrisk.functions.numeric import harmonic, ramp
 from workrisk.operators.peers import fill_with_medians, percent_rank
+from workrisk.plans.storage import stored
 
 FEATURES = (
     "cost_robust_z", "duration_ratio", "days_recommendation_to_sanction", "expenditure_ratio", "underspend_gap", "payment_count", "distinct_vendors",
@@ -138,6 +139,7 @@ def multivariate(works: DataFrame, config: RiskConfig, key: str = "work_id", col
         return works.withColumn("signal_multivariate", F.lit(None).cast("double"))
     there = [c for c in columns if c in works.columns]
     own = works.select(F.col(key).alias("_key"), *there)
-    scaled = robust_scale(feature_matrix(own, tuple(there)), there)
+    scaled = stored(robust_scale(feature_matrix(own, tuple(there)), there))  # both models and the ranks read it
     found = dbscan_noise(isolation_scores(scaled, "_key", there, config), "_key", there, config.dbscan_eps, config.dbscan_neighbours)
+    found = stored(found)
     return works.join(tail_signal(found, tail=config.tail).select("_key", "signal_multivariate"), F.col(key) == F.col("_key"), "left").drop("_key")
