@@ -85,6 +85,21 @@ def test_state_maps_compose():
         assert (scanned[k] == state).all()
 
 
+def test_piece_table_in_small_tables_and_parts(monkeypatch):
+    from workrisk.llm import piece_table
+
+    assert P.PATTERN == count_transducer.CUTTER_PATTERN
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["word", " it's", "\n\n\n", "\n  ", "!!", "é", "12", " ", "🙂", "東京", "x" * 30]) for _ in range(rng.randrange(600))) for _ in range(60)]
+    want = [library().encode(t, add_special_tokens=False).ids for t in texts]
+    encode = token_store.LibraryEncoder(JSON, P.PATTERN)._encode_many
+    for segment, bits in ((1 << 20, 6), (150, 8), (900, 12)):
+        monkeypatch.setattr(piece_table, "SEGMENT", segment)
+        table = piece_table.PieceTable(encode, bits=bits)
+        for _ in range(2):
+            assert [np.frombuffer(x, dtype="<i4").tolist() for x in table.ids_many(texts)] == want
+
+
 def test_counts_query(documents, odd_texts):
     got = count_transducer.count_tokens(documents(odd_texts), JSON, limit=10).collect()
     want = [(i, len((t or "").encode()), n := len(library().encode(t or "", add_special_tokens=False).ids), n > 10) for i, t in odd_texts]

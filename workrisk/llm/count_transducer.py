@@ -34,6 +34,8 @@ LETTER, NUMBER, OTHER, SPACE_RUN, BLANK_LAST, SPACE_LAST, QUOTE2, QUOTE3, BREAK,
 # next run continues; REST1/REST2: letters left of a contraction.
 START, LETTERS, NUMBERS, OTHERS, SPACES, JOIN, REST1, REST2 = range(8)
 N_STATES, N_CLASSES = 8, 10
+#: Fixed value: the pre-token pattern that the cutter is made for.
+CUTTER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 64
 SEGMENT = 1 << 21
 

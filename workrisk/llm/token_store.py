@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from workrisk.llm.common import PieceCache, bounded_batches, id_text, work_dir, written
+from workrisk.llm.count_transducer import CUTTER_PATTERN
+from workrisk.llm.piece_table import PieceTable
 
 MAGIC = b"S8BTOK01"
 BLOCK = 256
@@ -183,7 +185,8 @@ class LibraryEncoder:
         special = [t for t in added if t["special"]]
         self.mark, self.mark_id = (special[0]["content"], special[0]["id"]) if special else ("", -1)
         found = regex.compile(pattern)
-        self.cache = PieceCache(found.findall, found.finditer, self._encode_many)
+        own = pattern == CUTTER_PATTERN
+        self.cache = PieceTable(self._encode_many) if own else PieceCache(found.findall, found.finditer, self._encode_many)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
