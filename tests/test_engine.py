@@ -104,6 +104,17 @@ def test_ingest(spark, folder):
     assert (one_row.spine_ids, one_row.completed_matched, one_row.completed_match_pct) == (2, 1, 100.0)
 
 
+def test_command_line(spark, folder, tmp_path, capsys):
+    from workrisk.__main__ import main
+
+    main(["build", "--data-dir", folder, "--outdir", f"{tmp_path}/tables", "--as-of", "2026-01-01"], spark)
+    report = sinks.read_report(f"{tmp_path}/tables/ingest_report.json")
+    assert report["works"] == 2 and report["matching"][0]["completed_matched"] == 1
+    main(["score", "--data-dir", f"{tmp_path}/tables", "--outdir", f"{tmp_path}/scored", "--details", "all"], spark)
+    assert spark.read.json(f"{tmp_path}/scored/details").count() == 2
+    assert "points don't add up: 0" in capsys.readouterr().out
+
+
 def test_multiplied_work_is_named(spark):
     with pytest.raises(AssertionError, match="w1"):
         build.check_unmultiplied(spark.createDataFrame([("w1",), ("w1",)], "work_id string"))

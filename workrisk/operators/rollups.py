@@ -34,6 +34,16 @@ def rollup(scored: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
     return _rates(out.where(F.col("works") >= least) if least else out)
 
 
+#: Rows of the longer roll-ups that a viewer gets.
+CAPS = {"district": 400, "vendor": 300}
+
+
+def capped(levels: DataFrame, name: str) -> DataFrame:
+    """Groups with most high-risk works first, as many as a viewer gets."""
+    ordered = levels.orderBy(F.desc("high_risk"), F.desc("works"), *levels.columns[:2])
+    return ordered.limit(CAPS[name]) if name in CAPS else ordered
+
+
 def all_rollups(scored: DataFrame) -> DataFrame:
     """State, district, member and vendor levels in one pass over the works."""
     levels = {"state": ["state"], "district": ["state", "district"], "member": ["mp_name", "state"], "vendor": ["primary_vendor", "district"]}

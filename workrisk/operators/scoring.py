@@ -65,6 +65,7 @@ def _plain(c: Column) -> Column:
     return F.bround(c.cast("double"), 0).cast("long").cast("string")
 
 
+# The wording of sentences and briefings.
 def sentences() -> dict[str, Column]:
     """One sentence an indicator, with the figures behind it."""
     c = F.col
