@@ -40,6 +40,7 @@ from workrisk.llm.piece_table import PieceTable
 
 MAGIC = b"S8BTOK01"
 BLOCK = 256
+BLOCKS_AT_ONCE = 2048
 #: Bits of an id by selector, from 1 on; a word holds 60 // bits of them.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 COUNTS = tuple(60 // w for w in WIDTHS)
@@ -49,7 +50,15 @@ FILE_IDS = 4_000_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Words, and the first word of each block (with the total at the end)."""
+    """Words, and the first word of each block (with the total at the end); a
+    bounded number of blocks at a time."""
+    size = block * BLOCKS_AT_ONCE
+    parts = [_pack(ids[at : at + size], block) for at in range(0, len(ids), size)] or [_pack(ids, block)]
+    totals = np.cumsum([0, *(offsets[-1] for _, offsets in parts)])
+    return np.concatenate([w for w, _ in parts]), np.concatenate([*(o[:-1] + t for (_, o), t in zip(parts, totals, strict=False)), totals[-1:]]).astype(np.int64)
+
+
+def _pack(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // block)
     values = np.zeros(blocks * block, dtype=np.uint64)
@@ -107,7 +116,18 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ids of all blocks, every selector's words at once."""
+    """The ids of all blocks, of a bounded number of blocks at a time."""
+    out = np.zeros(n, dtype=np.uint64)
+    for first in range(0, len(offsets) - 1, BLOCKS_AT_ONCE):
+        own = offsets[first : first + BLOCKS_AT_ONCE + 1]
+        at = first * block
+        held = min(n - at, (len(own) - 1) * block)
+        out[at : at + held] = _unpack(words[own[0] : own[-1]], own - own[0], held, block)
+    return out
+
+
+def _unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int) -> np.ndarray:
+    """Every selector's words at once."""
     selector = (words >> np.uint64(60)).astype(np.int64)
     counts = np.array([1, *COUNTS, 0, 0])[selector]
     # a block's last word may hold fewer: its end is the next block's start
