@@ -17,7 +17,7 @@ from workrisk.llm.count_transducer import BREAK, SPACE_RUN, Cutter, point_classe
 
 WORDS = 3
 #: Code points that are cut at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 

@@ -46,7 +46,7 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 COUNTS = tuple(60 // w for w in WIDTHS)
 ESCAPE = 0
 #: Ids of one file, at most one document more.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
