@@ -33,8 +33,16 @@ def query(oracle: str | None = None):
     return add
 
 
+def whole(f):
+    """Register a query over scored works again, as <name>_full: SQL can follow
+    four of the detectors, this one has all six."""
+    QUERIES[f"{f.__name__}_full"] = lambda spark, sf_dir: f(spark, sf_dir, register.scored)
+    return f
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return priority_queue(spark, sf_dir)
+    """The queue by all six detectors."""
+    return priority_queue(spark, sf_dir, register.scored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,7 +70,12 @@ def _days_as_text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"}) if any(k == "date" for _, k in df.dtypes) else df
 
 
-_scored = register.plain_scored
+_plain = register.plain_scored
+
+
+def _names(scored) -> tuple[str, ...]:
+    """The detectors that ``scored`` runs."""
+    return sql.SIGNALS if scored is _plain else INDICATORS
 
 # ---------------------------------------------------------------- parsing
 
@@ -355,9 +368,10 @@ def rule_report(spark, sf_dir):
     return detectors.rule_report(_signals(spark, sf_dir), CONFIG)
 
 
+@whole
 @query(sql.with_signals(" UNION ALL ".join(f"SELECT '{n}' AS detector, count(signal_{n}) AS evaluated, count(*) FILTER (signal_{n} > 0) AS flagged, CASE WHEN count(signal_{n}) > 0 THEN 'evaluated' ELSE 'skipped' END AS status FROM detected" for n in sql.SIGNALS)))
-def detector_report(spark, sf_dir):
-    return detectors.detector_report(_signals(spark, sf_dir), sql.SIGNALS)
+def detector_report(spark, sf_dir, scored=_plain):
+    return detectors.detector_report(_signals(spark, sf_dir) if scored is _plain else scored(spark, sf_dir), _names(scored))
 
 
 _GRAMS = r"""used AS (SELECT doc_id, lang || '/' || source AS block, nullif(trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM documents),
@@ -411,33 +425,37 @@ def d_multivariate(spark, sf_dir):
 # ----------------------------------------------------------------- scoring
 
 
+@whole
 @query(sql.with_scores(f"SELECT work_id, {', '.join(f'points_{n}' for n in sql.SIGNALS)}, risk_score, risk_band FROM scored"))
-def noisy_or_points(spark, sf_dir):
-    return _scored(spark, sf_dir).select("work_id", *[f"points_{n}" for n in sql.SIGNALS], "risk_score", "risk_band")
+def noisy_or_points(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).select("work_id", *[f"points_{n}" for n in _names(scored)], "risk_score", "risk_band")
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, detectors_evaluated, peer_strength, confidence, confidence_band FROM scored"))
-def confidence(spark, sf_dir):
-    return _scored(spark, sf_dir).select("work_id", "detectors_evaluated", "peer_strength", "confidence", "confidence_band")
+def confidence(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).select("work_id", "detectors_evaluated", "peer_strength", "confidence", "confidence_band")
 
 
 _LABELLED = " UNION ALL ".join(f"SELECT work_id, risk_score, {k} AS place, '{scoring.LABELS[n]}' AS indicator, points_{n} AS points FROM scored" for k, n in enumerate(INDICATORS) if n in sql.SIGNALS)
 _REASONED = f"parts AS ({_LABELLED}), firsts AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY points DESC, place) AS n FROM parts WHERE points >= 3)"
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, n, indicator, round(points, 1) AS points, round(100 * points / greatest(risk_score, 1e-9), 1) AS share_pct FROM firsts WHERE n <= 3", _REASONED))
-def explanations(spark, sf_dir):
-    return _scored(spark, sf_dir).select("work_id", F.posexplode("explanation").alias("k", "e")).select("work_id", (F.col("k") + 1).alias("n"), "e.indicator", "e.points", "e.share_pct")
+def explanations(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).select("work_id", F.posexplode("explanation").alias("k", "e")).select("work_id", (F.col("k") + 1).alias("n"), "e.indicator", "e.points", "e.share_pct")
 
 
+@whole
 @query(sql.with_scores("SELECT coalesce(indicator, 'No material indicator') AS primary_reason, count(*) AS works FROM scored LEFT JOIN (SELECT work_id, indicator FROM firsts WHERE n = 1) USING (work_id) WHERE risk_band <> 'Low' GROUP BY 1", _REASONED))
-def primary_reason_counts(spark, sf_dir):
-    return rollups.reason_counts(_scored(spark, sf_dir))
+def primary_reason_counts(spark, sf_dir, scored=_plain):
+    return rollups.reason_counts(scored(spark, sf_dir))
 
 
 @query()
 def briefings(spark, sf_dir):
-    return _scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing", F.to_json("explanation").alias("explanation"))
+    return register.scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing", F.to_json("explanation").alias("explanation"))
 
 
 @query()
@@ -447,9 +465,10 @@ def register_full(spark, sf_dir):
     return out.select("work_id", *[f"points_{n}" for n in INDICATORS], "risk_score", "risk_band", "confidence", "similar_work_id", "similarity_score", "primary_reason")
 
 
+@whole
 @query("SELECT NULL::VARCHAR AS work_id, NULL::DOUBLE AS risk_score WHERE false")
-def decomposition_check(spark, sf_dir):
-    return scoring.decomposition_gaps(_scored(spark, sf_dir)).select("work_id", "risk_score")
+def decomposition_check(spark, sf_dir, scored=_plain):
+    return scoring.decomposition_gaps(scored(spark, sf_dir)).select("work_id", "risk_score")
 
 
 # ---------------------------------------------------------------- roll-ups
@@ -463,47 +482,55 @@ def _rollup_sql(keys: str, having: str = "") -> str:
     return sql.with_scores(f"SELECT *, {_R} FROM (SELECT {keys}, {_M} FROM scored GROUP BY {keys}) {having}")
 
 
+@whole
 @query(_rollup_sql("state"))
-def rollup_state(spark, sf_dir):
-    return rollups.rollup(_scored(spark, sf_dir), ["state"])
+def rollup_state(spark, sf_dir, scored=_plain):
+    return rollups.rollup(scored(spark, sf_dir), ["state"])
 
 
+@whole
 @query(_rollup_sql("state, district"))
-def rollup_district(spark, sf_dir):
-    return rollups.rollup(_scored(spark, sf_dir), ["state", "district"])
+def rollup_district(spark, sf_dir, scored=_plain):
+    return rollups.rollup(scored(spark, sf_dir), ["state", "district"])
 
 
+@whole
 @query(_rollup_sql("mp_name, state"))
-def rollup_member(spark, sf_dir):
-    return rollups.rollup(_scored(spark, sf_dir), ["mp_name", "state"])
+def rollup_member(spark, sf_dir, scored=_plain):
+    return rollups.rollup(scored(spark, sf_dir), ["mp_name", "state"])
 
 
+@whole
 @query(_rollup_sql("primary_vendor, district", "WHERE works >= 5 AND primary_vendor IS NOT NULL"))
-def rollup_vendor(spark, sf_dir):
-    return rollups.rollup(_scored(spark, sf_dir).where("primary_vendor IS NOT NULL"), ["primary_vendor", "district"], 5)
+def rollup_vendor(spark, sf_dir, scored=_plain):
+    return rollups.rollup(scored(spark, sf_dir).where("primary_vendor IS NOT NULL"), ["primary_vendor", "district"], 5)
 
 
+@whole
 @query(sql.with_scores(f"""SELECT * EXCLUDE (g), CASE g WHEN 1 THEN 'state' WHEN 2 THEN 'district' WHEN 3 THEN 'member' ELSE 'vendor' END AS level, {_R} FROM (
   SELECT state, NULL AS district, NULL AS mp_name, NULL AS primary_vendor, 1 AS g, {_M} FROM scored GROUP BY state UNION ALL SELECT state, district, NULL, NULL, 2, {_M} FROM scored GROUP BY state, district
   UNION ALL SELECT state, NULL, mp_name, NULL, 3, {_M} FROM scored GROUP BY mp_name, state UNION ALL SELECT NULL, district, NULL, primary_vendor, 4, {_M} FROM scored WHERE primary_vendor IS NOT NULL GROUP BY primary_vendor, district HAVING count(*) >= 5)"""))
-def rollup_grouping_sets(spark, sf_dir):
-    return rollups.all_rollups(_scored(spark, sf_dir))
+def rollup_grouping_sets(spark, sf_dir, scored=_plain):
+    return rollups.all_rollups(scored(spark, sf_dir))
 
 
+@whole
 @query(sql.with_scores(f"SELECT *, {_R} FROM (SELECT {_M}, count(DISTINCT state) AS states, count(DISTINCT district) AS districts, count(DISTINCT mp_name) AS members FROM scored)"))
-def national_summary(spark, sf_dir):
-    return rollups.national(_scored(spark, sf_dir))
+def national_summary(spark, sf_dir, scored=_plain):
+    return rollups.national(scored(spark, sf_dir))
 
 
+@whole
 @query(sql.with_scores("""SELECT count(*) AS works, count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium, count(*) FILTER (confidence_band = 'High') AS trusted,
   coalesce(sum(CASE WHEN risk_band = 'High' THEN sanction_amount END::DECIMAL(20,2))::DOUBLE, 0) AS high_value, round(median(risk_score), 2) AS median_risk, round(max(risk_score), 2) AS max_risk FROM scored"""))
-def dashboard(spark, sf_dir):
-    return rollups.dashboard(_scored(spark, sf_dir))
+def dashboard(spark, sf_dir, scored=_plain):
+    return rollups.dashboard(scored(spark, sf_dir))
 
 
+@whole
 @query(sql.with_scores("SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 2) AS share_pct FROM (SELECT risk_band, count(*) AS works, round(avg(risk_score), 2) AS mean_score, round(avg(confidence), 3) AS mean_confidence FROM scored GROUP BY 1)"))
-def band_summary(spark, sf_dir):
-    return rollups.band_summary(_scored(spark, sf_dir))
+def band_summary(spark, sf_dir, scored=_plain):
+    return rollups.band_summary(scored(spark, sf_dir))
 
 
 def _series(table: str, day: str, amount: str, name: str) -> str:
@@ -523,23 +550,26 @@ def trend_paid(spark, sf_dir):
     return reviews.trend(monthly_series(spark, sf_dir), "paid")
 
 
+@whole
 @query(sql.with_scores("SELECT *, round(high / works::DOUBLE * 100, 1) AS high_pct FROM (SELECT strftime(sanction_date, '%Y-%m') AS month, count(*) AS works, count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium, round(avg(risk_score), 2) AS mean_risk FROM scored GROUP BY 1)"))
-def risk_by_month(spark, sf_dir):
-    return rollups.risk_by_month(_scored(spark, sf_dir))
+def risk_by_month(spark, sf_dir, scored=_plain):
+    return rollups.risk_by_month(scored(spark, sf_dir))
 
 
+@whole
 @query(sql.with_scores("""SELECT g.*, c_mktsegment AS constituency, c_acctbal * 1000 AS allocated, round(sanctioned / nullif(c_acctbal * 1000, 0) * 100, 1) AS sanctioned_pct_of_allocation, round(expenditure / nullif(c_acctbal * 1000, 0) * 100, 1) AS spent_pct_of_allocation, c_acctbal IS NOT NULL AS allocation_matched
   FROM (SELECT *, round(expenditure / nullif(sanctioned, 0) * 100, 1) AS utilisation_pct FROM (SELECT mp_name, state, count(*) AS works, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure,
     count(*) FILTER (is_completed) AS completed, count(*) FILTER (risk_band = 'High') AS high_risk FROM scored GROUP BY 1, 2)) g LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON mp_name = c_name AND state = n_name"""))
-def fund_utilisation(spark, sf_dir):
-    return rollups.fund_utilisation(_scored(spark, sf_dir), adapter.allocation(spark, sf_dir))[0]
+def fund_utilisation(spark, sf_dir, scored=_plain):
+    return rollups.fund_utilisation(scored(spark, sf_dir), adapter.allocation(spark, sf_dir))[0]
 
 
+@whole
 @query(sql.with_scores(f"""SELECT work_id, state, district, sanction_amount, days_sanction_to_reference, peer_median_duration, DATE '{adapter.AS_OF}' - last_payment_date AS days_since_last_payment, risk_score, risk_band,
   CASE WHEN NOT has_expenditure THEN 'Open past the peer-group duration with no payment recorded at all' ELSE 'Open past the peer-group duration with no payment for over a year' END AS warning_reason
   FROM scored WHERE NOT is_completed AND days_sanction_to_reference > peer_median_duration * 1.5 AND (NOT has_expenditure OR DATE '{adapter.AS_OF}' - last_payment_date > 365) ORDER BY days_sanction_to_reference DESC, work_id LIMIT 300"""))
-def early_warning(spark, sf_dir):
-    return rollups.early_warning(_scored(spark, sf_dir), adapter.AS_OF).select("work_id", "state", "district", "sanction_amount", "days_sanction_to_reference", "peer_median_duration", "days_since_last_payment", "risk_score", "risk_band", "warning_reason")
+def early_warning(spark, sf_dir, scored=_plain):
+    return rollups.early_warning(scored(spark, sf_dir), adapter.AS_OF).select("work_id", "state", "district", "sanction_amount", "days_sanction_to_reference", "peer_median_duration", "days_since_last_payment", "risk_score", "risk_band", "warning_reason")
 
 
 # ------------------------------------------------- queue, readers, reviews
@@ -547,15 +577,17 @@ def early_warning(spark, sf_dir):
 _QUEUE = ("work_id", "state", "district", "work_type", "sanction_amount", "peer_size", "risk_score", "risk_band", "confidence")
 
 
+@whole
 @query(sql.with_scores(f"SELECT {', '.join(_QUEUE)} FROM scored ORDER BY risk_score DESC, confidence DESC, work_id LIMIT 500"))
-def priority_queue(spark, sf_dir):
-    return rollups.queue(_scored(spark, sf_dir), 500).select(*_QUEUE)
+def priority_queue(spark, sf_dir, scored=_plain):
+    return rollups.queue(scored(spark, sf_dir), 500).select(*_QUEUE)
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, risk_score, risk_band FROM scored WHERE risk_band IN ('High', 'Medium') AND state = (SELECT min(n_name) FROM nation)"))
-def queue_filter(spark, sf_dir):
+def queue_filter(spark, sf_dir, scored=_plain):
     first = _t(spark, sf_dir, "nation").agg(F.min("n_name")).head()[0]
-    return reviews.filter_queue(_scored(spark, sf_dir), ["High", "Medium"], first).select("work_id", "risk_score", "risk_band")
+    return reviews.filter_queue(scored(spark, sf_dir), ["High", "Medium"], first).select("work_id", "risk_score", "risk_band")
 
 
 def _log(spark, sf_dir):
@@ -572,19 +604,22 @@ def reviews_latest(spark, sf_dir):
     return reviews.latest_reviews(_log(spark, sf_dir)).select("work_id", "status", "seq")
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, risk_score FROM scored ANTI JOIN latest USING (work_id)", _LOG))
-def queue_hide_reviewed(spark, sf_dir):
-    return reviews.filter_queue(_scored(spark, sf_dir), reviewed=reviews.latest_reviews(_log(spark, sf_dir))).select("work_id", "risk_score")
+def queue_hide_reviewed(spark, sf_dir, scored=_plain):
+    return reviews.filter_queue(scored(spark, sf_dir), reviewed=reviews.latest_reviews(_log(spark, sf_dir))).select("work_id", "risk_score")
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, risk_score FROM scored WHERE contains(lower(concat_ws(' ', work_id, work_description, state, district, mp_name, primary_vendor, work_category, work_type)), 'urgent lot 7')"))
-def works_search(spark, sf_dir):
-    return reviews.search(_scored(spark, sf_dir), "urgent lot 7").select("work_id", "risk_score")
+def works_search(spark, sf_dir, scored=_plain):
+    return reviews.search(scored(spark, sf_dir), "urgent lot 7").select("work_id", "risk_score")
 
 
+@whole
 @query(sql.with_scores("SELECT work_id, risk_score FROM scored ORDER BY risk_score DESC, confidence DESC, work_id LIMIT 100 OFFSET 200"))
-def queue_page(spark, sf_dir):
-    return reviews.page(rollups.queue(_scored(spark, sf_dir)), 2).select("work_id", "risk_score")
+def queue_page(spark, sf_dir, scored=_plain):
+    return reviews.page(rollups.queue(scored(spark, sf_dir)), 2).select("work_id", "risk_score")
 
 
 @query("SELECT DISTINCT n_name AS state FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey")
@@ -597,15 +632,16 @@ def works_index_truncated(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), text.shortened(F.col("text")).alias("short"))
 
 
+@whole
 @query(sql.with_scores(f"SELECT work_id, round(sum(points) FILTER (points < 3), 2) AS other_points, count(*) FILTER (points >= 3) AS material FROM parts GROUP BY 1", _REASONED))
-def points_breakdown(spark, sf_dir):
-    out = reviews.material_points(_scored(spark, sf_dir), sql.SIGNALS)
-    return out.select("work_id", F.when(F.size("material") < len(sql.SIGNALS), F.col("other_points")).alias("other_points"), F.size("material").cast("long").alias("material"))
+def points_breakdown(spark, sf_dir, scored=_plain):
+    out = reviews.material_points(scored(spark, sf_dir), _names(scored))
+    return out.select("work_id", F.when(F.size("material") < len(_names(scored)), F.col("other_points")).alias("other_points"), F.size("material").cast("long").alias("material"))
 
 
 @query()
 def sparse_records(spark, sf_dir):
-    return sinks.records(sinks.index(_scored(spark, sf_dir)))
+    return sinks.records(sinks.index(register.scored(spark, sf_dir)))
 
 
 @query(f"""WITH {_GRAMS.rpartition("SELECT doc_id AS work_id")[0]}, s AS (SELECT doc_id, b, round(s, 3) AS similarity_score FROM used JOIN top ON doc_id = a WHERE s >= 0.62),
