@@ -1,6 +1,7 @@
 """Queries do the whole job: every detector, whole texts."""
 
 from workrisk.config import INDICATORS
+from workrisk.llm import toxicity
 from workrisk.plans import catalogue
 
 
@@ -16,3 +17,12 @@ def test_scored_queries_have_all_six_detectors(spark, sf_dir):
     assert [(r.work_id, r.risk_score, r.confidence) for r in rows] == [(r.work_id, r.risk_score, r.confidence) for r in top]
     assert {r.work_id for r in q["briefings"](spark, sf_dir).collect()} == {w for w, r in full.items() if r.risk_band != "Low"}
     assert {r.detector for r in q["detector_report_full"](spark, sf_dir).collect()} == set(INDICATORS)
+
+
+def test_stems_do_not_depend_on_partitions(spark):
+    ends = ("ton", "ish", "ard", "ers")
+    rows = [(k, f"grobble{ends[k % 4]} here now" if k % 3 == 0 else "plain words here now", int(k % 3 == 0)) for k in range(120)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
+    one, many = (toxicity.train(docs.repartition(n, "doc_id"), labels).lexicon.entries for n in (1, 60))
+    assert one == many and any(stem for _, stem, _ in many)

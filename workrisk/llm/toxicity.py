@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, bool], list[int]] = {}
-        shapes: dict[str, set] = {}
+        shapes: set[tuple[str, str]] = set()
         number = [0, 0]
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
@@ -292,16 +292,20 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, sam
                         if n < len(w):
                             grams.add((w[:n], False))
                             if bad:
-                                shapes.setdefault(w[:n], set()).add(w)
+                                shapes.add((w[:n], w))
                 for g in grams:
                     seen.setdefault(g, [0, 0])[bad] += 1
-        rows = [(g, whole, n[1], n[0], len(shapes.get(g, ()))) for (g, whole), n in seen.items()]
-        rows.append(("", True, number[1], number[0], 0))
+        rows = [(g, whole, n[1], n[0], None) for (g, whole), n in seen.items()]
+        rows.append(("", True, number[1], number[0], None))
+        rows += [(g, False, 0, 0, w) for g, w in shapes]
+        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         for at in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 10_000], strict=True)], ["gram", "whole", "toxic", "clean", "words"])
+            columns = zip(*rows[at : at + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "whole", "toxic", "clean", "word"])
 
-    found = chosen.mapInArrow(count, "gram string, whole boolean, toxic long, clean long, words long").groupBy("gram", "whole")
-    found = found.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("words").alias("words"))
+    # a stem's words are counted over the whole sample, however it is partitioned
+    found = chosen.mapInArrow(count, "gram string, whole boolean, toxic long, clean long, word string").groupBy("gram", "whole")
+    found = found.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_distinct("word").alias("words"))
     # what toxic documents hardly have can't be an entry
     grams = [tuple(r) for r in found.where("gram = '' OR (toxic >= 3 AND toxic >= 0.85 * (toxic + clean))").collect()]
     toxic, clean = next(((r[2], r[3]) for r in grams if r[0] == ""), (0, 0))
