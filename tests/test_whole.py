@@ -1,5 +1,7 @@
 """Queries do the whole job: every detector, whole texts."""
 
+import numpy as np
+
 from workrisk.config import INDICATORS
 from workrisk.llm import toxicity
 from workrisk.plans import catalogue
@@ -26,3 +28,32 @@ def test_stems_do_not_depend_on_partitions(spark):
     docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
     one, many = (toxicity.train(docs.repartition(n, "doc_id"), labels).lexicon.entries for n in (1, 60))
     assert one == many and any(stem for _, stem, _ in many)
+
+
+def test_similarity_of_whole_texts_equals_brute_force(spark, tmp_path):
+    """Texts that share only an opening aren't alike; texts alike after it are."""
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in ("rin", "tok", "sul", "vex")]
+    some = lambda n: " ".join(str(w) for w in rng.choice(words, n))
+    opening, body = some(15), some(400)
+    texts = [f"{opening} {some(400)}", f"{opening} {some(400)}", f"{some(15)} {body}", f"{some(15)} {body}", some(300), some(300), None]
+    df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    counts = [{} for _ in texts]
+    for c, t in zip(counts, texts, strict=True):
+        for w in (t or "").split():
+            for n in (3, 4, 5):
+                for i in range(len(w) + 3 - n):
+                    g = f" {w} "[i : i + n]
+                    c[g] = c.get(g, 0) + 1
+    rows = 6
+    weight = lambda c: {g: (1 + np.log(n)) * (np.log((1 + rows) / (1 + sum(g in o for o in counts))) + 1) for g, n in c.items()}
+    ws = [weight(c) for c in counts[:rows]]
+    cos = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    got = {r.work_id: r for r in catalogue.queries()["d_similarity_full"](spark, str(tmp_path)).collect()}
+    for i in range(rows):
+        best = max((cos(ws[i], ws[j]), j) for j in range(rows) if j != i)
+        assert abs(got[i].similarity_score - best[0]) < 0.00051
+    assert got[2].similar_work_id == 3 and got[3].similar_work_id == 2 and got[6].similarity_score is None
+    pairs = catalogue.queries()["similar_pairs_full"](spark, str(tmp_path)).collect()
+    assert "2||3" == pairs[0].pair_key

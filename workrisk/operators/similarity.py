@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from workrisk.functions.numeric import haversine_km, ramp
 
 NGRAMS = (3, 5)
+#: Grams that are multiplied at once; bounds the memory of a block of long texts.
+TILE = 4096
 
 
 def grams(text: Column) -> Column:
@@ -85,16 +87,26 @@ def similarity_by_block(works: DataFrame, floor: float = 0.62, most: int = 900,
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("work_id").reset_index(drop=True)
-        counts = [Counter(_grams(t)) for t in pdf["text"]]
-        places = {g: k for k, g in enumerate(dict.fromkeys(g for c in counts for g in c))}
+        places: dict[str, int] = {}
+        rows, cols, tf = [], [], []
+        for i, t in enumerate(pdf["text"]):
+            c = Counter(_grams(t))
+            rows.append(np.full(len(c), i, dtype=np.int32))
+            cols.append(np.fromiter((places.setdefault(g, len(places)) for g in c), dtype=np.int32, count=len(c)))
+            tf.append(1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c))))
         if not places:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        m = np.zeros((len(pdf), len(places)))
-        for i, c in enumerate(counts):
-            m[i, [places[g] for g in c]] = [1 + np.log(n) for n in c.values()]
-        m *= np.log((1 + len(pdf)) / (1 + (m > 0).sum(axis=0))) + 1
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = m @ m.T
+        rows, cols, w = np.concatenate(rows), np.concatenate(cols), np.concatenate(tf)
+        w *= (np.log((1 + len(pdf)) / (1 + np.bincount(cols))) + 1)[cols]
+        w /= np.maximum(np.sqrt(np.bincount(rows, w * w, len(pdf))), 1e-12)[rows]
+        order = np.argsort(cols, kind="stable")
+        rows, cols, w = rows[order], cols[order], w[order]
+        s = np.zeros((len(pdf), len(pdf)))
+        for at in range(0, len(places), TILE):
+            a, b = np.searchsorted(cols, (at, at + TILE))
+            m = np.zeros((len(pdf), TILE))
+            m[rows[a:b], cols[a:b] - at] = w[a:b]
+            s += m @ m.T
         np.fill_diagonal(s, -1)
         b = np.round(s, 9).argmax(axis=1)
         best = s[np.arange(len(pdf)), b]

@@ -387,8 +387,10 @@ SELECT doc_id AS work_id, round(CASE WHEN t IS NOT NULL THEN coalesce(s, 0) END,
   round(CASE WHEN t IS NOT NULL THEN greatest(0, least(1, (round(coalesce(s, 0), 9) - 0.62) / (1 - 0.62::DOUBLE))) END, 6) AS signal FROM used LEFT JOIN top ON doc_id = a"""
 
 
-def _described(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.concat("lang", F.lit("/"), "source").alias("district"), text.normalise(F.substring("text", 1, 60)).alias("description_normalised"))
+def _described(spark, sf_dir, most=None):
+    """Whole texts, or so many characters of each as the SQL has."""
+    own = F.substring("text", 1, most) if most else F.col("text")
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.concat("lang", F.lit("/"), "source").alias("district"), text.normalise(own).alias("description_normalised"))
 
 
 def _similar(df):
@@ -397,11 +399,17 @@ def _similar(df):
 
 @query(f"WITH {_GRAMS}")
 def d_similarity(spark, sf_dir):
-    return _similar(similarity.similarity(_described(spark, sf_dir)))
+    return _similar(similarity.similarity(_described(spark, sf_dir, 60)))
 
 
 @query(f"WITH {_GRAMS}")
 def d_similarity_by_block(spark, sf_dir):
+    return _similar(similarity.similarity_by_block(_described(spark, sf_dir, 60)))
+
+
+@query()
+def d_similarity_full(spark, sf_dir):
+    """Whole texts, by the plan that makes no rows of pairs."""
     return _similar(similarity.similarity_by_block(_described(spark, sf_dir)))
 
 
@@ -648,7 +656,14 @@ def sparse_records(spark, sf_dir):
 p AS (SELECT least(doc_id, b)::VARCHAR || '||' || greatest(doc_id, b)::VARCHAR AS pair_key, doc_id, similarity_score FROM s)
 SELECT pair_key, similarity_score FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY similarity_score DESC, doc_id) AS n FROM p) WHERE n = 1 ORDER BY similarity_score DESC, pair_key LIMIT 200""")
 def similar_pairs(spark, sf_dir):
-    found = similarity.similarity(_described(spark, sf_dir)).withColumn("risk_score", F.lit(0.0))
+    found = similarity.similarity(_described(spark, sf_dir, 60)).withColumn("risk_score", F.lit(0.0))
+    return similarity.top_pairs(found).select("pair_key", "similarity_score")
+
+
+@query()
+def similar_pairs_full(spark, sf_dir):
+    """Whole texts."""
+    found = similarity.similarity_by_block(_described(spark, sf_dir)).withColumn("risk_score", F.lit(0.0))
     return similarity.top_pairs(found).select("pair_key", "similarity_score")
 
 
