@@ -57,3 +57,8 @@ def test_similarity_of_whole_texts_equals_brute_force(spark, tmp_path):
     assert got[2].similar_work_id == 3 and got[3].similar_work_id == 2 and got[6].similarity_score is None
     pairs = catalogue.queries()["similar_pairs_full"](spark, str(tmp_path)).collect()
     assert "2||3" == pairs[0].pair_key
+
+
+def test_whole_texts_are_normalised(spark, tmp_path):
+    spark.createDataFrame([(1, "A-b  " * 300 + "End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.queries()["normalise_text_full"](spark, str(tmp_path)).head().plain == "a b " * 300 + "end"

@@ -135,6 +135,12 @@ def normalise_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.substring("text", 1, 400)).alias("plain"))
 
 
+@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS plain FROM documents""")
+def normalise_text_full(spark, sf_dir):
+    """Whole texts; normalise_text has the first 400 characters, as its SQL."""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"))
+
+
 @query("""SELECT doc_id, length(t) > 0 AND (length(t) - length(replace(t, '?', ''))) >= 0.30 * length(t) AS lost FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN translate(text, 'aeiou', '?????') ELSE text END AS t FROM documents)""")
 def mojibake_flag(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 2 == 0, F.translate("text", "aeiou", "?????")).otherwise(F.col("text"))
