@@ -13,7 +13,7 @@ from workrisk.llm.common import work_dir
 
 
 #: Target shares of the tokens of soft_mix.DOMAINS.
-MIX_WEIGHTS = (0.96, 0.04, None)
+MIX_WEIGHTS = soft_mix.WEIGHTS
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say. The stages before have left next to
-    nothing of poor quality, so only good and toxic tokens have a target."""
+    """Documents as often as their rates say, with a target for every domain."""
     return soft_mix.mixed_documents(docs, _labels(spark, sf_dir), weights=MIX_WEIGHTS)
 
 

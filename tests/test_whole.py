@@ -1,9 +1,12 @@
 """Queries do the whole job: every detector, whole texts."""
 
+import logging
+
+import corpus_pipeline
 import numpy as np
 
 from workrisk.config import INDICATORS
-from workrisk.llm import toxicity
+from workrisk.llm import soft_mix, toxicity
 from workrisk.plans import catalogue
 
 
@@ -62,3 +65,17 @@ def test_similarity_of_whole_texts_equals_brute_force(spark, tmp_path):
 def test_whole_texts_are_normalised(spark, tmp_path):
     spark.createDataFrame([(1, "A-b  " * 300 + "End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.queries()["normalise_text_full"](spark, str(tmp_path)).head().plain == "a b " * 300 + "end"
+
+
+def test_rare_domain_reaches_its_target_and_misses_are_reported(spark, monkeypatch, caplog):
+    assert None not in corpus_pipeline.MIX_WEIGHTS
+    rows = [(100, [0.98, 0.01, 0.01])] * 95 + [(100, [0.05, 0.9, 0.05])] * 4 + [(100, [0.05, 0.05, 0.9])]
+    kind = "tokens long, posterior array<double>"
+    found = soft_mix.fit_rates(spark.createDataFrame(rows, kind))
+    assert found.residual <= soft_mix.TOLERANCE
+    out_of_reach = spark.createDataFrame([(1, 100, [0.97, 0.02, 0.01]), (2, 100, [0.5, 0.49, 0.01])], f"doc_id long, {kind}")
+    monkeypatch.setattr(soft_mix, "train", lambda *a: None)
+    monkeypatch.setattr(soft_mix, "memberships", lambda *a: out_of_reach)
+    with caplog.at_level(logging.WARNING):
+        soft_mix.mix(out_of_reach, out_of_reach).collect()
+    assert "misses its targets" in caplog.text
