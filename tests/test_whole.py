@@ -79,3 +79,10 @@ def test_rare_domain_reaches_its_target_and_misses_are_reported(spark, monkeypat
     with caplog.at_level(logging.WARNING):
         soft_mix.mix(out_of_reach, out_of_reach).collect()
     assert "misses its targets" in caplog.text
+
+
+def test_long_words_are_matched():
+    matcher = toxicity.Matcher(toxicity.Lexicon([("idiot", True, 1.0)]))
+    word = "idiot_" * 20
+    assert matcher.match(word) == (0, 0) and matcher.hits({word, "x" * 99}) == {word}
+    assert word not in matcher.found and toxicity.features(word, matcher)[toxicity.FEATURES.index("stems")] > 0

@@ -30,6 +30,8 @@ SAMPLE = 8_000
 #: Words on each side of a hit that are its context.
 WINDOW = 5
 STEMS = range(3, 9)
+#: Words from this length on are matched like all others, but not kept.
+LONG = 64
 
 # Words of context.
 REPORTING = frozenset("said says say saying wrote writes quoted quote quotes called calls word words term terms so-called according reported reports".split())
@@ -149,8 +151,10 @@ class Matcher:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(entry, errors) of the nearest entry, or None."""
+        if len(word) >= LONG:
+            return self._match(word)
         if word not in self.found:
-            self.found[word] = self._match(word) if len(word) < 64 else None
+            self.found[word] = self._match(word)
         return self.found[word]
 
     def hits(self, words: set[str]) -> set[str]:
@@ -159,9 +163,9 @@ class Matcher:
             self.reset()
         known = self.found
         for w in words:
-            if w not in known:
-                known[w] = self._match(w) if len(w) < 64 else None
-        return {w for w in words if known[w]}
+            if w not in known and len(w) < LONG:
+                known[w] = self._match(w)
+        return {w for w in words if (known[w] if len(w) < LONG else self._match(w))}
 
 
 FEATURES = ("open", "quoted", "density", "whole", "stems", "strongest", "errors", "words")
