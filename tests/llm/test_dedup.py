@@ -56,6 +56,54 @@ def test_near_duplicates_equal_brute_force(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i in sets if low[i] == i}
 
 
+def under_the_threshold(n, seed=8):
+    """Copies of one text with two words changed: most pairs lie a little below
+    0.75, some reach it."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{k}" for k in range(80)]
+    out = []
+    for k in range(n):
+        words = list(base)
+        for at in rng.integers(0, 80, 2):
+            words[int(at)] = f"n{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("group", [15, 2000])
+def test_group_under_the_threshold_equals_brute_force(documents, monkeypatch, group):
+    monkeypatch.setattr(h, "GROUP", group)
+    rows = list(enumerate(under_the_threshold(150)))
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    low = roots(sets, linked)
+    assert 10 < len(set(low.values())) < 150
+    assert {r.doc_id: r.component_id for r in h.near_duplicates(documents(rows)).collect()} == low
+
+
+@pytest.mark.parametrize("group", [3, 50])
+def test_rows_of_other_roots_meet_once(spark, monkeypatch, group):
+    monkeypatch.setattr(h, "GROUP", group)
+    rows = [(1, k, min(k, 12) if k < 30 else 99) for k in range(40)] + [(2, k, 5) for k in range(9)]
+    dealt = h._dealt(spark.createDataFrame(rows, "key long, id long, root long"), ["key"]).collect()
+    met, groups = [], {}
+    for r in dealt:
+        groups.setdefault((r.key, r.x, r.y), []).append(r)
+    for (_, x, _), held in groups.items():
+        ids, own, sides = (np.array([r[c] for r in held]) for c in ("id", "root", "side"))
+        met += [tuple(sorted((int(ids[k]), int(ids[j])))) for k in np.flatnonzero(sides >= 0) for j in h._foes(k, x, own, sides)]
+    root = {i: r for key, i, r in rows if key == 1}
+    assert sorted(met) == [(a, b) for a in range(40) for b in range(a + 1, 40) if root[a] != root[b]]
+    assert max(map(len, groups.values())) < 8 * group
+
+
+def test_counts_of_shared_elements():
+    sets = [np.array(s, dtype=np.uint64) for s in ([1, 2, 3], [3], [], [2, 3, 9], [7])]
+    shared = h._shared_counts(sets)
+    for k, a in enumerate(sets):
+        assert [n for j, n in enumerate(shared(k).tolist()) if j != k] == [len(np.intersect1d(a, b)) for j, b in enumerate(sets) if j != k]
+
+
 def test_rows_without_id_and_empty_tables(documents):
     got = h.near_duplicates(documents([(None, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F")])).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (2, 1, False)]

@@ -41,8 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's name inside the shared folder."""
-    return f"{shared_dir(spark)}/workrisk/{name}-{uuid.uuid4().hex}"
+    """A new folder's name inside the application's part of the shared folder."""
+    return f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder."""
+    _delete(spark, f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +61,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    _delete(df.sparkSession, df._written)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import written
+from workrisk.llm.common import discard, written
 
 
 def _trace(edges: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
-        now = written(small.distinct(), "edges")
+        last, now = now, written(small.distinct(), "edges")
+        discard(last)
         before, trace = trace, _trace(now)
         if trace == before:
             break
