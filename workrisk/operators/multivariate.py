@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from workrisk.config import RiskConfig
 from workrisk.functions.numeric import harmonic, ramp
+from workrisk.operators.density import dbscan_noise
 from workrisk.operators.peers import fill_with_medians, percent_rank
 from workrisk.plans.storage import stored
 
+# What the models see, quantities without a scale.
 FEATURES = (
-    "cost_robust_z", "duration_ratio", "days_recommendation_to_sanction", "expenditure_ratio", "underspend_gap", "payment_count", "distinct_vendors",
-    "vendor_district_share", "identical_description_count",
+    "cost_robust_z", "duration_ratio", "expenditure_ratio", "payment_count", "distinct_vendors", "vendor_district_share", "days_recommendation_to_sanction",
+    "sanction_uplift_pct", "data_completeness",
 )
 
 
@@ -85,12 +87,12 @@ class IsolationForest:
 
 
 def isolation_scores(df: DataFrame, key: str, columns: list[str], config: RiskConfig, name: str = "forest_score") -> DataFrame:
-    """Scores of all rows. The trees need trees * sample rows at most, which a
-    hash of the key chooses; the forest is broadcast (a few MB)."""
-    most = config.trees * config.tree_sample
-    count = df.count()
-    part = 1 << 20
-    chosen = df if count <= most else df.where(F.pmod(F.xxhash64(key), F.lit(part)) < int(part * most / count))
+    """Scores of all rows. A tree draws tree_sample rows, so trees * tree_sample
+    rows, chosen by a hash of the key, are as many as the forest can use; it is
+    broadcast (a few MB)."""
+    share = min(1.0, config.trees * config.tree_sample / max(1, df.count()))
+    part = 1 << 40
+    chosen = df.where(F.pmod(F.xxhash64(key), F.lit(part)) < F.lit(int(part * share)))
     sample = chosen.select(F.col(key).cast("string"), *columns).toPandas().sort_values(key)
     forest = df.sparkSession.sparkContext.broadcast(IsolationForest(config.trees, config.tree_sample, config.seed).fit(sample[columns].to_numpy(dtype=float)))
 
@@ -101,28 +103,6 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], config: RiskCo
     return df.withColumn(name, of(*[F.col(c) for c in columns]))
 
 
-def dbscan_noise(df: DataFrame, key: str, columns: list[str], eps: float, neighbours: int, grid: int = 2) -> DataFrame:
-    """is_noise: neither dense (so many rows within eps, itself included) nor
-    within eps of a dense row. Equal rows are one point with a weight, points meet
-    others of the cells next to theirs in the first ``grid`` columns."""
-    points = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_weight")).withColumn("_point", F.struct(*columns))
-    cells = [F.floor(F.col(c) / eps).alias(f"_c{k}") for k, c in enumerate(columns[:grid])]
-    own = points.select("_point", "_weight", *cells)
-    names = [f"_c{k}" for k in range(len(cells))]
-    near = own.select(F.col("_point").alias("_other"), F.col("_weight").alias("_other_weight"), *names)
-    for c in names:
-        near = near.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    square = sum((F.pow(F.col(f"_point.{c}") - F.col(f"_other.{c}"), 2) for c in columns[1:]), F.pow(F.col(f"_point.{columns[0]}") - F.col(f"_other.{columns[0]}"), 2))
-    met = own.join(near, names).where(square <= eps * eps).select("_point", "_other", "_other_weight")
-    dense = met.groupBy("_point").agg((F.sum("_other_weight") >= neighbours).alias("_dense"))
-    reached = met.join(dense.where("_dense").select(F.col("_point").alias("_other")), "_other", "left_semi").select("_point").distinct()
-    flat = reached.select(*[F.col(f"_point.{c}").alias(f"_r_{c}") for c in columns], F.lit(True).alias("_reached"))
-    on = F.lit(True)
-    for c in columns:
-        on = on & (F.col(c) == F.col(f"_r_{c}"))
-    return df.join(flat, on, "left").withColumn("is_noise", F.col("_reached").isNull()).drop("_reached", *[f"_r_{c}" for c in columns])
-
-
 def tail_signal(df: DataFrame, forest: str = "forest_score", noise: str = "is_noise", tail: float = 0.85) -> DataFrame:
     """The forest's scores from 0 to 1, more where the row is noise, and of their
     ranks only the tail."""
@@ -140,6 +120,6 @@ def multivariate(works: DataFrame, config: RiskConfig, key: str = "work_id", col
     there = [c for c in columns if c in works.columns]
     own = works.select(F.col(key).alias("_key"), *there)
     scaled = stored(robust_scale(feature_matrix(own, tuple(there)), there))  # both models and the ranks read it
-    found = dbscan_noise(isolation_scores(scaled, "_key", there, config), "_key", there, config.dbscan_eps, config.dbscan_neighbours)
-    found = stored(found)
+    noisy = dbscan_noise(scaled, there, config.dbscan_eps, config.dbscan_neighbours)
+    found = stored(isolation_scores(noisy, "_key", there, config))
     return works.join(tail_signal(found, tail=config.tail).select("_key", "signal_multivariate"), F.col(key) == F.col("_key"), "left").drop("_key")

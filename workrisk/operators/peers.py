@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from workrisk.config import PEER_LEVELS
 from workrisk.functions.numeric import ratio
+from workrisk.plans.storage import stored
 
 #: Makes the median absolute deviation an estimate of the standard deviation.
 MAD_SCALE = 1.4826
@@ -70,11 +71,13 @@ def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None)
     return df.join(ranked, on, "left").drop("_v", *[f"_k_{k}" for k in keys])
 
 
-def _running(counts: DataFrame, value: str, parts: int = 64) -> DataFrame:
+def _running(counts: DataFrame, value: str | list[str], parts: int = 64) -> DataFrame:
     """Running sums over all values: within ranges of the value, plus the sums of
-    the ranges before (one row a range)."""
-    ranged = counts.repartitionByRange(parts, value).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    the ranges before (one row a range). The ranges are stored with the rows, so
+    that both readers see the same ones."""
+    order = [value] if isinstance(value, str) else value
+    ranged = stored(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
@@ -82,14 +85,11 @@ def _running(counts: DataFrame, value: str, parts: int = 64) -> DataFrame:
 
 
 def group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """How many rows share the keys; null where one is null."""
-    known = df
-    for k in keys:
-        known = known.where(F.col(k).isNotNull())
-    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).select(*[F.col(k).alias(f"_g_{k}") for k in keys], name)
+    """How many rows share the keys; a null is a value like others."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).select(*[F.col(k).alias(f"_g_{k}") for k in keys], name)
     on = F.lit(True)
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_g_{k}"))
+        on = on & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
     return df.join(counts, on, "left").drop(*[f"_g_{k}" for k in keys])
 
 
@@ -103,13 +103,15 @@ def peer_statistics(works: DataFrame) -> DataFrame:
     out = out.join(medians, F.col("peer_key") == F.col("_key"), "left").drop("_key")
     out = robust_z(out, "peer_key", "log_amount", "cost_robust_z")
     out = percent_rank(out, "sanction_amount", "_rank", "peer_key").withColumn("peer_cost_percentile", F.round(F.col("_rank") * 100, 1)).drop("_rank")
-    out = out.withColumn("duration_ratio", F.when(F.col("peer_median_duration") > 0, ratio(F.col("days_sanction_to_reference"), F.col("peer_median_duration"))))
+    out = out.withColumn("duration_ratio", ratio(F.col("days_sanction_to_reference"), F.col("peer_median_duration")))
     paid = F.col("is_completed") & F.col("has_expenditure")
     out = out.withColumn("underspend_gap", F.when(paid, 1 - F.least(F.col("expenditure_ratio"), F.lit(1.0))))
     out = group_size(out, ["district"], "district_work_count")
     out = group_size(out, ["district", "primary_vendor"], "_vendor_works")
-    out = out.withColumn("vendor_district_share", ratio(F.col("_vendor_works"), F.col("district_work_count"))).drop("_vendor_works")
-    return group_size(out, ["district", "description_normalised"], "identical_description_count")
+    share = F.when(F.col("primary_vendor").isNotNull(), ratio(F.col("_vendor_works"), F.col("district_work_count")))
+    out = group_size(out.withColumn("vendor_district_share", share).drop("_vendor_works"), ["district", "description_normalised"], "identical_description_count")
+    readable = F.col("description_normalised").isNotNull() & ~F.col("description_is_mojibake")
+    return out.withColumn("identical_description_count", F.when(readable, F.col("identical_description_count")))
 
 
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -20,9 +20,59 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _top(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}"
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back: what is used several times is not
     computed again, and plans stay short."""
-    path = f"{shared_dir(df.sparkSession)}/workrisk/register-{uuid.uuid4().hex}"
+    path = f"{_top(df.sparkSession)}/register-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of stored() that nothing reads any more."""
+    at, system = _path(df.sparkSession, df._stored)
+    system.delete(at, True)
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored."""
+    _KEPT.clear()
+    at, system = _path(spark, _top(spark))
+    system.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, system = _path(spark, path)
+    return system.exists(at)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """When the files of a table were written, and their size."""
+    at, system = _path(spark, path)
+    if not system.exists(at):
+        return (path, None)
+    status = system.getFileStatus(at)
+    files = [status] if status.isFile() else list(system.listStatus(at))
+    return (path, *sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files))
+
+
+def kept(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """make(), stored once an application and key, until clear()."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _KEPT:
+        _KEPT[key] = stored(make())
+    return _KEPT[key].sparkSession.read.schema(_KEPT[key].schema).parquet(_KEPT[key]._stored)
