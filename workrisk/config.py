@@ -88,6 +88,7 @@ RULES = (
 )
 
 
+# The thresholds of both engines.
 @dataclass(frozen=True)
 class RiskConfig:
     min_peer_group: int = 8
@@ -104,7 +105,7 @@ class RiskConfig:
     pending_signal: float = 0.25
     uplift_percent: float = 15.0
     similarity_floor: float = 0.62
-    similarity_block: int = 900
+    similarity_block: int | None = None  # the published engine leaves districts of more than 900 works uncompared
     band_high: float = 70.0
     band_medium: float = 50.0
     ceiling: float = 10_000_000.0

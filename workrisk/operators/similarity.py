@@ -1,5 +1,5 @@
 """Similar descriptions within a block (a district): TF-IDF of character n-grams
-inside word bounds, cosine, best partner."""
+inside word bounds, cosine, best partner. Blocks of any size are compared whole."""
 
 from __future__ import annotations
 
@@ -8,114 +8,124 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.functions.numeric import haversine_km, ramp
+from workrisk.functions.numeric import EARTH_KM, ramp
+from workrisk.plans.storage import stored
 
 NGRAMS = (3, 5)
-#: Grams that are multiplied at once; bounds the memory of a block of long texts.
-TILE = 4096
+#: Items of a block that one task compares with the whole block.
+TILE = 2000
 
 
-def grams(text: Column) -> Column:
-    """All n-grams of each word padded with one blank on both sides."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def partners(rows: DataFrame, masked: bool = False, tile: int = TILE) -> DataFrame:
+    """(block, first, partner, similarity): the most similar other item of the
+    block, the smallest on ties to nine places; no row where the block has no other.
 
-    def of_word(w: Column) -> Column:
-        sizes = F.filter(F.sequence(F.lit(NGRAMS[0]), F.lit(NGRAMS[1])), lambda n: n <= F.length(w) + 2)
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
-        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(w) + 3 - n), lambda i: F.substr(padded, i, n))))
+    ``rows`` are items (block, text, n, first): a text that n rows share, the
+    smallest of which is ``first``, which names the item. With ``masked`` also (category, latitude,
+    longitude, km): items of other categories, or farther apart than km where both
+    have a place, count as 0. Weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) +
+    1) with the block's own N and df over rows, normalised.
 
-    return F.flatten(F.transform(words, of_word))
+    A block is dealt into tiles of items; a task holds one block's sparse vectors
+    (as many as the block has different texts) and compares its tile's items with
+    them one by one, so no pair becomes a row."""
+    sizes = rows.groupBy("block").agg(F.sum("n").alias("_all"), F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
+    whole = rows.join(sizes, "block").withColumn("_own", F.pmod(F.xxhash64("first"), F.col("_tiles")).cast("int"))
+    whole = whole.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
 
-
-def blocks(df: DataFrame, block: str, text: str, most: int | None) -> DataFrame:
-    """The rows that are compared: with block and text, in blocks of two rows up
-    to the most."""
-    usable = df.where(F.col(block).isNotNull() & F.col(text).isNotNull())
-    sizes = usable.groupBy(F.col(block).alias("_block")).agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = sizes.where((F.col("_rows") >= 2) & (F.col("_rows") <= most if most else F.lit(True)))
-    return usable.join(sizes, F.col(block) == F.col("_block")).drop("_block")
-
-
-def pairs(df: DataFrame, key: str, block: str, text: str, most: int | None = 900) -> DataFrame:
-    """(block, a, b, similarity) for all ordered pairs of a block that share a
-    gram, from weights (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) with the
-    block's own N and df, normalised. Blocks are bounded by ``most``, so a gram
-    joins at most that many rows with each other."""
-    used = blocks(df, block, text, most).select(F.col(block).alias("block"), F.col(key).alias("doc"), F.col("_rows").alias("rows"), F.explode(grams(F.col(text))).alias("gram"))
-    tf = used.groupBy("block", "doc", "rows", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    found = tf.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
-    w = (1 + F.log("tf")) * (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1)
-    raw = tf.join(found, ["block", "gram"]).select("block", "doc", "gram", w.alias("w"))
-    norm = raw.groupBy("block", "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = raw.join(norm, ["block", "doc"]).select("block", "doc", "gram", (F.col("w") / F.col("norm")).alias("w"))
-    other = unit.select("block", "gram", F.col("doc").alias("b"), F.col("w").alias("v"))
-    met = unit.withColumnRenamed("doc", "a").join(other, ["block", "gram"]).where("a <> b")
-    return met.groupBy("block", "a", "b").agg(F.sum(F.col("w") * F.col("v")).alias("similarity"))
-
-
-def best_partner(scores: DataFrame, df: DataFrame, key: str, block: str, text: str, most: int | None, floor: float) -> DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("first", ignore_index=True)
+        asked = np.flatnonzero((pdf["_own"] == pdf["_tile"]).to_numpy())
+        best, found = np.full(len(asked), -1), np.zeros(len(asked))
+        if len(pdf) > 1:
+            rows_, cols, w = _vectors(pdf["text"], pdf["n"].to_numpy(dtype=np.float64))
+            bounds = np.searchsorted(rows_, np.arange(len(pdf) + 1))
+            order = np.argsort(cols, kind="stable")
+            by_row, by_w = rows_[order], w[order]
+            ends = np.cumsum(np.bincount(cols, minlength=int(cols.max(initial=-1)) + 1))
+            far = _mask(pdf) if masked else None
+            for k, i in enumerate(asked.tolist()):
+                own = slice(bounds[i], bounds[i + 1])
+                start = ends[cols[own] - 1] * (cols[own] > 0)
+                many = ends[cols[own]] - start
+                at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if many.size else many
+                s = np.round(np.bincount(by_row[at], by_w[at] * np.repeat(w[own], many), len(pdf)), 9)
+                if masked:
+                    s[far(i)] = 0
+                s[i] = -1
+                best[k] = s.argmax()
+                found[k] = s[best[k]]
+        firsts = pdf["first"].to_numpy()
+        return pd.DataFrame({"block": pdf["block"].to_numpy()[asked], "first": firsts[asked], "partner": firsts[best], "similarity": found})[best >= 0]
+
+    kind = rows.schema["first"].dataType.simpleString()
+    return whole.groupBy("block", "_tile").applyInPandas(compare, f"block string, first {kind}, partner {kind}, similarity double")
+
+
+def _vectors(texts: pd.Series, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and weights of unit vectors, in order of rows."""
+    places: dict[str, int] = {}
+    rows, cols, tf = [], [], []
+    for i, t in enumerate(texts):
+        c = Counter(_grams(t))
+        rows.append(np.full(len(c), i, dtype=np.int32))
+        cols.append(np.fromiter((places.setdefault(g, len(places)) for g in c), dtype=np.int32, count=len(c)))
+        tf.append(1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c))))
+    rows, cols, w = np.concatenate(rows), np.concatenate(cols), np.concatenate(tf)
+    w = w * (np.log((1 + n.sum()) / (1 + np.bincount(cols, n[rows], len(places)))) + 1)[cols]
+    return rows, cols, w / np.maximum(np.sqrt(np.bincount(rows, w * w, len(n))), 1e-300)[rows]
+
+
+def _mask(pdf: pd.DataFrame):
+    """Of item i: the items that don't count."""
+    category, km = pdf["category"].to_numpy(), float(pdf["km"].iloc[0])
+    lat, lon = (np.radians(pdf[c].to_numpy(dtype=float)) for c in ("latitude", "longitude"))
+
+    def far(i: int) -> np.ndarray:
+        a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
+        apart = 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(a, 0, 1)))  # NaN where a place is missing, which isn't far
+        return (category != category[i]) | (apart > km)
+
+    return far
+
+
+def best_partner(df: DataFrame, key: str, block: str, text: str, floor: float, most: int | None = None) -> DataFrame:
     """similar_work_id, similarity_score and signal_similarity of every row: the
-    most similar partner (smallest id on ties); rows without a text have no
-    signal, rows that no block could compare have 0."""
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), "b")
-    top = scores.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(F.col("a").alias("_key"), F.col("b").alias("_partner"), F.col("similarity").alias("_best"))
-    out = df.join(top, F.col(key) == F.col("_key"), "left")
-    best = F.when(F.col(text).isNotNull(), F.coalesce("_best", F.lit(0.0)))
+    most similar other row of the block (smallest id on ties). Rows without a text
+    have no signal; rows that were compared with no other have signal 0 and no
+    score. Blocks of any size are compared, or those up to ``most`` rows.
+
+    Rows of a block with the same text are one item with a count, and each other's
+    partners."""
+    usable = df.where(F.col(block).isNotNull() & F.col(text).isNotNull()).select(F.col(block).cast("string").alias("block"), F.col(text).alias("text"), F.col(key).alias("id"))
+    items = usable.groupBy("block", "text").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    if most:
+        sizes = usable.groupBy(F.col("block").alias("_b")).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") <= most)
+        items = items.join(sizes, F.col("block") == F.col("_b"), "left_semi")
+    items = stored(items)
+    # the second smallest id of a text that several rows share
+    two = Window.partitionBy("block", "text").orderBy("id")
+    second = usable.withColumn("_n", F.row_number().over(two)).where("_n <= 2").where("_n = 2").select("block", "text", F.col("id").alias("second"))
+    met = items.join(partners(items), ["block", "first"], "left").join(second, ["block", "text"], "left")
+    met = met.select(F.col("block").alias("_b"), F.col("text").alias("_t"), F.col("first").alias("_first"), F.col("second").alias("_second"), F.col("partner").alias("_other"), F.col("similarity").alias("_s"))
+    out = df.join(met, (F.col(block).cast("string") == F.col("_b")) & (F.col(text) == F.col("_t")), "left")
+    twin = F.when(F.col("_second").isNotNull(), F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
+    best = F.when(twin.isNotNull(), F.lit(1.0)).otherwise(F.col("_s"))
+    partner = F.when(twin.isNotNull() & (F.col("_s") >= 1.0), F.least(twin, F.col("_other"))).otherwise(F.coalesce(twin, F.col("_other")))
     return out.withColumns({
         "similarity_score": F.round(best, 3),
-        "similar_work_id": F.when(best >= floor, F.col("_partner")),
-        "signal_similarity": ramp(F.round(best, 9), floor, 1.0),
-    }).drop("_key", "_partner", "_best")
+        "similar_work_id": F.when(best >= floor, partner),
+        "signal_similarity": F.when(F.col(text).isNotNull(), F.coalesce(ramp(best, floor, 1.0), F.lit(0.0))),
+    }).drop("_b", "_t", "_first", "_second", "_other", "_s")
 
 
-def similarity(works: DataFrame, floor: float = 0.62, most: int = 900, block: str = "district", text: str = "description_normalised") -> DataFrame:
+def similarity(works: DataFrame, floor: float = 0.62, most: int | None = None, block: str = "district", text: str = "description_normalised") -> DataFrame:
     """The detector over all works; a text that lost its script isn't compared."""
     readable = F.when(~F.coalesce("description_is_mojibake", F.lit(False)), F.col(text)) if "description_is_mojibake" in works.columns else F.col(text)
-    own = works.withColumn("_text", readable)
-    return best_partner(pairs(own, "work_id", block, "_text", most), own, "work_id", block, "_text", most, floor).drop("_text")
-
-
-def similarity_by_block(works: DataFrame, floor: float = 0.62, most: int = 900, block: str = "district", text: str = "description_normalised") -> DataFrame:
-    """The same result with one dense product a block (bounded by ``most`` rows):
-    faster where blocks are full of common grams."""
-    readable = F.when(~F.coalesce("description_is_mojibake", F.lit(False)), F.col(text)) if "description_is_mojibake" in works.columns else F.col(text)
-    own = works.withColumn("_text", readable)
-    used = blocks(own, block, "_text", most).select(F.col("work_id"), F.col(block).alias("block"), F.col("_text").alias("text"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("work_id").reset_index(drop=True)
-        places: dict[str, int] = {}
-        rows, cols, tf = [], [], []
-        for i, t in enumerate(pdf["text"]):
-            c = Counter(_grams(t))
-            rows.append(np.full(len(c), i, dtype=np.int32))
-            cols.append(np.fromiter((places.setdefault(g, len(places)) for g in c), dtype=np.int32, count=len(c)))
-            tf.append(1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c))))
-        if not places:
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        rows, cols, w = np.concatenate(rows), np.concatenate(cols), np.concatenate(tf)
-        w *= (np.log((1 + len(pdf)) / (1 + np.bincount(cols))) + 1)[cols]
-        w /= np.maximum(np.sqrt(np.bincount(rows, w * w, len(pdf))), 1e-12)[rows]
-        order = np.argsort(cols, kind="stable")
-        rows, cols, w = rows[order], cols[order], w[order]
-        s = np.zeros((len(pdf), len(pdf)))
-        for at in range(0, len(places), TILE):
-            a, b = np.searchsorted(cols, (at, at + TILE))
-            m = np.zeros((len(pdf), TILE))
-            m[rows[a:b], cols[a:b] - at] = w[a:b]
-            s += m @ m.T
-        np.fill_diagonal(s, -1)
-        b = np.round(s, 9).argmax(axis=1)
-        best = s[np.arange(len(pdf)), b]
-        out = pd.DataFrame({"a": pdf["work_id"], "b": pdf["work_id"].to_numpy()[b], "similarity": best})
-        return out[out["similarity"] > 0]
-
-    kind = works.schema["work_id"].dataType.simpleString()
-    top = used.groupBy("block").applyInPandas(compare, f"a {kind}, b {kind}, similarity double")
-    return best_partner(top, own, "work_id", block, "_text", most, floor).drop("_text")
+    return best_partner(works.withColumn("_text", readable), "work_id", block, "_text", floor, most).drop("_text")
 
 
 def _grams(text: str) -> list[str]:
@@ -128,14 +138,21 @@ def _grams(text: str) -> list[str]:
 
 
 def similarity_nearby(works: DataFrame, floor: float = 0.55, km: float = 12.0) -> DataFrame:
-    """The benchmark's duplicates: same district and category, and within reach
-    where both works have a place."""
-    met = pairs(works, "project_id", "district", "work_description", None)
-    side = lambda p: works.select(*[F.col(c).alias(f"{p}_{c}") for c in ("project_id", "work_category", "latitude", "longitude")])
-    both = met.join(side("a"), F.col("a") == F.col("a_project_id")).join(side("b"), F.col("b") == F.col("b_project_id"))
-    apart = haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
-    near = both.where((F.col("a_work_category") == F.col("b_work_category")) & F.coalesce(apart <= km, F.lit(True))).select("block", "a", "b", "similarity")
-    return best_partner(near, works, "project_id", "district", "work_description", None, floor).withColumnRenamed("similar_work_id", "similar_project_id")
+    """The benchmark's duplicates: the best partner of the same district and
+    category, within reach where both works have a place. similar_project_id,
+    similarity_score (0 where nothing was compared) and signal_similarity."""
+    there = works.where("district IS NOT NULL").select(
+        F.col("district").alias("block"), F.lower(F.coalesce("work_description", F.lit(""))).alias("text"), F.lit(1).alias("n"), F.col("project_id").alias("first"),
+        F.coalesce("work_category", F.lit("nan")).alias("category"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), F.lit(km).alias("km"),
+    )
+    top = partners(there, masked=True).select(F.col("first").alias("_first"), F.col("partner").alias("_partner"), F.col("similarity").alias("_best"))
+    out = works.join(top, F.col("project_id") == F.col("_first"), "left")
+    best = F.coalesce("_best", F.lit(0.0))
+    return out.withColumns({
+        "similarity_score": best,
+        "similar_project_id": F.when(best >= floor, F.col("_partner")).otherwise(F.lit("")),
+        "signal_similarity": ramp(best, floor, 1.0),
+    }).drop("_first", "_partner", "_best")
 
 
 def top_pairs(scored: DataFrame, most: int = 200) -> DataFrame:
