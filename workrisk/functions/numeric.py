@@ -41,6 +41,14 @@ def money_sum(c: Column) -> Column:
     return F.coalesce(F.sum(c.cast("decimal(20,2)")), F.lit(0).cast("decimal(20,2)")).cast("double")
 
 
+def mean_of(c: Column, digits: int, to: int) -> Column:
+    """The mean of values of so many digits, rounded half up to ``to`` digits: sums
+    and division are of whole numbers, so it doesn't depend on the order of rows."""
+    total, n = F.sum(F.round(c * 10**digits).cast("long")), F.count(c)
+    step = 10 ** (digits - to)
+    return F.when(n > 0, F.floor((2 * total + step * n) / (2 * step * n)) / 10.0**to)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)

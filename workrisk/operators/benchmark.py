@@ -19,43 +19,62 @@ REQUIRED = (
     "project_id", "state", "district", "block", "latitude", "longitude", "mp_name", "constituency", "sector", "work_category", "work_description", "implementing_agency",
     "sanction_date", "expected_completion_date", "actual_completion_date", "sanctioned_cost", "revised_cost", "expenditure", "physical_progress_pct", "status",
 )
-FEATURES = ("cost_robust_z", "delay_ratio", "progress_gap_pct", "expenditure_ratio", "escalation_pct", "agency_district_share", "agency_work_count", "physical_progress_pct")
+#: What a register read from CSV holds besides strings.
+TYPES = {"latitude": "double", "longitude": "double", "sanction_date": "date", "expected_completion_date": "date", "actual_completion_date": "date", "sanctioned_cost": "double",
+         "revised_cost": "double", "expenditure": "double", "physical_progress_pct": "double", "is_anomaly": "boolean"}
+# What the models see, quantities without a scale.
+FEATURES = ("cost_robust_z", "delay_ratio", "progress_gap_pct", "cost_escalation_pct", "physical_progress_pct", "expenditure_ratio_pct", "agency_work_share", "agency_value_share")
+ASSESSMENT = "Unusual pattern identified for human review. This score does not establish irregularity or fraud."
+NOTHING = "No material risk indicator"
 
 
 def expected_days(category: Column) -> Column:
+    """The category's usual days, or the median of all."""
     known = sorted(EXPECTED_DAYS.values())
     middle = (known[(len(known) - 1) // 2] + known[len(known) // 2]) / 2
     return F.coalesce(F.create_map(*[F.lit(x) for kv in EXPECTED_DAYS.items() for x in (kv[0], float(kv[1]))])[category], F.lit(middle))
 
 
 def features(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig()) -> DataFrame:
-    """Peers are works of a category in a state."""
-    out = register.withColumn("peer_key", F.concat_ws(" | ", "work_category", "state"))
-    out = group_size(out, ["peer_key"], "peer_size")
-    out = robust_z(out, "peer_key", "sanctioned_cost", "_z")
+    """Peers are works of a category in a state. The cost is the revised one where
+    there is one, else the sanctioned one."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("nan"))
+    out = register.withColumn("effective_cost", F.coalesce("revised_cost", "sanctioned_cost")).withColumn("peer_group", F.concat_ws(" | ", named("work_category"), named("state")))
+    out = group_size(out, ["peer_group"], "peer_size")
+    out = robust_z(out, "peer_group", "effective_cost", "_z")
     out = out.withColumn("cost_robust_z", F.when(F.col("peer_size") < config.min_peer_group, F.col("_z") * 0.4).otherwise(F.col("_z"))).drop("_z")
-    medians = out.groupBy(F.col("peer_key").alias("_key")).agg(F.median("sanctioned_cost").alias("peer_median_cost"))
-    out = out.join(medians, F.col("peer_key") == F.col("_key"), "left").drop("_key")
-    out = percent_rank(out, "sanctioned_cost", "_rank", "peer_key").withColumn("peer_cost_percentile", F.round(F.col("_rank") * 100, 1)).drop("_rank")
+    medians = out.groupBy(F.col("peer_group").alias("_key")).agg(F.median("effective_cost").alias("peer_median_cost"))
+    out = out.join(medians, F.col("peer_group") == F.col("_key"), "left").drop("_key")
+    out = percent_rank(out, "effective_cost", "_rank", "peer_group").withColumn("peer_cost_percentile", F.round(F.coalesce("_rank", F.lit(0.5)) * 100, 1)).drop("_rank")
     today = F.lit(str(config.as_of)).cast("date")
     elapsed = F.date_diff(F.coalesce(F.col("actual_completion_date"), today), F.col("sanction_date"))
     expected = expected_days(F.col("work_category"))
+    over = F.when(elapsed.isNotNull(), F.greatest(elapsed - expected, F.lit(0.0)))
     out = out.withColumns({
         "elapsed_days": elapsed,
-        "expected_days": expected,
-        "delay_ratio": F.greatest(elapsed - expected, F.lit(0.0)) / expected,
-        "expenditure_ratio": ratio(F.col("expenditure"), F.col("sanctioned_cost")),
-        "escalation_pct": ratio(F.col("revised_cost") - F.col("sanctioned_cost"), F.col("sanctioned_cost")) * 100,
+        "expected_duration_days": expected,
+        "overrun_days": over,
+        "delay_ratio": F.coalesce(over / expected, F.lit(0.0)),
+        "expenditure_ratio_pct": ratio(F.col("expenditure"), F.col("effective_cost")) * 100,
+        "cost_escalation_pct": F.coalesce(ratio(F.col("revised_cost") - F.col("sanctioned_cost"), F.col("sanctioned_cost")) * 100, F.lit(0.0)),
     })
-    out = out.withColumn("progress_gap_pct", F.col("expenditure_ratio") * 100 - F.col("physical_progress_pct"))
-    out = group_size(out, ["district", "implementing_agency"], "agency_work_count")
-    known = out.where("implementing_agency IS NOT NULL AND district IS NOT NULL")
-    total = known.groupBy(F.col("district").alias("_d")).agg(F.sum("sanctioned_cost").alias("_all"))
-    own = known.groupBy(F.col("district").alias("_e"), F.col("implementing_agency").alias("_a")).agg(F.sum("sanctioned_cost").alias("_own"))
-    out = out.join(total, F.col("district") == F.col("_d"), "left").join(own, (F.col("district") == F.col("_e")) & (F.col("implementing_agency") == F.col("_a")), "left")
-    out = out.withColumn("agency_district_share", ratio(F.col("_own"), F.col("_all"))).drop("_d", "_e", "_a", "_all", "_own")
-    there = [F.col(c).isNotNull().cast("int") for c in config.confidence_fields]
-    return out.withColumn("data_completeness", F.round(reduce(lambda a, b: a + b, there) / len(there), 3))
+    out = out.withColumn("progress_gap_pct", F.col("expenditure_ratio_pct") - F.col("physical_progress_pct"))
+    there = [F.col(c).isNotNull().cast("int") for c in config.confidence_fields if c in register.columns]
+    out = out.withColumn("data_completeness", reduce(lambda a, b: a + b, there) / len(there))
+    return agency_shares(out)
+
+
+def agency_shares(df: DataFrame) -> DataFrame:
+    """An agency's share of its district's works, and of their cost. Works without
+    an agency are one agency; works without a district have no share."""
+    money = lambda name: F.sum(F.col("effective_cost").cast("decimal(20,2)")).cast("double").alias(name)
+    total = df.where("district IS NOT NULL").groupBy(F.col("district").alias("_d")).agg(F.count(F.lit(1)).alias("_works"), money("_cost"))
+    own = df.where("district IS NOT NULL").groupBy(F.col("district").alias("_e"), F.col("implementing_agency").alias("_a")).agg(F.count(F.lit(1)).alias("_own_works"), money("_own_cost"))
+    out = df.join(total, F.col("district") == F.col("_d"), "left").join(own, (F.col("district") == F.col("_e")) & F.col("implementing_agency").eqNullSafe(F.col("_a")), "left")
+    return out.withColumns({
+        "agency_work_share": ratio(F.col("_own_works"), F.col("_works")),
+        "agency_value_share": ratio(F.col("_own_cost"), F.col("_cost")),
+    }).drop("_d", "_e", "_a", "_works", "_cost", "_own_works", "_own_cost")
 
 
 def delay(config: BenchmarkConfig) -> Column:
@@ -66,15 +85,16 @@ def mismatch(config: BenchmarkConfig) -> Column:
     return ramp_or_zero(F.col("progress_gap_pct") - config.mismatch_floor, config.mismatch_full - config.mismatch_floor)
 
 
+# The wording and weights of the rules.
 def rule_weights(config: BenchmarkConfig) -> list[tuple[str, Column, float]]:
     c = F.col
     return [
-        ("Category is not admissible", c("work_category").isin(*INADMISSIBLE), 1.0),
-        ("Sanction above the single-work ceiling", c("sanctioned_cost") > config.ceiling, 0.8),
-        ("Cost escalated beyond the limit", c("escalation_pct") > config.escalation_percent, 0.5),
-        ("Expenditure exceeds the sanction", c("expenditure_ratio") > 1.005, 0.7),
-        ("Fully built but not reported complete", (c("physical_progress_pct") >= 99.5) & (c("status") != "Completed"), 0.3),
-        ("One agency dominates the district", c("agency_district_share") > 0.45, 0.3),
+        ("Work category is inadmissible under MPLADS guidelines", c("work_category").isin(*INADMISSIBLE), 1.0),
+        (f"Sanctioned cost exceeds the single-work ceiling of Rs {config.ceiling:,.0f}", c("effective_cost") > config.ceiling, 0.8),
+        (f"Cost revised upward by more than {config.escalation_percent:.0f}% without re-sanction", c("cost_escalation_pct") > config.escalation_percent, 0.5),
+        ("Expenditure booked exceeds the sanctioned amount", c("expenditure_ratio_pct") > 100.5, 0.7),
+        ("Reported as fully progressed but not closed as completed", (c("physical_progress_pct") >= 99.5) & ~c("status").eqNullSafe("Completed"), 0.3),
+        ("Implementing agency holds an unusually large share of the district's works", c("agency_work_share") > 0.45, 0.3),
     ]
 
 
@@ -86,36 +106,62 @@ def signals(df: DataFrame, config: BenchmarkConfig = BenchmarkConfig()) -> DataF
         "signal_delay": delay(config),
         "signal_expenditure_mismatch": mismatch(config),
         "signal_compliance": F.least(F.lit(1.0), total),
-        "rule_reasons": F.array_join(F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken, _ in rules])), "; "),
+        "compliance_reasons": F.array_join(F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken, _ in rules])), "; "),
     })
 
 
+# The wording of the sentences.
 def details() -> dict[str, Column]:
     """A sentence for each of the benchmark's indicators."""
     c = F.col
-    whole = lambda x: F.format_number(F.bround(x, 0), 0)
+    grouped = lambda x: F.format_number(F.bround(x, 0), 0)
+    whole = lambda x: F.format_string("%.0f", F.bround(x, 0))
+    number = lambda x: x.cast("int").cast("string")
+    cost = F.concat(F.lit("Sanctioned at Rs "), grouped(c("effective_cost")), F.lit(" against a peer median of Rs "), grouped(c("peer_median_cost")), F.lit(" ("), whole(c("peer_cost_percentile")),
+                    F.lit("th percentile for "), c("work_category"), F.lit(" in "), c("state"), F.lit(")"))
+    late = F.concat(number(c("overrun_days")), F.lit(" days beyond the "), number(c("expected_duration_days")), F.lit("-day norm for this category, at "),
+                    F.coalesce(whole(c("physical_progress_pct")), F.lit("nan")), F.lit("% physical progress"))
+    spent = F.concat(F.coalesce(whole(c("expenditure_ratio_pct")), F.lit("nan")), F.lit("% of funds drawn against "), F.coalesce(whole(c("physical_progress_pct")), F.lit("nan")), F.lit("% physical progress"))
+    alike = F.when(c("duplicate_match_id") != "", F.concat(F.lit("Closely resembles "), c("duplicate_match_id"), F.lit(", a "), c("work_category"), F.lit(" sanctioned nearby in "), c("district")))
     return {
-        "cost_deviation": F.concat(F.lit("Cost Rs "), whole(c("sanctioned_cost")), F.lit(" against a peer median of Rs "), whole(c("peer_median_cost"))),
-        "delay": F.concat(c("elapsed_days").cast("string"), F.lit(" days elapsed where "), c("expected_days").cast("int").cast("string"), F.lit(" are expected")),
-        "expenditure_mismatch": F.concat(F.lit("Spending is ahead of progress by "), F.format_string("%.0f", F.bround("progress_gap_pct", 0)), F.lit(" points")),
-        "duplicate": F.coalesce(F.concat(F.lit("Resembles "), c("similar_project_id")), F.lit("Resembles a work nearby")),
-        "compliance": F.coalesce(F.nullif("rule_reasons", F.lit("")), F.lit("Rule check")),
-        "multivariate": F.lit("The combination of figures is unusual"),
+        "cost_deviation": F.coalesce(cost, F.lit("Cost is high relative to similar works")),
+        "delay": F.coalesce(late, F.lit("Running behind the expected timeline")),
+        "expenditure_mismatch": spent,
+        "duplicate": F.coalesce(alike, F.lit("Description closely resembles another nearby work")),
+        "compliance": F.coalesce(F.nullif("compliance_reasons", F.lit("")), F.lit("Guideline check failed")),
+        "multivariate": F.concat(F.lit("Combination of indicators is unusual for this peer group"), F.when(c("multivariate_drivers") != "", F.concat(F.lit(" ("), c("multivariate_drivers"), F.lit(")"))).otherwise(F.lit(""))),
     }
 
 
-def run(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig(), model: RiskConfig = RiskConfig(dbscan_eps=1.10, dbscan_neighbours=8)) -> DataFrame:
-    """Scored projects: points per indicator, score, band, confidence, reasons."""
+def score(df: DataFrame, config: BenchmarkConfig = BenchmarkConfig()) -> DataFrame:
+    """Points, score, band, confidence, reasons and review status of works with
+    signals. The score is rounded by itself, to one place."""
+    out = combine(df, config.caps, score_digits=1).withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
+    adequate = F.least(F.col("peer_size") / float(config.min_peer_group), F.lit(1.0))
+    out = out.withColumn("confidence", F.round(0.7 * F.col("data_completeness") + 0.3 * F.coalesce(adequate, F.lit(0.0)), 3))
+    out = out.withColumn("multivariate_drivers", F.lit(""))  # no attribution of the forest is at hand
+    out = explain(out, BENCHMARK_LABELS, details(), NOTHING, ASSESSMENT)
+    return out.withColumn("review_status", F.when(F.col("risk_band") == "High", "Pending review").otherwise("Not queued"))
+
+
+def check_register(register: DataFrame) -> DataFrame:
     missing = [c for c in REQUIRED if c not in register.columns]
     if missing:
-        raise ValueError(f"the register lacks {', '.join(missing)}")
+        raise ValueError(f"Register is missing required columns: {', '.join(missing)}")
+    return register
+
+
+def run(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig(), model: RiskConfig = RiskConfig(dbscan_eps=1.10, dbscan_neighbours=8, model_rows=2)) -> DataFrame:
+    """Scored projects: points per indicator, score, band, confidence, reasons."""
     # stored where the next step reads a table several times
-    out = stored(signals(stored(features(stored(register), config)), config))
+    out = stored(signals(stored(features(stored(check_register(register)), config)), config))
     out = stored(similarity_nearby(out, config.duplicate_floor, config.duplicate_km))
-    out = out.withColumn("signal_duplicate", F.coalesce("signal_similarity", F.lit(0.0))).drop("signal_similarity")
+    out = out.withColumnsRenamed({"signal_similarity": "signal_duplicate", "similar_project_id": "duplicate_match_id"})
     out = mv.multivariate(out, model, "project_id", FEATURES)
-    out = stored(combine(stored(out), config.caps)).withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
-    out = out.withColumn("confidence", F.round(0.7 * F.col("data_completeness") + 0.3 * F.least(F.col("peer_size") / float(config.min_peer_group), F.lit(1.0)), 3))
-    out = explain(out, BENCHMARK_LABELS, details())
-    out = out.withColumn("model_features", F.lit(""))  # no attribution of the forest is at hand
-    return out.withColumn("review_status", F.when(F.col("risk_band") == "High", "Pending review").otherwise("Not required"))
+    return score(stored(out), config)
+
+
+def queue(scored: DataFrame, most: int = 50) -> DataFrame:
+    """The riskiest projects first, the more certain of two alike."""
+    columns = ("project_id", "district", "state", "work_category", "implementing_agency", "effective_cost", "risk_score", "risk_band", "confidence", "primary_reason", "review_status")
+    return scored.orderBy(F.desc("risk_score"), F.desc("confidence"), "project_id").limit(most).select(*columns)

@@ -10,7 +10,7 @@ from workrisk.functions.text import is_mojibake, normalise
 
 SUCCESS = "Payment Success"
 COMPLETENESS = (
-    "sanction_amount", "sanction_date", "recommended_date", "work_description", "district", "mp_name", "work_type", "total_expenditure",
+    "sanction_amount", "sanction_date", "recommended_date", "work_description", "state", "district", "work_status", "total_expenditure",
 )
 
 
@@ -69,7 +69,7 @@ def unify(spine: DataFrame, completed: DataFrame, payments: DataFrame, recommend
         "is_completed": F.col("completion_date").isNotNull(),
         "days_recommendation_to_sanction": F.date_diff("sanction_date", "recommended_date"),
         "days_sanction_to_reference": F.date_diff(F.coalesce(F.col("completion_date"), today), F.col("sanction_date")),
-        "age_basis": F.when(F.col("completion_date").isNotNull(), "completion").otherwise("as-of date"),
+        "age_basis": F.when(F.col("completion_date").isNotNull(), "completion_date").otherwise("as_of_date"),
         "description_normalised": normalise(F.col("work_description")),
         "description_is_mojibake": is_mojibake(F.col("work_description")),
         "has_work_type": F.col("work_type").isNotNull(),

@@ -26,14 +26,18 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def at_k(df: DataFrame, score: str, label: str, key: str, ks: tuple[int, ...] = (25, 50, 100)) -> DataFrame:
-    """Precision, recall and lift over the base rate among the first k."""
-    first = df.select(F.col(label).cast("int").alias("y"), score, key).orderBy(F.desc(score), key).limit(max(ks))
-    numbered = first.withColumn("n", F.row_number().over(Window.orderBy(F.desc(score), key)))
-    base = df.agg(F.sum(F.col(label).cast("int")).alias("all"), F.count(F.lit(1)).alias("rows"))
-    parts = [F.struct(F.lit(k).alias("k"), F.sum(F.when(F.col("n") <= k, F.col("y"))).alias("hits"), F.count_if(F.col("n") <= k).alias("taken")) for k in ks]
-    rows = numbered.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*").crossJoin(F.broadcast(base))
-    precision, rate = F.col("hits") / F.col("taken"), F.col("all") / F.col("rows")
-    return rows.select("k", F.round(precision, 6).alias("precision_at_k"), F.round(F.try_divide(F.col("hits").cast("double"), F.col("all").cast("double")), 6).alias("recall_at_k"), F.round(F.try_divide(precision, rate), 6).alias("lift"))
+    """Rows caught, precision, recall and lift over the base rate among the first
+    k; k is never more than there are rows."""
+    base = df.agg(F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0)).alias("of_total"), F.count(F.lit(1)).alias("rows")).head()
+    ks = sorted({min(k, base.rows) for k in ks} - {0})
+    if not ks:
+        return df.sparkSession.createDataFrame([], "k long, caught long, of_total long, precision_at_k double, recall_at_k double, lift double")
+    ranked = _running(df.select((-F.col(score).cast("double")).alias("s"), F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.lit(1).alias("_n")), ["s", "key"])
+    parts = [F.struct(F.lit(k).cast("long").alias("k"), F.coalesce(F.sum(F.when(F.col("_upto") <= k, F.col("y"))), F.lit(0)).alias("caught")) for k in ks]
+    rows = ranked.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*").withColumn("of_total", F.lit(base.of_total).cast("long"))
+    precision, share = F.col("caught") / F.col("k"), F.lit(base.of_total / base.rows)
+    return rows.select("k", "caught", "of_total", F.round(precision, 3).alias("precision_at_k"), F.round(F.try_divide(F.col("caught").cast("double"), F.col("of_total").cast("double")), 3).alias("recall_at_k"),
+                       F.round(F.try_divide(precision, share), 2).alias("lift"))
 
 
 def recall_by_kind(df: DataFrame, score: str, label: str, kind: str, key: str, k: int = 100) -> DataFrame:
@@ -49,5 +53,6 @@ def evaluate(df: DataFrame, score: str, label: str, key: str) -> DataFrame | Non
     one = df.agg(F.countDistinct(F.col(label)).alias("n")).head()
     if one.n < 2:
         return None
-    wide = at_k(df, score, label, key).groupBy().pivot("k", [25, 50, 100]).agg(F.first("precision_at_k").alias("precision"), F.first("recall_at_k").alias("recall"), F.first("lift").alias("lift"))
-    return roc_auc(df, score, label).crossJoin(average_precision(df, score, label)).crossJoin(wide)
+    found = at_k(df, score, label, key)
+    parts = [F.max(F.when(F.col("k") == k, F.col(f"{c}"))).alias(f"{k}_{c.removesuffix('_at_k')}") for k in (25, 50, 100) for c in ("precision_at_k", "recall_at_k", "caught", "lift")]
+    return roc_auc(df, score, label).crossJoin(average_precision(df, score, label)).crossJoin(found.agg(*parts))

@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STATUSES = ("pending", "in_review", "cleared", "escalated", "needs_documents")
+# The states of a review; the first stands for none.
+STATUSES = ("not_reviewed", "under_review", "needs_information", "no_issue_identified", "escalated")
+REVIEW_LABELS = {
+    "not_reviewed": "Not reviewed",
+    "under_review": "Under review",
+    "needs_information": "Needs more information",
+    "no_issue_identified": "Reviewed — no issue identified",
+    "escalated": "Escalated for further examination",
+}
 SEARCHED = ("work_id", "work_description", "state", "district", "mp_name", "primary_vendor", "work_category", "work_type")
 
 
@@ -31,15 +39,24 @@ def page(ordered: DataFrame, number: int, size: int = 100) -> DataFrame:
 
 
 def latest_reviews(log: DataFrame) -> DataFrame:
-    """The state after a log of (work_id, status, note, at): the last entry of each
-    work, without those that were deleted (status null) or cleared before."""
+    """The state after a log of (work_id, status, at, seq): the last entry of each
+    work. not_reviewed (or null) deletes a review; an entry without a work clears
+    all before it."""
+    cleared = log.where("work_id IS NULL").agg(F.max(F.struct("at", "seq")).alias("_cleared"))
+    after = log.where("work_id IS NOT NULL").crossJoin(F.broadcast(cleared)).where(F.col("_cleared").isNull() | (F.struct("at", "seq") > F.col("_cleared"))).drop("_cleared")
     w = Window.partitionBy("work_id").orderBy(F.desc("at"), F.desc("seq"))
-    return log.withColumn("_n", F.row_number().over(w)).where("_n = 1 AND status IS NOT NULL").drop("_n")
+    last = after.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return last.where(F.col("status").isNotNull() & (F.col("status") != STATUSES[0]))
+
+
+def status_of(reviews: DataFrame, work_id: str) -> str:
+    found = reviews.where(F.col("work_id") == work_id).select("status").head()
+    return found.status if found else STATUSES[0]
 
 
 def with_reviews(queue: DataFrame, reviews: DataFrame) -> DataFrame:
     own = reviews.select("work_id", F.col("status").alias("review_status"))
-    return queue.join(own, "work_id", "left").withColumn("review_status", F.coalesce("review_status", F.lit("pending")))
+    return queue.join(own, "work_id", "left").withColumn("review_status", F.coalesce("review_status", F.lit(STATUSES[0])))
 
 
 def pairs_with_works(pairs: DataFrame, works: DataFrame) -> DataFrame:
@@ -60,4 +77,22 @@ def trend(monthly: DataFrame, series: str) -> DataFrame:
     """One series in order of months, with its peak and total."""
     whole = Window.partitionBy("series")
     own = monthly.where(F.col("series") == series)
-    return own.withColumns({"peak": F.max("n").over(whole), "total": F.sum("n").over(whole)}).orderBy("month")
+    return own.withColumns({"peak": F.max("count").over(whole), "total": F.sum("count").over(whole)}).orderBy("month")
+
+
+#: What each audience reads: a roll-up level, and whether a state can be chosen.
+AUDIENCES = {"ministry": ("state", False), "state": ("district", True), "district": ("district", False), "mp": ("member", False), "vendor": ("vendor", False)}
+
+
+def audience_view(levels: DataFrame, audience: str, state: str | None = None) -> DataFrame:
+    """The rows of all_rollups() that an audience reads; of one state where the
+    audience is a state and one is chosen."""
+    level, by_state = AUDIENCES.get(audience, AUDIENCES["vendor"])
+    out = levels.where(F.col("level") == level)
+    return out.where(F.col("state") == state) if by_state and state else out
+
+
+def warnings_view(warnings: DataFrame, state: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The warnings of a state, or all, and how many there are and have no payment."""
+    rows = warnings.where(F.col("state") == state) if state else warnings
+    return rows, rows.agg(F.count(F.lit(1)).alias("warnings"), F.count_if(F.col("total_expenditure").isNull()).alias("without_payment"))

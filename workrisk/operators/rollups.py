@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.functions.numeric import is_true, money_sum, share_percent
+from workrisk.functions.numeric import is_true, mean_of, money_sum, share_percent
 
 #: An open work without a payment for so long has stalled.
 STALLED_DAYS = 365
@@ -16,7 +16,7 @@ def _measures() -> list[Column]:
     return [
         F.count(F.lit(1)).alias("works"), money_sum(F.col("sanction_amount")).alias("sanctioned"), money_sum(F.col("total_expenditure")).alias("expenditure"),
         F.count_if("is_completed").alias("completed"), F.count_if(high).alias("high_risk"), F.count_if(flagged).alias("flagged"),
-        F.round(F.avg("risk_score"), 9).alias("mean_risk"), F.round(F.avg("confidence"), 9).alias("mean_confidence"),
+        mean_of(F.col("risk_score"), 2, 1).alias("mean_risk"), mean_of(F.col("confidence"), 3, 3).alias("mean_confidence"),
     ]
 
 
@@ -29,9 +29,9 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def rollup(scored: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
-    """One level; null keys are a group like others."""
+    """One level, most high-risk works first; null keys are a group like others."""
     out = scored.groupBy(*keys).agg(*_measures())
-    return _rates(out.where(F.col("works") >= least) if least else out)
+    return _rates(out.where(F.col("works") >= least) if least else out).orderBy(F.desc("high_risk"), *keys)
 
 
 #: Rows of the longer roll-ups that a viewer gets.
@@ -58,36 +58,47 @@ def all_rollups(scored: DataFrame) -> DataFrame:
 
 
 def national(scored: DataFrame) -> DataFrame:
-    out = scored.agg(*_measures(), F.countDistinct("state").alias("states"), F.countDistinct("state", "district").alias("districts"), F.countDistinct("mp_name").alias("members"))
-    return _rates(out)
+    """The headline figures of the whole register."""
+    high, flagged = F.col("risk_band") == "High", F.col("risk_band") != "Low"
+    out = scored.agg(
+        F.count(F.lit(1)).alias("works"), F.countDistinct("state").alias("states"), F.countDistinct("district").alias("districts"), F.countDistinct("mp_name").alias("mps"),
+        money_sum(F.col("sanction_amount")).alias("sanctioned"), money_sum(F.col("total_expenditure")).alias("expenditure"), F.count_if("is_completed").alias("completed"),
+        F.count_if(high).alias("high_risk"), F.count_if(flagged).alias("flagged"),
+    )
+    return out.withColumn("utilisation_pct", share_percent(F.col("expenditure"), F.col("sanctioned"))).withColumn("completion_pct", share_percent(F.col("completed"), F.col("works")))
 
 
 def dashboard(scored: DataFrame) -> DataFrame:
+    """The scalars of the first page."""
     return scored.agg(
-        F.count(F.lit(1)).alias("works"), F.count_if(F.col("risk_band") == "High").alias("high"), F.count_if(F.col("risk_band") == "Medium").alias("medium"),
-        F.count_if(F.col("confidence_band") == "High").alias("trusted"), money_sum(F.when(F.col("risk_band") == "High", F.col("sanction_amount"))).alias("high_value"),
-        F.round(F.median("risk_score"), 2).alias("median_risk"), F.round(F.max("risk_score"), 2).alias("max_risk"),
+        F.count(F.lit(1)).alias("works_total"), F.count_if(F.col("risk_band") != "Low").alias("works_requiring_review"), F.count_if(F.col("risk_band") == "High").alias("high_priority"),
+        F.count_if("is_completed").alias("works_completed"), F.count_if("has_expenditure").alias("works_with_expenditure"), money_sum(F.col("sanction_amount")).alias("total_sanctioned"),
+        money_sum(F.col("total_expenditure")).alias("total_expenditure"), mean_of(F.col("data_completeness"), 3, 3).alias("mean_data_completeness"),
     )
 
 
 def band_summary(scored: DataFrame) -> DataFrame:
-    """Bands that occur, with their share of all works."""
-    out = scored.groupBy("risk_band").agg(F.count(F.lit(1)).alias("works"), F.round(F.avg("risk_score"), 2).alias("mean_score"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
-    return out.withColumn("share_pct", F.round(F.col("works") * 100 / F.sum("works").over(Window.partitionBy()), 2))
+    """Bands that occur, High, Medium, Low, with their share of all works."""
+    mean = lambda c, digits: F.sum(F.round(F.col(c) * 10**digits).cast("long")) / F.count(c) / 10.0**digits
+    out = scored.groupBy("risk_band").agg(F.count(F.lit(1)).alias("works"), mean("risk_score", 2).alias("mean_score"), mean("confidence", 3).alias("mean_confidence"))
+    out = out.withColumn("share_pct", F.round(F.col("works") * 100 / F.sum("works").over(Window.partitionBy()), 1))  # three rows
+    return out.orderBy(F.array_position(F.array(F.lit("High"), F.lit("Medium"), F.lit("Low")), F.col("risk_band")))
 
 
 def reason_counts(scored: DataFrame) -> DataFrame:
     return scored.where("risk_band <> 'Low'").groupBy("primary_reason").agg(F.count(F.lit(1)).alias("works"))
 
 
-def monthly(scored: DataFrame, payments: DataFrame) -> DataFrame:
-    """Sanctions, completions and payments by month: number and amount."""
+def monthly(works: DataFrame) -> DataFrame:
+    """Works by the month of sanction, of completion and of first payment: their
+    number, and the amounts sanctioned or spent. Three clocks, three series."""
     def series(df: DataFrame, day: str, amount: str, name: str) -> DataFrame:
         known = df.where(F.col(day).isNotNull())
-        return known.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), money_sum(F.col(amount)).alias("amount")).withColumn("series", F.lit(name))
+        return known.groupBy(F.date_format(day, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("count"), money_sum(F.col(amount)).alias("amount")).withColumn("series", F.lit(name))
 
-    parts = [series(scored, "sanction_date", "sanction_amount", "sanctioned"), series(scored, "completion_date", "sanction_amount", "completed"), series(payments, "paid_on", "amount", "paid")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    sanctioned = series(works, "sanction_date", "sanction_amount", "sanctioned")
+    completed = series(works.where("is_completed"), "completion_date", "sanction_amount", "completed")
+    return sanctioned.unionByName(completed).unionByName(series(works.where("total_expenditure IS NOT NULL"), "first_payment_date", "total_expenditure", "expenditure"))
 
 
 def risk_by_month(scored: DataFrame) -> DataFrame:
@@ -121,6 +132,14 @@ def fund_utilisation(scored: DataFrame, allocation: DataFrame | None, least_matc
     return out.withColumn("allocation_matched", F.col("allocated").isNotNull()), True, rate
 
 
+def utilisation_note(joined: bool, rate: float, supplied: bool = True) -> str:
+    if not supplied:
+        return "No allocation file was supplied, so utilisation is against sanctioned amounts only."
+    if not joined:
+        return f"The allocation file could not be joined: {rate}% of the members match it. Figures are against sanctioned amounts only."
+    return f"{rate}% of the members match the allocation file."
+
+
 def early_warning(scored: DataFrame, as_of: str, most: int | None = 300) -> DataFrame:
     """Open works far past their peers' duration, without a payment at all or for
     over a year."""
@@ -136,8 +155,18 @@ def early_warning(scored: DataFrame, as_of: str, most: int | None = 300) -> Data
 
 
 def pipeline_by_state(open_recommendations: DataFrame) -> DataFrame:
+    """Open recommendations by state, most first."""
     out = open_recommendations.groupBy("state").agg(F.count(F.lit(1)).alias("works"), money_sum(F.col("recommended_amount")).alias("value"))
-    return out.withColumn("share_pct", F.round(F.col("works") * 100 / F.sum("works").over(Window.partitionBy()), 2))
+    return out.orderBy(F.desc("works"), "state")
+
+
+def pipeline_totals(open_recommendations: DataFrame, works: DataFrame) -> DataFrame:
+    """All open recommendations, their value, and their share of those and the
+    sanctioned works together."""
+    out = open_recommendations.agg(F.count(F.lit(1)).alias("works"), money_sum(F.col("recommended_amount")).alias("value"))
+    out = out.crossJoin(F.broadcast(works.agg(F.count(F.lit(1)).alias("_sanctioned"))))
+    total = F.col("works") + F.col("_sanctioned")
+    return out.select((F.col("works") > 0).alias("available"), "works", "value", total.alias("recommended_in_total"), share_percent(F.col("works"), total).alias("share_pct"))
 
 
 def oldest_recommendations(open_recommendations: DataFrame, order: list[str], most: int = 200) -> DataFrame:
@@ -145,11 +174,13 @@ def oldest_recommendations(open_recommendations: DataFrame, order: list[str], mo
 
 
 def agencies(scored: DataFrame, least: int = 5) -> DataFrame:
-    """Implementing agencies of the benchmark with enough works."""
-    out = scored.where("implementing_agency IS NOT NULL").groupBy("implementing_agency").agg(
-        F.count(F.lit(1)).alias("works"), money_sum(F.col("sanctioned_cost")).alias("sanctioned"), F.round(F.avg("risk_score"), 2).alias("mean_risk"), F.count_if(F.col("risk_band") == "High").alias("high_risk")
+    """A district's implementing agencies with enough works, riskiest first; works
+    without an agency or a district are groups like others."""
+    out = scored.groupBy("district", "implementing_agency").agg(
+        F.count(F.lit(1)).alias("works"), money_sum(F.col("effective_cost")).alias("total_cost"), mean_of(F.col("risk_score"), 1, 1).alias("mean_risk"), F.count_if(F.col("risk_band") == "High").alias("high_risk_works")
     )
-    return out.where(F.col("works") >= least).withColumn("high_risk_pct", share_percent(F.col("high_risk"), F.col("works")))
+    out = out.where(F.col("works") >= least).withColumn("high_risk_rate", F.round(F.col("high_risk_works") / F.col("works"), 3))
+    return out.orderBy(F.desc("mean_risk"), "district", "implementing_agency")
 
 
 def queue(scored: DataFrame, most: int = 0) -> DataFrame:

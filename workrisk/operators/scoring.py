@@ -20,10 +20,10 @@ def evidence(signal: Column, cap: float) -> Column:
     return -F.log1p(-F.lit(cap) * F.least(F.coalesce(signal, F.lit(0.0)), F.lit(0.999)))
 
 
-def combine(df: DataFrame, caps: dict[str, float], digits: int = 2) -> DataFrame:
+def combine(df: DataFrame, caps: dict[str, float], digits: int = 2, score_digits: int | None = None) -> DataFrame:
     """Noisy-or of the signals. The points are shares of the score in proportion
     to the evidence, rounded first; the score is their sum, so it decomposes
-    exactly."""
+    exactly, unless it is to be rounded by itself to ``score_digits``."""
     check_caps(caps)
     e = {n: evidence(F.col(f"signal_{n}"), cap) for n, cap in caps.items()}
     total = sum(list(e.values())[1:], list(e.values())[0])
@@ -31,28 +31,29 @@ def combine(df: DataFrame, caps: dict[str, float], digits: int = 2) -> DataFrame
     risk = 100 * (1 - F.exp(-F.col("_total")))
     out = out.withColumns({f"points_{n}": F.when(F.col("_total") > 0, F.round(x / F.col("_total") * risk, digits) + 0.0).otherwise(F.lit(0.0)) for n, x in e.items()})
     points = [F.col(f"points_{n}") for n in caps]
-    return out.withColumn("risk_score", F.round(sum(points[1:], points[0]), digits)).drop("_total")
+    whole = F.round(sum(points[1:], points[0]), digits) if score_digits is None else F.round(risk, score_digits)
+    return out.withColumn("risk_score", whole).drop("_total")
 
 
 def band(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, "High").when(score >= medium, "Medium").otherwise("Low")
 
 
-def confidence(df: DataFrame) -> DataFrame:
+def confidence(df: DataFrame, min_peer_group: int = 8) -> DataFrame:
     """How far a score can be trusted: completeness, detectors that could run, and
     the strength of the peer group."""
     level = F.coalesce(F.create_map(*[F.lit(x) for kv in PEER_STRENGTH.items() for x in kv])[F.col("peer_level")], F.lit(0.0))
     evaluated = sum((F.col(f"signal_{n}").isNotNull().cast("int") for n in INDICATORS[1:]), F.col(f"signal_{INDICATORS[0]}").isNotNull().cast("int"))
     out = df.withColumn("detectors_evaluated", evaluated)
-    out = out.withColumn("peer_strength", F.round(0.7 * level + 0.3 * F.least(F.col("peer_size") / 32.0, F.lit(1.0)), 3))
+    out = out.withColumn("peer_strength", F.round(0.7 * level + 0.3 * F.least(F.col("peer_size") / (4.0 * min_peer_group), F.lit(1.0)), 3))
     value = 0.30 * F.col("data_completeness") + 0.15 * (F.col("detectors_evaluated") / len(INDICATORS)) + 0.55 * F.col("peer_strength")
     out = out.withColumn("confidence", F.round(value, 3))
     out = out.withColumn("confidence_band", F.when(F.col("confidence") <= 0.55, "Low").when(F.col("confidence") <= 0.78, "Medium").otherwise("High"))
+    # The wording.
     reason = (
-        F.when(F.col("peer_level") == "insufficient", "No peer group is large enough to compare with")
-        .when(F.col("peer_strength") < 0.6, "Peers are grouped broadly, so the comparison is weak")
-        .when(F.col("data_completeness") < 0.7, "Several fields are missing")
-        .otherwise("Comparable peers and complete fields")
+        F.when(level >= 0.85, "Compared against works of the same type")
+        .when(level >= 0.45, "Only a broad category peer group was available")
+        .otherwise("No adequate peer group — cost comparison not attempted")
     )
     return out.withColumn("confidence_reason", reason)
 
@@ -87,7 +88,7 @@ def sentences() -> dict[str, Column]:
     }
 
 
-def explain(df: DataFrame, labels: dict[str, str] = LABELS, details: dict[str, Column] | None = None) -> DataFrame:
+def explain(df: DataFrame, labels: dict[str, str] = LABELS, details: dict[str, Column] | None = None, nothing: str = "No material indicator", assessment: str = ASSESSMENT) -> DataFrame:
     """The three largest contributions of three points or more, with sentences."""
     details = sentences() if details is None else details
     parts = [
@@ -97,8 +98,8 @@ def explain(df: DataFrame, labels: dict[str, str] = LABELS, details: dict[str, C
     ]
     largest = F.slice(F.filter(F.array_sort(F.array(*parts)), lambda p: p["minus"] <= -3.0), 1, 3)
     out = df.withColumn("explanation", F.transform(largest, lambda p: F.struct(p["indicator"].alias("indicator"), p["points"].alias("points"), p["share_pct"].alias("share_pct"), p["detail"].alias("detail"))))
-    first = F.when(F.size("explanation") > 0, F.col("explanation")[0]["indicator"]).otherwise("No material indicator")
-    return out.withColumn("primary_reason", first).withColumn("assessment", F.lit(ASSESSMENT))
+    first = F.when(F.size("explanation") > 0, F.col("explanation")[0]["indicator"]).otherwise(nothing)
+    return out.withColumn("primary_reason", first).withColumn("assessment", F.lit(assessment))
 
 
 def briefing(df: DataFrame) -> DataFrame:
@@ -127,6 +128,15 @@ def decomposition_gaps(df: DataFrame, names=INDICATORS, tolerance: float = 0.05)
     return df.where(F.abs(sum(points[1:], points[0]) - F.col("risk_score")) > tolerance)
 
 
+def decomposition_report(df: DataFrame, names=INDICATORS, tolerance: float = 0.05) -> DataFrame:
+    """How many works were checked, how many have points at all, and how many
+    don't add up."""
+    points = [F.col(f"points_{n}") for n in names]
+    total = sum(points[1:], points[0])
+    broken = F.abs(total - F.col("risk_score")) > tolerance
+    return df.agg(F.count(F.lit(1)).alias("checked"), F.count_if(total > 0).alias("with_points"), F.count_if(broken).alias("broken"))
+
+
 def score(df: DataFrame, config: RiskConfig) -> DataFrame:
     """Signals to points, scores, bands and confidence. narrate() adds the words."""
     for n in INDICATORS:
@@ -137,7 +147,7 @@ def score(df: DataFrame, config: RiskConfig) -> DataFrame:
             df = df.withColumn(c, F.lit(None).cast(kind))
     out = combine(df, config.caps)
     out = out.withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
-    return confidence(out)
+    return confidence(out, config.min_peer_group)
 
 
 def narrate(scored: DataFrame) -> DataFrame:

@@ -8,11 +8,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.functions.numeric import is_true
+from workrisk.functions.numeric import is_true, money_sum
 
-# Fixed values of the exports.
+# Fixed values of the exports, and the reasons of rejects.
 SUMMARY_WORDS = ("grand total", "total", "subtotal", "summary", "overall total")
-STATUSES = ("Completed", "In Progress", "Not Started", "Sanctioned", "Work Completed", "Work Sanctioned")
+STATUSES = ("Physical Inspection", "Sanction", "Vendor Identification", "Work partially Completed", "Work Completed", "Time Estimation")
+DONE = "Work Completed"
+SUMMARY = "Summary or total row"
+NO_STATUS = "Work Status holds a value that is not a status"
+NO_ID = "No work ID could be extracted"
+NO_PAID_ID = "No work ID present"
+NOT_POSITIVE = "Payment amount is zero or negative"
+#: Columns that say where a row came from; profiles leave them out.
+ORIGIN = ("source_row", "source_file", "source_sheet", "ingested_at")
 
 
 class IngestError(ValueError):
@@ -39,25 +47,29 @@ def tag(df: DataFrame, checks: list[tuple[str, Column]], name: str = "reject_rea
     return df.withColumn(name, reason)
 
 
-def spine_checks(df: DataFrame, statuses: tuple[str, ...] = STATUSES) -> list[tuple[str, Column]]:
-    known = F.col("work_status").isNotNull() & ~F.col("work_status").isin(*statuses)
-    return [("summary row", is_summary(F.col("row_key"))), ("unknown work status", known), ("no work id", F.col("work_id").isNull())]
+def spine_checks(df: DataFrame) -> list[tuple[str, Column]]:
+    odd = F.col("work_status").isNotNull() & ~F.col("work_status").isin(*STATUSES)
+    return [(SUMMARY, is_summary(F.col("row_key"))), (NO_STATUS, odd), (NO_ID, F.col("work_id").isNull())]
 
 
 def completion_checks(df: DataFrame) -> list[tuple[str, Column]]:
-    return [("summary row", is_summary(F.col("row_key"))), ("no work id", F.col("work_id").isNull())]
+    return [(SUMMARY, is_summary(F.col("row_key"))), (NO_ID, F.col("work_id").isNull())]
+
+
+def implausible_reason(ceiling: float) -> str:
+    return f"Payment exceeds the plausibility ceiling of Rs {ceiling:,.0f}"
 
 
 def payment_checks(df: DataFrame, ceiling: float = 500_000_000.0, implausible: bool = True) -> list[tuple[str, Column]]:
     """A missing amount survives: it is missing, not wrong."""
-    out = [("summary row", is_summary(F.col("row_key"))), ("no work id", F.col("work_id").isNull())]
+    out = [(SUMMARY, is_summary(F.col("row_key"))), (NO_PAID_ID, F.col("work_id").isNull())]
     if implausible:
-        out.append(("implausible amount", F.col("amount") > ceiling))
-    return [*out, ("amount not positive", F.col("amount") <= 0)]
+        out.append((implausible_reason(ceiling), F.col("amount") > ceiling))
+    return [*out, (NOT_POSITIVE, F.col("amount") <= 0)]
 
 
 def allocation_checks(df: DataFrame) -> list[tuple[str, Column]]:
-    return [("summary row", is_summary(F.col("row_key"))), ("no state", F.col("state").isNull())]
+    return [(SUMMARY, is_summary(F.col("row_key")) | F.col("state").isNull())]
 
 
 def split(tagged: DataFrame, name: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
@@ -83,64 +95,82 @@ class Quarantine:
 
 
 def column_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """Per column: values, nulls, completeness and distinct values, in one pass."""
+    """Per column: values, nulls, completeness and distinct values, in one pass;
+    columns of origin are left out."""
+    columns = [c for c in df.columns if c not in ORIGIN]
     sums = [F.count(F.lit(1)).alias("_rows")]
-    for k, c in enumerate(df.columns):
+    for k, c in enumerate(columns):
         sums += [F.count(F.col(f"`{c}`")).alias(f"n{k}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{k}")]
     one = df.agg(*sums)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("non_null"), F.col(f"d{k}").alias("distinct_values")) for k, c in enumerate(df.columns)]
+    parts = [F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("non_null"), F.col(f"d{k}").alias("distinct_values")) for k, c in enumerate(columns)]
     long = one.select("_rows", F.explode(F.array(*parts)).alias("p"))
     missing = F.col("_rows") - F.col("p.non_null")
     return long.select(
         F.lit(dataset).alias("dataset"), "p.column", "p.non_null", missing.alias("missing"),
-        F.round(F.try_divide(F.col("p.non_null") * 100.0, F.col("_rows")), 2).alias("completeness_pct"), "p.distinct_values",
+        F.round(F.col("p.non_null") * 100.0 / F.greatest("_rows", F.lit(1)), 1).alias("completeness_pct"), "p.distinct_values",
     )
 
 
 def matching_report(spine: DataFrame, completed: DataFrame, payments: DataFrame) -> DataFrame:
-    """How the sources' ids fit together, one row."""
+    """How the sources' records and ids fit together, one row of fifteen values."""
+    records = [df.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.countDistinct("work_id") - F.max(F.col("work_id").isNull().cast("int"))).alias("again")) for df in (spine, completed, payments)]
     ids = lambda df: df.where("work_id IS NOT NULL").select("work_id")
     sets = [ids(df).distinct().withColumn(f"in_{n}", F.lit(1)) for n, df in (("s", spine), ("c", completed), ("p", payments))]
     joined = sets[0].join(sets[1], "work_id", "full").join(sets[2], "work_id", "full")
     has = lambda *names: reduce(lambda a, b: a & b, [F.col(f"in_{n}").isNotNull() for n in names])
     count = lambda c: F.count_if(c)
     one = joined.agg(
-        count(has("s")).alias("spine_ids"), count(has("c")).alias("completed_ids"), count(has("p")).alias("paid_ids"),
-        count(has("c", "s")).alias("completed_matched"), count(has("c") & ~has("s")).alias("completed_unmatched"),
-        count(has("p", "s")).alias("paid_matched"), count(has("p") & ~has("s")).alias("paid_unmatched"),
-        count(has("p", "c")).alias("paid_and_completed"), count(has("c") & ~has("p")).alias("completed_unpaid"),
+        count(has("s")).alias("sanctioned_distinct_ids"), count(has("c")).alias("completed_distinct_ids"), count(has("p")).alias("expenditure_distinct_works"),
+        count(has("c", "s")).alias("completed_matched_to_sanctioned"), count(has("c") & ~has("s")).alias("completed_unmatched"),
+        count(has("p", "s")).alias("expenditure_matched_to_sanctioned"), count(has("p") & ~has("s")).alias("expenditure_unmatched"),
+        count(has("p", "c")).alias("works_with_both_completion_and_payments"),
     )
-    rows = [df.agg((F.count("work_id") - F.countDistinct("work_id")).alias(f"{n}_duplicate_rows")) for n, df in (("spine", spine), ("completed", completed))]
-    for r in rows:
-        one = one.crossJoin(F.broadcast(r))
-    share = lambda a, b: F.coalesce(F.round(F.try_divide(F.col(a) * 100.0, F.col(b)), 1), F.lit(0.0))
-    return one.withColumn("completed_match_pct", share("completed_matched", "completed_ids")).withColumn("paid_match_pct", share("paid_matched", "paid_ids"))
+    names = (("sanctioned_records", "duplicate_ids_in_sanctioned"), ("completed_records", "duplicate_ids_in_completed"), ("expenditure_payment_records", None))
+    for r, (n, again) in zip(records, names, strict=True):
+        own = [F.col("n").alias(n)] + ([F.coalesce("again", F.lit(0)).cast("long").alias(again)] if again else [])
+        one = one.crossJoin(F.broadcast(r.select(*own)))
+    share = lambda a, b: F.round(F.col(a) * 100.0 / F.greatest(F.col(b), F.lit(1)), 2)
+    one = one.withColumn("match_rate_completed_pct", share("completed_matched_to_sanctioned", "completed_distinct_ids"))
+    return one.withColumn("match_rate_expenditure_pct", share("expenditure_matched_to_sanctioned", "expenditure_distinct_works"))
 
 
 def date_consistency(works: DataFrame, as_of: str) -> DataFrame:
-    d = {c: F.col(c) for c in ("recommended_date", "sanction_date", "completion_date", "first_payment_date", "last_payment_date")}
-    today = F.lit(as_of).cast("date")
+    """Counts of works whose dates, or whose status and date, don't fit."""
+    c, today = F.col, F.lit(as_of).cast("date")
+    done = c("work_status").eqNullSafe(DONE)
     return works.agg(
-        F.count_if(d["recommended_date"] > d["sanction_date"]).alias("recommended_after_sanction"),
-        F.count_if(d["completion_date"] < d["sanction_date"]).alias("completed_before_sanction"),
-        F.count_if(d["first_payment_date"] < d["sanction_date"]).alias("paid_before_sanction"),
-        F.count_if(d["last_payment_date"] > d["completion_date"]).alias("paid_after_completion"),
-        F.count_if(d["sanction_date"].isNull()).alias("no_sanction_date"),
-        F.count_if(d["sanction_date"] > today).alias("sanction_in_future"),
-        F.count_if(d["completion_date"] > today).alias("completion_in_future"),
-        F.count_if(d["last_payment_date"] > today).alias("payment_in_future"),
+        F.count_if(c("sanction_date") < c("recommended_date")).alias("sanction_before_recommendation"),
+        F.count_if(c("completion_date") < c("sanction_date")).alias("completion_before_sanction"),
+        F.count_if(c("first_payment_date") < c("sanction_date")).alias("first_payment_before_sanction"),
+        F.count_if(c("sanction_date") > today).alias("sanction_date_in_future"),
+        F.count_if(c("completion_date") > today).alias("completion_date_in_future"),
+        F.count_if(c("sanction_date").isNull()).alias("missing_sanction_date"),
+        F.count_if(done & c("completion_date").isNull()).alias("completed_status_without_completion_date"),
+        F.count_if(c("completion_date").isNotNull() & ~done).alias("completion_date_without_completed_status"),
     )
 
 
 def amount_consistency(works: DataFrame) -> DataFrame:
+    """Counts of works whose amounts don't fit, and the median share spent."""
     spent, amount = F.col("total_expenditure"), F.col("sanction_amount")
     return works.agg(
-        F.count_if(amount.isNull()).alias("no_amount"), F.count_if(amount <= 0).alias("amount_not_positive"), F.count_if(spent > amount).alias("spent_above_sanction"),
-        F.count_if(F.col("max_single_payment") > amount).alias("single_payment_above_sanction"), F.count_if(F.col("is_completed") & spent.isNull()).alias("completed_without_payment"),
+        F.count_if(amount.isNull()).alias("missing_sanction_amount"), F.count_if(amount <= 0).alias("zero_or_negative_sanction"), F.count(spent).alias("works_with_expenditure"),
+        F.count_if(spent > amount).alias("expenditure_exceeds_sanction"), F.count_if(F.col("completion_date").isNotNull() & spent.isNull()).alias("completed_without_any_payment"),
+        F.count_if(F.col("max_single_payment") > amount).alias("single_payment_exceeds_sanction"), F.round(F.median("expenditure_ratio"), 3).alias("median_expenditure_ratio"),
+    )
+
+
+def coverage(works: DataFrame) -> DataFrame:
+    """What the register covers, one row of eight counts."""
+    return works.agg(
+        F.count(F.lit(1)).alias("works_total"), F.count_if("is_completed").alias("works_completed"), F.count_if("has_expenditure").alias("works_with_expenditure"), F.count_if("has_work_type").alias("works_with_work_type"),
+        F.countDistinct("state").alias("states"), F.countDistinct("district").alias("districts"), F.countDistinct("mp_name").alias("mps"), F.count_if("description_is_mojibake").alias("mojibake_descriptions"),
     )
 
 
-def coverage(works: DataFrame, columns: list[str]) -> DataFrame:
-    """Share of works that have each field."""
-    parts = [F.struct(F.lit(c).alias("field"), F.round(F.avg(F.col(c).isNotNull().cast("double")) * 100, 2).alias("covered_pct")) for c in columns]
-    return works.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.field", "p.covered_pct")
+def recommendation_report(works: DataFrame, matched: DataFrame, open_: DataFrame) -> DataFrame:
+    """How many recommendations there are, were sanctioned, or wait, and their value."""
+    one = works.agg(F.count_if("has_recommendation").alias("matched_to_sanctioned")).crossJoin(F.broadcast(matched.agg(F.count(F.lit(1)).alias("_matched"))))
+    waiting = open_.agg(F.count(F.lit(1)).alias("recommended_not_sanctioned"), money_sum(F.col("recommended_amount")).alias("pipeline_value"))
+    both = one.crossJoin(F.broadcast(waiting))
+    return both.select((F.col("_matched") + F.col("recommended_not_sanctioned")).alias("recommended_records"), "matched_to_sanctioned", "recommended_not_sanctioned", "pipeline_value")
