@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from workrisk.config import IngestConfig, RiskConfig
 from workrisk.operators import benchmark, datagen, evaluation, rollups
-from workrisk.operators import validation as v
 from workrisk.plans import register
 from workrisk.plans.storage import stored
 from workrisk.sources import exports, sinks
@@ -32,33 +31,33 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     rejected = out["quarantine"].rows()
     if rejected is not None and not rejected.isEmpty():
         sinks.write_csv(rejected.select([F.col(c).cast("string") for c in rejected.columns]), f"{args.outdir}/quarantine")
-    rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731 - reports of a few rows
-    report = {
-        "as_of": str(config.as_of), "data_mode": config.data_mode, "source_label": config.source_label, "works": works.count(),
-        "matching": rows(v.matching_report(out["spine"], out["completed"], out["payments"])), "dates": rows(v.date_consistency(works, str(config.as_of))),
-        "amounts": rows(v.amount_consistency(works)), "quarantine": rows(out["quarantine"].summary()), "profile": rows(v.column_profile(works, "works")),
-    }
+    report = exports.reports(out, works, config)
     sinks.write_report(report, f"{args.outdir}/ingest_report.json")
+    for name in ("coverage", "recommendation_pipeline", "matching", "dates", "amounts"):
+        print(sinks.listed(name, report.get(name, {})))
+    print(sinks.listed("quarantine", {f"{r['source']}: {r['reason']}": r["rows"] for r in report["quarantine"]}))
 
 
 def score(spark: SparkSession, args: argparse.Namespace) -> None:
     scored = stored(register.score_works(sinks.read_table(spark, f"{args.data_dir}/works"), RiskConfig()))
     top = args.top or scored.where("risk_band <> 'Low'").count()
-    sinks.export_register(scored, args.outdir, args.details, top)
-    payments, open_ = (sinks.read_table(spark, f"{args.data_dir}/{n}", optional=True) for n in ("payments", "pipeline"))
+    limits, open_ = (sinks.read_table(spark, f"{args.data_dir}/{n}", optional=True) for n in ("allocation", "pipeline"))
+    report = sinks.read_report(f"{args.data_dir}/ingest_report.json")
+    sinks.export_register(scored, args.outdir, report, args.details, top, RiskConfig(), limits, open_)
     for name, keys, least in (("state", ["state"], 0), ("district", ["state", "district"], 0), ("member", ["mp_name", "state"], 0), ("vendor", ["primary_vendor", "district"], 5)):
         sinks.write_csv(rollups.capped(rollups.rollup(scored, keys, least), name), f"{args.outdir}/rollup_{name}")
-    if payments is not None:
-        sinks.write_csv(rollups.monthly(scored, payments), f"{args.outdir}/months")
+    sinks.write_csv(rollups.monthly(scored), f"{args.outdir}/months")
     if open_ is not None:
         sinks.write_csv(rollups.pipeline_by_state(open_), f"{args.outdir}/pipeline")
     print(sinks.console_report(scored))
 
 
 def run_benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
-    table = sinks.read_csv(spark, args.csv, benchmark.REQUIRED) if args.csv else datagen.generate(spark, args.n, args.seed)
+    table = sinks.read_csv(spark, args.csv, benchmark.REQUIRED, benchmark.TYPES) if args.csv else datagen.generate(spark, args.n, args.seed)
     scored = stored(benchmark.run(stored(table)))
     sinks.write_parquet(scored, f"{args.outdir}/projects")
+    sinks.write_csv(sinks.cleaned(benchmark.queue(scored)), f"{args.outdir}/priority_queue")
+    sinks.write_csv(sinks.cleaned(rollups.agencies(scored)), f"{args.outdir}/agencies")
     measures = evaluation.evaluate(scored, "risk_score", "is_anomaly", "project_id")
     found = {"available": False} if measures is None else {"available": True, **measures.head().asDict()}
     sinks.write_report(found, f"{args.outdir}/benchmark.json")
@@ -76,7 +75,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             own.add_argument("--data-dir", required=True)
     commands.choices["build"].add_argument("--as-of")
     commands.choices["score"].add_argument("--top", type=int, default=0, help="works in the queue; 0: as many as are flagged")
-    commands.choices["score"].add_argument("--details", choices=("flagged", "all"), default="flagged")
+    commands.choices["score"].add_argument("--details", choices=("flagged", "all"), default="all")
     for option, kind, value in (("--csv", str, None), ("--n", int, 1200), ("--seed", int, 42)):
         commands.choices["benchmark"].add_argument(option, type=kind, default=value)
     args = parser.parse_args(arguments)

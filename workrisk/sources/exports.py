@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from workrisk.config import IngestConfig
 from workrisk.functions import text as t
 from workrisk.operators import validation as v
 from workrisk.operators.build import check_unmultiplied, no_recommendations, recommendations, unify
+from workrisk.plans.storage import exists
 from workrisk.sources.workbook import PROVENANCE, read_workbook
 
 # Names of files and columns of the exports.
@@ -24,7 +23,6 @@ FILES = {
 SANCTIONED = ("Sr. No.", "Work", "Work category", "State", "IDA", "Hon'ble Members of Parliament", "Elected/Nominated", "Work description", "Recommended date", "Sanction Date", "Sanction Amount ( ₹ )", "Work Status")
 COMPLETED = ("Sr. No.", "Work", "Completion Date", "Amount Disbursed ( ₹ )")
 EXPENDITURE = ("Sr. No.", "Work ID", "Work", "Vendor Name", "Expenditure Date", "Payment Status", "Fund Disbursed Amount ( ₹ )")
-STATUSES = ("Sanctioned", "In Progress", "Completed", "Work Completed", "Not Started", "Physically Completed")
 
 
 def _c(name: str) -> Column:
@@ -77,7 +75,9 @@ def recommended(raw: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, config: IngestConfig = IngestConfig()) -> dict[str, DataFrame | v.Quarantine | None]:
     """works, payments, allocation, pipeline (open recommendations) and the
     quarantine, from a folder of exports; the last export may be missing."""
-    raw = {k: read_workbook(spark, os.path.join(folder, f)) for k, f in FILES.items() if os.path.exists(os.path.join(folder, f))}
+    raw = {k: read_workbook(spark, f"{folder}/{f}") for k, f in FILES.items() if exists(spark, f"{folder}/{f}")}
+    if missing := [FILES[k] for k in list(FILES)[:3] if k not in raw]:
+        raise v.IngestError(f"no workbook at {folder}: {', '.join(missing)}")
     rejected = v.Quarantine()
 
     def clean(df: DataFrame, checks, source: str) -> DataFrame:
@@ -86,7 +86,7 @@ def ingest(spark: SparkSession, folder: str, config: IngestConfig = IngestConfig
         return good.drop("row_key")
 
     spine = sanctioned(raw["sanctioned"])
-    spine = clean(spine, v.spine_checks(spine, STATUSES), "sanctioned")
+    spine = clean(spine, v.spine_checks(spine), "sanctioned")
     done = completed(raw["completed"])
     done = clean(done, v.completion_checks(done), "completed")
     paid = expenditure(raw["expenditure"])
@@ -100,7 +100,25 @@ def ingest(spark: SparkSession, folder: str, config: IngestConfig = IngestConfig
         rows = rows.where(~v.is_summary(F.col("row_key"))).drop("row_key")
         matched, open_ = recommendations(rows)
     works = check_unmultiplied(unify(spine, done, paid, matched, str(config.as_of)))
-    return {"works": works, "payments": paid, "allocation": limits, "pipeline": open_, "quarantine": rejected, "spine": spine, "completed": done}
-
-
-__all__ = ["PROVENANCE", "ingest"]
+    return {"works": works, "payments": paid, "allocation": limits, "pipeline": open_, "matched": matched, "quarantine": rejected, "spine": spine, "completed": done}
+
+
+def reports(found: dict, works: DataFrame, config: IngestConfig = IngestConfig()) -> dict:
+    """What is known of an ingest, a few values each: how the sources match, what
+    was rejected, dates, amounts, columns, recommendations and coverage."""
+    one = lambda df: df.head().asDict()
+    rows = lambda df: [r.asDict() for r in df.collect()] if df is not None else []
+    rejected = rows(found["quarantine"].summary())
+    sources = (("sanctioned", found["spine"]), ("completed", found["completed"]), ("expenditure", found["payments"]), ("allocation", found["allocation"]))
+    out = {
+        "config": {"as_of_date": str(config.as_of), "data_mode": config.data_mode, "source_label": config.source_label, "files": FILES},
+        "matching": one(v.matching_report(found["spine"], found["completed"], found["payments"])), "quarantine": rejected, "quarantined_rows": sum(r["rows"] for r in rejected),
+        "dates": one(v.date_consistency(works, str(config.as_of))), "amounts": one(v.amount_consistency(works)), "columns": [r for name, df in sources if df is not None for r in rows(v.column_profile(df, name))],
+        "coverage": one(v.coverage(works)),
+    }
+    if found["pipeline"] is not None:
+        out["recommendation_pipeline"] = one(v.recommendation_report(works, found["matched"], found["pipeline"]))
+    return out
+
+
+__all__ = ["PROVENANCE", "ingest", "reports"]

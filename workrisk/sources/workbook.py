@@ -1,18 +1,20 @@
-"""Spreadsheets as a Spark data source, read with the standard library alone; the
-style sheet, which is malformed in some exports, is never opened."""
+"""Spreadsheets as tables, read with the standard library alone from any store that
+Spark reads; the style sheet, which is malformed in some exports, is never opened."""
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 from workrisk.operators.validation import IngestError
@@ -22,7 +24,7 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 PROVENANCE = ("source_row", "source_file", "source_sheet", "ingested_at")
 
 
-def sheet_names(path: str) -> list[str]:
+def sheet_names(path: str | BinaryIO) -> list[str]:
     with zipfile.ZipFile(path) as book:
         return [name for name, _ in _sheets(book)]
 
@@ -53,7 +55,7 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def read_rows(path: str, sheet: int | str = 0) -> Iterator[tuple[int, dict[int, str]]]:
+def read_rows(path: str | BinaryIO, sheet: int | str = 0) -> Iterator[tuple[int, dict[int, str]]]:
     """(row number from 1, column -> text) of the rows that hold something, one
     row in memory at a time."""
     with zipfile.ZipFile(path) as book:
@@ -83,56 +85,54 @@ def read_rows(path: str, sheet: int | str = 0) -> Iterator[tuple[int, dict[int,
                     yield row_number, cells
 
 
-class WorkbookSource(DataSource):
-    """``spark.read.format("workbook").option("headerRow", 1).load(path)``: all
-    columns are strings; headers come from the second row unless told otherwise."""
+#: Rows of a workbook that are handed on at once.
+ROWS = 5000
 
-    @classmethod
-    def name(cls) -> str:
-        return "workbook"
 
-    def _files(self) -> list[str]:
-        path = self.options.get("path", "")
-        found = sorted(glob.glob(os.path.join(path, "*.xlsx")) if os.path.isdir(path) else glob.glob(path))
-        if not found:
-            raise IngestError(f"no workbook at {path}")
-        return found
-
-    def _sheet(self) -> int | str:
-        sheet = self.options.get("sheet", "0")
-        return int(sheet) if sheet.isdigit() else sheet
-
-    def schema(self) -> StructType:
-        header = int(self.options.get("headerRow", "1")) + 1
-        for number, cells in read_rows(self._files()[0], self._sheet()):
-            if number == header:
-                names = [cells.get(k, f"column_{k}").strip() for k in range(max(cells) + 1)]
-                return StructType([StructField(n, StringType()) for n in [*names, *PROVENANCE]])
-        raise IngestError(f"{self.options.get('path')}: no header in row {header}")
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self._files(), self._sheet(), int(self.options.get("headerRow", "1")) + 1, len(schema) - len(PROVENANCE))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, files: list[str], sheet: int | str, header: int, width: int):
-        self.files, self.sheet, self.header, self.width = files, sheet, header, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in self.files]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        path = partition.value
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        sheet = self.sheet if isinstance(self.sheet, str) else sheet_names(path)[self.sheet]
-        for number, cells in read_rows(path, self.sheet):
-            if number > self.header:
-                yield (*[cells.get(k) for k in range(self.width)], str(number), os.path.basename(path), sheet, now)
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a workbook, or of all in a folder, in any store that
+    Spark reads. A file is one row and so one task: its parts are compressed."""
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+        if not found.select("path").isEmpty():
+            return found
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    raise IngestError(f"no workbook at {path}")
 
 
 def read_workbook(spark: SparkSession, path: str, header_row: int = 1, sheet: int | str = 0) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").option("headerRow", header_row).option("sheet", str(sheet)).load(path)
+    """All cells as strings, with where each row came from. Names come from the
+    header row (the second one unless told otherwise) of the first file; rows
+    before it are left out."""
+    header = header_row + 1
+    files = _files(spark, path)
+
+    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                for number, cells in read_rows(io.BytesIO(content.as_buffer()), sheet):
+                    if number == header:
+                        yield pa.RecordBatch.from_arrays([pa.array([[cells.get(k, f"column_{k}").strip() for k in range(max(cells) + 1)]])], ["names"])
+                        break
+
+    first = files.orderBy("path").limit(1).mapInArrow(names_of, "names array<string>").head()
+    if first is None:
+        raise IngestError(f"{path}: no header in row {header}")
+    names, width = [*first.names, *PROVENANCE], len(first.names)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        for batch in batches:
+            for where, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                book = io.BytesIO(content.as_buffer())
+                name = sheet if isinstance(sheet, str) else sheet_names(book)[sheet]
+                rows = ((*[cells.get(k) for k in range(width)], str(number), where.rpartition("/")[2], name, now) for number, cells in read_rows(book, sheet) if number > header)
+                while part := list(islice(rows, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names)
+
+    return files.mapInArrow(rows_of, StructType([StructField(n, StringType()) for n in names]))
 
 
 def write_workbook(path: str, rows: list[list], sheet: str = "Sheet1") -> None:
