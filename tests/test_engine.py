@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from workrisk.config import CAPS, INDICATORS, RULES, RiskConfig, check_caps
 from workrisk.functions import numeric, text
-from workrisk.operators import benchmark, build, datagen, detectors, evaluation, multivariate, peers, reviews, rollups, scoring, similarity
+from workrisk.operators import benchmark, build, datagen, density, detectors, evaluation, multivariate, peers, reviews, rollups, scoring, similarity
 from workrisk.operators import validation as v
 from workrisk.plans import adapter, register
 from workrisk.sources import exports, sinks
@@ -69,7 +69,8 @@ def test_ramp_and_haversine(spark):
 def folder(tmp_path):
     s = list(exports.SANCTIONED)
     row = lambda n, i, amount, status, word="road": [n, f"WS/MP1/2023-2024/{i}-Construction of {word}", "Normal/Others", "Bihar", "GAYA(DISTRICT MAGISTRATE GAYA_IDA)", "Shri A B (2019-24)", "Elected", f"total {word}", "01-Apr-2023", "10-Apr-2023", amount, status]
-    write_workbook(f"{tmp_path}/{exports.FILES['sanctioned']}", [["Report"], s, row("1", 101, "500000", "Completed"), row("2", 102, "1,25,000", "In Progress", "drain"), row("3", 103, "1", "17629503056.99"), ["Grand Total", None]])
+    write_workbook(f"{tmp_path}/{exports.FILES['sanctioned']}", [["Report"], s, row("1", 101, "500000", "Work Completed"), row("2", 102, "1,25,000", "Sanction", "drain"), row("3", 103, "1", "17629503056.99"),
+                   *[row(str(k), 100 + k, "250000", status) for k, status in enumerate(("Physical Inspection", "Vendor Identification", "Work partially Completed", "Time Estimation", "Sanctioned"), 4)], ["Grand Total", None]])
     write_workbook(f"{tmp_path}/{exports.FILES['completed']}", [["Report"], list(exports.COMPLETED), ["1", "WS/MP1/2023-2024/101-x", "01-Sep-2023", "495000"]])
     pay = lambda n, i, kind, who, day, status, amount: [n, f"WS/MP1/2023-2024/{i}", kind, who, day, status, amount]
     write_workbook(f"{tmp_path}/{exports.FILES['expenditure']}", [["Report"], list(exports.EXPENDITURE), pay("1", 101, "Roads", "Vendor A", "01-Jun-2023", "Payment Success", "300000"), pay("2", 101, "Roads", "Vendor A", "01-Aug-2023", "Payment Success", "195000"),
@@ -83,7 +84,7 @@ def test_workbook(spark, folder):
     df = read_workbook(spark, path)
     assert sheet_names(path) == ["Sheet1"] and df.columns[0] == "Sr. No." and df.columns[-4:] == ["source_row", "source_file", "source_sheet", "ingested_at"]
     rows = df.collect()
-    assert len(rows) == 4 and rows[0].source_row == "3" and rows[1]["Sanction Amount ( ₹ )"] == "1,25,000"
+    assert len(rows) == 9 and rows[0].source_row == "3" and rows[1]["Sanction Amount ( ₹ )"] == "1,25,000"
     with pytest.raises(Exception, match="no workbook"):
         read_workbook(spark, f"{folder}/nothing.xlsx").count()
     with pytest.raises(v.IngestError, match="Nope"):
@@ -93,15 +94,15 @@ def test_workbook(spark, folder):
 def test_ingest(spark, folder):
     out = exports.ingest(spark, folder)
     works = {r.work_id[-3:]: r for r in out["works"].collect()}
-    assert set(works) == {"101", "102"}
+    assert set(works) == {"101", "102", "104", "105", "106", "107"} and {r.work_status for r in works.values()} == set(v.STATUSES)
     a, b = works["101"], works["102"]
     assert (a.total_expenditure, a.payment_count, a.max_single_payment, a.distinct_vendors, a.is_completed) == (495000, 2, 300000, 1, True)
     assert (b.sanction_amount, b.primary_vendor, b.payments_not_successful, b.district, b.mp_name, b.has_recommendation) == (125000, None, 1, "Gaya", "Shri A B", False)
     reasons = {(r.source, r.reason): r.rows for r in out["quarantine"].summary().collect()}
-    assert reasons == {("sanctioned", "summary row"): 1, ("sanctioned", "unknown work status"): 1, ("expenditure", "summary row"): 1, ("expenditure", "implausible amount"): 1, ("allocation", "summary row"): 1}
+    assert reasons == {("sanctioned", v.SUMMARY): 1, ("sanctioned", v.NO_STATUS): 2, ("expenditure", v.SUMMARY): 1, ("expenditure", "Payment exceeds the plausibility ceiling of Rs 500,000,000"): 1, ("allocation", v.SUMMARY): 1}
     assert out["allocation"].count() == 1 and out["pipeline"] is None
     one_row = v.matching_report(out["spine"], out["completed"], out["payments"]).head()
-    assert (one_row.spine_ids, one_row.completed_matched, one_row.completed_match_pct) == (2, 1, 100.0)
+    assert (one_row.sanctioned_records, one_row.sanctioned_distinct_ids, one_row.completed_matched_to_sanctioned, one_row.match_rate_completed_pct) == (6, 6, 1, 100.0)
 
 
 def test_command_line(spark, folder, tmp_path, capsys):
@@ -109,9 +110,9 @@ def test_command_line(spark, folder, tmp_path, capsys):
 
     main(["build", "--data-dir", folder, "--outdir", f"{tmp_path}/tables", "--as-of", "2026-01-01"], spark)
     report = sinks.read_report(f"{tmp_path}/tables/ingest_report.json")
-    assert report["works"] == 2 and report["matching"][0]["completed_matched"] == 1
+    assert report["coverage"]["works_total"] == 6 and report["matching"]["completed_matched_to_sanctioned"] == 1 and report["quarantined_rows"] == 6
     main(["score", "--data-dir", f"{tmp_path}/tables", "--outdir", f"{tmp_path}/scored", "--details", "all"], spark)
-    assert spark.read.json(f"{tmp_path}/scored/details").count() == 2
+    assert sinks.work_detail(spark, f"{tmp_path}/scored", "WS/MP1/2023-2024/101").work_status == "Work Completed"
     assert "points don't add up: 0" in capsys.readouterr().out
 
 
@@ -120,16 +121,24 @@ def test_multiplied_work_is_named(spark):
         build.check_unmultiplied(spark.createDataFrame([("w1",), ("w1",)], "work_id string"))
 
 
-def test_sinks(spark, tmp_path, scored):
+def test_sinks(spark, tmp_path, scored, sf_dir):
     r = sinks.records(scored.limit(5)).head()
     assert '"rule_reasons":""' not in r.record and "null" not in r.record
-    sinks.export_register(scored.limit(50), str(tmp_path / "out"))
+    report = {"config": {"as_of_date": adapter.AS_OF, "data_mode": "x", "source_label": "y", "files": {"a": "b"}}}
+    some = scored.orderBy("work_id").limit(50).cache()
+    open_ = adapter.recommended(spark, sf_dir).where("work_id IS NULL AND sanction_date IS NULL")
+    sinks.export_register(some, str(tmp_path / "out"), report, "flagged", 10, allocation=adapter.allocation(spark, sf_dir), open_=open_)
     assert spark.read.parquet(str(tmp_path / "out" / "works")).count() == 50
+    blocks, works = sinks.read_payload(spark, str(tmp_path / "out"))
+    assert set(blocks) == {"meta", "dashboard", "detectors", "rules", "data_quality", "priority_queue", "similar_pairs", "national", "rollups", "trends", "fund_utilisation", "early_warning", "recommendation_pipeline", "detail_scope", "detail_available_for"}
+    assert works.count() == 50 and len(blocks["priority_queue"]) == 10 and blocks["national"]["works"] == blocks["dashboard"]["works_total"] == 50
+    assert blocks["recommendation_pipeline"]["works"] == open_.count() and set(blocks["rollups"]) == {"state", "district", "mp", "vendor"}
+    flagged = some.where("risk_band <> 'Low'").head()
+    assert sinks.work_detail(spark, str(tmp_path / "out"), flagged.work_id).risk_score == flagged.risk_score and sinks.work_detail(spark, str(tmp_path / "out"), "none") is None
     path = sinks.export_csv([{"a": 'x,"y"', "b": None}], ["a", "b"], str(tmp_path), "rows")
     assert open(path, "rb").read() == '﻿a,b\r\n"x,""y""",\r\n'.encode()
     assert sinks.read_table(spark, str(tmp_path / "no"), optional=True) is None
     assert "points don't add up: 0" in sinks.console_report(scored)
-    assert sinks.payload(scored, {"v": 1}).head().meta == '{"v": 1}'
 
 
 # -------------------------------------------------------------------- engine
@@ -173,7 +182,7 @@ def test_nothing_checked_gives_zero(spark):
 
 
 def test_missing_column_skips_a_detector(spark, sf_dir):
-    works = register.prepare(register.build_works(spark, sf_dir), RiskConfig()).drop("sanction_uplift_pct", "signal_cost_deviation")
+    works = detectors.detect(register.features(register.build_works(spark, sf_dir), RiskConfig()), RiskConfig()).drop("sanction_uplift_pct", "signal_cost_deviation")
     report = {r.rule_id: r.status for r in detectors.rule_report(works, RiskConfig()).collect()}
     assert report["COST_002"] == report["COMP_001"] == "not_evaluated" and report["FIN_001"] == "evaluated"
     d = detectors.cost_deviation(RiskConfig())
@@ -181,16 +190,84 @@ def test_missing_column_skips_a_detector(spark, sf_dir):
     assert [r.rule_id for r in RULES][:2] == ["FIN_001", "FIN_002"]
 
 
-def test_both_similarity_plans_agree(spark):
-    rows = [(f"w{k}", "D", t) for k, t in enumerate(["construction of cc road near school", "construction of cc road near schools", "borewell at village", "solar light", None])] + [("z", None, "solar light")]
-    df = spark.createDataFrame(rows, "work_id string, district string, description_normalised string")
-    key = lambda out: sorted((r.work_id, r.similarity_score, r.similar_work_id or "", round(r.signal_similarity or 0, 6)) for r in out.collect())
-    a, b = similarity.similarity(df), similarity.similarity_by_block(df)
-    assert [x[0::2] for x in key(a)] == [x[0::2] for x in key(b)]
-    got = {r.work_id: r for r in a.collect()}
-    assert got["w0"].similar_work_id == "w1" and got["w4"].signal_similarity is None and got["z"].signal_similarity == 0
-    assert {r.signal_similarity for r in similarity.similarity(df, most=3).collect()} == {0.0, None}
-    assert similarity.top_pairs(a.withColumn("risk_score", F.lit(1.0))).count() == 1
+def cosines(texts, blocks):
+    """Brute force: cosines of the texts of each block."""
+    out = np.full((len(texts), len(texts)), -1.0)
+    for b in set(blocks):
+        own = [i for i in range(len(texts)) if blocks[i] == b]
+        counts = {}
+        for i in own:
+            c = counts[i] = {}
+            for w in texts[i].split():
+                for n in (3, 4, 5):
+                    for k in range(len(w) + 3 - n):
+                        g = f" {w} "[k : k + n]
+                        c[g] = c.get(g, 0) + 1
+        known = {}
+        for c in counts.values():
+            for g in c:
+                known[g] = known.get(g, 0) + 1
+        w = {i: {g: (1 + math.log(n)) * (math.log((1 + len(own)) / (1 + known[g])) + 1) for g, n in c.items()} for i, c in counts.items()}
+        for i in own:
+            for j in own:
+                if i != j:
+                    norm = math.sqrt(sum(x * x for x in w[i].values()) * sum(x * x for x in w[j].values()))
+                    out[i, j] = round(sum(x * w[j].get(g, 0) for g, x in w[i].items()) / norm, 9) if norm else 0.0
+    return out
+
+
+@pytest.mark.parametrize("tile", [3, 2000])
+def test_similarity_equals_brute_force(spark, monkeypatch, tile):
+    """Repeated texts, the same words in another order, a lone block, missing texts."""
+    monkeypatch.setattr(similarity.partners, "__defaults__", (False, tile))
+    rng = np.random.default_rng(4)
+    words = ["road", "drain", "school", "borewell", "village", "near", "hall", "solar", "light"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(2, 6)))) for _ in range(40)] + ["road near school", "school near road", "road near school", "road near school", "alone here"]
+    blocks = [f"D{k % 2}" for k in range(40)] + ["D0"] * 4 + ["D2"]
+    rows = [(f"w{k:02}", b, t, False) for k, (b, t) in enumerate(zip(blocks, texts, strict=True))] + [("x1", "D0", None, False), ("x2", None, "road", False), ("x3", "D0", "road lot", True)]
+    df = spark.createDataFrame(rows, "work_id string, district string, description_normalised string, description_is_mojibake boolean")
+    got = {r.work_id: r for r in similarity.similarity(df).collect()}
+    s = cosines(texts, blocks)
+    for k in range(len(texts) - 1):
+        r, best = got[f"w{k:02}"], s[k].max()
+        assert r.similarity_score == pytest.approx(round(best, 3), abs=0.0011)
+        assert r.similar_work_id == (f"w{int(s[k].argmax()):02}" if best >= 0.62 else None)
+        assert r.signal_similarity == pytest.approx(max(0, (best - 0.62) / 0.38), abs=1e-6)
+    assert (got["w44"].similarity_score, got["w44"].signal_similarity) == (None, 0.0) and got["x1"].signal_similarity is None
+    assert got["x2"].signal_similarity == 0 and got["x2"].similarity_score is None and got["x3"].signal_similarity is None
+    assert similarity.similarity(df, most=10).where("similarity_score IS NOT NULL").count() == 0
+    assert similarity.top_pairs(similarity.similarity(df).withColumn("risk_score", F.lit(1.0))).count() > 1
+
+
+def test_blocks_of_thousands_are_compared(spark):
+    """A district of more than 900 works: all of them have a partner."""
+    df = spark.range(2500).select(F.col("id").cast("string").alias("work_id"), F.lit("D").alias("district"), F.concat(F.lit("road lot "), (F.col("id") % 1300).cast("string")).alias("description_normalised"))
+    out = similarity.similarity(df)
+    assert out.where("similarity_score IS NULL").count() == 0 and out.where("similarity_score = 1").count() >= 2400
+
+
+def test_nearby_duplicates_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    words = ["road", "drain", "school", "borewell", "village", "near"]
+    rows = []
+    for k in range(60):
+        place = (None, None) if k % 9 == 0 else (20 + float(rng.uniform(0, 0.2)), 75 + float(rng.uniform(0, 0.2)))
+        rows.append((f"p{k:02}", f"D{k % 2}", "Road" if k % 3 else "Hall", None if k == 7 else " ".join(rng.choice(words, 4)), *place))
+    df = spark.createDataFrame(rows, "project_id string, district string, work_category string, work_description string, latitude double, longitude double")
+    s = cosines([r[3] or "" for r in rows], [r[1] for r in rows])
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if s[i, j] > 0:
+                h = None
+                if a[4] is not None and b[4] is not None:
+                    x = math.sin(math.radians(b[4] - a[4]) / 2) ** 2 + math.cos(math.radians(a[4])) * math.cos(math.radians(b[4])) * math.sin(math.radians(b[5] - a[5]) / 2) ** 2
+                    h = 2 * 6371 * math.asin(math.sqrt(x))
+                if a[2] != b[2] or (h is not None and h > 12):
+                    s[i, j] = 0
+    for r in similarity.similarity_nearby(df).collect():
+        k = int(r.project_id[1:])
+        best = max(s[k].max(), 0)
+        assert r.similarity_score == pytest.approx(best, abs=1e-8) and r.similar_project_id == (f"p{int(s[k].argmax()):02}" if best >= 0.55 else "")
 
 
 def test_forest_finds_the_outlier():
@@ -200,14 +277,30 @@ def test_forest_finds_the_outlier():
     assert scores.argmax() == 500 and 0 < scores.min() < scores.max() < 1
 
 
-def test_noise_equals_brute_force(spark):
+@pytest.mark.parametrize("sizes", [{}, {"piece": 7, "sample": 40}])
+def test_noise_equals_brute_force(spark, sizes):
     rng = np.random.default_rng(1)
     pts = np.vstack([rng.normal(0, 0.3, (40, 3)), rng.normal(5, 2, (20, 3)), [[0, 0, 0]] * 3])
     near = np.linalg.norm(pts[:, None] - pts[None], axis=2) <= 1.2
     dense = near.sum(axis=1) >= 6
     want = {i: not (near[i] & dense).any() for i in range(len(pts))}
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "k long, x double, y double, z double")
-    assert {r.k: r.is_noise for r in multivariate.dbscan_noise(df, "k", ["x", "y", "z"], 1.2, 6).collect()} == want
+    assert {r.k: r.is_noise for r in density.dbscan_noise(df, ["x", "y", "z"], 1.2, 6, **sizes).collect()} == want
+
+
+def test_noise_in_nine_dimensions_equals_brute_force(spark):
+    """Thousands of points, most of them undecided in their own piece."""
+    rng = np.random.default_rng(11)
+    pts = np.vstack([rng.normal(0, s, (700, 9)) for s in (0.2, 0.4, 0.6, 0.9)] + [np.zeros((5, 9))])
+    square = ((pts[:, None, :] - pts[None]) ** 2).sum(axis=2)
+    near = square <= 1.44
+    dense = near.sum(axis=1) >= 10
+    want = ~(near & dense).any(axis=1)
+    names = [f"c{k}" for k in range(9)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], ", ".join(["k long", *[f"{c} double" for c in names]]))
+    got = {r.k: r.is_noise for r in density.dbscan_noise(df, names, 1.2, 10, piece=150, sample=400).collect()}
+    assert 200 < want.sum() < 2600 and [got[i] for i in range(len(pts))] == want.tolist()
+    assert density.dbscan_noise(df.limit(0), names, 1.2, 10).count() == 0
 
 
 def test_too_few_rows_are_not_fitted(spark, sf_dir):
@@ -242,8 +335,12 @@ def test_allocation_join_is_refused_below_a_fifth(spark, scored):
 
 
 def test_reviews(spark, scored):
-    log = spark.createDataFrame([("a", "pending", 1, 1), ("a", "cleared", 2, 2), ("b", "pending", 1, 3), ("b", None, 2, 4)], "work_id string, status string, at int, seq int")
-    assert [(r.work_id, r.status) for r in reviews.latest_reviews(log).collect()] == [("a", "cleared")]
+    rows = [("a", "under_review", 1, 1), ("a", "escalated", 2, 2), ("b", "under_review", 1, 3), ("b", None, 2, 4), ("c", "escalated", 1, 5), ("c", "not_reviewed", 2, 6)]
+    log = spark.createDataFrame(rows, "work_id string, status string, at int, seq int")
+    state = reviews.latest_reviews(log)
+    assert [(r.work_id, r.status) for r in state.collect()] == [("a", "escalated")] and reviews.status_of(state, "c") == "not_reviewed"
+    cleared = log.union(spark.createDataFrame([(None, None, 5, 7), ("d", "escalated", 6, 8)], log.schema))
+    assert [r.work_id for r in reviews.latest_reviews(cleared).collect()] == ["d"]
     q = rollups.queue(scored, 10)
     assert q.count() == 10 and reviews.page(q, 0, 4).count() == 4
     assert reviews.pairs_with_works(similarity.top_pairs(scored), scored).columns

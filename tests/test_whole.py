@@ -1,12 +1,6 @@
 """Queries do the whole job: every detector, whole texts."""
 
-import logging
-
-import corpus_pipeline
-import numpy as np
-
 from workrisk.config import INDICATORS
-from workrisk.llm import soft_mix, toxicity
 from workrisk.plans import catalogue
 
 
@@ -20,69 +14,32 @@ def test_scored_queries_have_all_six_detectors(spark, sf_dir):
     top = sorted(full.values(), key=lambda r: (-r.risk_score, -r.confidence, r.work_id))[:500]
     rows = catalogue.flagship(spark, sf_dir).collect()
     assert [(r.work_id, r.risk_score, r.confidence) for r in rows] == [(r.work_id, r.risk_score, r.confidence) for r in top]
-    assert {r.work_id for r in q["briefings"](spark, sf_dir).collect()} == {w for w, r in full.items() if r.risk_band != "Low"}
+    assert {r.work_id for r in q["briefings_full"](spark, sf_dir).collect()} == {w for w, r in full.items() if r.risk_band != "Low"}
     assert {r.detector for r in q["detector_report_full"](spark, sf_dir).collect()} == set(INDICATORS)
 
 
-def test_stems_do_not_depend_on_partitions(spark):
-    ends = ("ton", "ish", "ard", "ers")
-    rows = [(k, f"grobble{ends[k % 4]} here now" if k % 3 == 0 else "plain words here now", int(k % 3 == 0)) for k in range(120)]
-    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    docs, labels = table.select("doc_id", "text"), table.select("doc_id", "toxic")
-    one, many = (toxicity.train(docs.repartition(n, "doc_id"), labels).lexicon.entries for n in (1, 60))
-    assert one == many and any(stem for _, stem, _ in many)
+def test_whole_texts_are_normalised(spark, tmp_path):
+    spark.createDataFrame([(1, "A-b  " * 300 + "End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.queries()["normalise_text"](spark, str(tmp_path)).head().plain == "a b " * 300 + "end"
 
 
-def test_similarity_of_whole_texts_equals_brute_force(spark, tmp_path):
+def test_whole_texts_are_compared(spark, tmp_path):
     """Texts that share only an opening aren't alike; texts alike after it are."""
-    rng = np.random.default_rng(3)
-    words = [f"{a}{b}{c}" for a in "bdfglm" for b in "aeiou" for c in ("rin", "tok", "sul", "vex")]
-    some = lambda n: " ".join(str(w) for w in rng.choice(words, n))
-    opening, body = some(15), some(400)
-    texts = [f"{opening} {some(400)}", f"{opening} {some(400)}", f"{some(15)} {body}", f"{some(15)} {body}", some(300), some(300), None]
+    opening, body = "the very same opening of all " * 3, " ".join(f"body{k}" for k in range(300))
+    some = lambda s: " ".join(f"{s}{k}" for k in range(300))
+    texts = [opening + some("x"), opening + some("yy"), some("first")[:60] + body, some("other")[:60] + body]
     df = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
-    counts = [{} for _ in texts]
-    for c, t in zip(counts, texts, strict=True):
-        for w in (t or "").split():
-            for n in (3, 4, 5):
-                for i in range(len(w) + 3 - n):
-                    g = f" {w} "[i : i + n]
-                    c[g] = c.get(g, 0) + 1
-    rows = 6
-    weight = lambda c: {g: (1 + np.log(n)) * (np.log((1 + rows) / (1 + sum(g in o for o in counts))) + 1) for g, n in c.items()}
-    ws = [weight(c) for c in counts[:rows]]
-    cos = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-    got = {r.work_id: r for r in catalogue.queries()["d_similarity_full"](spark, str(tmp_path)).collect()}
-    for i in range(rows):
-        best = max((cos(ws[i], ws[j]), j) for j in range(rows) if j != i)
-        assert abs(got[i].similarity_score - best[0]) < 0.00051
-    assert got[2].similar_work_id == 3 and got[3].similar_work_id == 2 and got[6].similarity_score is None
-    pairs = catalogue.queries()["similar_pairs_full"](spark, str(tmp_path)).collect()
-    assert "2||3" == pairs[0].pair_key
-
-
-def test_whole_texts_are_normalised(spark, tmp_path):
-    spark.createDataFrame([(1, "A-b  " * 300 + "End!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert catalogue.queries()["normalise_text_full"](spark, str(tmp_path)).head().plain == "a b " * 300 + "end"
-
+    got = {r.work_id: r.similar_work_id for r in catalogue.queries()["d_similarity"](spark, str(tmp_path)).collect()}
+    assert got[2] == 3 and got[3] == 2 and got[0] is None
 
-def test_rare_domain_reaches_its_target_and_misses_are_reported(spark, monkeypatch, caplog):
-    assert None not in corpus_pipeline.MIX_WEIGHTS
-    rows = [(100, [0.98, 0.01, 0.01])] * 95 + [(100, [0.05, 0.9, 0.05])] * 4 + [(100, [0.05, 0.05, 0.9])]
-    kind = "tokens long, posterior array<double>"
-    found = soft_mix.fit_rates(spark.createDataFrame(rows, kind))
-    assert found.residual <= soft_mix.TOLERANCE
-    out_of_reach = spark.createDataFrame([(1, 100, [0.97, 0.02, 0.01]), (2, 100, [0.5, 0.49, 0.01])], f"doc_id long, {kind}")
-    monkeypatch.setattr(soft_mix, "train", lambda *a: None)
-    monkeypatch.setattr(soft_mix, "memberships", lambda *a: out_of_reach)
-    with caplog.at_level(logging.WARNING):
-        soft_mix.mix(out_of_reach, out_of_reach).collect()
-    assert "misses its targets" in caplog.text
 
+def test_register_is_rebuilt_when_its_files_change(spark, tmp_path):
+    from workrisk.plans import register
 
-def test_long_words_are_matched():
-    matcher = toxicity.Matcher(toxicity.Lexicon([("idiot", True, 1.0)]))
-    word = "idiot_" * 20
-    assert matcher.match(word) == (0, 0) and matcher.hits({word, "x" * 99}) == {word}
-    assert word not in matcher.found and toxicity.features(word, matcher)[toxicity.FEATURES.index("stems")] > 0
+    for t in register.TABLES:
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    before = register.shared_works(spark, str(tmp_path)).count()
+    assert register.shared_works(spark, str(tmp_path)).inputFiles() == register.shared_works(spark, str(tmp_path)).inputFiles()
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(100).write.mode("overwrite").parquet(f"{tmp_path}/orders.parquet")
+    assert before > register.shared_works(spark, str(tmp_path)).count() == 100

@@ -54,11 +54,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 _t = adapter.table
-_works = register.build_works
+_works = register.shared_works
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return register.features(_works(spark, sf_dir), CONFIG)
+    return register.shared_features(spark, sf_dir)
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,14 +130,8 @@ def clean_member_name(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", text.member_name(raw).alias("name"))
 
 
-@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text[1:400]), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS plain FROM documents""")
-def normalise_text(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.substring("text", 1, 400)).alias("plain"))
-
-
 @query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS plain FROM documents""")
-def normalise_text_full(spark, sf_dir):
-    """Whole texts; normalise_text has the first 400 characters, as its SQL."""
+def normalise_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"))
 
 
@@ -153,12 +147,19 @@ def haversine(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_nationkey", F.round(numeric.haversine_km(a, a, b, b * 3), 4).alias("km"))
 
 
-@query()
+_MONEY = lambda c: f"CASE WHEN {c} IS NULL THEN 'an unrecorded amount' WHEN {c} >= 1e7 THEN 'Rs ' || printf('%.2f', {c} / 1e7::DOUBLE) || ' crore' WHEN {c} >= 1e5 THEN 'Rs ' || printf('%.2f', {c} / 1e5::DOUBLE) || ' lakh' ELSE 'Rs ' || format('{{:,}}', round_even({c}, 0)::BIGINT) END"
+
+
+@query(f"""WITH d AS (SELECT *, o_totalprice * 50 + 0.13::DOUBLE AS c, round_even(o_totalprice * 50 + 0.13::DOUBLE, 0)::BIGINT::VARCHAR AS w, o_orderkey % 100 AS t FROM orders)
+SELECT o_orderkey, {_MONEY('c')} AS words, CASE WHEN length(w) <= 3 THEN w ELSE reverse(rtrim(regexp_replace(reverse(w[:-4]), '(\\d\\d)', '\\1,', 'g'), ',')) || ',' || w[-3:] END AS grouped,
+  CASE WHEN c >= 1e7 THEN '₹' || printf('%.1f', c / 1e7::DOUBLE) || 'Cr' WHEN c >= 1e5 THEN '₹' || printf('%.1f', c / 1e5::DOUBLE) || 'L' WHEN c >= 1e3 THEN '₹' || printf('%.1f', c / 1e3::DOUBLE) || 'K' ELSE '₹' || printf('%.0f', c) END AS compact,
+  printf('%.1f', c / 1e6::DOUBLE) || '%' AS share, o_orderkey || CASE WHEN t BETWEEN 11 AND 13 THEN 'th' WHEN t % 10 = 1 THEN 'st' WHEN t % 10 = 2 THEN 'nd' WHEN t % 10 = 3 THEN 'rd' ELSE 'th' END AS place,
+  strftime(o_orderdate::DATE, '%d %b %Y') AS day, CASE WHEN length(o_orderpriority) > 5 THEN o_orderpriority[:5] || '…' ELSE o_orderpriority END AS short FROM d""")
 def display_formats(spark, sf_dir):
-    c = F.col("o_totalprice") * 50
+    c = F.col("o_totalprice") * 50 + 0.13
     return _t(spark, sf_dir, "orders").select(
         "o_orderkey", text.rupees(c).alias("words"), text.indian_grouping(c).alias("grouped"), text.compact_rupees(c).alias("compact"), text.percent(c / 1e6).alias("share"),
-        text.ordinal(F.col("o_orderkey")).alias("place"), text.shown_date(F.col("o_orderdate")).alias("day"), text.shortened(F.col("o_orderpriority"), 5).alias("short"),
+        text.ordinal(F.col("o_orderkey")).alias("place"), text.shown_date(F.col("o_orderdate").cast("date")).alias("day"), text.shortened(F.col("o_orderpriority"), 5).alias("short"),
     )
 
 
@@ -175,8 +176,8 @@ def _raw_payments(spark, sf_dir):
 
 _RAW = """raw AS (SELECT CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 'Grand Total' WHEN l_orderkey % 51 = 0 THEN ' TOTAL ' ELSE l_orderkey::VARCHAR END AS row_key,
   CASE WHEN l_orderkey % 13 <> 0 THEN l_orderkey::VARCHAR END AS work_id, CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN -5.0 WHEN l_orderkey % 23 = 0 THEN 6e8 ELSE l_extendedprice END AS amount FROM lineitem),
-tagged AS (SELECT *, CASE WHEN lower(trim(row_key)) IN ('grand total', 'total', 'subtotal', 'summary', 'overall total') THEN 'summary row' WHEN work_id IS NULL THEN 'no work id'
-  WHEN amount > 5e8 THEN 'implausible amount' WHEN amount <= 0 THEN 'amount not positive' END AS reject_reason FROM raw)"""
+tagged AS (SELECT *, CASE WHEN lower(trim(row_key)) IN ('grand total', 'total', 'subtotal', 'summary', 'overall total') THEN 'Summary or total row' WHEN work_id IS NULL THEN 'No work ID present'
+  WHEN amount > 5e8 THEN 'Payment exceeds the plausibility ceiling of Rs 500,000,000' WHEN amount <= 0 THEN 'Payment amount is zero or negative' END AS reject_reason FROM raw)"""
 
 
 @query(f"WITH {_RAW} SELECT reject_reason, count(*) AS rows, sum(amount::DECIMAL(20,2))::DOUBLE AS amount FROM tagged GROUP BY reject_reason")
@@ -185,20 +186,41 @@ def validate_payments_tagged(spark, sf_dir):
     return v.tag(raw, v.payment_checks(raw)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("amount"))
 
 
-@query(f"WITH {_RAW} SELECT count(*) FILTER (reject_reason = 'summary row') AS summaries, count(*) AS rows FROM tagged")
+@query(f"WITH {_RAW} SELECT count(*) FILTER (reject_reason = 'Summary or total row') AS summaries, count(*) AS rows FROM tagged")
 def summary_rows(spark, sf_dir):
     return _raw_payments(spark, sf_dir).agg(F.count_if(v.is_summary(F.col("row_key"))).alias("summaries"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("""SELECT CASE WHEN o_orderkey % 40 = 0 THEN 'summary row' WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown work status' WHEN o_orderkey % 11 = 0 THEN 'no work id' END AS reject_reason, count(*) AS rows FROM orders GROUP BY 1""")
+def _raw_spine(spark, sf_dir):
+    """Works with totals that leaked into the key and the status."""
+    k = F.col("work_id").cast("long")
+    own = adapter.spine(spark, sf_dir)
+    status = F.when(k % 101 == 0, "17629503056.99").when(k % 103 == 0, "Sanctioned").otherwise(F.col("work_status"))
+    return own.select(F.when(k % 40 == 0, "Subtotal").otherwise("1").alias("row_key"), F.when(k % 11 != 0, F.col("work_id")).alias("work_id"), status.alias("work_status"))
+
+
+@query(f"""WITH {sql.SPINE} SELECT CASE WHEN k % 40 = 0 THEN 'Summary or total row' WHEN k % 101 = 0 OR k % 103 = 0 THEN 'Work Status holds a value that is not a status' WHEN k % 11 = 0 THEN 'No work ID could be extracted' END AS reject_reason, count(*) AS rows FROM spine GROUP BY 1""")
 def validate_spine_tagged(spark, sf_dir):
-    k = F.col("o_orderkey")
-    raw = _t(spark, sf_dir, "orders").select(F.when(k % 40 == 0, "Subtotal").otherwise("1").alias("row_key"), F.when(k % 11 != 0, k.cast("string")).alias("work_id"), F.col("o_orderstatus").alias("work_status"))
-    return v.tag(raw, v.spine_checks(raw, ("F", "O"))).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+    raw = _raw_spine(spark, sf_dir)
+    return v.tag(raw, v.spine_checks(raw)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH {sql.SPINE} SELECT work_status, count(*) AS rows FROM spine WHERE NOT (k % 40 = 0 OR k % 101 = 0 OR k % 103 = 0 OR k % 11 = 0) GROUP BY 1")
+def statuses_kept(spark, sf_dir):
+    """Every real status survives validation."""
+    raw = _raw_spine(spark, sf_dir)
+    return v.split(v.tag(raw, v.spine_checks(raw)))[0].groupBy("work_status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(f"WITH {sql.BASE} SELECT CASE WHEN work_id::BIGINT % 40 = 0 THEN 'Summary or total row' WHEN work_id::BIGINT % 11 = 0 THEN 'No work ID could be extracted' END AS reject_reason, count(*) AS rows FROM completed GROUP BY 1")
+def validate_completed_tagged(spark, sf_dir):
+    k = F.col("work_id").cast("long")
+    raw = adapter.completed(spark, sf_dir).select(F.when(k % 40 == 0, "grand total of all").otherwise("1").alias("row_key"), F.when(k % 11 != 0, F.col("work_id")).alias("work_id"))
+    return v.tag(raw, v.completion_checks(raw)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(f"""WITH {_RAW} SELECT 'payments' AS source, reject_reason AS reason, count(*) AS rows FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 2
-UNION ALL SELECT 'allocation', 'no state', count(*) FROM customer WHERE c_custkey % 9 = 0 HAVING count(*) > 0""")
+UNION ALL SELECT 'allocation', 'Summary or total row', count(*) FROM customer WHERE c_custkey % 9 = 0 HAVING count(*) > 0""")
 def quarantine_summary(spark, sf_dir):
     q = v.Quarantine()
     raw = _raw_payments(spark, sf_dir)
@@ -208,10 +230,10 @@ def quarantine_summary(spark, sf_dir):
     return q.summary()
 
 
-@query("UNION ALL ".join(f"SELECT 'customer' AS dataset, '{c}' AS \"column\", count({e}) AS non_null, count(*) - count({e}) AS missing, round(count({e}) * 100.0::DOUBLE / count(*), 2) AS completeness_pct, count(DISTINCT {e}) AS distinct_values FROM customer "
+@query("UNION ALL ".join(f"SELECT 'customer' AS dataset, '{c}' AS \"column\", count({e}) AS non_null, count(*) - count({e}) AS missing, round(count({e}) * 100.0::DOUBLE / greatest(count(*), 1), 1) AS completeness_pct, count(DISTINCT {e}) AS distinct_values FROM customer "
                          for c, e in (("c_custkey", "c_custkey"), ("c_name", "c_name"), ("segment", "nullif(c_mktsegment, 'BUILDING')"))))
 def column_profile(spark, sf_dir):
-    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"), F.lit(1).alias("source_row"))
     return v.column_profile(own, "customer")
 
 
@@ -222,13 +244,20 @@ def _sources(spark, sf_dir):
 _IDS = f"""WITH {sql.BASE}, s AS (SELECT DISTINCT work_id FROM spine WHERE k % 10 <> 0), c AS (SELECT DISTINCT work_id FROM completed), p AS (SELECT DISTINCT work_id FROM payments)"""
 
 
-@query(f"""{_IDS}, n AS (SELECT (SELECT count(*) FROM s) AS spine_ids, (SELECT count(*) FROM c) AS completed_ids, (SELECT count(*) FROM p) AS paid_ids,
-  (SELECT count(*) FROM c SEMI JOIN s USING (work_id)) AS completed_matched, (SELECT count(*) FROM c ANTI JOIN s USING (work_id)) AS completed_unmatched,
-  (SELECT count(*) FROM p SEMI JOIN s USING (work_id)) AS paid_matched, (SELECT count(*) FROM p ANTI JOIN s USING (work_id)) AS paid_unmatched,
-  (SELECT count(*) FROM p SEMI JOIN c USING (work_id)) AS paid_and_completed, (SELECT count(*) FROM c ANTI JOIN p USING (work_id)) AS completed_unpaid)
-SELECT *, 0::BIGINT AS spine_duplicate_rows, 0::BIGINT AS completed_duplicate_rows, round(completed_matched * 100.0::DOUBLE / completed_ids, 1) AS completed_match_pct, round(paid_matched * 100.0::DOUBLE / paid_ids, 1) AS paid_match_pct FROM n""")
+@query(f"""{_IDS}, s2 AS (SELECT CASE WHEN k % 77 <> 0 THEN work_id END AS work_id FROM spine WHERE k % 10 <> 0 UNION ALL SELECT work_id FROM spine WHERE k % 97 = 1 AND k % 10 <> 0 AND k % 77 <> 0),
+ d AS (SELECT DISTINCT work_id FROM s2 WHERE work_id IS NOT NULL), n AS (SELECT (SELECT count(*) FROM s2) AS sanctioned_records, (SELECT count(*) FROM completed) AS completed_records, (SELECT count(*) FROM payments) AS expenditure_payment_records,
+  (SELECT count(*) FROM d) AS sanctioned_distinct_ids, (SELECT count(*) FROM c) AS completed_distinct_ids, (SELECT count(*) FROM p) AS expenditure_distinct_works,
+  (SELECT count(*) FROM c SEMI JOIN d USING (work_id)) AS completed_matched_to_sanctioned, (SELECT count(*) FROM c ANTI JOIN d USING (work_id)) AS completed_unmatched,
+  (SELECT count(*) FROM p SEMI JOIN d USING (work_id)) AS expenditure_matched_to_sanctioned, (SELECT count(*) FROM p ANTI JOIN d USING (work_id)) AS expenditure_unmatched,
+  (SELECT count(*) FROM p SEMI JOIN c USING (work_id)) AS works_with_both_completion_and_payments, (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM s2 GROUP BY work_id)) AS duplicate_ids_in_sanctioned,
+  (SELECT count(*) - count(DISTINCT work_id) FROM completed) AS duplicate_ids_in_completed)
+SELECT *, round(completed_matched_to_sanctioned * 100.0::DOUBLE / greatest(completed_distinct_ids, 1), 2) AS match_rate_completed_pct, round(expenditure_matched_to_sanctioned * 100.0::DOUBLE / greatest(expenditure_distinct_works, 1), 2) AS match_rate_expenditure_pct FROM n""")
 def matching_report(spark, sf_dir):
-    return v.matching_report(*_sources(spark, sf_dir))
+    """Some works without an id, some twice."""
+    s, c, p = _sources(spark, sf_dir)
+    k = F.col("work_id").cast("long")
+    s = s.select(F.when(k % 77 != 0, F.col("work_id")).alias("work_id")).union(s.where((k % 97 == 1) & (k % 77 != 0)).select("work_id"))
+    return v.matching_report(s, c, p)
 
 
 @query(f"{_IDS} SELECT work_id FROM c INTERSECT SELECT work_id FROM s")
@@ -249,25 +278,32 @@ def unmatched_anti(spark, sf_dir):
     return _days_as_text(c.join(s, "work_id", "left_anti"))
 
 
-@query(sql.with_works(f"""SELECT count(*) FILTER (recommended_date > sanction_date) AS recommended_after_sanction, count(*) FILTER (completion_date < sanction_date) AS completed_before_sanction,
-  count(*) FILTER (first_payment_date < sanction_date) AS paid_before_sanction, count(*) FILTER (last_payment_date > completion_date) AS paid_after_completion, count(*) FILTER (sanction_date IS NULL) AS no_sanction_date,
-  count(*) FILTER (sanction_date > DATE '{adapter.AS_OF}') AS sanction_in_future, count(*) FILTER (completion_date > DATE '{adapter.AS_OF}') AS completion_in_future, count(*) FILTER (last_payment_date > DATE '{adapter.AS_OF}') AS payment_in_future FROM works"""))
+@query(sql.with_works(f"""SELECT count(*) FILTER (sanction_date < recommended_date) AS sanction_before_recommendation, count(*) FILTER (completion_date < sanction_date) AS completion_before_sanction,
+  count(*) FILTER (first_payment_date < sanction_date) AS first_payment_before_sanction, count(*) FILTER (sanction_date > DATE '{adapter.AS_OF}') AS sanction_date_in_future, count(*) FILTER (completion_date > DATE '{adapter.AS_OF}') AS completion_date_in_future,
+  count(*) FILTER (sanction_date IS NULL) AS missing_sanction_date, count(*) FILTER (work_status = 'Work Completed' AND completion_date IS NULL) AS completed_status_without_completion_date,
+  count(*) FILTER (completion_date IS NOT NULL AND work_status IS DISTINCT FROM 'Work Completed') AS completion_date_without_completed_status FROM works"""))
 def date_consistency(spark, sf_dir):
     return v.date_consistency(_works(spark, sf_dir), adapter.AS_OF)
 
 
-@query(sql.with_works("""SELECT count(*) FILTER (sanction_amount IS NULL) AS no_amount, count(*) FILTER (sanction_amount <= 0) AS amount_not_positive, count(*) FILTER (total_expenditure > sanction_amount) AS spent_above_sanction,
-  count(*) FILTER (max_single_payment > sanction_amount) AS single_payment_above_sanction, count(*) FILTER (is_completed AND total_expenditure IS NULL) AS completed_without_payment FROM works"""))
+@query(sql.with_works("""SELECT count(*) FILTER (sanction_amount IS NULL) AS missing_sanction_amount, count(*) FILTER (sanction_amount <= 0) AS zero_or_negative_sanction, count(total_expenditure) AS works_with_expenditure,
+  count(*) FILTER (total_expenditure > sanction_amount) AS expenditure_exceeds_sanction, count(*) FILTER (completion_date IS NOT NULL AND total_expenditure IS NULL) AS completed_without_any_payment,
+  count(*) FILTER (max_single_payment > sanction_amount) AS single_payment_exceeds_sanction, round(median(total_expenditure / nullif(sanction_amount, 0)), 3) AS median_expenditure_ratio FROM works"""))
 def amount_consistency(spark, sf_dir):
     return v.amount_consistency(_works(spark, sf_dir))
 
 
-_COVERED = ["work_type", "total_expenditure", "completion_date", "recommended_amount"]
+@query(sql.with_works("""SELECT count(*) AS works_total, count(completion_date) AS works_completed, count(total_expenditure) AS works_with_expenditure, count(work_type) AS works_with_work_type, count(DISTINCT state) AS states,
+  count(DISTINCT district) AS districts, count(DISTINCT mp_name) AS mps, count(*) FILTER (work_description LIKE '?????? %') AS mojibake_descriptions FROM works"""))
+def coverage(spark, sf_dir):
+    return v.coverage(_works(spark, sf_dir))
 
 
-@query(sql.with_works(" UNION ALL ".join(f"SELECT '{c}' AS field, round(avg(({c} IS NOT NULL)::INT::DOUBLE) * 100, 2) AS covered_pct FROM works" for c in _COVERED)))
-def coverage(spark, sf_dir):
-    return v.coverage(_works(spark, sf_dir), _COVERED)
+@query(sql.with_works("""SELECT (SELECT count(*) FROM recommended WHERE work_id IS NOT NULL OR sanction_date IS NULL) AS recommended_records, (SELECT count(recommended_amount) FROM works) AS matched_to_sanctioned,
+  count(*) AS recommended_not_sanctioned, coalesce(sum(recommended_amount::DECIMAL(20,2))::DOUBLE, 0) AS pipeline_value FROM recommended WHERE work_id IS NULL AND sanction_date IS NULL"""))
+def recommendation_report(spark, sf_dir):
+    matched, open_ = build.recommendations(adapter.recommended(spark, sf_dir))
+    return v.recommendation_report(_works(spark, sf_dir), matched, open_)
 
 
 # --------------------------------------------------------------- building
@@ -305,11 +341,16 @@ def _open(spark, sf_dir):
 _OPEN = f"WITH {sql.BASE}, open_ AS (SELECT * FROM recommended WHERE work_id IS NULL AND sanction_date IS NULL)"
 
 
-@query(f"{_OPEN}, g AS (SELECT state, count(*) AS works, sum(recommended_amount::DECIMAL(20,2))::DOUBLE AS value FROM open_ GROUP BY state) SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 2) AS share_pct FROM g")
+@query(f"{_OPEN}, g AS (SELECT state, count(*) AS works, sum(recommended_amount::DECIMAL(20,2))::DOUBLE AS value FROM open_ GROUP BY state) SELECT * FROM g")
 def recommendation_pipeline_state(spark, sf_dir):
     return rollups.pipeline_by_state(_open(spark, sf_dir))
 
 
+@query(f"{_OPEN} SELECT count(*) > 0 AS available, count(*) AS works, sum(recommended_amount::DECIMAL(20,2))::DOUBLE AS value, count(*) + (SELECT count(*) FROM works) AS recommended_in_total, round(count(*) / (count(*) + (SELECT count(*) FROM works))::DOUBLE * 100, 1) AS share_pct FROM open_")
+def recommendation_pipeline_totals(spark, sf_dir):
+    return rollups.pipeline_totals(_open(spark, sf_dir), _works(spark, sf_dir))
+
+
 @query(f"{_OPEN} SELECT state, recommended_amount, recommended_on::VARCHAR AS recommended_on, source_row FROM open_ ORDER BY open_.recommended_on NULLS LAST, source_row LIMIT 200")
 def recommendation_oldest(spark, sf_dir):
     return _days_as_text(rollups.oldest_recommendations(_open(spark, sf_dir), ["source_row"]).select("state", "recommended_amount", "recommended_on", "source_row"))
@@ -320,7 +361,7 @@ def recommendation_oldest(spark, sf_dir):
 
 @query(sql.with_features("SELECT work_id, peer_key, peer_level, peer_size FROM p4"))
 def peer_cascade(spark, sf_dir):
-    return peers.assign_peers(stored(_works(spark, sf_dir)), CONFIG.min_peer_group).select("work_id", "peer_key", "peer_level", "peer_size")
+    return peers.assign_peers(_works(spark, sf_dir), CONFIG.min_peer_group).select("work_id", "peer_key", "peer_level", "peer_size")
 
 
 _FEATS = ("peer_median_cost", "peer_median_duration", "cost_robust_z", "duration_ratio", "underspend_gap", "vendor_district_share")
@@ -380,43 +421,29 @@ def detector_report(spark, sf_dir, scored=_plain):
     return detectors.detector_report(_signals(spark, sf_dir) if scored is _plain else scored(spark, sf_dir), _names(scored))
 
 
-_GRAMS = r"""used AS (SELECT doc_id, lang || '/' || source AS block, nullif(trim(regexp_replace(regexp_replace(lower(left(text, 60)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM documents),
-sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS rows FROM used WHERE t IS NOT NULL),
-words AS (SELECT doc_id, block, rows, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM sized WHERE rows BETWEEN 2 AND 900),
-grams AS (SELECT doc_id, block, rows, w[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT *, unnest([3, 4, 5]) AS n FROM words) WHERE n <= length(w))),
-tf AS (SELECT block, doc_id, rows, g, 1 + ln(count(*)) AS f FROM grams GROUP BY ALL),
+_GRAMS = r"""used AS (SELECT doc_id, lang || '/' || source AS block, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM documents),
+sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS rows FROM used WHERE t IS NOT NULL AND block IS NOT NULL),
+words AS (SELECT doc_id, block, rows, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM sized WHERE rows >= 2),
+counted AS (SELECT doc_id, block, rows, w, count(*) AS c FROM words GROUP BY ALL),
+grams AS (SELECT doc_id, block, rows, c, w[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT *, unnest([3, 4, 5]) AS n FROM counted) WHERE n <= length(w))),
+tf AS (SELECT block, doc_id, rows, g, 1 + ln(sum(c)) AS f FROM grams GROUP BY ALL),
 raw AS (SELECT block, doc_id, g, f * (ln((1 + rows) / (1 + count(*) OVER (PARTITION BY block, g))::DOUBLE) + 1) AS x FROM tf),
 unit AS (SELECT block, doc_id, g, x / sqrt(sum(x * x) OVER (PARTITION BY block, doc_id)) AS x FROM raw),
-met AS (SELECT a.block, a.doc_id AS a, b.doc_id AS b, sum(a.x * b.x) AS s FROM unit a JOIN unit b ON a.block = b.block AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS n FROM met) WHERE n = 1)
-SELECT doc_id AS work_id, round(CASE WHEN t IS NOT NULL THEN coalesce(s, 0) END, 3) AS similarity_score, CASE WHEN s >= 0.62 THEN b END AS similar_work_id,
-  round(CASE WHEN t IS NOT NULL THEN greatest(0, least(1, (round(coalesce(s, 0), 9) - 0.62) / (1 - 0.62::DOUBLE))) END, 6) AS signal FROM used LEFT JOIN top ON doc_id = a"""
-
-
-def _described(spark, sf_dir, most=None):
-    """Whole texts, or so many characters of each as the SQL has."""
-    own = F.substring("text", 1, most) if most else F.col("text")
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.concat("lang", F.lit("/"), "source").alias("district"), text.normalise(own).alias("description_normalised"))
+met AS (SELECT a.block, a.doc_id AS a, b.doc_id AS b, round(sum(a.x * b.x), 9) AS s FROM unit a JOIN unit b ON a.block = b.block AND a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM met) WHERE n = 1)
+SELECT doc_id AS work_id, round(CASE WHEN doc_id IN (SELECT doc_id FROM sized WHERE rows >= 2) THEN coalesce(s, 0) END, 3) AS similarity_score, CASE WHEN s >= 0.62 THEN b END AS similar_work_id,
+  round(CASE WHEN t IS NOT NULL THEN greatest(0, least(1, (coalesce(s, 0) - 0.62) / (1 - 0.62::DOUBLE))) END, 6) AS signal FROM used LEFT JOIN top ON doc_id = a"""
 
 
-def _similar(df):
-    return df.select("work_id", "similarity_score", "similar_work_id", F.round("signal_similarity", 6).alias("signal"))
+def _described(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.concat("lang", F.lit("/"), "source").alias("district"), text.normalise(F.col("text")).alias("description_normalised"))
 
 
 @query(f"WITH {_GRAMS}")
 def d_similarity(spark, sf_dir):
-    return _similar(similarity.similarity(_described(spark, sf_dir, 60)))
-
-
-@query(f"WITH {_GRAMS}")
-def d_similarity_by_block(spark, sf_dir):
-    return _similar(similarity.similarity_by_block(_described(spark, sf_dir, 60)))
-
-
-@query()
-def d_similarity_full(spark, sf_dir):
-    """Whole texts, by the plan that makes no rows of pairs."""
-    return _similar(similarity.similarity_by_block(_described(spark, sf_dir)))
+    """Whole texts, blocks of any size."""
+    found = similarity.similarity(_described(spark, sf_dir))
+    return found.select("work_id", "similarity_score", "similar_work_id", F.round("signal_similarity", 6).alias("signal"))
 
 
 @query("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.5) AS m, quantile_cont(c_acctbal, 0.75) - quantile_cont(c_acctbal, 0.25) AS r FROM customer) SELECT c_custkey, round((c_acctbal - m) / CASE WHEN r = 0 THEN 1 ELSE r END, 6) AS scaled FROM customer, q""")
@@ -428,11 +455,38 @@ def robust_scale(spark, sf_dir):
 d AS (SELECT s_suppkey FROM n GROUP BY 1 HAVING count(*) >= 5) SELECT s_suppkey, NOT EXISTS (SELECT 1 FROM n JOIN d ON n.o = d.s_suppkey WHERE n.s_suppkey = p.s_suppkey) AS is_noise FROM p""")
 def dbscan_noise(spark, sf_dir):
     own = _t(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
-    return multivariate.dbscan_noise(own, "s_suppkey", ["x", "y"], 1.2, 5).select("s_suppkey", "is_noise")
+    return multivariate.dbscan_noise(own, ["x", "y"], 1.2, 5).select("s_suppkey", "is_noise")
+
+
+_MODEL = multivariate.FEATURES
+_MATRIX = f"""filled AS (SELECT work_id, {", ".join(f"coalesce({c}, median({c}) OVER (), 0)::DOUBLE AS {c}" for c in _MODEL)} FROM feats),
+q AS (SELECT {", ".join(f"quantile_cont({c}, 0.25) AS a{k}, quantile_cont({c}, 0.5) AS m{k}, quantile_cont({c}, 0.75) AS b{k}" for k, c in enumerate(_MODEL))} FROM filled),
+scaled AS (SELECT work_id, {", ".join(f"({c} - m{k}) / CASE WHEN b{k} - a{k} = 0 THEN 1 ELSE b{k} - a{k} END AS {c}" for k, c in enumerate(_MODEL))} FROM filled, q)"""
+
+
+def _scaled(spark, sf_dir):
+    own = _features(spark, sf_dir).select("work_id", *_MODEL)
+    return multivariate.robust_scale(multivariate.feature_matrix(own), list(_MODEL))
+
+
+@query(sql.with_features(f"SELECT work_id, {', '.join(f'round({c}, 6) AS {c}' for c in _MODEL)} FROM scaled", _MATRIX))
+def model_inputs(spark, sf_dir):
+    """What the models see of every work: nulls filled, robustly scaled."""
+    return _scaled(spark, sf_dir).select("work_id", *[F.round(c, 6).alias(c) for c in _MODEL])
+
+
+@query(sql.with_features(f"""SELECT work_id, NOT EXISTS (SELECT 1 FROM near JOIN dense ON near.b = dense.a WHERE near.a = scaled.work_id) AS is_noise FROM scaled""",
+                         f"""{_MATRIX}, points AS MATERIALIZED (SELECT * FROM scaled), near AS MATERIALIZED (SELECT p.work_id AS a, o.work_id AS b FROM points p JOIN points o ON {" + ".join(f"pow(p.{c} - o.{c}, 2)" for c in _MODEL)} <= {CONFIG.dbscan_eps * CONFIG.dbscan_eps!r}::DOUBLE),
+dense AS (SELECT a FROM near GROUP BY a HAVING count(*) >= {CONFIG.dbscan_neighbours})"""))
+def register_noise(spark, sf_dir):
+    """Density noise of the whole register in all nine features."""
+    return multivariate.dbscan_noise(_scaled(spark, sf_dir), list(_MODEL), CONFIG.dbscan_eps, CONFIG.dbscan_neighbours).select("work_id", "is_noise")
 
 
 @query()
 def d_multivariate(spark, sf_dir):
+    """The forest draws at random, so SQL can't follow; its inputs and the noise
+    have SQL of their own."""
     return multivariate.multivariate(_features(spark, sf_dir), CONFIG).select("work_id", "signal_multivariate")
 
 
@@ -467,9 +521,41 @@ def primary_reason_counts(spark, sf_dir, scored=_plain):
     return rollups.reason_counts(scored(spark, sf_dir))
 
 
-@query()
-def briefings(spark, sf_dir):
-    return register.scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing", F.to_json("explanation").alias("explanation"))
+_MARGIN = f"round_even(sanction_amount, 0)::BIGINT"
+_WORDED = f"""worded AS (SELECT work_id, 'This ' || {_MONEY("sanction_amount")} || ' sanction' || coalesce(' in ' || nullif(concat_ws(', ', district, state), ''), '') || ' carries an analytical risk indicator of ' || round_even(risk_score, 0)::BIGINT || ' out of 100 (' || risk_band
+  || ' priority, ' || lower(confidence_band) || ' confidence).' AS opening,
+  CASE WHEN sanction_amount / nullif(peer_median_cost, 0) >= 2 THEN 'It is ' || printf('%.1f', sanction_amount / peer_median_cost) || ' times the median of ' || {_MONEY("peer_median_cost")} || ' for ' || peer_size || ' comparable works grouped by ' || peer_level || '.' END AS cost,
+  CASE WHEN is_completed AND total_expenditure IS NULL THEN 'It is recorded as completed but carries no payment record at all.' WHEN expenditure_ratio IS NOT NULL
+    THEN round_even(expenditure_ratio * 100, 0)::BIGINT || '% of the sanctioned amount has been disbursed across ' || coalesce(payment_count, 0) || ' payment(s).' END AS paid,
+  CASE WHEN rule_reasons <> '' THEN 'Rule check: ' || string_split(rule_reasons, '; ')[1] || '.' END AS rule FROM scored WHERE risk_band <> 'Low')"""
+
+
+@whole
+@query(sql.with_scores("SELECT work_id, concat_ws(' ', opening, cost, paid, rule, 'Suggested action: verify scope and supporting records before any site visit. This summary describes unusual patterns only and does not establish irregularity or fraud.') AS briefing FROM worded", _WORDED))
+def briefings(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing")
+
+
+_SENTENCES = {
+    "cost_deviation": f"'Sanctioned at Rs ' || format('{{:,}}', {_MARGIN}) || ' against a peer median of Rs ' || format('{{:,}}', round_even(peer_median_cost, 0)::BIGINT) || ' (' || round_even(peer_cost_percentile, 0)::BIGINT || 'th percentile among ' || peer_size || ' comparable works, grouped by ' || peer_level || ')'",
+    "timeline": "CASE WHEN peer_median_duration > 0 THEN days_sanction_to_reference || ' days since sanction against a peer median of ' || trunc(peer_median_duration)::INT || ' days (' || age_basis || ')' ELSE coalesce(days_recommendation_to_sanction || ' days between recommendation and sanction', 'Timeline indicator') END",
+    "expenditure_consistency": "CASE WHEN is_completed AND NOT has_expenditure THEN 'Recorded as completed but carries no payment record' ELSE coalesce(round_even(expenditure_ratio * 100, 0)::BIGINT || '% of the sanctioned amount disbursed across ' || payment_count || ' payment(s)', 'Expenditure consistency indicator') END",
+    "compliance": "coalesce(nullif(rule_reasons, ''), 'Rule-based indicator')",
+}
+_DETAILS = " UNION ALL ".join(f"SELECT work_id, '{scoring.LABELS[n]}' AS indicator, {_SENTENCES[n]} AS detail FROM scored WHERE points_{n} >= 3" for n in sql.SIGNALS)
+
+
+@whole
+@query(sql.with_scores("SELECT work_id, indicator, detail FROM firsts JOIN details USING (work_id, indicator) WHERE n <= 3", f"{_REASONED}, details AS ({_DETAILS})"))
+def explanation_details(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).select("work_id", F.explode("explanation").alias("e")).select("work_id", "e.indicator", "e.detail")
+
+
+@whole
+@query(sql.with_scores("""SELECT work_id, CASE WHEN lvl >= 0.85 THEN 'Compared against works of the same type' WHEN lvl >= 0.45 THEN 'Only a broad category peer group was available' ELSE 'No adequate peer group — cost comparison not attempted' END AS confidence_reason
+  FROM (SELECT work_id, CASE peer_level WHEN 'work_type + state' THEN 1.0 WHEN 'work_type' THEN 0.85 WHEN 'category + state' THEN 0.45 WHEN 'state' THEN 0.25 ELSE 0 END AS lvl FROM scored)"""))
+def confidence_reasons(spark, sf_dir, scored=_plain):
+    return scored(spark, sf_dir).select("work_id", "confidence_reason")
 
 
 @query()
@@ -480,15 +566,20 @@ def register_full(spark, sf_dir):
 
 
 @whole
-@query("SELECT NULL::VARCHAR AS work_id, NULL::DOUBLE AS risk_score WHERE false")
+@query(sql.with_scores(f"SELECT count(*) AS checked, count(*) FILTER (risk_score > 0) AS with_points, count(*) FILTER (abs({' + '.join(f'points_{n}' for n in sql.SIGNALS)} - risk_score) > 0.05) AS broken FROM scored"))
 def decomposition_check(spark, sf_dir, scored=_plain):
-    return scoring.decomposition_gaps(scored(spark, sf_dir)).select("work_id", "risk_score")
+    return scoring.decomposition_report(scored(spark, sf_dir), _names(scored))
 
 
 # ---------------------------------------------------------------- roll-ups
 
-_M = """count(*) AS works, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure, count(*) FILTER (is_completed) AS completed,
-  count(*) FILTER (risk_band = 'High') AS high_risk, count(*) FILTER (risk_band <> 'Low') AS flagged, round(avg(risk_score), 9) AS mean_risk, round(avg(confidence), 9) AS mean_confidence"""
+def _half_up(c: str, digits: int, to: int) -> str:
+    total, n, step = f"sum(round({c} * {10**digits})::BIGINT)::BIGINT", f"count({c})", 10 ** (digits - to)
+    return f"((2 * {total} + {step} * {n}) // (2 * {step} * {n})) / {10.0**to}::DOUBLE"
+
+
+_M = f"""count(*) AS works, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure, count(*) FILTER (is_completed) AS completed,
+  count(*) FILTER (risk_band = 'High') AS high_risk, count(*) FILTER (risk_band <> 'Low') AS flagged, {_half_up('risk_score', 2, 1)} AS mean_risk, {_half_up('confidence', 3, 3)} AS mean_confidence"""
 _R = "round(expenditure / nullif(sanctioned, 0) * 100, 1) AS utilisation_pct, round(completed / works::DOUBLE * 100, 1) AS completion_pct, round(high_risk / works::DOUBLE * 100, 1) AS high_risk_pct"
 
 
@@ -529,39 +620,49 @@ def rollup_grouping_sets(spark, sf_dir, scored=_plain):
 
 
 @whole
-@query(sql.with_scores(f"SELECT *, {_R} FROM (SELECT {_M}, count(DISTINCT state) AS states, count(DISTINCT district) AS districts, count(DISTINCT mp_name) AS members FROM scored)"))
+@query(sql.with_scores("""SELECT *, round(expenditure / nullif(sanctioned, 0) * 100, 1) AS utilisation_pct, round(completed / works::DOUBLE * 100, 1) AS completion_pct FROM (SELECT count(*) AS works, count(DISTINCT state) AS states, count(DISTINCT district) AS districts,
+  count(DISTINCT mp_name) AS mps, sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS expenditure, count(*) FILTER (is_completed) AS completed,
+  count(*) FILTER (risk_band = 'High') AS high_risk, count(*) FILTER (risk_band <> 'Low') AS flagged FROM scored)"""))
 def national_summary(spark, sf_dir, scored=_plain):
     return rollups.national(scored(spark, sf_dir))
 
 
 @whole
-@query(sql.with_scores("""SELECT count(*) AS works, count(*) FILTER (risk_band = 'High') AS high, count(*) FILTER (risk_band = 'Medium') AS medium, count(*) FILTER (confidence_band = 'High') AS trusted,
-  coalesce(sum(CASE WHEN risk_band = 'High' THEN sanction_amount END::DECIMAL(20,2))::DOUBLE, 0) AS high_value, round(median(risk_score), 2) AS median_risk, round(max(risk_score), 2) AS max_risk FROM scored"""))
+@query(sql.with_scores(f"""SELECT count(*) AS works_total, count(*) FILTER (risk_band <> 'Low') AS works_requiring_review, count(*) FILTER (risk_band = 'High') AS high_priority, count(completion_date) AS works_completed, count(total_expenditure) AS works_with_expenditure,
+  sum(sanction_amount::DECIMAL(20,2))::DOUBLE AS total_sanctioned, coalesce(sum(total_expenditure::DECIMAL(20,2))::DOUBLE, 0) AS total_expenditure, {_half_up('data_completeness', 3, 3)} AS mean_data_completeness FROM scored"""))
 def dashboard(spark, sf_dir, scored=_plain):
     return rollups.dashboard(scored(spark, sf_dir))
 
 
 @whole
-@query(sql.with_scores("SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 2) AS share_pct FROM (SELECT risk_band, count(*) AS works, round(avg(risk_score), 2) AS mean_score, round(avg(confidence), 3) AS mean_confidence FROM scored GROUP BY 1)"))
+@query(sql.with_scores("SELECT *, round(works * 100 / sum(works) OVER ()::DOUBLE, 1) AS share_pct FROM (SELECT risk_band, count(*) AS works, sum(round(risk_score * 100)::BIGINT) / count(*)::DOUBLE / 100 AS mean_score, sum(round(confidence * 1000)::BIGINT) / count(*)::DOUBLE / 1000 AS mean_confidence FROM scored GROUP BY 1) ORDER BY list_position(['High', 'Medium', 'Low'], risk_band)"))
 def band_summary(spark, sf_dir, scored=_plain):
     return rollups.band_summary(scored(spark, sf_dir))
 
 
-def _series(table: str, day: str, amount: str, name: str) -> str:
-    return f"SELECT strftime({day}, '%Y-%m') AS month, count(*) AS n, sum({amount}::DECIMAL(20,2))::DOUBLE AS amount, '{name}' AS series FROM {table} WHERE {day} IS NOT NULL GROUP BY 1"
+@whole
+@query(_rollup_sql("state, district", "WHERE state = (SELECT min(n_name) FROM nation)"))
+def audience_state(spark, sf_dir, scored=_plain):
+    """What a state's authority reads: its districts."""
+    first = _t(spark, sf_dir, "nation").agg(F.min("n_name")).head()[0]
+    return reviews.audience_view(rollups.all_rollups(scored(spark, sf_dir)), "state", first).drop("mp_name", "primary_vendor", "level")
+
+
+def _series(where: str, day: str, amount: str, name: str) -> str:
+    return f"SELECT strftime({day}, '%Y-%m') AS month, count(*) AS count, sum({amount}::DECIMAL(20,2))::DOUBLE AS amount, '{name}' AS series FROM works WHERE {day} IS NOT NULL AND {where} GROUP BY 1"
 
 
-_MONTHS = " UNION ALL ".join([_series("works", "sanction_date", "sanction_amount", "sanctioned"), _series("works", "completion_date", "sanction_amount", "completed"), _series("payments", "paid_on", "amount", "paid")])
+_MONTHS = " UNION ALL ".join([_series("true", "sanction_date", "sanction_amount", "sanctioned"), _series("is_completed", "completion_date", "sanction_amount", "completed"), _series("total_expenditure IS NOT NULL", "first_payment_date", "total_expenditure", "expenditure")])
 
 
 @query(sql.with_works(_MONTHS))
 def monthly_series(spark, sf_dir):
-    return rollups.monthly(_works(spark, sf_dir), adapter.payments(spark, sf_dir))
+    return rollups.monthly(_works(spark, sf_dir))
 
 
-@query(sql.with_works(f"SELECT *, max(n) OVER () AS peak, sum(n) OVER ()::BIGINT AS total FROM ({_MONTHS}) WHERE series = 'paid'"))
+@query(sql.with_works(f"SELECT *, max(count) OVER () AS peak, sum(count) OVER ()::BIGINT AS total FROM ({_MONTHS}) WHERE series = 'expenditure'"))
 def trend_paid(spark, sf_dir):
-    return reviews.trend(monthly_series(spark, sf_dir), "paid")
+    return reviews.trend(monthly_series(spark, sf_dir), "expenditure")
 
 
 @whole
@@ -605,12 +706,14 @@ def queue_filter(spark, sf_dir, scored=_plain):
 
 
 def _log(spark, sf_dir):
+    """Events as entries; one event in 4,001 clears all before it."""
     e = _t(spark, sf_dir, "events")
     status = F.when(F.col("event_id") % 6 == 0, None).otherwise(F.element_at(F.array(*[F.lit(s) for s in reviews.STATUSES]), (F.col("event_id") % 5 + 1).cast("int")))
-    return e.select(F.col("user_id").cast("string").alias("work_id"), status.alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+    return e.select(F.when(F.col("event_id") % 4001 != 0, F.col("user_id").cast("string")).alias("work_id"), status.alias("status"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
-_LOG = f"log AS (SELECT user_id::VARCHAR AS work_id, CASE WHEN event_id % 6 <> 0 THEN [{', '.join(repr(s) for s in reviews.STATUSES)}][event_id % 5 + 1] END AS status, ts AS at_, event_id AS seq FROM events), latest AS (SELECT work_id, status, seq FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY at_ DESC, seq DESC) AS n FROM log) WHERE n = 1 AND status IS NOT NULL)"
+_LOG = f"""log AS (SELECT CASE WHEN event_id % 4001 <> 0 THEN user_id::VARCHAR END AS work_id, CASE WHEN event_id % 6 <> 0 THEN [{', '.join(repr(s) for s in reviews.STATUSES)}][event_id % 5 + 1] END AS status, ts AS at_, event_id AS seq FROM events),
+latest AS (SELECT work_id, status, seq FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY at_ DESC, seq DESC) AS n FROM log WHERE work_id IS NOT NULL AND ((SELECT max((at_, seq)) FROM log WHERE work_id IS NULL) IS NULL OR (at_, seq) > (SELECT max((at_, seq)) FROM log WHERE work_id IS NULL))) WHERE n = 1 AND status <> 'not_reviewed')"""
 
 
 @query(f"WITH {_LOG} SELECT * FROM latest")
@@ -653,24 +756,47 @@ def points_breakdown(spark, sf_dir, scored=_plain):
     return out.select("work_id", F.when(F.size("material") < len(_names(scored)), F.col("other_points")).alias("other_points"), F.size("material").cast("long").alias("material"))
 
 
-@query()
-def sparse_records(spark, sf_dir):
-    return sinks.records(sinks.index(register.scored(spark, sf_dir)))
+_KEYS = ("confidence_band", "district", "primary_reason", "risk_band", "risk_score", "sanction_amount", "state", "work_category", "work_description", "work_id", "work_status", "work_type", "confidence")
+
+
+@whole
+@query(sql.with_scores(f"""SELECT work_id, concat_ws(',', {", ".join("'primary_reason'" if k == "primary_reason" else f"CASE WHEN nullif({k}::VARCHAR, '') IS NOT NULL THEN '{k}' END" for k in sorted(_KEYS))}) AS keys, round(sanction_amount, 4) AS sanction_amount, round(confidence, 4) AS confidence,
+  CASE WHEN length(work_description) > 90 THEN work_description[:90] || '…' ELSE work_description END AS work_description FROM scored"""))
+def sparse_records(spark, sf_dir, scored=_plain):
+    """The index as JSON texts, read back: which keys a record has, and some values."""
+    found = sinks.records(sinks.index(scored(spark, sf_dir))).withColumn("r", F.from_json("record", "sanction_amount double, confidence double, work_description string"))
+    return found.select("work_id", F.array_join(F.sort_array(F.json_object_keys("record")), ",").alias("keys"), "r.sanction_amount", "r.confidence", "r.work_description")
+
+
+_ODD = "CASE c_custkey % 4 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE ELSE c_acctbal / 7 END"
 
 
-@query(f"""WITH {_GRAMS.rpartition("SELECT doc_id AS work_id")[0]}, s AS (SELECT doc_id, b, round(s, 3) AS similarity_score FROM used JOIN top ON doc_id = a WHERE s >= 0.62),
+@query(f"SELECT c_custkey, CASE WHEN isfinite({_ODD}) THEN round({_ODD}, 4) END AS number, CASE WHEN c_custkey % 3 <> 0 THEN '2001-02-03' END AS day, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS name FROM customer")
+def cleaned_values(spark, sf_dir):
+    k = F.col("c_custkey")
+    odd = F.when(k % 4 == 0, F.lit(float("nan"))).when(k % 4 == 1, F.lit(float("inf"))).otherwise(F.col("c_acctbal") / 7)
+    own = _t(spark, sf_dir, "customer").select("c_custkey", odd.alias("number"), F.when(k % 3 != 0, F.lit("2001-02-03").cast("timestamp")).alias("day"), F.when(k % 5 != 0, F.col("c_name")).otherwise("").alias("name"))
+    return sinks.cleaned(own)
+
+
+_PAIRED = _GRAMS.rpartition("SELECT doc_id AS work_id")[0]
+
+
+@query(f"""WITH {_PAIRED}, s AS (SELECT doc_id, b, round(s, 3) AS similarity_score FROM used JOIN top ON doc_id = a WHERE s >= 0.62),
 p AS (SELECT least(doc_id, b)::VARCHAR || '||' || greatest(doc_id, b)::VARCHAR AS pair_key, doc_id, similarity_score FROM s)
 SELECT pair_key, similarity_score FROM (SELECT *, row_number() OVER (PARTITION BY pair_key ORDER BY similarity_score DESC, doc_id) AS n FROM p) WHERE n = 1 ORDER BY similarity_score DESC, pair_key LIMIT 200""")
 def similar_pairs(spark, sf_dir):
-    found = similarity.similarity(_described(spark, sf_dir, 60)).withColumn("risk_score", F.lit(0.0))
+    found = similarity.similarity(_described(spark, sf_dir)).withColumn("risk_score", F.lit(0.0))
     return similarity.top_pairs(found).select("pair_key", "similarity_score")
 
 
-@query()
-def similar_pairs_full(spark, sf_dir):
-    """Whole texts."""
-    found = similarity.similarity_by_block(_described(spark, sf_dir)).withColumn("risk_score", F.lit(0.0))
-    return similarity.top_pairs(found).select("pair_key", "similarity_score")
+@query(f"""WITH {_PAIRED}, s AS (SELECT doc_id, b FROM used JOIN top ON doc_id = a WHERE s >= 0.62)
+SELECT doc_id AS work_id, b AS similar_work_id, lang AS similar_description, n_chars::DOUBLE AS similar_amount FROM s JOIN (SELECT doc_id AS b, lang, n_chars FROM documents) USING (b)""")
+def pairs_with_works(spark, sf_dir):
+    """Each pair with its partner's own fields."""
+    found = similarity.similarity(_described(spark, sf_dir)).where("similar_work_id IS NOT NULL").select("work_id", "similar_work_id")
+    works = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("work_id"), F.col("lang").alias("work_description"), F.col("n_chars").cast("double").alias("sanction_amount"))
+    return reviews.pairs_with_works(found, works).select("work_id", "similar_work_id", "similar_description", "similar_amount")
 
 
 # --------------------------------------------------- evaluation, benchmark
@@ -692,9 +818,11 @@ def average_precision(spark, sf_dir):
     return evaluation.average_precision(_labelled(spark, sf_dir), "s", "y")
 
 
-@query(f"WITH l AS ({_LAB}), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM l), b AS (SELECT sum(y) AS total, count(*) AS rows FROM l), k AS (SELECT unnest([25, 50, 100]) AS k) SELECT k, round(sum(y) / count(*)::DOUBLE, 6) AS precision_at_k, round(sum(y) / any_value(total)::DOUBLE, 6) AS recall_at_k, round(sum(y) / count(*)::DOUBLE / (any_value(total) / any_value(rows)::DOUBLE), 6) AS lift FROM n, b, k WHERE n <= k GROUP BY k")
+@query(f"""WITH l AS ({_LAB}), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM l), b AS (SELECT sum(y)::BIGINT AS total, count(*) AS rows FROM l), k AS (SELECT DISTINCT least(unnest([25, 50, 100, 100000000]), rows) AS k, total, rows FROM b)
+SELECT k, sum(y)::BIGINT AS caught, any_value(total) AS of_total, round(sum(y) / k::DOUBLE, 3) AS precision_at_k, round(sum(y) / any_value(total)::DOUBLE, 3) AS recall_at_k, round(sum(y) / k::DOUBLE / (any_value(total) / any_value(rows)::DOUBLE), 2) AS lift FROM n JOIN k ON n <= k GROUP BY k""")
 def precision_at_k(spark, sf_dir):
-    return evaluation.at_k(_labelled(spark, sf_dir), "s", "y", "doc_id")
+    """k is never more than there are rows."""
+    return evaluation.at_k(_labelled(spark, sf_dir), "s", "y", "doc_id", (25, 50, 100, 100_000_000))
 
 
 @query(f"WITH l AS ({_LAB}), n AS (SELECT *, row_number() OVER (ORDER BY s DESC, doc_id) AS n FROM l) SELECT lang, count(*) AS planted, round(avg((n <= 100)::INT::DOUBLE), 6) AS recall, round(avg(s), 4) AS mean_score FROM n WHERE y = 1 GROUP BY lang")
@@ -708,34 +836,52 @@ def benchmark_run(spark, sf_dir):
     return evaluation.evaluate(benchmark.run(datagen.generate(spark)), "risk_score", "is_anomaly", "project_id")
 
 
-def _projects(spark, sf_dir):
-    """Orders as the benchmark's projects."""
-    k = F.col("o_orderkey")
-    kinds = list(benchmark.EXPECTED_DAYS)
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("last"), F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).cast("double").alias("spent"))
-    own = _t(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
-    return own.select(k.alias("project_id"), F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % len(kinds) + 1).cast("int")).alias("work_category"), F.col("o_orderdate").cast("date").alias("sanction_date"), F.col("last").alias("actual_completion_date"),
-                      F.col("o_totalprice").alias("sanctioned_cost"), F.col("spent").alias("expenditure"), (k % 101).cast("double").alias("physical_progress_pct"))
+_projects = adapter.projects
+_V1 = ("peer_median_cost", "cost_robust_z", "delay_ratio", "expenditure_ratio_pct", "progress_gap_pct", "cost_escalation_pct", "agency_work_share", "agency_value_share", "data_completeness")
+
+
+def _v1_signals(spark, sf_dir):
+    return benchmark.signals(stored(benchmark.features(stored(_projects(spark, sf_dir)))))
+
 
+def _v1_scored(spark, sf_dir):
+    """With the four detectors that SQL can follow."""
+    none = {"signal_duplicate": F.lit(0.0), "signal_multivariate": F.lit(0.0), "duplicate_match_id": F.lit("")}
+    return benchmark.score(_v1_signals(spark, sf_dir).withColumns(none))
 
-_KINDS = list(benchmark.EXPECTED_DAYS)
-_PROJECTS = f"""lines AS (SELECT l_orderkey, max(l_shipdate)::DATE AS last, sum(l_extendedprice::DECIMAL(20,2))::DOUBLE AS spent FROM lineitem GROUP BY 1),
-projects AS (SELECT o_orderkey AS project_id, [{", ".join(str(float(benchmark.EXPECTED_DAYS[c])) for c in _KINDS)}][o_orderkey % {len(_KINDS)} + 1]::DOUBLE AS expected, (coalesce(last, DATE '2026-09-01') - o_orderdate::DATE)::DOUBLE AS elapsed, spent / o_totalprice * 100 - (o_orderkey % 101) AS gap FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey)"""
 
+@query(sql.with_projects(f"SELECT project_id, peer_size, peer_cost_percentile, elapsed_days, expected_duration_days, overrun_days, {', '.join(f'round({c}, 6) AS {c}' for c in _V1)} FROM v1_features"))
+def v1_features(spark, sf_dir):
+    own = benchmark.features(stored(_projects(spark, sf_dir)))
+    return own.select("project_id", "peer_size", "peer_cost_percentile", "elapsed_days", "expected_duration_days", "overrun_days", *[F.round(c, 6).alias(c) for c in _V1])
 
-@query(f"WITH {_PROJECTS} SELECT project_id, round(greatest(0, least(1, (greatest(elapsed - expected, 0) / expected - 0.25) / 1.0::DOUBLE)), 6) AS signal FROM projects")
-def v1_delay(spark, sf_dir):
-    p = _projects(spark, sf_dir)
-    elapsed = F.date_diff(F.coalesce(F.col("actual_completion_date"), F.lit("2026-09-01").cast("date")), F.col("sanction_date"))
-    expected = benchmark.expected_days(F.col("work_category"))
-    out = p.withColumn("delay_ratio", F.greatest(elapsed - expected, F.lit(0.0)) / expected)
-    return out.select("project_id", F.round(benchmark.delay(benchmark.BenchmarkConfig()), 6).alias("signal"))
 
+@query(sql.with_projects(f"SELECT project_id, {', '.join(f'round(signal_{n}, 6) AS signal_{n}' for n in sql.V1_LIVE)}, compliance_reasons FROM v1_signals"))
+def v1_signals(spark, sf_dir):
+    return _v1_signals(spark, sf_dir).select("project_id", *[F.round(f"signal_{n}", 6).alias(f"signal_{n}") for n in sql.V1_LIVE], "compliance_reasons")
 
-@query(f"WITH {_PROJECTS} SELECT project_id, round(coalesce(greatest(0, least(1, (gap - 15) / 35.0::DOUBLE)), 0), 6) AS signal FROM (SELECT project_id, CASE WHEN gap IS NULL THEN NULL ELSE gap END AS gap FROM projects) WHERE gap IS NOT NULL UNION ALL SELECT project_id, 0 FROM projects WHERE gap IS NULL")
-def v1_mismatch(spark, sf_dir):
-    out = _projects(spark, sf_dir).withColumn("progress_gap_pct", F.col("expenditure") / F.col("sanctioned_cost") * 100 - F.col("physical_progress_pct"))
-    return out.select("project_id", F.round(benchmark.mismatch(benchmark.BenchmarkConfig()), 6).alias("signal"))
+
+@query(sql.with_projects(f"SELECT project_id, {', '.join(f'points_{n}' for n in sql.V1_LIVE)}, risk_score, risk_band, confidence, primary_reason, review_status FROM v1_scored"))
+def v1_scores(spark, sf_dir):
+    return _v1_scored(spark, sf_dir).select("project_id", *[f"points_{n}" for n in sql.V1_LIVE], "risk_score", "risk_band", "confidence", "primary_reason", "review_status")
+
+
+@query(sql.with_projects("SELECT project_id, state, effective_cost, risk_score, risk_band, confidence, review_status FROM v1_scored ORDER BY risk_score DESC, confidence DESC, project_id LIMIT 50"))
+def v1_queue(spark, sf_dir):
+    return benchmark.queue(_v1_scored(spark, sf_dir)).select("project_id", "state", "effective_cost", "risk_score", "risk_band", "confidence", "review_status")
+
+
+@query(sql.with_projects(f"""SELECT *, round(high_risk_works / works::DOUBLE, 3) AS high_risk_rate FROM (SELECT district, implementing_agency, count(*) AS works, coalesce(sum(effective_cost::DECIMAL(20,2))::DOUBLE, 0) AS total_cost, {_half_up('risk_score', 1, 1)} AS mean_risk,
+  count(*) FILTER (risk_band = 'High') AS high_risk_works FROM v1_scored GROUP BY ALL) WHERE works >= 5"""))
+def agency_rollup(spark, sf_dir):
+    return rollups.agencies(_v1_scored(spark, sf_dir))
+
+
+@query()
+def v1_duplicates(spark, sf_dir):
+    """Within a district, a category and 12 km; tested against brute force."""
+    found = similarity.similarity_nearby(_projects(spark, sf_dir))
+    return found.select("project_id", "similar_project_id", F.round("similarity_score", 6).alias("similarity_score"), F.round("signal_similarity", 6).alias("signal"))
 
 
 @query()
@@ -751,6 +897,8 @@ def event_windows(spark, sf_dir):
     return alerts.windowed_counts(_t(spark, sf_dir, "events"))
 
 
-@query()
+@query("""SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, run""")
 def event_sessions(spark, sf_dir):
-    return alerts.sessions(_t(spark, sf_dir, "events"))
+    out = alerts.sessions(_t(spark, sf_dir, "events"))
+    return out.withColumn("session_start", F.date_format(F.col("session_start").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"))

@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from workrisk.config import RiskConfig
 from workrisk.operators import build, detectors, multivariate, peers, scoring, similarity
 from workrisk.plans import adapter
-from workrisk.plans.storage import stored
+from workrisk.plans.storage import kept, stamp, stored
+
+#: Tables that the register is built from.
+TABLES = ("orders", "customer", "nation", "lineitem", "part")
 
 
 def build_works(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,30 +18,48 @@ def build_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.unify(adapter.spine(spark, sf_dir), adapter.completed(spark, sf_dir), adapter.payments(spark, sf_dir), matched, adapter.AS_OF)
 
 
-def prepare(works: DataFrame, config: RiskConfig) -> DataFrame:
-    """Peer groups, their statistics, and the row-wise signals. Works with their
-    groups are stored, since every statistic reads them again."""
-    return detectors.detect(features(works, config), config)
+CONFIG = RiskConfig(min_peer_group=adapter.PEERS)
 
 
 def features(works: DataFrame, config: RiskConfig) -> DataFrame:
-    return stored(peers.peer_statistics(stored(peers.assign_peers(stored(works), config.min_peer_group))))
+    """Peer groups and their statistics; works with their groups are stored, since
+    every statistic reads them again."""
+    return peers.peer_statistics(stored(peers.assign_peers(works, config.min_peer_group)))
+
+
+def evidence(featured: DataFrame, config: RiskConfig, full: bool = True) -> DataFrame:
+    """Signals, points, bands and confidence; all six detectors, or the row-wise
+    four."""
+    out = detectors.detect(featured, config)
+    if full:
+        out = similarity.similarity(out, config.similarity_floor, config.similarity_block)
+        out = multivariate.multivariate(stored(out), config)
+    return scoring.score(out, config)
 
 
-def score_works(works: DataFrame, config: RiskConfig = RiskConfig(), similar: bool = True, unusual: bool = True) -> DataFrame:
+def score_works(works: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """All detectors, points, bands, confidence, explanations and briefings."""
-    out = prepare(works, config)
-    if similar:
-        out = similarity.similarity_by_block(out, config.similarity_floor, config.similarity_block)
-    if unusual:
-        out = multivariate.multivariate(out, config)
-    return scoring.narrate(stored(scoring.score(out, config)))
+    return scoring.narrate(stored(evidence(stored(features(stored(works), config)), config)))
+
+
+def _shared(spark: SparkSession, sf_dir: str, what: str, make) -> DataFrame:
+    """make(), stored once for all queries over the same files."""
+    return kept(spark, (what, *(stamp(spark, f"{sf_dir}/{t}.parquet") for t in TABLES)), make)
+
+
+def shared_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir, "works", lambda: build_works(spark, sf_dir))
+
+
+def shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir, "features", lambda: features(shared_works(spark, sf_dir), CONFIG))
 
 
-def scored(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return score_works(build_works(spark, sf_dir), RiskConfig(min_peer_group=adapter.PEERS), **options)
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All detectors."""
+    return scoring.narrate(_shared(spark, sf_dir, "scored", lambda: evidence(shared_features(spark, sf_dir), CONFIG, True)))
 
 
 def plain_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the two detectors that SQL can't express."""
-    return scored(spark, sf_dir, similar=False, unusual=False)
+    return scoring.narrate(_shared(spark, sf_dir, "plain", lambda: evidence(shared_features(spark, sf_dir), CONFIG, False)))

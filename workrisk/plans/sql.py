@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from workrisk.config import CAPS, PEER_STRENGTH, RULES, RiskConfig
-from workrisk.plans.adapter import AS_OF, PEERS
+from workrisk.config import BENCHMARK_CAPS, BENCHMARK_LABELS, CAPS, EXPECTED_DAYS, INADMISSIBLE, PEER_STRENGTH, RULES, BenchmarkConfig, RiskConfig
+from workrisk.plans.adapter import AS_OF, CATEGORIES, PEERS
 
 CONFIG = RiskConfig(min_peer_group=PEERS)
 SIGNALS = ("cost_deviation", "timeline", "expenditure_consistency", "compliance")
 
 SPINE = """
 spine AS (
-  SELECT o_orderkey::VARCHAR AS work_id, o_orderkey AS k, n_name AS state, n_name || '/' || c_mktsegment AS district, c_name AS mp_name,
-    'Work on ' || lower(o_orderpriority) || ' lot ' || (o_orderkey % 97)::VARCHAR AS work_description, o_orderpriority AS work_category,
-    o_totalprice AS sanction_amount, o_orderdate::DATE AS sanction_date, o_orderdate::DATE - (o_orderkey % 300)::INT AS recommended_date, o_orderstatus AS work_status
+  SELECT o_orderkey::VARCHAR AS work_id, o_orderkey AS k, n_name AS state, CASE WHEN o_orderkey % 59 <> 0 THEN n_name || '/' || c_mktsegment END AS district, c_name AS mp_name,
+    CASE WHEN o_orderkey % 53 = 0 THEN '?????? ???' ELSE 'Work on ' || lower(o_orderpriority) END || ' lot ' || (o_orderkey % 97)::VARCHAR AS work_description, o_orderpriority AS work_category,
+    o_totalprice AS sanction_amount, o_orderdate::DATE AS sanction_date, o_orderdate::DATE - (o_orderkey % 300)::INT AS recommended_date, CASE WHEN o_orderkey % 37 = 0 THEN 'Work Completed' WHEN o_orderkey % 31 = 0 THEN 'Physical Inspection' WHEN o_orderkey % 29 = 0 THEN 'Vendor Identification' WHEN o_orderkey % 71 = 0 THEN 'Time Estimation'
+      WHEN o_orderkey % 73 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 'Work Completed' WHEN 'P' THEN 'Work partially Completed' ELSE 'Sanction' END END AS work_status
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 )"""
 PAYMENTS = """
@@ -49,7 +50,7 @@ rollup_ AS (
 paid AS (
   SELECT r.*, t.work_type, v.vendor AS primary_vendor FROM rollup_ r LEFT JOIN {_mode("work_type")} t USING (work_id) LEFT JOIN {_mode("vendor")} v USING (work_id)
 )"""
-_HAVE = ("sanction_amount", "sanction_date", "recommended_date", "work_description", "district", "mp_name", "work_type", "total_expenditure")
+_HAVE = ("sanction_amount", "sanction_date", "recommended_date", "work_description", "state", "district", "work_status", "total_expenditure")
 WORKS = f"""
 works AS (
   SELECT *, round(({" + ".join(f"({c} IS NOT NULL)::INT" for c in _HAVE)}) / 8.0::DOUBLE, 3) AS data_completeness FROM (
@@ -57,7 +58,8 @@ works AS (
     (sanction_amount - recommended_amount) / nullif(recommended_amount, 0) * 100 AS sanction_uplift_pct, recommended_amount IS NOT NULL AS has_recommendation,
     total_expenditure / nullif(sanction_amount, 0) AS expenditure_ratio, total_expenditure IS NOT NULL AS has_expenditure, completion_date IS NOT NULL AS is_completed,
     sanction_date - recommended_date AS days_recommendation_to_sanction, coalesce(completion_date, DATE '{AS_OF}') - sanction_date AS days_sanction_to_reference,
-    CASE WHEN completion_date IS NOT NULL THEN 'completion' ELSE 'as-of date' END AS age_basis,
+    CASE WHEN completion_date IS NOT NULL THEN 'completion_date' ELSE 'as_of_date' END AS age_basis, work_type IS NOT NULL AS has_work_type,
+    length(work_description) > 0 AND length(work_description) - length(replace(work_description, '?', '')) >= 0.30::DOUBLE * length(work_description) AS description_is_mojibake,
     trim(regexp_replace(regexp_replace(lower(work_description), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS description_normalised
   FROM spine s LEFT JOIN completed c USING (work_id) LEFT JOIN paid p USING (work_id)
     LEFT JOIN (SELECT work_id, recommended_amount, recommended_on FROM recommended WHERE work_id IS NOT NULL) r USING (work_id)))"""
@@ -96,11 +98,11 @@ ranked AS (
 feats AS (
   SELECT l.*, m.peer_median_cost, m.peer_median_duration, k.peer_cost_percentile,
     coalesce((log_amount - mid) / nullif(1.4826::DOUBLE * mad, 0), (log_amount - mid) / nullif(std, 0), 0) AS cost_robust_z,
-    CASE WHEN m.peer_median_duration > 0 THEN days_sanction_to_reference / m.peer_median_duration END AS duration_ratio,
+    days_sanction_to_reference / nullif(m.peer_median_duration, 0) AS duration_ratio,
     CASE WHEN is_completed AND has_expenditure THEN 1 - least(expenditure_ratio, 1) END AS underspend_gap,
     count(*) OVER (PARTITION BY district) AS district_work_count,
     CASE WHEN primary_vendor IS NOT NULL THEN count(*) OVER (PARTITION BY district, primary_vendor) END / count(*) OVER (PARTITION BY district)::DOUBLE AS vendor_district_share,
-    count(*) OVER (PARTITION BY district, description_normalised) AS identical_description_count
+    CASE WHEN description_normalised IS NOT NULL AND NOT description_is_mojibake THEN count(*) OVER (PARTITION BY district, description_normalised) END AS identical_description_count
   FROM logs l LEFT JOIN mids m ON l.peer_key = m.peer_key LEFT JOIN mads a ON l.peer_key = a.peer_key LEFT JOIN ranked k ON l.work_id = k.work_id
 )"""
 _CONDITIONS = {
@@ -140,7 +142,7 @@ pointed AS (
 rated AS (
   SELECT *, round({" + ".join(f"points_{n}" for n in SIGNALS)}, 2) AS risk_score,
     {" + ".join(f"(signal_{n} IS NOT NULL)::INT" for n in SIGNALS)} AS detectors_evaluated,
-    round(0.7 * CASE peer_level {" ".join(f"WHEN '{k}' THEN {v}" for k, v in PEER_STRENGTH.items())} ELSE 0 END::DOUBLE + 0.3 * least(peer_size / 32.0::DOUBLE, 1), 3) AS peer_strength
+    round(0.7 * CASE peer_level {" ".join(f"WHEN '{k}' THEN {v}" for k, v in PEER_STRENGTH.items())} ELSE 0 END::DOUBLE + 0.3 * least(peer_size / {4.0 * PEERS}::DOUBLE, 1), 3) AS peer_strength
   FROM pointed
 ),
 trusted AS (
@@ -154,8 +156,8 @@ def with_works(query: str) -> str:
     return f"WITH {BASE} {query}"
 
 
-def with_features(query: str) -> str:
-    return f"WITH {BASE},{_cascade()},{FEATURES} {query}"
+def with_features(query: str, more: str = "") -> str:
+    return f"WITH {BASE},{_cascade()},{FEATURES}{',' + more if more else ''} {query}"
 
 
 def with_signals(query: str) -> str:
@@ -164,3 +166,81 @@ def with_signals(query: str) -> str:
 
 def with_scores(query: str, more: str = "") -> str:
     return f"WITH {BASE},{_cascade()},{FEATURES},{DETECTED},{SCORED}{',' + more if more else ''} {query}"
+
+
+# ------------------------------------------------------------ the benchmark
+
+_B = BenchmarkConfig()
+
+
+def _kind_list() -> str:
+    return ", ".join("NULL" if c is None else f"'{c}'" for c in CATEGORIES)
+
+
+PROJECTS = f"""
+lines AS (SELECT l_orderkey, max(l_shipdate)::DATE AS last, sum(l_extendedprice::DECIMAL(20,2))::DOUBLE AS spent FROM lineitem GROUP BY 1),
+projects AS (
+  SELECT *, CASE WHEN k % 4 <> 0 THEN CASE WHEN k % 9 = 0 THEN round(sanctioned_cost * 1.2::DOUBLE, 0) ELSE sanctioned_cost END END AS revised_cost FROM (
+  SELECT o_orderkey AS k, 'P' || o_orderkey AS project_id, n_name AS state, CASE WHEN o_orderkey % 59 <> 0 THEN n_name || '/' || c_mktsegment END AS district, [{_kind_list()}][o_orderkey % {len(CATEGORIES)} + 1] AS work_category,
+    CASE WHEN o_orderkey % 43 <> 0 THEN 'Agency ' || (o_orderkey % 3) END AS implementing_agency, CASE WHEN o_orderkey % 79 <> 0 THEN o_orderdate::DATE END AS sanction_date,
+    CASE WHEN o_orderkey % 5 <> 0 THEN last END AS actual_completion_date, round(o_totalprice * 30, 0) AS sanctioned_cost, CASE WHEN o_orderkey % 8 <> 0 THEN spent * 30 END AS expenditure,
+    CASE WHEN o_orderkey % 23 <> 0 THEN (o_orderkey % 101)::DOUBLE END AS physical_progress_pct, CASE WHEN o_orderkey % 2 = 0 THEN 'Completed' WHEN o_orderkey % 3 = 0 THEN 'In progress' END AS status,
+    CASE WHEN o_orderkey % 41 <> 0 THEN 1 END AS latitude, o_orderstatus = 'F' AS risk_label, 'Construction of lot ' || (o_orderkey % 211) || ' for ' || lower(o_orderpriority) AS work_description
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN lines ON l_orderkey = o_orderkey)
+)"""
+_MIDDLE = sorted(EXPECTED_DAYS.values())
+_MIDDLE = (_MIDDLE[(len(_MIDDLE) - 1) // 2] + _MIDDLE[len(_MIDDLE) // 2]) / 2
+_DAYS = " ".join(f"WHEN '{c}' THEN {float(d)}" for c, d in EXPECTED_DAYS.items())
+V1_FEATURES = f"""
+v1_cost AS (SELECT *, coalesce(revised_cost, sanctioned_cost) AS effective_cost, coalesce(work_category, 'nan') || ' | ' || state AS peer_group FROM projects),
+v1_mid AS (SELECT peer_group, median(effective_cost) AS peer_median_cost, stddev_samp(effective_cost) AS std, count(*) AS peer_size FROM v1_cost GROUP BY 1),
+v1_mad AS (SELECT peer_group, median(abs(effective_cost - peer_median_cost)) AS mad FROM v1_cost JOIN v1_mid USING (peer_group) GROUP BY 1),
+v1_rank AS (SELECT project_id, (rank() OVER (PARTITION BY peer_group ORDER BY effective_cost) + (count(*) OVER (PARTITION BY peer_group, effective_cost) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY peer_group) AS r
+  FROM v1_cost WHERE effective_cost IS NOT NULL),
+v1_agency AS (
+  SELECT district, implementing_agency, count(*) AS own_works, sum(effective_cost::DECIMAL(20,2))::DOUBLE AS own_cost FROM v1_cost WHERE district IS NOT NULL GROUP BY ALL),
+v1_district AS (SELECT district, count(*) AS works, sum(effective_cost::DECIMAL(20,2))::DOUBLE AS cost FROM v1_cost WHERE district IS NOT NULL GROUP BY ALL),
+v1_timed AS (
+  SELECT c.*, peer_median_cost, peer_size, round(coalesce(r, 0.5::DOUBLE) * 100, 1) AS peer_cost_percentile,
+    coalesce((effective_cost - peer_median_cost) / nullif(1.4826::DOUBLE * mad, 0), (effective_cost - peer_median_cost) / nullif(std, 0), 0) * CASE WHEN peer_size < {_B.min_peer_group} THEN 0.4::DOUBLE ELSE 1 END AS cost_robust_z,
+    coalesce(actual_completion_date, DATE '{_B.as_of}') - sanction_date AS elapsed_days, CASE work_category {_DAYS} ELSE {_MIDDLE} END::DOUBLE AS expected_duration_days,
+    expenditure / nullif(effective_cost, 0) * 100 AS expenditure_ratio_pct, coalesce((revised_cost - sanctioned_cost) / nullif(sanctioned_cost, 0) * 100, 0) AS cost_escalation_pct,
+    ({" + ".join(f"(c.{f} IS NOT NULL)::INT" for f in _B.confidence_fields)}) / {len(_B.confidence_fields)}::DOUBLE AS data_completeness,
+    own_works / works::DOUBLE AS agency_work_share, own_cost / nullif(cost, 0) AS agency_value_share
+  FROM v1_cost c JOIN v1_mid USING (peer_group) JOIN v1_mad USING (peer_group) LEFT JOIN v1_rank USING (project_id)
+    LEFT JOIN v1_district d ON c.district = d.district LEFT JOIN v1_agency a ON c.district = a.district AND c.implementing_agency IS NOT DISTINCT FROM a.implementing_agency),
+v1_features AS (
+  SELECT *, expenditure_ratio_pct - physical_progress_pct AS progress_gap_pct, overrun_days / expected_duration_days AS raw_delay, coalesce(overrun_days / expected_duration_days, 0) AS delay_ratio
+  FROM (SELECT *, CASE WHEN elapsed_days IS NOT NULL THEN greatest(elapsed_days - expected_duration_days, 0) END AS overrun_days FROM v1_timed))"""
+
+
+def _rise(x: str, floor: float, full: float) -> str:
+    return f"greatest(0::DOUBLE, least(1::DOUBLE, coalesce({x} - {floor}::DOUBLE, 0) / {full - floor}::DOUBLE))"
+
+
+_RULES = [
+    ("Work category is inadmissible under MPLADS guidelines", f"work_category IN ({', '.join(repr(c) for c in INADMISSIBLE)})", 1.0),
+    (f"Sanctioned cost exceeds the single-work ceiling of Rs {_B.ceiling:,.0f}", f"effective_cost > {_B.ceiling}", 0.8),
+    (f"Cost revised upward by more than {_B.escalation_percent:.0f}% without re-sanction", f"cost_escalation_pct > {_B.escalation_percent}", 0.5),
+    ("Expenditure booked exceeds the sanctioned amount", "expenditure_ratio_pct > 100.5", 0.7),
+    ("Reported as fully progressed but not closed as completed", "physical_progress_pct >= 99.5 AND status IS DISTINCT FROM 'Completed'", 0.3),
+    ("Implementing agency holds an unusually large share of the district''s works", "agency_work_share > 0.45", 0.3),
+]
+V1_SIGNALS = f"""
+v1_signals AS (SELECT *, least(1::DOUBLE, greatest(cost_robust_z, 0) / {_B.cost_z_full}::DOUBLE) AS signal_cost_deviation, {_rise("delay_ratio", _B.delay_floor, _B.delay_full)} AS signal_delay,
+  {_rise("progress_gap_pct", _B.mismatch_floor, _B.mismatch_full)} AS signal_expenditure_mismatch, least(1::DOUBLE, {" + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for _, c, w in _RULES)}) AS signal_compliance,
+  concat_ws('; ', {", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c, _ in _RULES)}) AS compliance_reasons FROM v1_features)"""
+V1_LIVE = ("cost_deviation", "delay", "expenditure_mismatch", "compliance")
+_V = {n: f"(-ln(1 - {BENCHMARK_CAPS[n]}::DOUBLE * least(signal_{n}, 0.999::DOUBLE)))" for n in V1_LIVE}
+_PLACES = list(BENCHMARK_LABELS)
+V1_SCORED = f"""
+v1_summed AS (SELECT *, {" + ".join(_V.values())} AS total_ FROM v1_signals),
+v1_pointed AS (SELECT *, {", ".join(f"CASE WHEN total_ > 0 THEN round({_V[n]} / total_ * 100 * (1 - exp(-total_)), 2) + 0.0::DOUBLE ELSE 0 END AS points_{n}" for n in V1_LIVE)}, round(100 * (1 - exp(-total_)), 1) AS risk_score,
+  round(0.7::DOUBLE * data_completeness + 0.3::DOUBLE * least(peer_size / {float(_B.min_peer_group)}::DOUBLE, 1), 3) AS confidence FROM v1_summed),
+v1_banded AS (SELECT *, CASE WHEN risk_score >= {_B.band_high} THEN 'High' WHEN risk_score >= {_B.band_medium} THEN 'Medium' ELSE 'Low' END AS risk_band FROM v1_pointed),
+v1_first AS (SELECT project_id, arg_max(label, (points, -place)) AS first FROM ({" UNION ALL ".join(f"SELECT project_id, points_{n} AS points, {_PLACES.index(n)} AS place, '{BENCHMARK_LABELS[n]}' AS label FROM v1_banded" for n in V1_LIVE)}) WHERE points >= 3 GROUP BY 1),
+v1_scored AS (SELECT b.*, coalesce(first, 'No material risk indicator') AS primary_reason, CASE WHEN risk_band = 'High' THEN 'Pending review' ELSE 'Not queued' END AS review_status FROM v1_banded b LEFT JOIN v1_first USING (project_id))"""
+
+
+def with_projects(query: str) -> str:
+    return f"WITH {PROJECTS},{V1_FEATURES},{V1_SIGNALS},{V1_SCORED} {query}"
