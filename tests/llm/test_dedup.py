@@ -172,6 +172,39 @@ def test_vectors_equal_brute_force(spark, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (c, low[i], low[i] == i), i
 
 
+@pytest.mark.parametrize("dims", [3, 64, 300])
+def test_rotations_keep_lengths_and_follow_the_axes(dims):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(200, dims)) * np.linspace(3, 0.1, dims)
+    own = p.principal(rows, p.LEAD)
+    new = p.Rotation.along(own).turn(rows)
+    k = own.shape[1]
+    assert np.allclose(new @ new.T, rows @ rows.T) and np.allclose(np.abs(new[:, :k]), np.abs(rows @ own), atol=1e-8)
+    assert (np.diff((new[:, :3] ** 2).sum(axis=0)) < 1e-6).all()
+
+
+@pytest.mark.parametrize("kind", ["double", "date", "decimal(10,2)", "string", "boolean"])
+def test_labels_of_any_type(spark, kind):
+    value = {"double": "0.5", "date": "2001-02-03", "decimal(10,2)": "1.25", "string": "a,1", "boolean": "true"}[kind]
+    other = {"double": "1.5", "date": "2001-02-04", "decimal(10,2)": "1.5", "string": "a", "boolean": "false"}[kind]
+    rows = [(1, [1.0, 2.0], value), (2, [2.0, 4.0], value), (3, [1.0, 2.0], other), (4, [1.0, 1.0, 2.0], other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, text string").selectExpr("vec_id", "embedding", f"CAST(text AS {kind}) AS label")
+    assert {r.vec_id: r.component_id for r in p.link(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_one_label_of_many_dimensions_and_extra_columns(spark):
+    """400 dimensions, a repeated vec_id, many copies, and columns that clash."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 400))
+    rows = [(k, (base[k % 12] + 0.03 * rng.normal(size=400)).tolist(), 1) for k in range(60)]
+    rows += [(100 + k, rows[0][1], 1) for k in range(40)] + [(5, rows[7][1], 1)]
+    counts, linked = brute(rows)
+    low = roots([r[0] for r in rows], linked)
+    df = spark.createDataFrame(rows, VECTORS).selectExpr("*", "'x' AS key", "1 AS links", "2 AS root", "3 AS home")
+    got = p.link(df, block=7).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((r[0], c, low[r[0]]) for r, c in zip(rows, counts, strict=True))
+
+
 def test_no_vectors(spark):
     assert p.link(spark.createDataFrame([], VECTORS)).count() == 0
 

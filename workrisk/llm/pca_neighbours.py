@@ -1,28 +1,30 @@
 """Near-duplicate vectors by tiles in the order of principal components.
 
-Unit vectors are rotated into the principal axes of their table, so that the
-leading coordinates hold most of every inner product. Vectors of a label are
-dealt into blocks along the first axis, and only blocks whose boxes in the
-leading coordinates are near enough form a tile. In a tile the product is
-accumulated a few coordinates at a time; what the rest can add is at most the
-product of the two suffix norms, so rows and columns without a pair that can
-still reach the threshold drop out, and the tile stops when none is left. The
-pairs that remain are decided by the cosine of the given vectors in doubles.
+Unit vectors are rotated so that the leading coordinates, along principal axes of
+a bounded sample of their table, hold most of every inner product; the others
+complete the rotation, which is a product of one reflection an axis and so costs
+the same a coordinate in 16 and in 4,096 dimensions. Vectors of a label are dealt
+into blocks along the first axis, and only blocks whose boxes in the leading
+coordinates are near enough form a tile. In a tile the product is accumulated a
+few coordinates at a time; what the rest can add is at most the product of the two
+suffix norms, so rows and columns without a pair that can still reach the
+threshold drop out, and the tile stops when none is left. The pairs that remain
+are decided by the cosine of the given vectors in doubles.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from workrisk.llm.common import written
+from workrisk.llm.common import discard, written
 from workrisk.llm.components import components
 
 BLOCK = 512
@@ -30,8 +32,11 @@ BLOCK = 512
 BOX, STEP = 4, 8
 #: Rotated coordinates are single precision; bounds get this much room.
 ROOM = 1e-4
-#: Above this many dimensions the axes are left as they are.
-MOST_AXES = 256
+#: Principal axes of a table, and numbers of the sample that they come from.
+LEAD, SAMPLE_NUMBERS = 64, 4_000_000
+#: Blocks next to each other that one task holds while others pass, and the
+#: numbers of a block and of such a group.
+HOME, BLOCK_NUMBERS, HOME_NUMBERS = 8, 1 << 20, 1 << 21
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,7 +46,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists(v, lambda x: x != 0)
     # adding 0 makes the two zeros one
-    text = F.concat_ws(",", F.col("label").cast("string"), F.transform(v, lambda x: (x + 0.0).cast("string")))
+    text = F.concat_ws(",", F.md5(F.col("label").cast("string").cast("binary")), F.transform(v, lambda x: (x + 0.0).cast("string")))
     rows = vectors.select("vec_id", "label", v.alias("vector"), F.when(usable, F.md5(text.cast("binary"))).alias("key"))
     kinds = rows.where("key IS NOT NULL").groupBy("key").agg(
         F.first("label").alias("label"), F.first("vector").alias("vector"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
@@ -49,27 +54,49 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "key"), kinds.withColumn("dims", F.size("vector"))
 
 
-def axes(kinds: DataFrame) -> dict[int, np.ndarray]:
-    """For each number of dimensions, the principal axes of the unit vectors,
-    from the sums of products over all of them (dims squared numbers arrive)."""
+@dataclass
+class Rotation:
+    """A rotation whose first coordinates lie along given axes: one reflection an
+    axis, applied in turn."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for dims, rows in unit_rows(batch.column(0)).items():
-                sums[dims] = sums.get(dims, 0) + rows[1].T @ rows[1]
-        for dims, total in sums.items():
-            cells = np.arange(dims * dims)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(dims * dims, dims)), pa.array(cells), pa.array(total.ravel())], ["dims", "cell", "total"])
-
-    some = kinds.where(F.col("dims") <= MOST_AXES).select("vector")
-    found: dict[int, np.ndarray] = {}
-    for r in some.mapInArrow(run, "dims long, cell long, total double").groupBy("dims", "cell").agg(F.sum("total").alias("total")).toLocalIterator():
-        found.setdefault(r.dims, np.zeros(r.dims * r.dims))[r.cell] = r.total
+    reflectors: np.ndarray
+    factors: np.ndarray
+
+    @classmethod
+    def along(cls, own: np.ndarray) -> Rotation:
+        """``own`` has orthonormal columns."""
+        raw, factors = np.linalg.qr(own, mode="raw")
+        reflectors = np.triu(raw, 1)[: own.shape[1]]
+        reflectors[np.arange(own.shape[1]), np.arange(own.shape[1])] = 1
+        return cls(np.ascontiguousarray(reflectors), factors)
+
+    def turn(self, rows: np.ndarray) -> np.ndarray:
+        out = rows.copy()
+        for v, f in zip(self.reflectors, self.factors, strict=True):
+            out -= np.outer(out @ v, f * v)
+        return out
+
+
+def principal(rows: np.ndarray, most: int, rounds: int = 4) -> np.ndarray:
+    """Leading principal axes of rows, as orthonormal columns (subspace iteration)."""
+    k = min(most, *rows.shape)
+    own = np.linalg.qr(np.random.default_rng(0).normal(size=(rows.shape[1], k)))[0]
+    for _ in range(rounds):
+        own = np.linalg.qr(rows.T @ (rows @ own))[0]
+    _, small = np.linalg.eigh((rows @ own).T @ (rows @ own))
+    return np.linalg.qr(own @ small[:, ::-1])[0]  # largest first
+
+
+def axes(kinds: DataFrame) -> dict[int, Rotation]:
+    """For each number of dimensions, a rotation along the principal axes of a
+    sample of SAMPLE_NUMBERS numbers (chosen by key; as many arrive). Any rotation
+    gives the same links, and a good one makes tiles stop early."""
+    total = kinds.agg(F.sum("dims")).head()[0] or 0
+    share = min(1.0, SAMPLE_NUMBERS / max(total, 1))
+    some = kinds.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy("key").select("vector").toArrow()
     out = {}
-    for dims, total in found.items():
-        _, own = np.linalg.eigh(total.reshape(dims, dims))
-        out[dims] = own[:, ::-1].copy()  # largest first
+    for dims, (_, rows) in unit_rows(some.column("vector").combine_chunks()).items() if some.num_rows else ():
+        out[dims] = Rotation.along(principal(rows, LEAD))
     return out
 
 
@@ -87,17 +114,18 @@ def unit_rows(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def make_blocks(kinds: DataFrame, rotation: dict[int, np.ndarray], block: int = BLOCK) -> DataFrame:
+def make_blocks(kinds: DataFrame, rotation: dict[int, Rotation], block: int = BLOCK) -> DataFrame:
     """Blocks of at most ``block`` classes of a label, along the first axis:
-    block, label, dims, low and high of the leading coordinates, and the rows."""
-    rotation_of = kinds.sparkSession.sparkContext.broadcast(rotation)  # MOST_AXES**2 numbers for each dims at most
+    block, home (the group that holds it), label, dims, low and high of the leading
+    coordinates, and the rows."""
+    rotation_of = kinds.sparkSession.sparkContext.broadcast(rotation)  # as many numbers as the sample at most
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lead, units = np.zeros(batch.num_rows), [b""] * batch.num_rows
             turned = [b""] * batch.num_rows
             for dims, (which, rows) in unit_rows(batch.column("vector")).items():
-                new = (rows @ rotation_of.value[dims] if dims in rotation_of.value else rows).astype("<f4")
+                new = (rotation_of.value[dims].turn(rows) if dims in rotation_of.value else rows).astype("<f4")
                 lead[which] = new[:, 0]
                 for i, u, r in zip(which.tolist(), rows, new, strict=True):
                     units[i], turned[i] = u.astype("<f8").tobytes(), r.tobytes()
@@ -106,36 +134,40 @@ def make_blocks(kinds: DataFrame, rotation: dict[int, np.ndarray], block: int =
             yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(lead), own[2], own[3], pa.array(units, pa.binary()), pa.array(turned, pa.binary())], names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, place, count = TaskContext.get().partitionId(), [], None, 0
+        part, held, place, count, home, room = TaskContext.get().partitionId(), [], None, 0, 0, (0, 0)
 
         def full() -> pa.RecordBatch:
-            nonlocal count
+            nonlocal count, home, room
             label, dims = place
+            if room[0] + 1 > HOME or room[1] + len(held) * dims > HOME_NUMBERS:
+                home, room = home + 1, (0, 0)
+            room = room[0] + 1, room[1] + len(held) * dims
             turned = np.frombuffer(b"".join(r[3] for r in held), dtype="<f4").reshape(len(held), dims)[:, :BOX]
             count += 1
-            row = {"block": f"{part:06d}-{count:06d}", "label": label, "dims": dims, "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist(),
+            row = {"block": f"{part:06d}-{count:09d}", "home": f"{part:06d}-{home:09d}", "label": label, "dims": dims, "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist(),
                    "keys": [r[0] for r in held], "copies": [r[1] for r in held], "units": b"".join(r[2] for r in held), "turned": b"".join(r[3] for r in held)}
             held.clear()
-            return pa.RecordBatch.from_pylist([row], schema=packed)
+            return pa.RecordBatch.from_pylist([row], schema=packed.insert(2, pa.field("label", kind)))
 
+        kind = pa.null()
         for batch in batches:
+            kind = batch.schema.field("label").type
             columns = [batch.column(n).to_pylist() for n in ("label", "dims", "key", "copies", "unit", "turned")]
             for label, dims, *row in zip(*columns, strict=True):
-                if held and ((label, dims) != place or len(held) >= block):
+                if held and ((label, dims) != place or len(held) >= min(block, max(1, BLOCK_NUMBERS // max(dims, 1)))):
                     yield full()
                 place = label, dims
                 held.append(row)
         if held:
             yield full()
 
-    kind = kinds.schema["label"].dataType
-    label_ddl = kind.simpleString()
-    packed = pa.schema([("block", pa.string()), ("label", {"bigint": pa.int64(), "string": pa.string()}.get(label_ddl, pa.int32())), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
+    label_ddl = kinds.schema["label"].dataType.simpleString()
+    packed = pa.schema([("block", pa.string()), ("home", pa.string()), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
                         ("keys", pa.list_(pa.string())), ("copies", pa.list_(pa.int64())), ("units", pa.binary()), ("turned", pa.binary())])
     rows = kinds.select("key", "label", "vector", "copies", "dims")
     turned = rows.mapInArrow(rotate, f"label {label_ddl}, dims int, lead double, key string, copies long, unit binary, turned binary")
     dealt = turned.repartitionByRange("label", "dims", "lead", "key").sortWithinPartitions("label", "dims", "lead", "key")
-    return dealt.mapInArrow(pack, f"block string, label {label_ddl}, dims int, low array<double>, high array<double>, keys array<string>, copies array<long>, units binary, turned binary")
+    return dealt.mapInArrow(pack, f"block string, home string, label {label_ddl}, dims int, low array<double>, high array<double>, keys array<string>, copies array<long>, units binary, turned binary")
 
 
 def near(a: np.ndarray, b: np.ndarray, threshold: float, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
@@ -198,6 +230,29 @@ def tile_links(x: dict, y: dict, threshold: float) -> list[tuple[str, int, str]]
     return [(keys[k], int(links[k]), keys[low[k]]) for k in np.flatnonzero(links).tolist()]
 
 
+def _visits(blocks: DataFrame, apart: float) -> DataFrame:
+    """The blocks of each home (visits 0), then those of later ones that a block of
+    it has to meet (visits 1): a block comes once a home, not once a pair.
+
+    Blocks meet through the cells of width ``apart`` that their first coordinates
+    span, each pair in the first cell that both have, and by their boxes."""
+    outline = blocks.select("block", "home", "label", "dims", "low", "high")
+    cell = lambda c: F.floor(F.col(c)[0] / apart).cast("int")
+    spans = outline.withColumn("first", cell("low")).withColumn("last", cell("high") + 1)
+    spans = spans.withColumn("cell", F.explode(F.sequence("first", "last"))).drop("last")
+    other = spans.select(*[F.col(c).alias(f"other_{c}") for c in spans.columns])
+    same = (F.col("label") == F.col("other_label")) & (F.col("dims") == F.col("other_dims")) & (F.col("cell") == F.col("other_cell"))
+    gap = F.zip_with(F.array(F.col("low"), F.col("high")), F.array(F.col("other_high"), F.col("other_low")), lambda p, q: F.zip_with(p, q, lambda u, v: u - v))
+    # the squared distance of two boxes in the leading coordinates
+    square = F.aggregate(F.zip_with(gap[0], gap[1], lambda over, under: F.greatest(over, -under, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
+    once = F.col("cell") == F.greatest("first", "other_first")
+    pairs = spans.join(other, same & once & (F.col("block") < F.col("other_block")) & (F.col("home") != F.col("other_home")) & (square <= apart * apart))
+    columns = ["block", "label", "dims", "keys", "copies", "units", "turned"]
+    visitors = pairs.select(F.col("home").alias("at"), F.col("other_block").alias("block")).distinct().join(blocks.drop("home"), "block")
+    rows = blocks.select("home", F.lit(0).alias("visits"), *columns).union(visitors.select("at", F.lit(1), *columns))
+    return rows.repartition("home").sortWithinPartitions("home", "visits", "block")
+
+
 def link(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors``.
 
@@ -213,32 +268,30 @@ def link(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> Dat
     rows, kinds = classes(vectors)
     kinds = written(kinds, "vectors")
     blocks = written(make_blocks(kinds, axes(kinds), block), "blocks")
-    outline = blocks.select("block", "label", "dims", "low", "high")
-    other = outline.select(*[F.col(c).alias(f"other_{c}") for c in outline.columns])
-    apart = F.lit(math.sqrt(2 - 2 * threshold) + ROOM)
-    gap = F.zip_with(F.array(F.col("low"), F.col("high")), F.array(F.col("other_high"), F.col("other_low")), lambda p, q: F.zip_with(p, q, lambda u, v: u - v))
-    # the squared distance of two boxes in the leading coordinates
-    square = F.aggregate(F.zip_with(gap[0], gap[1], lambda over, under: F.greatest(over, -under, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    tiles = outline.join(other, (F.col("label") == F.col("other_label")) & (F.col("dims") == F.col("other_dims")) & (F.col("block") <= F.col("other_block")))
-    tiles = tiles.where(square <= apart * apart).select("block", "other_block")
-    left = blocks.select("block", "dims", "keys", "copies", "units", "turned")
-    right = left.select(*[F.col(c).alias(f"other_{c}") for c in left.columns])
-    dealt = tiles.join(left, "block").join(right, "other_block")
+    dealt = _visits(blocks, math.sqrt(2 - 2 * threshold) + ROOM)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
             for r in batch.to_pylist():
-                own = {c: r[c] for c in ("block", "dims", "keys", "copies", "units", "turned")}
-                found = tile_links(own, {c: r[f"other_{c}"] for c in own}, threshold)
+                if r["home"] != at:
+                    at, held = r["home"], []
+                found = [] if r["visits"] else tile_links(r, r, threshold)
+                for own in held:
+                    if (own["label"], own["dims"]) == (r["label"], r["dims"]) and own["block"] < r["block"]:
+                        found += tile_links(own, r, threshold)
+                if not r["visits"]:
+                    held.append(r)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["key", "links", "root"])
 
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds two blocks
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row holds a block
     try:
         found = written(dealt.mapInArrow(run, "key string, links long, root string"), "links")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    discard(blocks)
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(found, "key", "root").withColumnRenamed("node", "key")
     named = kinds.select("key", "first_id", "copies").join(counts, "key", "left").join(roots, "key", "left")
