@@ -26,7 +26,7 @@ def place(key, shards):
 
 
 def test_shards_equal_brute_force(documents, odd_texts):
-    rows = [*odd_texts, *[(k, f"text {k}") for k in range(100, 900)]]
+    rows = [*odd_texts, *[(k, f"text {k}") for k in range(100, 900)], *[(7, "again and again")] * 300]
     shards = t.tree(8)
     got = t.shard_documents(documents(rows), shards, t.grow(shards), slices=16).collect()
     assert len(got) == len(rows)

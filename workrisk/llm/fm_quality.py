@@ -8,9 +8,11 @@ of the sum - sum of the squares), by coordinate.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,16 +51,18 @@ class Features:
             len(words), len(text), stated if stated is not None else len(text),
             sum(map(text.count, "#*$%&|<>")) / n, words.count("|") / n, text.count("!!") / n, sum(map(str.isupper, words)) / n,
             len(distinct) / n, sum(map(text.count, "0123456789")) / size, n / len(lines), size / n, text.count(".") / n,
-            sum(map(str.__eq__, words, words[1:])) / n, 1 - len(set(lines)) / len(lines),
+            sum(map(operator.eq, words, islice(words, 1, None))) / n, 1 - len(set(lines)) / len(lines),
         )
         bins = [WORDS + BINS * k + _level(x / 100 if k in (0, 1, 2, 9) else x) for k, x in enumerate(numbers)]
         if len(self.known) > self.limit:
             self.known.clear()
         known = self.known
-        for w in distinct:
-            if w not in known:
-                known[w] = zlib.crc32(w.lower().encode()) % WORDS
-        hashed = np.fromiter(map(known.__getitem__, distinct), dtype=np.int32, count=len(distinct))
+        found = list(map(known.get, distinct))
+        if None in found:
+            for at, w in enumerate(distinct):
+                if found[at] is None:
+                    found[at] = known[w] = zlib.crc32(w.lower().encode()) % WORDS
+        hashed = np.array(found, dtype=np.int32)
         values = np.full(len(hashed) + len(bins), 1 / np.sqrt(max(1, len(hashed))), dtype=np.float32)
         values[len(hashed) :] = 1 / np.sqrt(len(bins))
         return np.concatenate([hashed, np.array(bins, dtype=np.int32)]), values
@@ -143,11 +147,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: i
 
 def chosen(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """``docs`` of at most about ``most`` ids of ``known`` (doc_id, label)."""
-    count = known.count()
-    if count > most:
-        parts = 1 << 20
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * most / count))
-    return docs.join(F.broadcast(known), "doc_id")
+    parts, share = 1 << 30, min(1.0, most / max(1, known.count()))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < F.lit(int(parts * share)))
+    return docs.join(F.broadcast(some), "doc_id")
 
 
 def _stated(docs: DataFrame) -> Column:

@@ -84,15 +84,19 @@ def place(key: Column, shards: list[Shard]) -> Column:
 
 def number_rows(rows: DataFrame, group: str, order: list[str], slices: int) -> DataFrame:
     """``rows`` with ``slot``: 0, 1, 2, ... within each group, without a task
-    that holds a group. Rows are dealt by a hash into slices of their group, each
-    slice is numbered, and the slices' counts, summed up before it, are added."""
-    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
+    that holds a group. Rows alike in all columns are one with a count until they
+    are numbered. These are dealt by a hash into slices of their group, each slice
+    is numbered, and the slices' counts, summed up before it, are added."""
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = alike.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(group, "_slice").orderBy(*order)
-    numbered = dealt.withColumn("_in", F.row_number().over(inside) - 1)
-    return numbered.join(starts, [group, "_slice"]).withColumn("slot", F.col("_start") + F.col("_in")).drop("_slice", "_in", "_start")
+    counts = dealt.groupBy(group, "_slice").agg(F.sum("_n").alias("_rows"))
+    starts = counts.select(group, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    numbered = dealt.join(starts, [group, "_slice"]).withColumn("_first", first)
+    every = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))
+    return numbered.withColumn("slot", every).drop("_slice", "_start", "_first", "_n")
 
 
 def shard_documents(docs: DataFrame, shards: list[Shard], grown: list[Shard], slices: int = 4096) -> DataFrame:

@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return soft_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return soft_mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workrisk.llm.common import bounded_batches, field_ddl, written
+from workrisk.llm.count_transducer import token_counter
 from workrisk.llm.fm_quality import SIZE, Features, chosen, collect_inputs, inputs_of
 
 #: Domains of the labels, in the order of posteriors.
@@ -89,20 +90,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior
     return fit_posterior(collect_inputs(chosen(inputs_of(docs), known, sample)), len(DOMAINS))
 
 
-def memberships(docs: DataFrame, model: Posterior) -> DataFrame:
-    """doc_id, tokens (words) and posterior (array of shares) of every row."""
+def memberships(docs: DataFrame, model: Posterior, vocabulary: str) -> DataFrame:
+    """doc_id, tokens (by the vocabulary, as count_transducer counts them) and
+    posterior (array of shares) of every row."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * domains floats: 0.8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, counter = Features(), token_counter(vocabulary)
         for batch in batches:
             texts, stated = batch.column("text").to_pylist(), batch.column("stated").to_pylist()
             found = [shared.value.of(*features.batch(texts[at : at + 200], stated[at : at + 200])) for at in range(0, len(texts), 200)]
             rows = np.concatenate(found) if found else np.zeros((0, len(DOMAINS)))
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(DOMAINS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t.split()) for t in texts], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))],
+                [batch.column("doc_id"), pa.array(counter.counts(texts)), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))],
                 ["doc_id", "tokens", "posterior"],
             )
 
@@ -141,12 +143,14 @@ def fit_rates(members: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, m
     part = [F.col("tokens") * F.col("posterior")[k] for k in wanted]
 
     def measure(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals, and the products of the documents that can move."""
+        """Expected totals, and the products of the documents that can move; summed
+        as decimals, so that no order of the rows changes a digit."""
         rated = members.select(rate.alias("rate"), *[p.alias(f"a{k}") for k, p in enumerate(part)])
         free = F.when((F.col("rate") > 0) & (F.col("rate") < most), 1.0).otherwise(0.0)
-        sums = [F.sum(F.col("rate") * F.col(f"a{k}")) for k in range(kinds)]
-        sums += [F.sum(free * F.col(f"a{i}") * F.col(f"a{j}")) for i in range(kinds) for j in range(i, kinds)]
-        found = [x or 0.0 for x in rated.agg(*[x.alias(f"s{n}") for n, x in enumerate(sums)]).head()]
+        exact = lambda x: F.sum(x.cast("decimal(38,6)"))
+        sums = [exact(F.col("rate") * F.col(f"a{k}")) for k in range(kinds)]
+        sums += [exact(free * F.col(f"a{i}") * F.col(f"a{j}")) for i in range(kinds) for j in range(i, kinds)]
+        found = [float(x or 0) for x in rated.agg(*[x.alias(f"s{n}") for n, x in enumerate(sums)]).head()]
         square = np.zeros((kinds, kinds))
         square[np.triu_indices(kinds)] = found[kinds:]
         return np.array(found[:kinds]), square + np.triu(square, 1).T
@@ -176,27 +180,28 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, tokens, posterior, rate and copies of every row.
+def mix(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, tokens, posterior, rate and copies of every row, and residual, how
+    far the expected tokens of any domain end from their target, as a share of all.
 
     A null or empty text has no tokens and keeps the rate 1. Rows that repeat are
     rated one by one and alike. Columns other than doc_id, text and n_chars are
     not read; an empty table gives an empty result. Where the fit ends away from
     the targets, a warning names the residual.
     """
-    members = written(memberships(docs, train(docs, labels, sample)), "members")
+    members = written(memberships(docs, train(docs, labels, sample), vocabulary), "members")
     found = fit_rates(members, weights, most)
     if found.residual > TOLERANCE:
         _log.warning("the mix misses its targets by up to %.4f of all tokens: expected %s, targets %s", found.residual, found.totals.round(1).tolist(), found.targets.round(1).tolist())
     rate = found.rate(F.col("tokens"), F.col("posterior"), most)
     rated = members.withColumn("rate", rate)
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).select("doc_id", "tokens", "posterior", "rate", "copies")
+    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).select("doc_id", "tokens", "posterior", "rate", "copies", F.lit(found.residual).alias("residual"))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, as often as their copies say. Rows that
     repeat a doc_id have the same number; a row without one stays once."""
-    found = mix(docs, labels, weights, most).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("n"))
+    found = mix(docs, labels, vocabulary, weights, most).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("n"))
     found = found.select(F.col("doc_id").alias("_mix_id"), F.col("n").alias("_mix_copies"))
     taken = docs.join(found, docs["doc_id"] == F.col("_mix_id"), "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1))).where("_mix_copies > 0")
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

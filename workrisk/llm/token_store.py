@@ -300,7 +300,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end_id: i
         if manifest:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*manifest, strict=True)], ["part", "file", "path", "n_docs", "n_ids"])
 
-    ordered = id_text(docs).repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows alike in both are interchangeable, so that a place of their own may part them
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("place")]
+    placed = id_text(docs).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("place")
     return written(ordered.mapInArrow(run, "part long, file long, path string, n_docs long, n_ids long"), "manifest")
 
 
