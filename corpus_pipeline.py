@@ -14,6 +14,8 @@ from workrisk.llm.common import work_dir
 
 #: Target shares of the tokens of soft_mix.DOMAINS.
 MIX_WEIGHTS = soft_mix.WEIGHTS
+#: A clean document may be short; the lines of one are judged like others.
+LIMITS = line_quality.Limits(least_words=1)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, without their failing lines."""
-    return line_quality.clean_documents(docs)
+    return line_quality.clean_documents(docs, LIMITS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say, with a target for every domain."""
-    return soft_mix.mixed_documents(docs, _labels(spark, sf_dir), weights=MIX_WEIGHTS)
+    return soft_mix.mixed_documents(docs, _labels(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), weights=MIX_WEIGHTS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
