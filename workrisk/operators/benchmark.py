@@ -89,7 +89,7 @@ def mismatch(config: BenchmarkConfig) -> Column:
 def rule_weights(config: BenchmarkConfig) -> list[tuple[str, Column, float]]:
     c = F.col
     return [
-        ("Work category is inadmissible under MPLADS guidelines", c("work_category").isin(*INADMISSIBLE), 1.0),
+        ("Work category is inadmissible under the scheme's guidelines", c("work_category").isin(*INADMISSIBLE), 1.0),
         (f"Sanctioned cost exceeds the single-work ceiling of Rs {config.ceiling:,.0f}", c("effective_cost") > config.ceiling, 0.8),
         (f"Cost revised upward by more than {config.escalation_percent:.0f}% without re-sanction", c("cost_escalation_pct") > config.escalation_percent, 0.5),
         ("Expenditure booked exceeds the sanctioned amount", c("expenditure_ratio_pct") > 100.5, 0.7),

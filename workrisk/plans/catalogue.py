@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -884,8 +885,18 @@ def v1_duplicates(spark, sf_dir):
     return found.select("project_id", "similar_project_id", F.round("similarity_score", 6).alias("similarity_score"), F.round("signal_similarity", 6).alias("signal"))
 
 
-@query()
+def _step(n: int, stride: float) -> int:
+    step = max(1, int(n * stride))
+    while math.gcd(step, n) > 1:
+        step += 1
+    return step
+
+
+@query(f"""SELECT CASE WHEN (id * {_step(1200, 0.6180339887)} + 42) % 1200 < 84 THEN [{", ".join(repr(k) for k in datagen.KINDS)}][((id * {_step(1200, 0.6180339887)} + 42) % 1200) % 5 + 1]
+  WHEN (id * {_step(1200, 0.4142135623)} + 295) % 1200 < 7 THEN 'inadmissible_work' ELSE '' END AS anomaly_type, count(*) AS projects FROM range(1200) r(id) GROUP BY 1""")
 def generated_register(spark, sf_dir):
+    """Exactly seven in a hundred are irregular, the kinds in turn, and a few more
+    above the ceiling."""
     return datagen.generate(spark).groupBy("anomaly_type").agg(F.count(F.lit(1)).alias("projects"))
 
 

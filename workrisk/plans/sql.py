@@ -219,7 +219,7 @@ def _rise(x: str, floor: float, full: float) -> str:
 
 
 _RULES = [
-    ("Work category is inadmissible under MPLADS guidelines", f"work_category IN ({', '.join(repr(c) for c in INADMISSIBLE)})", 1.0),
+    ("Work category is inadmissible under the scheme''s guidelines", f"work_category IN ({', '.join(repr(c) for c in INADMISSIBLE)})", 1.0),
     (f"Sanctioned cost exceeds the single-work ceiling of Rs {_B.ceiling:,.0f}", f"effective_cost > {_B.ceiling}", 0.8),
     (f"Cost revised upward by more than {_B.escalation_percent:.0f}% without re-sanction", f"cost_escalation_pct > {_B.escalation_percent}", 0.5),
     ("Expenditure booked exceeds the sanctioned amount", "expenditure_ratio_pct > 100.5", 0.7),
