@@ -11,7 +11,6 @@ separately; decoding maps ids back to bytes by table lookup.
 from __future__ import annotations
 
 import base64
-import functools
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import PieceCache, bounded_batches, field_ddl, id_text, list_array
+from workrisk.llm.common import PieceCache, bounded_batches, field_ddl, id_text, list_array, only, worker_cache
 
 #: Field values of the sentencepiece model format (public protobuf schema).
 NORMAL, UNKNOWN, UNUSED, BPE = 1, 2, 5, 2
@@ -125,7 +124,7 @@ class Codec:
         return b"".join(out)
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def codec(vocabulary: str, pattern: str) -> Codec:
     """One codec a worker process."""
     return Codec(vocabulary, pattern)
@@ -142,6 +141,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(codec)
         own = codec(vocabulary, pattern)
         for batch in batches:
             ids = own.encode(batch.column(1).to_pylist())

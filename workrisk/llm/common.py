@@ -3,6 +3,10 @@ tables, bounded Arrow batches and the piece cache of the byte-level tokenizers."
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,14 +49,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder."""
-    _delete(spark, f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}")
+    delete(spark, f"{shared_dir(spark)}/workrisk/{spark.sparkContext.applicationId}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more."""
-    _delete(df.sparkSession, df._written)
+    delete(df.sparkSession, df._written)
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -86,6 +90,29 @@ def field_ddl(df: DataFrame, name: str) -> str:
     return f"{name} {df.schema[name].dataType.simpleString()}"
 
 
+_WORKER_CACHES: list = []
+
+
+def worker_cache(f):
+    """What a worker makes once and keeps for its next tasks: the last one, until
+    another operator's task calls only()."""
+    out = functools.lru_cache(maxsize=1)(f)
+    _WORKER_CACHES.append(out)
+    return out
+
+
+def only(*kept) -> None:
+    """Called as a task begins: drop what operators other than its own have left in
+    the worker, so that a worker holds one operator's tables at a time."""
+    dropped = [c for c in _WORKER_CACHES if c not in kept and c.cache_info().currsize]
+    for c in dropped:
+        c.cache_clear()
+    if dropped:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class PieceCache:
     """Pre-token -> its ids as little-endian int32 bytes.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import bounded_batches, field_ddl
+from workrisk.llm.common import bounded_batches, field_ddl, only
 
 #: Buckets of words; bins of each statistic.
 WORDS, BINS = 1 << 16, 16
@@ -166,6 +166,7 @@ def collect_inputs(rows: DataFrame) -> list[tuple[np.ndarray, np.ndarray, float]
     """Inputs, values and label of a bounded sample; made on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         features = Features()
         for batch in batches:
             if batch.num_rows:
@@ -216,6 +217,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
     make = _scorer(docs, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         scores = make()
         for batch in batches:
             found = scores(batch.column("text").to_pylist(), batch.column("stated").to_pylist())
@@ -231,6 +233,7 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> Data
     stated = dict(docs.dtypes).get("n_chars") in {"int", "bigint", "smallint", "tinyint"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         scores = make()
         for batch in batches:
             lengths = batch.column("n_chars").to_pylist() if stated else [None] * batch.num_rows

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import bounded_batches, discard, id_text, written
+from workrisk.llm.common import bounded_batches, discard, id_text, only, written
 from workrisk.llm.components import components
 
 SHINGLE = 5
@@ -59,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted 64-bit hashes of their distinct shingles."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.words: dict[bytes, int] = {}
         self.limit = limit
 
@@ -141,6 +141,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         shingler = Shingler()
         for batch in batches:
             sizes, prints, rows = [], [], np.zeros((batch.num_rows, LONGS), dtype=np.int64)
@@ -193,6 +194,7 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold_percent: int) -> DataFra
     dealt = hubs.union(members).join(_texts(docs), "id").repartition("hub", "group").sortWithinPartitions("hub", "group", "order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         shingler, at, held = Shingler(), None, []
         for batch in batches:
             hubs, ids = [], []
@@ -356,6 +358,7 @@ def _settled(near: DataFrame, kinds: DataFrame, docs: DataFrame, threshold_perce
     dealt = _dealt(flagged, ["cluster"], "n").join(_texts(docs), "id").repartition(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         shingler = Shingler()
 
         def with_sets() -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,6 @@ packed selector escape into a word of their own (selector 0).
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from workrisk.llm.common import PieceCache, bounded_batches, id_text, work_dir, written
+from workrisk.llm.common import PieceCache, bounded_batches, id_text, only, work_dir, worker_cache, written
 from workrisk.llm.count_transducer import CUTTER_PATTERN
 from workrisk.llm.piece_table import PieceTable
 
@@ -237,7 +236,7 @@ class LibraryEncoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
+@worker_cache
 def library_encoder(vocabulary: str, pattern: str) -> LibraryEncoder:
     return LibraryEncoder(vocabulary, pattern)
 
@@ -270,6 +269,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, attempt = task.partitionId(), task.taskAttemptId()
+        only(library_encoder)
         encoder = library_encoder(vocabulary, pattern)
         store, top = open_folder(folder)
         manifest, doc_ids, encoded, size = [], [], [], 0
