@@ -9,7 +9,10 @@ Rules of a line, in this order; the first that holds removes it:
 * ``monotone``: ten words or more, of which less than a third differ;
 * ``repeated``: it equals an earlier line of the text, and has three words or more;
 * ``boilerplate``: it is a licence, cookie, or rights notice, or the like;
-* ``punctuation``: it has fewer than thirty words and doesn't end as a sentence does.
+* ``punctuation``: it doesn't end as a sentence does.
+
+The last two spare lines of thirty words and more, which are text that mentions
+such a thing, or breaks off.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from workrisk.llm.common import bounded_batches, field_ddl, id_text
+from workrisk.llm.common import bounded_batches, field_ddl, id_text, only
 
 # What the rules look for.
 SEPARATORS = ("|", ">", "<", "»", "«", "•", "·", "/", "::")
@@ -46,6 +49,8 @@ BOILERPLATE = (
     "skip to (main )?content",
     "lorem ipsum",
 )
+#: Lines of so many words are no notices or headings.
+LONG_LINE = 30
 RULES = ("navigation", "symbols", "shouting", "monotone", "repeated", "boilerplate", "punctuation")
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,9 +81,11 @@ def line_fault(words: list[str], line: str, seen: bool) -> str | None:
         return "monotone"
     if seen and n >= 3:
         return "repeated"
+    if n >= LONG_LINE:
+        return None
     if _NOTICE.search(line):
         return "boilerplate"
-    return "punctuation" if n < 30 and words[-1][-1] not in ENDINGS else None
+    return "punctuation" if words[-1][-1] not in ENDINGS else None
 
 
 @dataclass
@@ -145,6 +152,7 @@ def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             found = [judge(t, limits) for t in batch.column(1).to_pylist()]
             columns = [pa.array([getattr(r, n) for r in found], pa.int64()) for n in names]
@@ -165,6 +173,7 @@ def clean_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             names = batch.schema.names
             found = [judge(t or "", limits) for t in batch.column("text").to_pylist()]

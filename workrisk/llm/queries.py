@@ -103,7 +103,7 @@ told AS (
 ),
 judged AS (
   SELECT *, 5 * bars >= n OR 3 * symbols > n OR (loud > 0 AND 3 * loud >= n) OR (n >= 10 AND 3 * kinds < n)
-    OR (again AND n >= 3) OR notice OR (n < 30 AND NOT ended) AS failed
+    OR (again AND n >= 3) OR (n < {line_quality.LONG_LINE} AND (notice OR NOT ended)) AS failed
   FROM told
 ),
 by_doc AS (
