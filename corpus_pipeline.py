@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from workrisk.llm import bpe_codec, fm_quality, hyperminhash, line_quality, soft_mix
-from workrisk.llm.common import work_dir
+from workrisk.llm.common import delete, work_dir
 
 
 #: Target shares of the tokens of soft_mix.DOMAINS.
@@ -63,10 +63,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder
-    and read again by the next."""
+    and read again by the next; then the one before it goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = work_dir(spark, "pipeline")
+    top, before = work_dir(spark, "pipeline"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            delete(spark, f"{top}/{before}")
+        before = name
     return docs
