@@ -8,10 +8,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 from workrisk.llm import fm_quality, line_quality, soft_mix, toxicity
+from workrisk.llm.count_transducer import CUTTER_PATTERN, token_counter
 from workrisk.llm.queries import queries
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +64,8 @@ def test_base_statistics_by_another_way(documents, odd_texts):
 def test_line_rules(line, fault):
     assert line_quality.line_fault(line.split(), line, False) == fault
     assert line_quality.line_fault("a b c.".split(), "a b c.", True) == "repeated"
+    long = " ".join(f"word{k}" for k in range(40)) + " reads the privacy policy"
+    assert line_quality.line_fault(long.split(), long, False) is None
 
 
 def test_clean_documents_keeps_columns_and_good_lines(documents):
@@ -230,13 +234,17 @@ def test_mix_rows_equal_brute_force(spark):
     import tokenizers
 
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
-    library, model, make = tokenizers.Tokenizer.from_file(VOCABULARY), soft_mix.train(docs, labels), soft_mix.Features()
+    library, model, counter = tokenizers.Tokenizer.from_file(VOCABULARY), soft_mix.train(docs, labels, VOCABULARY), token_counter(VOCABULARY)
     got = {r.doc_id: r for r in queries()["op7_soft_mix"](spark, "/root/testdata/sf0.001").collect()}
     fit = soft_mix.fit_rates(soft_mix.memberships(docs, model, VOCABULARY))
+    known = {r.doc_id: 1 if r.toxic else 0 if r.quality else 2 for r in labels.collect()}
+    assert np.mean([np.argmax(got[i].posterior) == k for i, k in known.items() if i in got]) > 0.9
     for r in docs.collect():
         g, text = got[r.doc_id], r.text or ""
         assert g.tokens == len(library.encode(text, add_special_tokens=False).ids)
-        inputs, values = make.of(text, r.n_chars)
+        ((inputs, values),) = soft_mix.profile([text], counter).rows()
+        pieces = {m.group().encode().lower().removeprefix(b" ") for m in regex.finditer(CUTTER_PATTERN, text)}
+        assert len(inputs) - len(soft_mix.STATISTICS) <= len(pieces) and (len(text) > 3000 or len(inputs) - len(soft_mix.STATISTICS) >= 0.98 * len(pieces) - 1)
         z = model.bias + (model.weights[inputs] * values[:, None]).sum(axis=0)
         assert np.allclose(g.posterior, np.exp(z) / np.exp(z).sum(), atol=1e-5)
         rate = 1.0

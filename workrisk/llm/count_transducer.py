@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from workrisk.llm.bpe_codec import byte_characters
-from workrisk.llm.common import bounded_batches, field_ddl, id_text
+from workrisk.llm.common import bounded_batches, field_ddl, id_text, only, worker_cache
 
 # Classes of the cutter's input.
 LETTER, NUMBER, OTHER, SPACE_RUN, BLANK_LAST, SPACE_LAST, QUOTE2, QUOTE3, BREAK, STAY = range(10)
@@ -38,6 +38,9 @@ N_STATES, N_CLASSES = 8, 10
 CUTTER_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 64
 SEGMENT = 1 << 21
+#: What a byte adds to its piece's hash: a blank nothing, A-Z what a-z do.
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FOLDED = np.frombuffer(bytes(range(256)).lower().replace(b" ", b"\0"), dtype=np.uint8).astype(np.uint64)
 
 
 def cutter_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -225,22 +228,31 @@ class Counter:
         places = [(suffix, last, before - count) for suffix, last, before in grown]
         self.table.put(state << 8 | byte, self.state((*places, (b"", token, 0))), count)
 
-    def counts(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tokens of each piece raw[start : start + length], all pieces in step."""
+    def counts(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Tokens of each piece raw[start : start + length], all pieces in step.
+        Fills ``hashes``, where given, with numbers that pieces share which differ
+        in the case of A-Z or a blank before them only."""
         out = np.zeros(len(starts), dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
         for at in range(0, len(order), self.limit // 4):
             group = order[at : at + self.limit // 4]
-            out[group] = self._group(raw, starts[group], lengths[group])
+            own = None if hashes is None else np.zeros(len(group), dtype=np.uint64)
+            out[group] = self._group(raw, starts[group], lengths[group], own)
+            if own is not None:
+                hashes[group] = own
         return out
 
-    def _group(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def _group(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray | None) -> np.ndarray:
         """One group, longest first."""
         state, count = np.ones(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
         # live[k]: how many pieces have a byte k
         live = len(lengths) - np.cumsum(np.bincount(lengths))[:-1] if len(lengths) else ()
         for k, n in enumerate(live):
-            at = state[:n] << 8 | raw[starts[:n] + k]
+            read = raw[starts[:n] + k]
+            at = state[:n] << 8 | read
+            if hashes is not None:
+                hashes[:n] *= _FACTOR
+                hashes[:n] += _FOLDED[read]
             moved, gained = self.table.get(at)
             if not moved.all():
                 missing = np.unique(at[moved == 0])
@@ -249,7 +261,7 @@ class Counter:
                     held = [self.keys[s] for s in seen]
                     self.reset()
                     state[:n] = np.array([self.state(key) for key in held])[back]
-                    at = state[:n] << 8 | raw[starts[:n] + k]
+                    at = state[:n] << 8 | read
                     missing = np.unique(at)
                 for x in missing.tolist():
                     self.compile(x >> 8, x & 255)
@@ -280,30 +292,36 @@ class TokenCounter:
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text. Texts go through the machines together, up to a
-        bounded number of code points at a time."""
+        """Tokens of each text."""
         out = np.zeros(len(texts), dtype=np.int64)
+        for owner, tokens, _ in self.pieces(texts):
+            out += np.bincount(owner, tokens, len(texts)).astype(np.int64)
+        return out
+
+    def pieces(self, texts: list[str], hashed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Of all pieces, in parts: the text that it is of, its tokens, and its hash
+        if wanted. Texts go through the machines together, up to a bounded number
+        of code points at a time."""
         held: list[str] = []
         owner: list[int] = []
         size = 0
         for n, text in enumerate(texts):
             parts = [text]
             if self.special and (found := self.special.findall(text)):
-                out[n] += len(found)
+                yield np.full(len(found), n), np.ones(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.uint64) if hashed else None
                 parts = self.special.split(text)
             for part in parts:
                 if size + len(part) > SEGMENT and held:
-                    np.add.at(out, owner, self._many(held))
+                    yield self._many(held, owner, hashed)
                     held, owner, size = [], [], 0
                 if len(part) > SEGMENT:
-                    out[n] += self._long(part)
+                    yield from self._long(part, n, hashed)
                 else:
                     held.append(part)
                     owner.append(n)
                     size += len(part) + 1
         if held:
-            np.add.at(out, owner, self._many(held))
-        return out
+            yield self._many(held, owner, hashed)
 
     def _pieces(self, text: str, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
@@ -311,14 +329,15 @@ class TokenCounter:
         kinds[breaks] = BREAK
         return points, kinds, self.cutter.starts(with_look_ahead(points, kinds))
 
-    def _count(self, text: str, points: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of the pieces from code point first to ends."""
+    def _count(self, text: str, points: np.ndarray, first: np.ndarray, ends: np.ndarray, hashed: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Tokens and hashes of the pieces from code point first to ends."""
         wide = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
         place = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(wide, out=place[1:])
-        return self.counter.counts(np.frombuffer(text.encode(), dtype=np.uint8), place[first], place[ends] - place[first])
+        hashes = np.zeros(len(first), dtype=np.uint64) if hashed else None
+        return self.counter.counts(np.frombuffer(text.encode(), dtype=np.uint8), place[first], place[ends] - place[first], hashes), hashes
 
-    def _many(self, texts: list[str]) -> np.ndarray:
+    def _many(self, texts: list[str], owner: list[int], hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         lengths = np.array([len(t) + 1 for t in texts])
         breaks = np.cumsum(lengths) - 1
         text = "\0".join([*texts, ""])
@@ -328,11 +347,11 @@ class TokenCounter:
         ends = np.append(every[1:], len(points))
         real = kinds[every] != BREAK
         first, ends = every[real], ends[real]
-        return np.bincount(np.searchsorted(breaks, first), weights=self._count(text, points, first, ends), minlength=len(texts)).astype(np.int64)
+        return np.array(owner)[np.searchsorted(breaks, first)], *self._count(text, points, first, ends, hashed)
 
-    def _long(self, text: str) -> int:
+    def _long(self, text: str, owner: int, hashed: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """A text beyond the bound, in segments that begin where a piece does."""
-        total, at, size = 0, 0, SEGMENT
+        at, size = 0, SEGMENT
         while at < len(text):
             part = text[at : at + size]
             points, _, flags = self._pieces(part, np.zeros(0, dtype=np.intp))
@@ -345,12 +364,11 @@ class TokenCounter:
                 ends, first = first[1:], first[:-1]
             else:
                 ends = np.append(first[1:], len(part))
-            total += int(self._count(part, points, first, ends).sum())
+            yield np.full(len(first), owner), *self._count(part, points, first, ends, hashed)
             at, size = at + int(ends[-1]), SEGMENT
-        return total
 
 
-@functools.lru_cache(maxsize=1)
+@worker_cache
 def token_counter(vocabulary: str) -> TokenCounter:
     return TokenCounter(vocabulary)
 
@@ -365,6 +383,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(token_counter)
         own = token_counter(vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()

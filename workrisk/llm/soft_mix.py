@@ -1,8 +1,9 @@
 """Mixing by soft membership: how often each document should be used so that the
 expected tokens of the domains match target weights.
 
-The table of labels names the domains; a softmax classifier over the inputs of
-the quality model predicts each document's posterior over them. With a[d, k] =
+The table of labels names the domains; a softmax classifier predicts each
+document's posterior over them from the tokenizer's pieces, which the counter of
+its tokens hashes as it reads them, and statistics of the text. With a[d, k] =
 tokens of d times its posterior of k, nonnegative rates r are fitted by least
 squares of the K residuals a' r - target, by projected gradient steps from rate
 1. The residuals are measured in the metric of the inverse of S = a' a, summed
@@ -23,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import bounded_batches, field_ddl, written
-from workrisk.llm.count_transducer import token_counter
-from workrisk.llm.fm_quality import SIZE, Features, chosen, collect_inputs, inputs_of
+from workrisk.llm.common import bounded_batches, field_ddl, id_text, only, trim, written
+from workrisk.llm.count_transducer import TokenCounter, token_counter
+from workrisk.llm.fm_quality import chosen
 
 #: Domains of the labels, in the order of posteriors.
 DOMAINS = ("good", "toxic", "poor")
 #: Target shares of the tokens. The total is set so that the first keeps its own.
 WEIGHTS = (0.90, 0.05, 0.05)
 SAMPLE = 8_000
+#: Buckets of pieces, bins of each statistic, and characters that are read at once.
+WORDS, BINS, PART = 1 << 16, 16, 1 << 20
+STATISTICS = ("pieces", "characters", "symbols", "bars", "loud", "distinct", "tokens", "digits", "line_pieces", "same_lines")
+SIZE = WORDS + BINS * len(STATISTICS)
 #: Rates are bounded by 0 alone.
 MOST_RATE = float("inf")
 TOLERANCE = 1e-3
@@ -44,13 +49,76 @@ def domain(quality: Column, toxic: Column) -> Column:
     return F.when(toxic >= 0.5, 1).when(quality >= 0.5, 0).otherwise(2)
 
 
+@dataclass
+class Profile:
+    """Of some texts: tokens, and the inputs of the classifier. ``owner`` and
+    ``inputs`` have a place for each different piece of a text, ``bins`` a row of
+    statistics for each text."""
+
+    tokens: np.ndarray
+    owner: np.ndarray
+    inputs: np.ndarray
+    bins: np.ndarray
+
+    @property
+    def weight(self) -> np.ndarray:
+        """What an input of a text counts."""
+        return 1 / np.sqrt(np.maximum(1, np.bincount(self.owner, minlength=len(self.tokens))))
+
+    def rows(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Inputs and values of each text, the statistics last."""
+        at = np.searchsorted(self.owner, np.arange(len(self.tokens) + 1))
+        each, stat = self.weight, np.full(len(STATISTICS), 1 / np.sqrt(len(STATISTICS)))
+        return [(np.concatenate([self.inputs[at[k] : at[k + 1]], self.bins[k]]), np.concatenate([np.full(at[k + 1] - at[k], each[k]), stat]).astype(np.float32)) for k in range(len(self.tokens))]
+
+
+def profile(texts: list[str], counter: TokenCounter) -> Profile:
+    """What a text's profile holds doesn't depend on the texts beside it."""
+    n = len(texts)
+    parts = list(counter.pieces(texts, hashed=True))
+    owner, tokens, hashes = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, dtype=kind) for k, kind in enumerate((np.int64, np.int64, np.uint64)))
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    keys = np.unique(owner.astype(np.uint64) << np.uint64(16) | hashes >> np.uint64(48))
+    own, inputs = (keys >> np.uint64(16)).astype(np.int64), (keys & np.uint64(WORDS - 1)).astype(np.int32)
+    pieces, total, distinct = np.bincount(owner, minlength=n), np.bincount(owner, tokens, n), np.bincount(own, minlength=n)
+    some = np.maximum(1, pieces)
+    lines = [t.split("\n") for t in texts]
+    numbers = np.array([
+        pieces / 100, np.array([len(t) for t in texts]) / 100, np.array([sum(map(t.count, "#*$%&|<>")) for t in texts]) / some, np.array([t.count("|") for t in texts]) / some, np.array([t.count("!!") for t in texts]) / some,
+        distinct / some, total / some, np.array([sum(map(t.count, "0123456789")) for t in texts]) / some, pieces / np.array([len(x) for x in lines]) / 100, np.array([1 - len(set(x)) / len(x) for x in lines]),
+    ]).reshape(len(STATISTICS), n)
+    # bins of shares and sizes, five in two powers of ten from 0.001
+    level = np.where(numbers < 0.001, 0, np.minimum(BINS - 1, 1 + np.floor(2.5 * np.log10(np.maximum(numbers, 0.001) * 1000)))).astype(np.int32)
+    return Profile(total.astype(np.int64), own, inputs, (WORDS + BINS * np.arange(len(STATISTICS), dtype=np.int32)[:, None] + level).T)
+
+
+def profiles(texts: list[str], counter: TokenCounter) -> Iterator[Profile]:
+    """Of all texts in order, so many that about PART characters are read at once."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > at and size + len(t) > PART:
+            yield profile(texts[at:k], counter)
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield profile(texts[at:], counter)
+
+
 @dataclass
 class Posterior:
     bias: np.ndarray
     weights: np.ndarray
 
     def of(self, inputs: np.ndarray, values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        z = self.bias + np.add.reduceat(self.weights[inputs] * values[:, None], starts).astype(np.float64)
+        return self._shares(self.bias + np.add.reduceat(self.weights[inputs] * values[:, None], starts).astype(np.float64))
+
+    def of_profile(self, p: Profile) -> np.ndarray:
+        n = len(p.tokens)
+        words = np.stack([np.bincount(p.owner, w[p.inputs], n) for w in np.ascontiguousarray(self.weights.T)], axis=1) * p.weight[:, None]
+        return self._shares(self.bias + words + self.weights[p.bins].astype(np.float64).sum(axis=1) / np.sqrt(len(STATISTICS)))
+
+    @staticmethod
+    def _shares(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -82,12 +150,28 @@ def fit_posterior(rows: list[tuple[np.ndarray, np.ndarray, float]], kinds: int,
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Posterior:
+def train(docs: DataFrame, labels: DataFrame, vocabulary: str, sample: int = SAMPLE) -> Posterior:
     """Fit on a bounded sample of the labelled documents (by a hash of doc_id)."""
     bounded_batches(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     known = known.select("doc_id", domain(F.col("q"), F.col("t")).cast("double").alias("label"))
-    return fit_posterior(collect_inputs(chosen(inputs_of(docs), known, sample)), len(DOMAINS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(token_counter)
+        counter = token_counter(vocabulary)
+        for batch in batches:
+            found = [r for p in profiles(batch.column("text").to_pylist(), counter) for r in p.rows()]
+            if found:
+                raw = [pa.array([x.tobytes() for x in part], pa.binary()) for part in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *raw, batch.column("label")], ["doc_id", "inputs", "values", "label"])
+
+    rows = chosen(id_text(docs), known, sample)
+    found = rows.mapInArrow(run, f"{field_ddl(rows, 'doc_id')}, inputs binary, values binary, label double").collect()
+    found.sort(key=lambda r: (r.doc_id, r.inputs))
+    out = fit_posterior([(np.frombuffer(r.inputs, dtype=np.int32), np.frombuffer(r["values"], dtype=np.float32), r.label) for r in found], len(DOMAINS))
+    del found
+    trim()
+    return out
 
 
 def memberships(docs: DataFrame, model: Posterior, vocabulary: str) -> DataFrame:
@@ -97,18 +181,16 @@ def memberships(docs: DataFrame, model: Posterior, vocabulary: str) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE * domains floats: 0.8 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, counter = Features(), token_counter(vocabulary)
+        only(token_counter)
+        counter = token_counter(vocabulary)
         for batch in batches:
-            texts, stated = batch.column("text").to_pylist(), batch.column("stated").to_pylist()
-            found = [shared.value.of(*features.batch(texts[at : at + 200], stated[at : at + 200])) for at in range(0, len(texts), 200)]
-            rows = np.concatenate(found) if found else np.zeros((0, len(DOMAINS)))
+            found = list(profiles(batch.column("text").to_pylist(), counter))
+            rows = np.concatenate([shared.value.of_profile(p) for p in found]) if found else np.zeros((0, len(DOMAINS)))
+            tokens = np.concatenate([p.tokens for p in found]) if found else np.zeros(0, dtype=np.int64)
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(DOMAINS))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counter.counts(texts)), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))],
-                ["doc_id", "tokens", "posterior"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))], ["doc_id", "tokens", "posterior"])
 
-    return inputs_of(docs).mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, tokens long, posterior array<double>")
+    return id_text(docs).mapInArrow(run, f"{field_ddl(docs, 'doc_id')}, tokens long, posterior array<double>")
 
 
 @dataclass
@@ -185,11 +267,10 @@ def mix(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[floa
     far the expected tokens of any domain end from their target, as a share of all.
 
     A null or empty text has no tokens and keeps the rate 1. Rows that repeat are
-    rated one by one and alike. Columns other than doc_id, text and n_chars are
-    not read; an empty table gives an empty result. Where the fit ends away from
+    rated one by one and alike. Columns other than doc_id and text are not read; an empty table gives an empty result. Where the fit ends away from
     the targets, a warning names the residual.
     """
-    members = written(memberships(docs, train(docs, labels, sample), vocabulary), "members")
+    members = written(memberships(docs, train(docs, labels, vocabulary, sample), vocabulary), "members")
     found = fit_rates(members, weights, most)
     if found.residual > TOLERANCE:
         _log.warning("the mix misses its targets by up to %.4f of all tokens: expected %s, targets %s", found.residual, found.totals.round(1).tolist(), found.targets.round(1).tolist())
