@@ -108,9 +108,14 @@ def only(*kept) -> None:
     for c in dropped:
         c.cache_clear()
     if dropped:
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the machine."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class PieceCache:

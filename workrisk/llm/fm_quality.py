@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.llm.common import bounded_batches, field_ddl, only
+from workrisk.llm.common import bounded_batches, field_ddl, only, trim
 
 #: Buckets of words; bins of each statistic.
 WORDS, BINS = 1 << 16, 16
@@ -183,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sam
     """Fit on labelled documents outside the held-out fold. The features of the
     bounded sample are made on the executors; the driver holds only those."""
     bounded_batches(docs.sparkSession)
-    return fit(collect_inputs(labelled(inputs_of(docs), labels.select("doc_id", "quality"), "quality", folds, held, sample)))
+    out = fit(collect_inputs(labelled(inputs_of(docs), labels.select("doc_id", "quality"), "quality", folds, held, sample)))
+    trim()
+    return out
 
 
 def _scorer(docs: DataFrame, machine: Machine):
