@@ -116,6 +116,20 @@ def test_command_line(spark, folder, tmp_path, capsys):
     assert "points don't add up: 0" in capsys.readouterr().out
 
 
+def test_benchmark_command(spark, tmp_path, capsys):
+    from workrisk.__main__ import main
+
+    main(["benchmark", "--n", "300", "--seed", "7", "--outdir", str(tmp_path)], spark)
+    assert sinks.read_report(f"{tmp_path}/benchmark.json")["roc_auc"] > 0.75
+    blocks = {r.block: r.content for r in spark.read.json(f"{tmp_path}/payload").collect()}
+    assert set(blocks) == {"meta", "dashboard", "priority_queue", "agencies", "benchmark"} and '"projects_analysed": 300' in blocks["dashboard"]
+    assert spark.read.json(f"{tmp_path}/projects").count() == 300 == spark.read.option("header", True).csv(f"{tmp_path}/scored").count()
+    back = sinks.read_csv(spark, f"{tmp_path}/scored", ("project_id", "sanction_date"), benchmark.TYPES)
+    assert dict(back.dtypes)["sanction_date"] == "date" and dict(back.dtypes)["project_id"] == "string" and back.where("sanction_date IS NULL").count() == 0
+    with pytest.raises(ValueError, match="nothing"):
+        sinks.read_csv(spark, f"{tmp_path}/scored", ("nothing",), {})
+
+
 def test_multiplied_work_is_named(spark):
     with pytest.raises(AssertionError, match="w1"):
         build.check_unmultiplied(spark.createDataFrame([("w1",), ("w1",)], "work_id string"))

@@ -55,11 +55,9 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
 def run_benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
     table = sinks.read_csv(spark, args.csv, benchmark.REQUIRED, benchmark.TYPES) if args.csv else datagen.generate(spark, args.n, args.seed)
     scored = stored(benchmark.run(stored(table)))
-    sinks.write_parquet(scored, f"{args.outdir}/projects")
-    sinks.write_csv(sinks.cleaned(benchmark.queue(scored)), f"{args.outdir}/priority_queue")
-    sinks.write_csv(sinks.cleaned(rollups.agencies(scored)), f"{args.outdir}/agencies")
     measures = evaluation.evaluate(scored, "risk_score", "is_anomaly", "project_id")
     found = {"available": False} if measures is None else {"available": True, **measures.head().asDict()}
+    sinks.export_benchmark(scored, args.outdir, found)
     sinks.write_report(found, f"{args.outdir}/benchmark.json")
     print(found)
 

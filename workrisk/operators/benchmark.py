@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workrisk.config import BENCHMARK_LABELS, EXPECTED_DAYS, INADMISSIBLE, BenchmarkConfig, RiskConfig
-from workrisk.functions.numeric import is_true, ramp_or_zero, ratio
+from workrisk.functions.numeric import is_true, mean_of, ramp_or_zero, ratio
 from workrisk.operators import multivariate as mv
 from workrisk.operators.peers import group_size, percent_rank, robust_z
 from workrisk.operators.scoring import band, combine, explain
@@ -165,3 +165,21 @@ def queue(scored: DataFrame, most: int = 50) -> DataFrame:
     """The riskiest projects first, the more certain of two alike."""
     columns = ("project_id", "district", "state", "work_category", "implementing_agency", "effective_cost", "risk_score", "risk_band", "confidence", "primary_reason", "review_status")
     return scored.orderBy(F.desc("risk_score"), F.desc("confidence"), "project_id").limit(most).select(*columns)
+
+
+def dashboard(scored: DataFrame) -> DataFrame:
+    return scored.agg(
+        F.count(F.lit(1)).alias("projects_analysed"), F.count_if(F.col("risk_band") != "Low").alias("potential_risks"), F.count_if(F.col("review_status") == "Pending review").alias("pending_review"),
+    )
+
+
+def band_summary(scored: DataFrame) -> DataFrame:
+    """Bands that occur, High, Medium, Low."""
+    out = scored.groupBy("risk_band").agg(F.count(F.lit(1)).alias("projects"), mean_of(F.col("risk_score"), 1, 1).alias("mean_score"), mean_of(F.col("confidence"), 3, 3).alias("mean_confidence"))
+    out = out.withColumn("share_pct", F.round(F.col("projects") * 100 / F.sum("projects").over(Window.partitionBy()), 1))  # three rows
+    return out.orderBy(F.array_position(F.array(F.lit("High"), F.lit("Medium"), F.lit("Low")), F.col("risk_band")))
+
+
+def reason_summary(scored: DataFrame) -> DataFrame:
+    flagged = scored.where("risk_band <> 'Low'")
+    return flagged.groupBy(F.col("primary_reason").alias("reason")).agg(F.count(F.lit(1)).alias("projects")).orderBy(F.desc("projects"), "reason")

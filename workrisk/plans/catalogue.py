@@ -688,6 +688,14 @@ def early_warning(spark, sf_dir, scored=_plain):
     return rollups.early_warning(scored(spark, sf_dir), adapter.AS_OF).select("work_id", "state", "district", "sanction_amount", "days_sanction_to_reference", "peer_median_duration", "days_since_last_payment", "risk_score", "risk_band", "warning_reason")
 
 
+@whole
+@query(sql.with_scores(f"""SELECT count(*) AS warnings, count(*) FILTER (total_expenditure IS NULL) AS without_payment FROM (SELECT state, total_expenditure FROM scored
+  WHERE NOT is_completed AND days_sanction_to_reference > peer_median_duration * 1.5 AND (NOT has_expenditure OR DATE '{adapter.AS_OF}' - last_payment_date > 365) ORDER BY days_sanction_to_reference DESC, work_id LIMIT 300) WHERE state = (SELECT min(n_name) FROM nation)"""))
+def warnings_of_state(spark, sf_dir, scored=_plain):
+    first = _t(spark, sf_dir, "nation").agg(F.min("n_name")).head()[0]
+    return reviews.warnings_view(rollups.early_warning(scored(spark, sf_dir), adapter.AS_OF), first)[1]
+
+
 # ------------------------------------------------- queue, readers, reviews
 
 _QUEUE = ("work_id", "state", "district", "work_type", "sanction_amount", "peer_size", "risk_score", "risk_band", "confidence")

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workrisk.config import INDICATORS, RiskConfig
+from workrisk.config import BENCHMARK_CAPS, INDICATORS, BenchmarkConfig, RiskConfig
 from workrisk.functions.text import shortened
 from workrisk.operators import rollups as r
 
@@ -165,6 +165,35 @@ def export_register(scored: DataFrame, folder: str, report: dict, scope: str = "
     chosen.select(*record, "explanation").repartitionByRange("work_id").sortWithinPartitions("work_id").write.mode("overwrite").parquet(f"{folder}/details")
 
 
+# The fields of a project's record.
+PROJECT = (
+    "project_id", "state", "district", "block", "latitude", "longitude", "constituency", "sector", "work_category", "work_description", "implementing_agency", "sanction_date", "expected_completion_date",
+    "actual_completion_date", "sanctioned_cost", "revised_cost", "effective_cost", "expenditure", "physical_progress_pct", "status", "peer_median_cost", "peer_cost_percentile", "peer_size", "cost_robust_z",
+    "overrun_days", "expected_duration_days", "expenditure_ratio_pct", "progress_gap_pct", "cost_escalation_pct", "duplicate_match_id", "compliance_reasons", "agency_work_share", "risk_score", "risk_band",
+    "confidence", "primary_reason", "review_status", "assessment", *(f"points_{n}" for n in BENCHMARK_CAPS),
+)
+
+
+def export_benchmark(scored: DataFrame, folder: str, measures: dict, config: BenchmarkConfig = BenchmarkConfig(), top: int = 50) -> None:
+    """The benchmark's payload: its blocks as one JSON text each, and projects,
+    queue and agencies as tables."""
+    from workrisk.operators import benchmark
+
+    queue, agencies = benchmark.queue(scored, top), r.agencies(scored)
+    blocks = {
+        "meta": {"data_mode": "synthetic_benchmark", "engine_version": "v1-benchmark", "limitations": ["Every record here is generated. No work, agency or amount describes anything real."]},
+        "dashboard": _list(benchmark.dashboard(scored))[0] | {"risk_distribution": _list(benchmark.band_summary(scored)), "flag_reasons": _list(benchmark.reason_summary(scored)),
+                                                              "weights": config.caps, "bands": {"high": config.band_high, "medium": config.band_medium}},
+        "priority_queue": _list(queue), "agencies": _list(agencies), "benchmark": measures,
+    }
+    texts = scored.sparkSession.createDataFrame([(name, json.dumps(block, default=str)) for name, block in blocks.items()], "block string, content string")
+    texts.coalesce(1).write.mode("overwrite").json(f"{folder}/payload")
+    records(scored.select(*[c for c in PROJECT if c in scored.columns], F.to_json("explanation").alias("explanation")), "project_id").write.mode("overwrite").json(f"{folder}/projects")
+    write_csv(cleaned(scored.select(*[c for c in PROJECT if c in scored.columns])), f"{folder}/scored")
+    write_csv(cleaned(queue), f"{folder}/priority_queue")
+    write_csv(cleaned(agencies), f"{folder}/agencies")
+
+
 def read_payload(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
     """The payload's blocks, and the index as a table. Fails without works."""
     blocks = {row.block: json.loads(row.content) for row in spark.read.schema("block string, content string").json(f"{folder}/payload").collect()}
