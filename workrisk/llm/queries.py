@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, line_quality, pca_neighbours, soft_mix, token_store, toxicity
+from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, importance, line_quality, pca_neighbours, soft_mix, sql, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(table(spark, sf_dir, "documents"), shards, hash_tree.grow(shards))
 
 
+def op12_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash": op8_hyperminhash,
         "op9_pca_neighbours": op9_pca_neighbours,
         "op10_hash_tree": op10_hash_tree,
+        "op12_byte_automaton": op12_byte_automaton,
     }
 
 
@@ -134,4 +140,5 @@ FROM stats"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_quality": line_quality_sql(),
+        "op12_byte_automaton": sql.importance_sql(),
     }
