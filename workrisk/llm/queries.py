@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, importance, line_quality, pca_neighbours, soft_mix, sql, token_store, toxicity
+from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, importance, line_quality, pca_neighbours, soft_mix, sql, token_store, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op12_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pca_neighbours": op9_pca_neighbours,
         "op10_hash_tree": op10_hash_tree,
         "op12_byte_automaton": op12_byte_automaton,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -141,4 +146,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_quality": line_quality_sql(),
         "op12_byte_automaton": sql.importance_sql(),
+        "op13_spelling_variants": sql.variants_sql(),
     }

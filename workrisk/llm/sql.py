@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workrisk.llm import importance
+from workrisk.llm import importance, variants
 
 #: CTEs: a table of one list, crc.t, that CRC32 runs through byte by byte.
 CRC_TABLE = """
@@ -56,3 +56,39 @@ ranked AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.PERCENT} * fit // 100 THEN rank END AS rank
 FROM scored LEFT JOIN ranked USING (r)"""
+
+
+def variants_sql() -> str:
+    """variants.group_variants. Near words meet through the text around one place:
+    a replacement leaves it equal, an insertion makes it the shorter word."""
+    size = variants.LEAST_LENGTH
+    return f"""
+WITH RECURSIVE {CRC_TABLE.strip()},
+found AS (
+  SELECT doc_id, unnest(regexp_extract_all({lowered("text")}, '[{variants.LETTERS}]{{{size},}}')) AS run FROM documents
+),
+runs AS (SELECT doc_id, run, count(*) AS times, coalesce(doc_id::VARCHAR, '') || ':' || run AS named FROM found GROUP BY doc_id, run),
+hashed AS (SELECT run, times, {crc32("named")} AS h FROM runs, crc),
+words AS (
+  SELECT CASE WHEN h % {variants.SLIP} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times FROM hashed
+),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM words GROUP BY word HAVING sum(times) >= {variants.LEAST_COUNT} AND length(word) >= {size}),
+holes AS (
+  SELECT word, n, k, substr(word, 1, k) AS a, substr(word, k + 2) AS b FROM (SELECT word, n, unnest(range(length(word)))::INT AS k FROM v)
+),
+shorter AS (SELECT DISTINCT long.word AS x, long.n AS x_n, v.word AS y, v.n AS y_n FROM holes long JOIN v ON v.word = long.a || long.b),
+near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.k = y.k AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT x, y, y_n FROM shorter UNION ALL SELECT y, x, x_n FROM shorter
+),
+best AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+own AS (
+  SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= {variants.RATIO} * n THEN near END AS form, CASE WHEN near_n >= {variants.RATIO} * n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+),
+path AS (
+  SELECT word, word AS at FROM own
+  UNION ALL SELECT path.word, own.form FROM path JOIN own ON own.word = path.at WHERE own.form IS NOT NULL
+)
+SELECT own.word, own.n, own.n_near, own.form, own.form_n, path.at AS root
+FROM own JOIN path USING (word) JOIN own AS last ON last.word = path.at WHERE last.form IS NULL"""
