@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, importance, line_quality, pca_neighbours, soft_mix, sql, token_store, toxicity, variants
+from workrisk.llm import bpe_codec, count_transducer, fm_quality, hash_tree, hyperminhash, importance, line_quality, packing, pca_neighbours, soft_mix, sql, token_store, toxicity, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,11 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.shard_documents(table(spark, sf_dir, "documents"), shards, hash_tree.grow(shards))
 
 
+def op11_exact_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_byte_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -83,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hyperminhash": op8_hyperminhash,
         "op9_pca_neighbours": op9_pca_neighbours,
         "op10_hash_tree": op10_hash_tree,
+        "op11_exact_complement": op11_exact_complement,
         "op12_byte_automaton": op12_byte_automaton,
         "op13_spelling_variants": op13_spelling_variants,
     }
