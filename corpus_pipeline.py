@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from workrisk.llm import bpe_codec, fm_quality, hyperminhash, line_quality, soft_mix
 from workrisk.llm.common import delete, work_dir
@@ -14,8 +15,8 @@ from workrisk.llm.common import delete, work_dir
 
 #: Target shares of the tokens of soft_mix.DOMAINS.
 MIX_WEIGHTS = soft_mix.WEIGHTS
-#: A clean document may be short; the lines of one are judged like others.
-LIMITS = line_quality.Limits(least_words=1)
+#: A clean document may be short; its lines decide.
+LIMITS = line_quality.Limits(short_by_lines=True)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +44,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of ids and decoded bytes."""
+    """Token ids of each document, with the digests of ids and decoded bytes, and
+    what the mixing stage has left in its table's metadata: how far the mix ends
+    from its targets, and the domains out of reach (null for other tables)."""
+    report = docs.schema["doc_id"].metadata.get("mix", {}) if "doc_id" in docs.columns else {}
     encoded = bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe_codec.digests(encoded, keep_ids=True)
+    unreached = ",".join(report["unreached"]) if report else None
+    columns = {"mix_residual": F.lit(report.get("residual")).cast("double"), "mix_unreached": F.lit(unreached).cast("string")}
+    return bpe_codec.digests(encoded, keep_ids=True).withColumns(columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

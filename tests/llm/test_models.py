@@ -68,6 +68,26 @@ def test_line_rules(line, fault):
     assert line_quality.line_fault(long.split(), long, False) is None
 
 
+@pytest.mark.parametrize(("text", "kept"), [
+    ("One plain sentence stands here.", True),
+    ("The first line says this. Yes.\nAnother one.\nThe first line says this. Yes.", True),  # over half of it in repeated windows
+    ("A sentence here. 19.37.233.111", True),  # breaks off after a sentence
+    ("Les.", True),
+    ("one one two two three three four four", False),  # no sentence
+    ("Buy now. Buy now. Buy now. Buy now.", False),  # under half of its words differ
+    ("home | about | news | shop |\nWords here.", False),
+    ("Star*** word.###", False),
+    ("Short one.\nAll rights reserved by the owner of it.", False),  # loses most of its text
+    ("", False), (" \n\t", False),
+])
+def test_short_documents_by_their_lines(text, kept):
+    assert line_quality.judge(text, line_quality.Limits(short_by_lines=True)).kept == kept
+    assert not line_quality.judge(text).kept
+    # no word more or less changes what a long text gets
+    long = "\n".join(f"Sentence number {k} of this text has words{k} of its own{k}." for k in range(20)) + "\n" + text
+    assert line_quality.judge(long, line_quality.Limits(short_by_lines=True)) == line_quality.judge(long)
+
+
 def test_clean_documents_keeps_columns_and_good_lines(documents):
     good = " ".join(f"word{k}" for k in range(60)) + "."
     out = line_quality.clean_documents(documents([(1, good + "\nHome | News | Contact"), (2, "short"), (3, None)])).collect()
@@ -218,10 +238,8 @@ def test_rates_meet_targets_and_equal_numpy(spark):
     rows = [(int(t), [float(x) for x in p]) for t, p in zip(rng.integers(1, 900, 400), rng.dirichlet([2, 1, 1], 400), strict=True)]
     members = spark.createDataFrame(rows, "tokens long, posterior array<double>")
     found = soft_mix.fit_rates(members, (0.6, 0.2, 0.2), 3.0, tolerance=1e-4)
-    a = np.array([[t * x for x in p] for t, p in rows])
-    r = np.ones(len(a))
-    for step in found.steps:
-        r = np.clip(r - a @ step, 0, 3.0)
+    a, p = np.array([[t * x for x in p] for t, p in rows]), np.array([p for _, p in rows])
+    r = np.clip(1 - p @ found.steps, 0, 3.0)
     spark_rates = [x.r for x in members.select(found.rate(F.col("tokens"), F.col("posterior"), 3.0).alias("r")).collect()]
     assert np.allclose(np.sort(spark_rates), np.sort(r), atol=1e-9)
     assert np.abs(r @ a - found.targets).max() <= 1e-4 * found.targets.sum()
@@ -247,9 +265,7 @@ def test_mix_rows_equal_brute_force(spark):
         assert len(inputs) - len(soft_mix.STATISTICS) <= len(pieces) and (len(text) > 3000 or len(inputs) - len(soft_mix.STATISTICS) >= 0.98 * len(pieces) - 1)
         z = model.bias + (model.weights[inputs] * values[:, None]).sum(axis=0)
         assert np.allclose(g.posterior, np.exp(z) / np.exp(z).sum(), atol=1e-5)
-        rate = 1.0
-        for step in fit.steps:
-            rate = max(0.0, rate - g.tokens * float(np.dot(g.posterior, step)))
+        rate = max(0.0, 1 - float(np.dot(g.posterior, fit.steps))) if g.tokens else 1.0
         h = xxhash.xxh64_intdigest(b"copies", seed=xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), seed=42))
         assert abs(g.rate - rate) < 1e-9 and g.copies == int(rate) + ((h >> 11) / (1 << 53) < g.rate - int(g.rate))
     total = sum(r.rate * r.tokens * np.array(r.posterior) for r in got.values())
@@ -258,6 +274,82 @@ def test_mix_rows_equal_brute_force(spark):
     assert {r.doc_id: (r.rate, r.copies) for r in other.collect()} == {i: (r.rate, r.copies) for i, r in got.items()}
 
 
+def nearest_rates(tokens, p, targets):
+    """Brute force: of all rates of 0 or more that meet the targets, the nearest to
+    1 by tokens, by projecting onto the targets and onto r >= 0 in turn (Dykstra)."""
+    a = tokens[:, None] * p
+    inverse = np.linalg.inv(a.T @ p)
+    r, back = np.ones(len(tokens)), np.zeros(len(tokens))
+    for _ in range(20_000):
+        onto = r - p @ (inverse @ (a.T @ r - targets))
+        r = np.maximum(0, onto + back)
+        back = onto + back - r
+    return r
+
+
+def nonnegative_least_squares(a, targets):
+    """Brute force: the least sum of squares, by accelerated projected gradient."""
+    size = 1 / np.linalg.norm(a, 2) ** 2
+    r = z = np.ones(len(a))
+    t = 1.0
+    for _ in range(40_000):
+        new = np.maximum(0, z - size * (a @ (a.T @ z - targets)))
+        again = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        z, r, t = new + (t - 1) / again * (new - r), new, again
+    return float(((a.T @ r - targets) ** 2).sum())
+
+
+@pytest.mark.parametrize("poor", [False, True])
+def test_rates_are_the_nearest_and_unreachable_domains_left_alone(spark, poor):
+    rng = np.random.default_rng(8)
+    tokens = rng.integers(1, 900, 120).astype(float)
+    p = rng.dirichlet([6, 1, 1e-4] if poor else [4, 2, 1], 120)
+    if poor:
+        p = p * [1, 1, 0] + [0, 0, 0.01]
+        p /= p.sum(axis=1, keepdims=True)
+    members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, posterior array<double>")
+    weights = (0.92, 0.02, 0.06) if poor else (0.72, 0.11, 0.17)
+    found = soft_mix.fit_rates(members, weights, tolerance=1e-7)
+    a = tokens[:, None] * p
+    own = a.sum(axis=0)
+    assert found.unreached == ([2] if poor else [])
+    targets = np.array(weights) * own[0] / weights[0]
+    assert np.allclose(found.targets, targets)
+    fitted = found.fitted
+    got = np.array([x.r for x in members.select(found.rate(F.col("tokens"), F.col("posterior")).alias("r")).collect()])
+    assert np.abs(a.T @ got - targets)[fitted].max() <= 1e-6 * own.sum()
+    assert np.allclose(got, nearest_rates(tokens, p[:, fitted], targets[fitted]), atol=2e-3)
+    assert (poor or (got == 0).any()) and got.max() <= found.highest()
+    misses = lambda r: ((a.T @ r - targets) ** 2)
+    assert misses(got).sum() <= misses(np.ones(len(a))).sum()
+    least = nonnegative_least_squares(a[:, fitted] / own.sum(), targets[fitted] / own.sum())
+    assert misses(got)[fitted].sum() / own.sum() ** 2 <= least + 1e-9
+
+
+def test_real_rows_with_an_unreachable_domain(spark):
+    """What the quality classifier keeps has no poor tokens to speak of: the domain
+    is left alone, and no document goes for it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    good = fm_quality.keep_good(docs, fm_quality.train(docs, labels), threshold=0.3)
+    members = soft_mix.memberships(good, soft_mix.train(good, labels, VOCABULARY), VOCABULARY).cache()
+    fit = soft_mix.fit_rates(members, repeats=5)
+    assert fit.unreached == [2]
+    assert np.abs(fit.totals - fit.targets)[:2].max() <= soft_mix.TOLERANCE * fit.targets.sum()
+    rate = fit.rate(F.col("tokens"), F.col("posterior"))
+    none, most = members.agg(F.count_if((F.col("tokens") > 0) & (rate == 0)), F.max(rate)).head()
+    assert none == 0 and most <= fit.highest() < 5
+
+
+def test_no_labels_and_many_copies(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = soft_mix.mix(documents([(1, "a b"), (2, "c d e")]), none, VOCABULARY).collect()
+    assert [(r.rate, r.copies, r.unreached) for r in rows] == [(1.0, 1, "good,toxic,poor")] * 2
+    table = spark.createDataFrame([(1, "x", 1), (2, "y", 200), (3, "z", 65)], "doc_id long, text string, n int")
+    for highest in (10, 500):
+        got = soft_mix._repeated(table, "n", highest).groupBy("doc_id").count().collect()
+        assert {r.doc_id: r["count"] for r in got} == {1: 1, 2: 200, 3: 65}
+
+
 def test_mix_edges(documents, odd_texts, spark):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
     rows = soft_mix.mix(documents(odd_texts), labels, VOCABULARY).collect()

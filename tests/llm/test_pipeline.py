@@ -44,8 +44,11 @@ def test_run_equals_brute_force(spark, folder):
     copies = {r.doc_id: r.copies for r in soft_mix.mix(kept, labels, VOCABULARY, corpus_pipeline.MIX_WEIGHTS).collect()}
     codec = bpe_codec.Codec(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.tiktoken"), corpus_pipeline.public_tokenizers.PATTERN)
     want = sorted((i, np.frombuffer(codec.encode([t])[0], dtype="<i4").tolist()) for i, t in rows for _ in range(copies[i]))
-    got = sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, folder).collect())
+    rows = corpus_pipeline.run(spark, folder).collect()
+    got = sorted((r.doc_id, list(r.ids)) for r in rows)
     assert got == want
+    (report,) = {(r.residual, r.unreached) for r in soft_mix.mix(kept, labels, VOCABULARY, corpus_pipeline.MIX_WEIGHTS).collect()}
+    assert {(r.mix_residual, r.mix_unreached) for r in rows} == {report}
     assert got == sorted((r.doc_id, list(r.ids)) for r in corpus_pipeline.run(spark, folder).collect())
 
 
@@ -58,8 +61,18 @@ def test_stages_take_odd_rows(spark, documents, odd_texts, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == len(odd_texts)
 
 
+def test_empty_labels_change_nothing(spark, documents, tmp_path):
+    """Without labels every document is as good as any other: none is mixed away."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(k, f"Number {k} is a sentence of its own{k * 7}, and says so{k}.") for k in range(30)]
+    documents(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(30))
+    assert {r.mix_unreached for r in out} == {"good,toxic,poor"}
+
+
 def test_every_operator_is_registered():
     names = sorted(queries())
-    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
     assert set(oracle_sql()) <= set(names)
     assert os.path.exists(corpus_pipeline.__file__)

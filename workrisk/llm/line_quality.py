@@ -13,6 +13,12 @@ Rules of a line, in this order; the first that holds removes it:
 
 The last two spare lines of thirty words and more, which are text that mentions
 such a thing, or breaks off.
+
+A short document can't be judged by how often its passages repeat, one sentence
+being most of it. Where Limits say so, it is judged by its lines instead: a line
+with a sentence that ends inside it has its punctuation, a repeated line goes but
+doesn't count as lost, and the document stays if a line does, half of whose words
+differ or more, and if it doesn't lose too much.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,7 @@ from workrisk.llm.common import bounded_batches, field_ddl, id_text, only
 SEPARATORS = ("|", ">", "<", "»", "«", "•", "·", "/", "::")
 SYMBOLS = "#*$%&|<>"
 ENDINGS = ".!?:;,…\"'”’»)]}。！？"
+SENTENCE_ENDINGS = ".!?。！？"
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -60,15 +68,18 @@ _NOTICE = re.compile("|".join(BOILERPLATE), re.IGNORECASE | re.ASCII)
 
 @dataclass(frozen=True)
 class Limits:
-    """When a document goes: few words, repeated passages, or too much removed."""
+    """When a document goes: few words (or, by lines, none that stand up), repeated
+    passages, or too much removed."""
 
     least_words: int = 50
     repeat_percent: int = 50
     lost_percent: int = 50
+    short_by_lines: bool = False
 
 
-def line_fault(words: list[str], line: str, seen: bool) -> str | None:
-    """The first rule that a line with words breaks."""
+def line_fault(words: list[str], line: str, seen: bool, short: bool = False) -> str | None:
+    """The first rule that a line with words breaks; ``short`` is said of a short
+    document's line."""
     n = len(words)
     if 5 * sum(map(words.count, SEPARATORS)) >= n:
         return "navigation"
@@ -85,7 +96,9 @@ def line_fault(words: list[str], line: str, seen: bool) -> str | None:
         return None
     if _NOTICE.search(line):
         return "boilerplate"
-    return "punctuation" if words[-1][-1] not in ENDINGS else None
+    if words[-1][-1] in ENDINGS or short and any(w[-1] in SENTENCE_ENDINGS for w in words):
+        return None
+    return "punctuation"
 
 
 @dataclass
@@ -117,9 +130,14 @@ def repeat_words(words: list[str]) -> int:
     return int(inside.sum())
 
 
+def is_short(text: str, least_words: int) -> bool:
+    return sum(1 for _ in islice(_WORDS.finditer(text), least_words)) < least_words
+
+
 def judge(text: str, limits: Limits = Limits()) -> Report:
     """Statistics, verdict and cleaned text of a whole text."""
     words, faults, kept_lines, seen, lost, dup = [], Counter(), [], set(), 0, 0
+    short, stay, twice = limits.short_by_lines and is_short(text, limits.least_words), [], 0
     for line in text.split("\n"):
         own = _WORDS.findall(line)
         if not own:
@@ -129,15 +147,22 @@ def judge(text: str, limits: Limits = Limits()) -> Report:
         again = line in seen
         dup += again
         seen.add(line)
-        fault = line_fault(own, line, again)
+        fault = line_fault(own, line, again, short)
         if fault:
             faults[fault] += 1
             lost += len(own)
+            twice += len(own) if fault == "repeated" else 0
         else:
             kept_lines.append(line)
+            if short:
+                stay += own
     n, repeated = len(words), repeat_words(words)
-    failed = n < limits.least_words or 100 * repeated > limits.repeat_percent * n
-    kept = not failed and 100 * lost <= limits.lost_percent * n
+    if short:
+        failed = not stay or 2 * len(set(stay)) < len(stay)
+        kept = not failed and 100 * (lost - twice) <= limits.lost_percent * n
+    else:
+        failed = n < limits.least_words or 100 * repeated > limits.repeat_percent * n
+        kept = not failed and 100 * lost <= limits.lost_percent * n
     return Report(n, sum(map(len, words)), len(_SYMBOLS.findall(text)), dup, repeated, failed, kept, lost, faults, "\n".join(kept_lines))
 
 

@@ -4,13 +4,21 @@ expected tokens of the domains match target weights.
 The table of labels names the domains; a softmax classifier predicts each
 document's posterior over them from the tokenizer's pieces, which the counter of
 its tokens hashes as it reads them, and statistics of the text. With a[d, k] =
-tokens of d times its posterior of k, nonnegative rates r are fitted by least
-squares of the K residuals a' r - target, by projected gradient steps from rate
-1. The residuals are measured in the metric of the inverse of S = a' a, summed
-over the documents whose rate is not at a bound: in it the curvature is 1, and so
-is the length of a step; a step that makes things worse is halved. A step needs
-only the residuals and S, which one aggregation gives; rates are an expression of
-the steps so far, so no state of the documents is kept between them.
+tokens of d times its posterior p[d, k], nonnegative rates r are fitted by least
+squares of the K misses a' r - target, by projected gradient steps from rate 1.
+Documents are measured by their tokens, so the gradient of a rate is p times the
+misses in some metric, and what a document gets does not hang on its length. The
+metric is the inverse of the sum of tokens p p' over the documents whose rate is
+not at a bound: with it one step would be enough if no rate met a bound. Steps add
+up before they are projected: r = max(0, 1 - p' s), which at the end are, of all
+rates that meet the targets, the nearest to 1. A step is taken only where it
+lowers the sum of squared misses, else halved. It needs K misses and K x K sums,
+which one aggregation gives, and rates are an expression of s.
+
+A target that no rates can reach is found before the fit: a share above (below) the
+highest (lowest) posterior of any document, or tokens that the domain's own,
+repeated REPEATS times, don't make. Such a domain is left alone: the others are
+fitted, it keeps about what it has, and the result names it.
 """
 
 from __future__ import annotations
@@ -40,6 +48,10 @@ SIZE = WORDS + BINS * len(STATISTICS)
 #: Rates are bounded by 0 alone.
 MOST_RATE = float("inf")
 TOLERANCE = 1e-3
+#: A target of more than so many times a domain's tokens is out of its reach.
+REPEATS = 20
+#: Copies of a row that one task makes of it.
+AT_ONCE = 64
 
 _log = logging.getLogger(__name__)
 
@@ -195,65 +207,100 @@ def memberships(docs: DataFrame, model: Posterior, vocabulary: str) -> DataFrame
 
 @dataclass
 class Fit:
-    """Targets, the steps' factors (one row a step), and how far the expected
-    tokens are from the targets, as shares of the total."""
+    """Targets, the sum of the steps, the expected tokens, the domains that have a
+    target, and which of them (by place) are out of reach."""
 
     targets: np.ndarray
-    steps: list[np.ndarray]
+    steps: np.ndarray
     totals: np.ndarray
-    residual: float
     wanted: list[int]
+    unreached: list[int]
 
-    def rate(self, tokens: Column, posterior: Column, most: float) -> Column:
-        """A document's rate: the steps replayed from 1."""
-        posterior = F.array(*[posterior[k] for k in self.wanted])
-        if not self.steps:
-            return F.lit(1.0)
-        factors = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in self.steps])
-        move = lambda step: F.aggregate(F.zip_with(posterior, step, lambda p, g: p * g), F.lit(0.0), lambda s, x: s + x) * tokens
-        return F.aggregate(factors, F.lit(1.0), lambda r, step: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - move(step))))
+    @property
+    def residual(self) -> float:
+        """How far any domain is from its target, as a share of all tokens."""
+        return float(np.abs(self.totals - self.targets).max() / self.targets.sum()) if self.targets.sum() else 0.0
+
+    @property
+    def fitted(self) -> np.ndarray:
+        return np.array([k not in self.unreached for k in self.wanted])
+
+    def miss(self) -> float:
+        """As the residual, of the domains within reach."""
+        return float(np.abs(self.totals - self.targets)[self.fitted].max(initial=0) / self.targets.sum())
+
+    def objective(self) -> float:
+        return float(((self.totals - self.targets)[self.fitted] ** 2).sum())
+
+    def highest(self, most: float = MOST_RATE) -> float:
+        """No rate is above this: posteriors are shares."""
+        return float(min(most, 1 + max(0.0, *-self.steps)))
 
+    def rate(self, tokens: Column, posterior: Column, most: float = MOST_RATE) -> Column:
+        """A document's rate; one without tokens keeps the rate 1."""
+        moved = F.lit(1.0)
+        for k, step in zip(self.wanted, self.steps.tolist(), strict=True):
+            moved = moved - posterior[k] * F.lit(step)
+        return F.when(tokens > 0, F.least(F.lit(float(most)), F.greatest(F.lit(0.0), moved))).otherwise(1.0)
 
-def fit_rates(members: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 30, tolerance: float = TOLERANCE) -> Fit:
+
+def fit_rates(members: DataFrame, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, steps: int = 30, tolerance: float = TOLERANCE, repeats: float = REPEATS) -> Fit:
     """Projected gradient least squares over ``members`` (tokens, posterior).
 
     A domain whose weight is None has no target. What the driver holds is K
-    numbers a step.
+    numbers a step. Where targets can't be met together though each seems within
+    reach, the domain that misses most is left alone, too, and the fit begins anew.
     """
     wanted = [k for k, w in enumerate(weights) if w is not None]
-    weights, kinds = tuple(weights[k] for k in wanted), len(wanted)
-    part = [F.col("tokens") * F.col("posterior")[k] for k in wanted]
-
-    def measure(rate: Column) -> tuple[np.ndarray, np.ndarray]:
-        """Expected totals, and the products of the documents that can move; summed
-        as decimals, so that no order of the rows changes a digit."""
-        rated = members.select(rate.alias("rate"), *[p.alias(f"a{k}") for k, p in enumerate(part)])
-        free = F.when((F.col("rate") > 0) & (F.col("rate") < most), 1.0).otherwise(0.0)
-        exact = lambda x: F.sum(x.cast("decimal(38,6)"))
-        sums = [exact(F.col("rate") * F.col(f"a{k}")) for k in range(kinds)]
-        sums += [exact(free * F.col(f"a{i}") * F.col(f"a{j}")) for i in range(kinds) for j in range(i, kinds)]
+    shares, kinds = np.array([weights[k] for k in wanted], dtype=np.float64), len(wanted)
+    shares /= shares.sum()
+    share = [F.col("posterior")[k] for k in wanted]
+
+    def measure(fit: Fit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expected totals, the metric's sums over the documents that can move, and
+        the lowest and highest posteriors; summed as decimals, so that no order of
+        the rows changes a digit."""
+        rate = fit.rate(F.col("tokens"), F.col("posterior"), most)
+        rated = members.where("tokens > 0").select("tokens", rate.alias("rate"), *[p.alias(f"p{k}") for k, p in enumerate(share)])
+        free = F.when((F.col("rate") > 0) & (F.col("rate") < most), F.col("tokens")).otherwise(0)
+        exact = lambda x: F.sum(x.cast("decimal(38,9)"))
+        sums = [exact(F.col("rate") * F.col("tokens") * F.col(f"p{k}")) for k in range(kinds)]
+        sums += [exact(free * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(kinds) for j in range(i, kinds)]
+        sums += [f(f"p{k}") for f in (F.min, F.max) for k in range(kinds)]
         found = [float(x or 0) for x in rated.agg(*[x.alias(f"s{n}") for n, x in enumerate(sums)]).head()]
-        square = np.zeros((kinds, kinds))
-        square[np.triu_indices(kinds)] = found[kinds:]
-        return np.array(found[:kinds]), square + np.triu(square, 1).T
-
-    totals, square = measure(F.lit(1.0))
-    if not totals.sum():
-        return Fit(totals, [], totals, 0.0, wanted)
-    shares = np.array(weights) / sum(weights)
-    targets = shares * (totals[0] / shares[0] if totals[0] and shares[0] else totals.sum())
-    far = lambda x: float(np.abs(x - targets).max() / targets.sum())
-    out = Fit(targets, [], totals, far(totals), wanted)
-    floor, length = np.trace(square), 1.0
-    while out.residual > tolerance and len(out.steps) < steps and length > 0.01:
-        move = np.linalg.solve(square + np.eye(kinds) * 1e-6 * floor, out.totals - targets)
-        trial = Fit(targets, [*out.steps, length * move], totals, 0.0, wanted)
-        moved, free = measure(trial.rate(F.col("tokens"), F.col("posterior"), most))
-        if far(moved) < out.residual:
-            out, square, length = Fit(targets, trial.steps, moved, far(moved), wanted), free, min(1.0, 2 * length)
-        else:
-            length /= 2
-    return out
+        square, n = np.zeros((kinds, kinds)), kinds + kinds * (kinds + 1) // 2
+        square[np.triu_indices(kinds)] = found[kinds:n]
+        return np.array(found[:kinds]), square + np.triu(square, 1).T, np.array(found[n : n + kinds]), np.array(found[n + kinds :])
+
+    still = Fit(shares, np.zeros(kinds), shares, wanted, [])
+    own, first, lowest, highest = measure(still)
+    if not own.sum():
+        return Fit(own, still.steps, own, wanted, [])
+    targets = shares * (own[0] / shares[0] if own[0] and shares[0] else own.sum())
+    beyond = (shares > highest) | (shares < lowest) | (targets > repeats * own)
+    while True:
+        start = out = Fit(targets, still.steps, own, wanted, [wanted[k] for k in np.flatnonzero(beyond)])
+        square, length, some = first, 1.0, np.flatnonzero(~beyond)
+        for _ in range(steps):
+            if out.miss() <= tolerance or length < 1e-3:
+                break
+            # the domains' sums differ by magnitudes
+            scale = 1 / np.sqrt(np.maximum(np.diag(square)[some], 1e-12))
+            part = np.linalg.pinv(square[np.ix_(some, some)] * np.outer(scale, scale), rcond=1e-9, hermitian=True)
+            step = np.zeros(kinds)
+            step[some] = scale * (part @ (scale * (out.totals - targets)[some]))
+            trial = Fit(targets, out.steps + length * step, own, wanted, out.unreached)
+            trial.totals, moved, _, _ = measure(trial)
+            if trial.objective() < out.objective():
+                out, square, length = trial, moved, min(1.0, 2 * length)
+            else:
+                length /= 2
+        if out.miss() <= tolerance or len(some) < 2:
+            # no worse over all targets than what was there
+            return out if ((out.totals - targets) ** 2).sum() <= ((own - targets) ** 2).sum() else start
+        gap = np.abs(out.totals - targets) / np.maximum(targets, 1)
+        gap[beyond] = gap[some[0]] = -1  # the first one's tokens set the scale
+        beyond[int(gap.argmax())] = True
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -263,26 +310,49 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, tokens, posterior, rate and copies of every row, and residual, how
-    far the expected tokens of any domain end from their target, as a share of all.
+    """doc_id, tokens, posterior, rate and copies of every row; residual, how far
+    the expected tokens of any domain end from their target, as a share of all; and
+    unreached, the domains whose target no rates reach.
 
     A null or empty text has no tokens and keeps the rate 1. Rows that repeat are
-    rated one by one and alike. Columns other than doc_id and text are not read; an empty table gives an empty result. Where the fit ends away from
-    the targets, a warning names the residual.
+    rated one by one and alike. Columns other than doc_id and text are not read; an
+    empty table gives an empty result. Without labels all domains are as likely for
+    every document, so none can reach a target and all rates are 1. Where the fit
+    ends away from the targets, a warning names the residual.
     """
+    return _mixed(docs, labels, vocabulary, weights, most, sample)[0]
+
+
+def _mixed(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[float | None, ...], most: float, sample: int = SAMPLE) -> tuple[DataFrame, Fit]:
     members = written(memberships(docs, train(docs, labels, vocabulary, sample), vocabulary), "members")
     found = fit_rates(members, weights, most)
+    unreached = ",".join(DOMAINS[k] for k in found.unreached)
     if found.residual > TOLERANCE:
-        _log.warning("the mix misses its targets by up to %.4f of all tokens: expected %s, targets %s", found.residual, found.totals.round(1).tolist(), found.targets.round(1).tolist())
-    rate = found.rate(F.col("tokens"), F.col("posterior"), most)
-    rated = members.withColumn("rate", rate)
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).select("doc_id", "tokens", "posterior", "rate", "copies", F.lit(found.residual).alias("residual"))
+        _log.warning("the mix misses its targets by up to %.4f of all tokens: expected %s, targets %s, out of reach: %s", found.residual, found.totals.round(1).tolist(), found.targets.round(1).tolist(), unreached)
+    rated = members.withColumn("rate", found.rate(F.col("tokens"), F.col("posterior"), most))
+    rated = rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return rated.select("doc_id", "tokens", "posterior", "rate", "copies", F.lit(found.residual).alias("residual"), F.lit(unreached).alias("unreached")), found
+
+
+def _repeated(rows: DataFrame, count: str, highest: float, at_once: int = AT_ONCE) -> DataFrame:
+    """Each row ``count`` times. Rows that may come more often than a task should
+    make them are dealt out anew in parts."""
+    if highest <= at_once:
+        return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(count)))).drop("_copy")
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / at_once)))
+    dealt = rows.withColumn("_part", part).repartition("_part", F.xxhash64(*rows.columns))
+    own = F.least(F.lit(at_once), F.col(count) - F.col("_part") * at_once).cast("int")
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), own))).drop("_copy", "_part")
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, vocabulary: str, weights: tuple[float | None, ...] = WEIGHTS, most: float = MOST_RATE) -> DataFrame:
     """The rows of ``docs``, all columns, as often as their copies say. Rows that
-    repeat a doc_id have the same number; a row without one stays once."""
-    found = mix(docs, labels, vocabulary, weights, most).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("n"))
+    repeat a doc_id have the same number; a row without one stays once. The
+    metadata of the column doc_id say what mix() has in residual and unreached."""
+    rated, fit = _mixed(docs, labels, vocabulary, weights, most)
+    found = rated.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("n"))
     found = found.select(F.col("doc_id").alias("_mix_id"), F.col("n").alias("_mix_copies"))
     taken = docs.join(found, docs["doc_id"] == F.col("_mix_id"), "left").withColumn("_mix_copies", F.coalesce("_mix_copies", F.lit(1))).where("_mix_copies > 0")
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    report = {"residual": fit.residual, "unreached": [DOMAINS[k] for k in fit.unreached]}
+    again = _repeated(taken.drop("_mix_id"), "_mix_copies", np.ceil(fit.highest(most)))
+    return again.select(*[F.col(c).alias(c, metadata={"mix": report}) if c == "doc_id" else F.col(c) for c in docs.columns])
