@@ -22,17 +22,27 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("500000", 500000), ("1,25,000", 125000), ("₹ 3,00,000", 300000), ("(5000)", -5000), ("", None), ("n/a", None), ("not a number", None), ("1-2", None), ("Rs. 500", 0.5), (None, None), ("nan", None)],
+    [("500000", 500000), ("1,25,000", 125000), ("₹ 3,00,000", 300000), ("(5000)", -5000), ("", None), ("n/a", None), ("not a number", None), ("1-2", None), ("Rs. 500", 0.5), (None, None), ("nan", None),
+     ("\t(500)", -500), ("(500)\n", -500), ("\u00a0₹\u20031,000\r\n", 1000), ("( 5 )", -5), ("\t\n", None), ("5-", None), ("--5", None), (".", None)],
 )
 def test_amounts(spark, raw, want):
     assert one(spark, raw, text.parse_amount) == want
 
 
-@pytest.mark.parametrize("raw, want", [("01-Apr-2023", "2023-04-01"), ("1-Apr-2023", "2023-04-01"), ("5/4/2023", "2023-04-05"), ("2023-04-01", "2023-04-01"), ("rubbish", "None"), (None, "None")])
+@pytest.mark.parametrize("raw, want", [("01-Apr-2023", "2023-04-01"), ("1-Apr-2023", "2023-04-01"), ("5/4/2023", "2023-04-05"), ("2023-04-01", "2023-04-01"), ("rubbish", "None"), (None, "None"),
+    *[(x, "2023-04-01") for x in ("\t01-Apr-2023\n", "01-Apr-2023\u00a0", "1 April 2023", "1 Apr 2023", "1-April-2023", "2023/04/01", "2023.04.01", "01.04.2023", "1-Apr-23", "1/4/23", "01-04-23", "1.4.23", "20230401", "Apr 1, 2023", "April 1 2023", "1st April 2023",
+        "Saturday, 1 April 2023", "Sat 1 Apr 2023", "01Apr2023", "1-apr-2023", "01-APR-2023", "1/Apr/2023", "2023-Apr-01", "01 04 2023", "2023-04-01 10:20:30", "2023-04-01T10:20:30.5", "01/04/2023 10:20", "Apr 2023", "2023-4-1")],
+    ("04/13/2023", "2023-04-13"), ("13/04/2023", "2023-04-13"), ("15 Sept 2023", "2023-09-15"), ("2 May 99", "1999-05-02"), ("31/02/2023", "None"), ("", "None"), ("12:30", "None"), ("Monday", "None"), ("1 2", "None")])
 def test_dates(spark, raw, want):
     assert str(one(spark, raw, text.parse_date)) == want
 
 
+def test_total_lines_in_any_white_space(spark):
+    rows = ["\tGrand total\n", "\u00a0TOTAL\u2003", "grand total of all", " subtotal\r\n", "totally", "12", None, "the total"]
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "n int, key string")
+    assert [r.n for r in table.where(v.is_summary(F.col("key"))).orderBy("n").collect()] == [0, 1, 2, 3]
+
+
 def test_text_parsers(spark):
     work = "WS/MP1/2023-2024/101-Construction of CC road"
     assert one(spark, work, text.work_id) == "WS/MP1/2023-2024/101"

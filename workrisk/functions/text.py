@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 #: The pattern of a work's id.
 WORK_ID = r"(WS/MP\d+/\d{4}-\d{4}/\d+)"
+#: All white space of Unicode, as ranges of a character class.
+SPACES = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Shapes of a date whose parts stand between hyphens, in the order they are tried.
+DAY_FIRST = ("d-MMM-yyyy", "d-M-yyyy", "yyyy-M-d", "d-MMM-yy", "d-M-yy", "M-d-yyyy", "M-d-yy", "yyyy-MMM-d", "MMM-d-yyyy", "MMM-d-yy", "MMM-yyyy", "yyyyMMdd")
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(c, F.lit(_SPACE_CHARACTERS))
+
+
+def _single(c: Column) -> Column:
+    """Runs of white space as one blank."""
+    return F.regexp_replace(c, f"[{SPACES}]+", " ")
 
 
 def _some(c: Column) -> Column:
@@ -16,16 +32,31 @@ def _some(c: Column) -> Column:
 
 def parse_amount(c: Column) -> Column:
     """Rupees with signs, commas or currency marks; a parenthesised amount is negative."""
-    text = F.trim(c)
+    text = strip(c)
     digits = F.regexp_replace(text, r"[^0-9.\-]", "")
     number = F.when(digits.isin("", "-", "."), None).otherwise(digits).try_cast("double")
     return F.when(text.rlike(r"^\(.*\)$"), -number).otherwise(number)
 
 
+def _dated(c: Column, shape: str) -> Column:
+    """Years of two digits from 69 on are of the last century."""
+    day = F.try_to_date(c, shape)
+    return F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day) if shape.endswith("-yy") else day
+
+
 def parse_date(c: Column) -> Column:
-    """Day-first dates in the export's format, then in other usual ones."""
-    text = F.trim(c)
-    return F.coalesce(*[F.try_to_date(text, p) for p in ("d-MMM-yyyy", "d/M/yyyy", "d-M-yyyy", "yyyy-MM-dd")])
+    """Day-first dates in the export's format, then in other usual ones: parts
+    between hyphens, slashes, points or blanks, months by name or number, years of
+    two or four digits, after a weekday, before a time, with the month first only
+    where the day can't be. A year leads year, month, day."""
+    text = strip(c)
+    plain = F.regexp_replace(text, r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?[,.]?[ ]+", "")
+    plain = F.regexp_replace(plain, f"[T{SPACES}]+\\d{{1,2}}:\\d{{2}}.*$", "")
+    plain = F.regexp_replace(plain, r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
+    plain = F.regexp_replace(plain, "(?i)" + "|".join(f"(?<={m[:3]}){m[3:]}" for m in (*MONTHS, "Sept") if m[3:]), "")
+    plain = F.regexp_replace(plain, r"(?<=\d)(?=[A-Za-z])|(?<=[A-Za-z])(?=\d)", "-")
+    plain = F.regexp_replace(plain, f"[-/.,{SPACES}]+", "-")
+    return F.coalesce(F.try_to_date(text, "d-MMM-yyyy"), *[_dated(plain, p) for p in DAY_FIRST])
 
 
 def work_id(c: Column) -> Column:
@@ -34,7 +65,7 @@ def work_id(c: Column) -> Column:
 
 def without_work_id(c: Column) -> Column:
     rest = F.regexp_replace(F.regexp_replace(c, WORK_ID, ""), "^[ \\-–—]+", "")
-    return _some(F.trim(rest))
+    return _some(strip(rest))
 
 
 def title_case(c: Column) -> Column:
@@ -45,20 +76,20 @@ def title_case(c: Column) -> Column:
 
 def district(c: Column) -> Column:
     """The place before the first parenthesis of an authority's name."""
-    name = title_case(F.trim(F.regexp_extract(c, r"^([^(]+)\(", 1)))
+    name = title_case(strip(F.regexp_extract(c, r"^([^(]+)\(", 1)))
     return F.when(name.isin("", "Nan"), None).otherwise(name)
 
 
 def member_name(c: Column) -> Column:
     """A member's name without its terms in parentheses."""
-    bare = F.regexp_replace(c, r"\s*\((?:\d{4}-\d{2,4}|NaN-NaN)\)", "")
-    return _some(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    bare = F.regexp_replace(c, f"[{SPACES}]*\\((?:\\d{{4}}-\\d{{2,4}}|NaN-NaN)\\)", "")
+    return _some(strip(_single(bare)))
 
 
 def normalise(c: Column) -> Column:
     """Lower case, letters, digits and single blanks."""
-    plain = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_\s]", " ")
-    return _some(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+    plain = F.regexp_replace(F.lower(c), f"[^\\p{{L}}\\p{{N}}_{SPACES}]", " ")
+    return _some(strip(_single(plain)))
 
 
 def is_mojibake(c: Column, share: float = 0.30) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workrisk.functions.numeric import is_true, money_sum
+from workrisk.functions.text import strip
 
 # Fixed values of the exports, and the reasons of rejects.
 SUMMARY_WORDS = ("grand total", "total", "subtotal", "summary", "overall total")
@@ -35,7 +36,7 @@ def require_columns(df: DataFrame, columns: list[str], label: str) -> None:
 
 def is_summary(key: Column) -> Column:
     """A total line, told by the key column alone."""
-    text = F.lower(F.trim(key))
+    text = F.lower(strip(key))
     return is_true(text.isin(*SUMMARY_WORDS) | text.startswith("grand total"))
 
 

@@ -81,22 +81,32 @@ def _names(scored) -> tuple[str, ...]:
 # ---------------------------------------------------------------- parsing
 
 
-@query(r"""WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '₹ ' || o_totalprice::DECIMAL(20,2)::VARCHAR WHEN 1 THEN '(' || o_orderkey::VARCHAR || ')' WHEN 2 THEN 'n/a' WHEN 3 THEN '1,25,' || (100 + o_orderkey % 900)::VARCHAR WHEN 4 THEN '' WHEN 5 THEN '1-2' ELSE ' 500000 ' END AS s FROM orders),
-d AS (SELECT *, regexp_replace(trim(s), '[^0-9.\-]', '', 'g') AS x FROM raw)
-SELECT o_orderkey, CASE WHEN regexp_matches(trim(s), '^\(.*\)$') THEN -try_cast(x AS DOUBLE) ELSE try_cast(CASE WHEN x IN ('', '-', '.') THEN NULL ELSE x END AS DOUBLE) END AS amount FROM d""")
+_SPACE_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195)"
+
+
+@query(rf"""WITH raw AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN '₹ ' || o_totalprice::DECIMAL(20,2)::VARCHAR WHEN 1 THEN '(' || o_orderkey::VARCHAR || ')' WHEN 2 THEN 'n/a' WHEN 3 THEN '1,25,' || (100 + o_orderkey % 900)::VARCHAR WHEN 4 THEN '' WHEN 5 THEN '1-2'
+  WHEN 6 THEN chr(9) || '(' || o_orderkey::VARCHAR || ')' || chr(10) WHEN 7 THEN chr(160) || '₹' || chr(8195) || o_orderkey::VARCHAR || chr(13) || chr(10) ELSE ' 500000 ' END AS s FROM orders),
+d AS (SELECT o_orderkey, trim(s, {_SPACE_SQL}) AS s, regexp_replace(s, '[^0-9.\-]', '', 'g') AS x FROM raw)
+SELECT o_orderkey, CASE WHEN regexp_matches(s, '^\(.*\)$') THEN -try_cast(x AS DOUBLE) ELSE try_cast(CASE WHEN x IN ('', '-', '.') THEN NULL ELSE x END AS DOUBLE) END AS amount FROM d""")
 def parse_amount(spark, sf_dir):
     k = F.col("o_orderkey")
+    shown = k.cast("string")
     raw = (
-        F.when(k % 7 == 0, F.concat(F.lit("₹ "), F.col("o_totalprice").cast("decimal(20,2)").cast("string"))).when(k % 7 == 1, F.concat(F.lit("("), k.cast("string"), F.lit(")"))).when(k % 7 == 2, "n/a")
-        .when(k % 7 == 3, F.concat(F.lit("1,25,"), (100 + k % 900).cast("string"))).when(k % 7 == 4, "").when(k % 7 == 5, "1-2").otherwise(" 500000 ")
+        F.when(k % 9 == 0, F.concat(F.lit("₹ "), F.col("o_totalprice").cast("decimal(20,2)").cast("string"))).when(k % 9 == 1, F.concat(F.lit("("), shown, F.lit(")"))).when(k % 9 == 2, "n/a")
+        .when(k % 9 == 3, F.concat(F.lit("1,25,"), (100 + k % 900).cast("string"))).when(k % 9 == 4, "").when(k % 9 == 5, "1-2").when(k % 9 == 6, F.concat(F.lit("\t("), shown, F.lit(")\n")))
+        .when(k % 9 == 7, F.concat(F.lit("\u00a0₹\u2003"), shown, F.lit("\r\n"))).otherwise(" 500000 ")
     )
     return _t(spark, sf_dir, "orders").select("o_orderkey", text.parse_amount(raw).alias("amount"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE o_orderdate::DATE::VARCHAR END AS day FROM orders""")
+#: What an export may make of one date; the last one can't be read.
+_DATE_SHAPES = ("dd-MMM-yyyy", "d/M/yyyy", "yyyy-MM-dd", "'\t'dd-MMM-yyyy'\n'", "d MMMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "d-MMM-yy", "MMMM d, yyyy", "yyyy-MM-dd HH:mm:ss", "EEEE, d MMM yyyy", "ddMMMyyyy", "'\u00a0'd-M-yy", "'rubbish'")
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % {len(_DATE_SHAPES)} <> {len(_DATE_SHAPES) - 1} THEN o_orderdate::DATE::VARCHAR END AS day FROM orders""")
 def parse_date(spark, sf_dir):
-    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    raw = F.when(k % 4 == 0, F.date_format(d, "dd-MMM-yyyy")).when(k % 4 == 1, F.date_format(d, "d/M/yyyy")).when(k % 4 == 2, F.date_format(d, "yyyy-MM-dd")).otherwise("rubbish")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    raw = F.coalesce(*[F.when(k % len(_DATE_SHAPES) == n, F.date_format(d, shape)) for n, shape in enumerate(_DATE_SHAPES)])
     return _t(spark, sf_dir, "orders").select("o_orderkey", text.parse_date(raw).cast("string").alias("day"))
 
 
@@ -131,7 +141,7 @@ def clean_member_name(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", text.member_name(raw).alias("name"))
 
 
-@query(r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS plain FROM documents""")
+@query(rf"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_{text.SPACES}]', ' ', 'g'), '[{text.SPACES}]+', ' ', 'g')), '') AS plain FROM documents""")
 def normalise_text(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.normalise(F.col("text")).alias("plain"))
 
@@ -170,14 +180,14 @@ def display_formats(spark, sf_dir):
 def _raw_payments(spark, sf_dir):
     k = F.col("l_orderkey")
     return _t(spark, sf_dir, "lineitem").select(
-        F.when((k % 50 == 0) & (F.col("l_linenumber") == 1), "Grand Total").when(k % 51 == 0, " TOTAL ").otherwise(k.cast("string")).alias("row_key"), F.when(k % 13 != 0, k.cast("string")).alias("work_id"),
+        F.when((k % 50 == 0) & (F.col("l_linenumber") == 1), "Grand Total").when(k % 51 == 0, " TOTAL ").when(k % 53 == 0, "\tGrand total\n").when(k % 54 == 0, "\u00a0Subtotal\r\n").otherwise(k.cast("string")).alias("row_key"), F.when(k % 13 != 0, k.cast("string")).alias("work_id"),
         F.when(k % 17 == 0, None).when(k % 19 == 0, F.lit(-5.0)).when(k % 23 == 0, F.lit(6e8)).otherwise(F.col("l_extendedprice")).alias("amount"), "l_linenumber",
     )
 
 
-_RAW = """raw AS (SELECT CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 'Grand Total' WHEN l_orderkey % 51 = 0 THEN ' TOTAL ' ELSE l_orderkey::VARCHAR END AS row_key,
+_RAW = f"""raw AS (SELECT CASE WHEN l_orderkey % 50 = 0 AND l_linenumber = 1 THEN 'Grand Total' WHEN l_orderkey % 51 = 0 THEN ' TOTAL ' WHEN l_orderkey % 53 = 0 THEN chr(9) || 'Grand total' || chr(10) WHEN l_orderkey % 54 = 0 THEN chr(160) || 'Subtotal' || chr(13) || chr(10) ELSE l_orderkey::VARCHAR END AS row_key,
   CASE WHEN l_orderkey % 13 <> 0 THEN l_orderkey::VARCHAR END AS work_id, CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_orderkey % 19 = 0 THEN -5.0 WHEN l_orderkey % 23 = 0 THEN 6e8 ELSE l_extendedprice END AS amount FROM lineitem),
-tagged AS (SELECT *, CASE WHEN lower(trim(row_key)) IN ('grand total', 'total', 'subtotal', 'summary', 'overall total') THEN 'Summary or total row' WHEN work_id IS NULL THEN 'No work ID present'
+tagged AS (SELECT *, CASE WHEN lower(trim(row_key, {_SPACE_SQL})) IN ('grand total', 'total', 'subtotal', 'summary', 'overall total') THEN 'Summary or total row' WHEN work_id IS NULL THEN 'No work ID present'
   WHEN amount > 5e8 THEN 'Payment exceeds the plausibility ceiling of Rs 500,000,000' WHEN amount <= 0 THEN 'Payment amount is zero or negative' END AS reject_reason FROM raw)"""
 
 

@@ -38,10 +38,10 @@ def sanctioned(raw: DataFrame) -> DataFrame:
     v.require_columns(raw, list(SANCTIONED), "sanctioned works")
     title = t.without_work_id(_c("Work"))
     return raw.select(
-        _c("Sr. No.").alias("row_key"), t.work_id(_c("Work")).alias("work_id"), title.alias("work_title"), F.coalesce(F.nullif(F.trim(_c("Work description")), F.lit("")), title).alias("work_description"),
-        F.trim(_c("Work category")).alias("work_category"), F.trim(_c("State")).alias("state"), t.district(_c("IDA")).alias("district"), _c("IDA").alias("ida_raw"), t.member_name(_c("Hon'ble Members of Parliament")).alias("mp_name"),
-        F.trim(_c("Elected/Nominated")).alias("mp_type"), t.parse_amount(_c("Sanction Amount ( ₹ )")).alias("sanction_amount"), t.parse_date(_c("Recommended date")).alias("recommended_date"),
-        t.parse_date(_c("Sanction Date")).alias("sanction_date"), F.trim(_c("Work Status")).alias("work_status"), "source_file", F.col("source_row").cast("int").alias("source_row"),
+        _c("Sr. No.").alias("row_key"), t.work_id(_c("Work")).alias("work_id"), title.alias("work_title"), F.coalesce(F.nullif(t.strip(_c("Work description")), F.lit("")), title).alias("work_description"),
+        t.strip(_c("Work category")).alias("work_category"), t.strip(_c("State")).alias("state"), t.district(_c("IDA")).alias("district"), _c("IDA").alias("ida_raw"), t.member_name(_c("Hon'ble Members of Parliament")).alias("mp_name"),
+        t.strip(_c("Elected/Nominated")).alias("mp_type"), t.parse_amount(_c("Sanction Amount ( ₹ )")).alias("sanction_amount"), t.parse_date(_c("Recommended date")).alias("recommended_date"),
+        t.parse_date(_c("Sanction Date")).alias("sanction_date"), t.strip(_c("Work Status")).alias("work_status"), "source_file", F.col("source_row").cast("int").alias("source_row"),
     )
 
 
@@ -54,21 +54,21 @@ def completed(raw: DataFrame) -> DataFrame:
 def expenditure(raw: DataFrame) -> DataFrame:
     """A missing payee stays missing."""
     v.require_columns(raw, list(EXPENDITURE), "expenditure")
-    some = lambda c: F.nullif(F.trim(_c(c)), F.lit(""))
+    some = lambda c: F.nullif(t.strip(_c(c)), F.lit(""))
     return raw.select(_c("Sr. No.").alias("row_key"), t.work_id(_c("Work ID")).alias("work_id"), some("Work").alias("work_type"), some("Vendor Name").alias("vendor"), t.parse_date(_c("Expenditure Date")).alias("paid_on"),
                       some("Payment Status").alias("status"), t.parse_amount(_c("Fund Disbursed Amount ( ₹ )")).alias("amount"), "source_row")
 
 
 def allocation(raw: DataFrame) -> DataFrame:
     v.require_columns(raw, ["Sr. No.", "State"], "allocation")
-    seat = F.trim(_c("Constituency")) if "Constituency" in raw.columns else F.lit(None).cast("string")
-    return raw.select(_c("Sr. No.").alias("row_key"), F.trim(_c("State")).alias("state"), seat.alias("constituency"), t.member_name(_like(raw, "Members of Parliament")).alias("mp_name"), t.parse_amount(_like(raw, "AMOUNT")).alias("allocated_amount"))
+    seat = t.strip(_c("Constituency")) if "Constituency" in raw.columns else F.lit(None).cast("string")
+    return raw.select(_c("Sr. No.").alias("row_key"), t.strip(_c("State")).alias("state"), seat.alias("constituency"), t.member_name(_like(raw, "Members of Parliament")).alias("mp_name"), t.parse_amount(_like(raw, "AMOUNT")).alias("allocated_amount"))
 
 
 def recommended(raw: DataFrame) -> DataFrame:
     v.require_columns(raw, ["Sr. No.", "WORK", "State"], "recommended works")
-    return raw.select(_c("Sr. No.").alias("row_key"), t.work_id(_c("WORK")).alias("work_id"), F.trim(_c("State")).alias("state"), t.district(_c("IDA")).alias("district"), _c("Work description").alias("work_description"),
-                      F.trim(_c("Work category")).alias("work_category"), t.member_name(_like(raw, "Members of Parliament")).alias("mp_name"), t.parse_amount(_like(raw, "AMOUNT")).alias("recommended_amount"),
+    return raw.select(_c("Sr. No.").alias("row_key"), t.work_id(_c("WORK")).alias("work_id"), t.strip(_c("State")).alias("state"), t.district(_c("IDA")).alias("district"), _c("Work description").alias("work_description"),
+                      t.strip(_c("Work category")).alias("work_category"), t.member_name(_like(raw, "Members of Parliament")).alias("mp_name"), t.parse_amount(_like(raw, "AMOUNT")).alias("recommended_amount"),
                       t.parse_date(_c("Recommended date")).alias("recommended_on"), t.parse_date(_c("Sanction Date")).alias("sanction_date"), F.col("source_row").cast("int").alias("source_row"))
 
 
