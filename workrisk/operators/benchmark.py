@@ -11,6 +11,7 @@ from workrisk.config import BENCHMARK_LABELS, EXPECTED_DAYS, INADMISSIBLE, Bench
 from workrisk.functions.numeric import is_true, mean_of, ramp_or_zero, ratio
 from workrisk.operators import multivariate as mv
 from workrisk.operators.peers import group_size, percent_rank, robust_z
+from workrisk.operators.ranks import quantiles
 from workrisk.operators.scoring import band, combine, explain
 from workrisk.operators.similarity import similarity_nearby
 from workrisk.plans.storage import stored
@@ -43,7 +44,7 @@ def features(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig()) -
     out = group_size(out, ["peer_group"], "peer_size")
     out = robust_z(out, "peer_group", "effective_cost", "_z")
     out = out.withColumn("cost_robust_z", F.when(F.col("peer_size") < config.min_peer_group, F.col("_z") * 0.4).otherwise(F.col("_z"))).drop("_z")
-    medians = out.groupBy(F.col("peer_group").alias("_key")).agg(F.median("effective_cost").alias("peer_median_cost"))
+    medians = quantiles(out, "peer_group", {"peer_median_cost": (F.col("effective_cost"), 0.5)}).withColumnRenamed("peer_group", "_key")
     out = out.join(medians, F.col("peer_group") == F.col("_key"), "left").drop("_key")
     out = percent_rank(out, "effective_cost", "_rank", "peer_group").withColumn("peer_cost_percentile", F.round(F.coalesce("_rank", F.lit(0.5)) * 100, 1)).drop("_rank")
     today = F.lit(str(config.as_of)).cast("date")

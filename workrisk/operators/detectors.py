@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from workrisk.config import RiskConfig, Rule
 from workrisk.functions.numeric import is_true, ramp
+from workrisk.operators.ranks import quantiles
 
 
 @dataclass
@@ -31,11 +32,11 @@ class Detector:
 def with_percentiles(works: DataFrame, config: RiskConfig) -> DataFrame:
     """The register's own thresholds, one row joined to all."""
     lag, count = "days_recommendation_to_sanction", "payment_count"
-    one = works.agg(
-        F.percentile(lag, config.lag_floor_percentile).alias("lag_floor"),
-        F.percentile(lag, config.lag_full_percentile).alias("lag_full"),
-        F.percentile(F.when(F.col("has_expenditure"), F.col(count)), config.payments_percentile).alias("payments_floor"),
-    )
+    one = quantiles(works, None, {
+        "lag_floor": (F.col(lag), config.lag_floor_percentile),
+        "lag_full": (F.col(lag), config.lag_full_percentile),
+        "payments_floor": (F.when(F.col("has_expenditure"), F.col(count)), config.payments_percentile),
+    })
     return works.crossJoin(F.broadcast(one))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.operators.peers import _running, percent_rank
+from workrisk.operators.peers import percent_rank
+from workrisk.operators.ranks import running
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -19,8 +20,8 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """The sum of precision times the step in recall, over distinct scores."""
     own = df.select((-F.col(score)).alias("s"), F.col(label).cast("long").alias("y")).where("s IS NOT NULL AND y IS NOT NULL")
-    rows = _running(own.groupBy("s").agg(F.count(F.lit(1)).alias("_n")), "s").select("s", F.col("_upto").alias("seen"))
-    hits = _running(own.groupBy("s").agg(F.sum("y").alias("_n")), "s").select(F.col("s").alias("t"), F.col("_n").alias("own"), F.col("_upto").alias("hits"), F.col("_all").alias("all"))
+    rows = running(own.groupBy("s").agg(F.count(F.lit(1)).alias("_n")), ["s"]).select("s", F.col("_upto").alias("seen"))
+    hits = running(own.groupBy("s").agg(F.sum("y").alias("_n")), ["s"]).select(F.col("s").alias("t"), F.col("_n").alias("own"), F.col("_upto").alias("hits"), F.col("_all").alias("all"))
     both = rows.join(hits, F.col("s") == F.col("t"))
     return both.agg(F.round(F.sum(F.col("hits") / F.col("seen") * F.col("own") / F.nullif("all", F.lit(0))), 6).alias("average_precision"))
 
@@ -32,7 +33,7 @@ def at_k(df: DataFrame, score: str, label: str, key: str, ks: tuple[int, ...] =
     ks = sorted({min(k, base.rows) for k in ks} - {0})
     if not ks:
         return df.sparkSession.createDataFrame([], "k long, caught long, of_total long, precision_at_k double, recall_at_k double, lift double")
-    ranked = _running(df.select((-F.col(score).cast("double")).alias("s"), F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.lit(1).alias("_n")), ["s", "key"])
+    ranked = running(df.select((-F.col(score).cast("double")).alias("s"), F.col(key).alias("key"), F.col(label).cast("int").alias("y"), F.lit(1).alias("_n")), ["s", "key"])
     parts = [F.struct(F.lit(k).cast("long").alias("k"), F.coalesce(F.sum(F.when(F.col("_upto") <= k, F.col("y"))), F.lit(0)).alias("caught")) for k in ks]
     rows = ranked.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*").withColumn("of_total", F.lit(base.of_total).cast("long"))
     precision, share = F.col("caught") / F.col("k"), F.lit(base.of_total / base.rows)

@@ -14,6 +14,7 @@ from workrisk.config import RiskConfig
 from workrisk.functions.numeric import harmonic, ramp
 from workrisk.operators.density import dbscan_noise
 from workrisk.operators.peers import fill_with_medians, percent_rank
+from workrisk.operators.ranks import quantiles
 from workrisk.plans.storage import stored
 
 # What the models see, quantities without a scale.
@@ -32,10 +33,10 @@ def feature_matrix(df: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFr
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - median) / interquartile range; a range of 0 counts as 1."""
-    one = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    q = lambda c, k: F.col(f"_q_{c}")[k]
+    one = quantiles(df, None, {f"_q{k}_{c}": (F.col(c), share) for c in columns for k, share in enumerate((0.25, 0.5, 0.75))})
+    q = lambda c, k: F.col(f"_q{k}_{c}")
     spread = lambda c: F.when(q(c, 2) - q(c, 0) == 0, F.lit(1.0)).otherwise(q(c, 2) - q(c, 0))
-    return df.crossJoin(F.broadcast(one)).withColumns({c: (F.col(c) - q(c, 1)) / spread(c) for c in columns}).drop(*[f"_q_{c}" for c in columns])
+    return df.crossJoin(F.broadcast(one)).withColumns({c: (F.col(c) - q(c, 1)) / spread(c) for c in columns}).drop(*one.columns)
 
 
 class IsolationForest:

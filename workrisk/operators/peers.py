@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workrisk.config import PEER_LEVELS
 from workrisk.functions.numeric import ratio
-from workrisk.plans.storage import stored
+from workrisk.operators.ranks import quantiles, running
 
 #: Makes the median absolute deviation an estimate of the standard deviation.
 MAD_SCALE = 1.4826
@@ -40,12 +40,13 @@ def assign_peers(works: DataFrame, least: int = 8, levels=PEER_LEVELS) -> DataFr
     return out
 
 
-def robust_z(df: DataFrame, group: str, value: str, name: str = "robust_z") -> DataFrame:
+def robust_z(df: DataFrame, group: str, value: str, name: str = "robust_z", largest: int | None = None) -> DataFrame:
     """(x - median) / (1.4826 MAD) within the group; the standard deviation
     stands in for a MAD of 0, and 0 for a deviation of 0 or a missing value."""
-    centre = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.median(value).alias("_mid"), F.stddev_samp(value).alias("_std"))
+    known = df.where(F.col(group).isNotNull())
+    centre = quantiles(known, group, {"_mid": (F.col(value), 0.5)}, largest=largest).join(known.groupBy(group).agg(F.stddev_samp(value).alias("_std")), group)
     centred = df.join(centre.withColumnRenamed(group, "_group"), F.col(group) == F.col("_group"), "left").drop("_group")
-    spread = centred.where(F.col(group).isNotNull()).groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("_mid"))).alias("_mad"))
+    spread = quantiles(centred, group, {"_mad": (F.abs(F.col(value) - F.col("_mid")), 0.5)}, largest=largest)
     both = centred.join(spread.withColumnRenamed(group, "_group"), F.col(group) == F.col("_group"), "left").drop("_group")
     off = F.col(value) - F.col("_mid")
     z = F.coalesce(ratio(off, F.lit(MAD_SCALE) * F.col("_mad")), ratio(off, F.col("_std")), F.lit(0.0))
@@ -55,15 +56,11 @@ def robust_z(df: DataFrame, group: str, value: str, name: str = "robust_z") -> D
 def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
     """The rank of a value (ties share their mean rank) over the number of values,
     0 to 1. Distinct values are counted first, and the running sum goes over
-    those; without a group it is split by ranges of the value."""
+    those."""
     keys = [group] if group else []
     known = df.where(F.col(value).isNotNull() & (F.col(group).isNotNull() if group else F.lit(True)))
     counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    if group:
-        upto = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
-    else:
-        ranked = _running(counts, value)
+    ranked = running(counts, [value], by=group)
     ranked = ranked.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")).alias(name))
     on = F.col(value) == F.col("_v")
     for k in keys:
@@ -71,19 +68,6 @@ def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None)
     return df.join(ranked, on, "left").drop("_v", *[f"_k_{k}" for k in keys])
 
 
-def _running(counts: DataFrame, value: str | list[str], parts: int = 64) -> DataFrame:
-    """Running sums over all values: within ranges of the value, plus the sums of
-    the ranges before (one row a range). The ranges are stored with the rows, so
-    that both readers see the same ones."""
-    order = [value] if isinstance(value, str) else value
-    ranged = stored(counts.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = ranged.groupBy("_part").agg(F.sum("_n").alias("_sum"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
-    return ranged.withColumn("_in", F.sum("_n").over(inside)).join(F.broadcast(starts), "_part").withColumn("_upto", F.col("_in") + F.col("_start")).drop("_part", "_in", "_start")
-
-
 def group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """How many rows share the keys; a null is a value like others."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).select(*[F.col(k).alias(f"_g_{k}") for k in keys], name)
@@ -96,12 +80,11 @@ def group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def peer_statistics(works: DataFrame) -> DataFrame:
     """All features that the detectors read, for works with peer groups."""
     out = works.withColumn("log_amount", F.when(F.col("sanction_amount") > 0, F.log10("sanction_amount")))
-    medians = out.where("peer_key IS NOT NULL").groupBy(F.col("peer_key").alias("_key")).agg(
-        F.median("sanction_amount").alias("peer_median_cost"),
-        F.median(F.when(F.col("is_completed"), F.col("days_sanction_to_reference"))).alias("peer_median_duration"),
-    )
+    largest = out.agg(F.max("peer_size")).head()[0] or 0
+    taken = F.when(F.col("is_completed"), F.col("days_sanction_to_reference"))
+    medians = quantiles(out, "peer_key", {"peer_median_cost": (F.col("sanction_amount"), 0.5), "peer_median_duration": (taken, 0.5)}, largest=largest).withColumnRenamed("peer_key", "_key")
     out = out.join(medians, F.col("peer_key") == F.col("_key"), "left").drop("_key")
-    out = robust_z(out, "peer_key", "log_amount", "cost_robust_z")
+    out = robust_z(out, "peer_key", "log_amount", "cost_robust_z", largest)
     out = percent_rank(out, "sanction_amount", "_rank", "peer_key").withColumn("peer_cost_percentile", F.round(F.col("_rank") * 100, 1)).drop("_rank")
     out = out.withColumn("duration_ratio", ratio(F.col("days_sanction_to_reference"), F.col("peer_median_duration")))
     paid = F.col("is_completed") & F.col("has_expenditure")
@@ -116,7 +99,7 @@ def peer_statistics(works: DataFrame) -> DataFrame:
 
 def fill_with_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls become the column's median, or 0 where there is none."""
-    one = df.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    one = quantiles(df, None, {f"_m_{c}": (F.col(c), 0.5) for c in columns})
     return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}).drop(*[f"_m_{c}" for c in columns])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from workrisk.functions.numeric import is_true, money_sum
 from workrisk.functions.text import strip
+from workrisk.operators.ranks import quantiles
 
 # Fixed values of the exports, and the reasons of rejects.
 SUMMARY_WORDS = ("grand total", "total", "subtotal", "summary", "overall total")
@@ -154,11 +155,12 @@ def date_consistency(works: DataFrame, as_of: str) -> DataFrame:
 def amount_consistency(works: DataFrame) -> DataFrame:
     """Counts of works whose amounts don't fit, and the median share spent."""
     spent, amount = F.col("total_expenditure"), F.col("sanction_amount")
+    middle = quantiles(works, None, {"m": (F.col("expenditure_ratio"), 0.5)}).select(F.round("m", 3).alias("median_expenditure_ratio"))
     return works.agg(
         F.count_if(amount.isNull()).alias("missing_sanction_amount"), F.count_if(amount <= 0).alias("zero_or_negative_sanction"), F.count(spent).alias("works_with_expenditure"),
         F.count_if(spent > amount).alias("expenditure_exceeds_sanction"), F.count_if(F.col("completion_date").isNotNull() & spent.isNull()).alias("completed_without_any_payment"),
-        F.count_if(F.col("max_single_payment") > amount).alias("single_payment_exceeds_sanction"), F.round(F.median("expenditure_ratio"), 3).alias("median_expenditure_ratio"),
-    )
+        F.count_if(F.col("max_single_payment") > amount).alias("single_payment_exceeds_sanction"),
+    ).crossJoin(F.broadcast(middle))
 
 
 def coverage(works: DataFrame) -> DataFrame:
