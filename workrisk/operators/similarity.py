@@ -1,95 +1,343 @@
 """Similar descriptions within a block (a district): TF-IDF of character n-grams
-inside word bounds, cosine, best partner. Blocks of any size are compared whole."""
+inside word bounds, cosine, best partner. Blocks of any size are compared whole.
+
+Vectors are computed once and stored. A block is dealt into tiles of items: a task
+holds the inverted index of one tile, and the vectors that have to meet the tile
+pass by it. The best of each tile are merged by an aggregate, so no pair becomes a
+row and no task holds a block.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from workrisk.functions.numeric import EARTH_KM, ramp
-from workrisk.plans.storage import stored
+from workrisk.plans.storage import discard, stored
 
 NGRAMS = (3, 5)
-#: Items of a block that one task compares with the whole block.
-TILE = 2000
+#: Items of a tile, and n-grams of a block that one row holds.
+TILE, CHUNK = 2000, 20_000
+#: Of a vector, the heaviest n-grams that leave so much of its norm come first.
+REST = 0.5
+#: Candidates that are finished one by one.
+FEW = 24
+#: Similarities count to nine places.
+ROOM = 2e-9
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, arrays as numpy views."""
+    for batch in batches:
+        columns = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for k in range(batch.num_rows):
+            yield tuple(c[0][c[1][k] : c[1][k + 1]] if isinstance(c, tuple) else c[k] for c in columns)
+
+
+def _listed(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
+
+
+def vectors(items: DataFrame, tile: int = TILE) -> DataFrame:
+    """``items`` (block, text, n, first and others) with the unit vector of each text:
+    grams (64-bit hashes of its n-grams), the heaviest first, and weights. A text that
+    n rows share counts n times. Weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) +
+    1) with the block's own N and df over rows. An n-gram's df comes to the items in
+    rows of CHUNK n-grams, for parts of ``tile`` items of a block."""
+    others = [c for c in items.columns if c not in ("block", "text", "n")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                grams, tf = [], []
+                for text in part.column(part.schema.get_field_index("text")).to_pylist():
+                    c = Counter(_grams(text))
+                    if len(known) > 500_000:
+                        known.clear()
+                    for g in c:
+                        if g not in known:
+                            known[g] = xxhash.xxh64_intdigest(g)
+                    grams.append(np.fromiter((known[g] for g in c), dtype=np.uint64, count=len(c)).view(np.int64))
+                    tf.append(np.fromiter(c.values(), dtype=np.int32, count=len(c)))
+                rest = [part.column(part.schema.get_field_index(n)) for n in ("block", "n", *others)]
+                yield pa.RecordBatch.from_arrays([*rest, _listed(grams, pa.int64()), _listed(tf, pa.int32())], ["block", "n", *others, "grams", "tf"])
+
+    def ddl(names: list[str]) -> str:
+        return ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in names)
+
+    counted = stored(items.mapInArrow(count, f"{ddl(['block', 'n', *others])}, grams array<long>, tf array<int>"))
+    known = counted.select("block", "n", F.explode("grams").alias("gram")).groupBy("block", "gram").agg(F.sum("n").alias("df"))
+    sizes = counted.groupBy("block").agg(F.sum("n").alias("all"), F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("parts"))
+    known = known.withColumn("chunk", F.shiftrightunsigned("gram", 32) % 64)  # then by size
+    lists = known.groupBy("block", "chunk").agg(F.collect_list("gram").alias("g"), F.collect_list("df").alias("d"))
+    pieces = F.explode(F.sequence(F.lit(0), F.floor((F.size("g") - 1) / CHUNK)))
+    lists = lists.withColumn("k", pieces).select("block", F.slice("g", F.col("k") * CHUNK + 1, F.lit(CHUNK)).alias("grams"), F.slice("d", F.col("k") * CHUNK + 1, F.lit(CHUNK)).alias("df"))
+    none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in others]
+    sent = lists.join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", F.lit(0).alias("role"), "all", "grams", F.col("df").cast("array<long>").alias("x"), *none)
+    own = counted.join(sizes, "block").select("block", F.pmod(F.xxhash64("first"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "all", "grams", F.col("tf").cast("array<long>").alias("x"), *others)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, names, number = None, [], None, None
+        out: list[tuple] = []
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            fields = [pa.array(c, k) for c, k in zip(columns[:-2], kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*fields, _listed(list(columns[-2]), pa.int64()), _listed(list(columns[-1]), pa.float64())], ["block", *others, "grams", "weights"])
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            nonlocal kinds
+            for batch in batches:
+                kinds = [batch.schema.field(n).type for n in ("block", *others)]
+                yield batch
+
+        kinds: list = []
+        for block, part, role, total, grams, x, *rest in _rows_of(typed()):
+            if (block, part) != at:
+                at, held, names = (block, part), [], None
+            if not role:
+                held.append((grams.copy(), x.copy()))
+                continue
+            if names is None and held:
+                names, number = (np.concatenate(c) for c in zip(*held, strict=True))
+                order = np.argsort(names)
+                names, number, held = names[order], number[order], []
+            w = (1 + np.log(x)) * (np.log((1 + total) / (1 + number[np.searchsorted(names, grams)])) + 1) if len(grams) else np.zeros(0)
+            w = w / max(math.sqrt(float(w @ w)), 1e-300)
+            order = np.lexsort((grams, -w))
+            out.append((block, *rest, grams[order], w[order]))
+            if len(out) >= 500:
+                yield rows()
+        if out:
+            yield rows()
+
+    dealt = sent.unionByName(own).repartition("block", "part").sortWithinPartitions("block", "part", "role")
+    made = stored(dealt.mapInArrow(weigh, f"{ddl(['block', *others])}, grams array<long>, weights array<double>"))
+    discard(counted)
+    return made
+
+
+class Tile:
+    """The inverted index of some vectors, in the order of their names."""
+
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda r: r[0])
+        self.firsts = [r[0] for r in rows]
+        self.place = {f: k for k, f in enumerate(self.firsts)}
+        grams = np.concatenate([r[1] for r in rows])
+        owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+        order = np.argsort(grams, kind="stable")
+        self.owner, self.weight = owner[order], np.concatenate([r[2] for r in rows])[order]
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.append(starts, len(order))
+        self.latitude, self.longitude = (np.radians(np.array([np.nan if r[k] is None else r[k] for r in rows], dtype=float)) for k in (3, 4))
+        self.seen = 0
+
+    def _add(self, lists: np.ndarray, w: np.ndarray) -> np.ndarray:
+        many = self.starts[lists + 1] - self.starts[lists]
+        at = np.repeat(self.starts[lists] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.seen += len(at)
+        return np.bincount(self.owner[at], self.weight[at] * np.repeat(w, many), len(self.firsts))
+
+    def best(self, first, grams: np.ndarray, w: np.ndarray, place: tuple | None, km: float | None) -> tuple | None:
+        """(similarity, name) of the most similar other vector that is not too far
+        away, the smallest name on ties; None where none has anything in common.
 
+        The heaviest n-grams are looked up first. What the others can add to any
+        vector is at most the norm that they leave (both norms are 1); if only few
+        vectors can still be best, these alone are finished, else all."""
+        there = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        found = self.grams[there] == grams
+        lists, own = there[found], w[found]
+        if not len(lists):
+            return None
+        away = np.zeros(len(self.firsts), dtype=bool)
+        if first in self.place:
+            away[self.place[first]] = True
+        if km is not None and place[0] is not None and place[1] is not None:
+            lat, lon = math.radians(place[0]), math.radians(place[1])
+            a = np.sin((self.latitude - lat) / 2) ** 2 + np.cos(self.latitude) * math.cos(lat) * np.sin((self.longitude - lon) / 2) ** 2
+            away |= 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(a, 0, 1))) > km  # NaN where a place is missing, which isn't far
+        left = np.sqrt(np.maximum(np.cumsum((own**2)[::-1])[::-1], 0))
+        cut = int(np.searchsorted(-left, -REST))
+        score = self._add(lists[:cut], own[:cut])
+        score[away] = -1
+        if cut < len(lists):
+            top = int(score.argmax())
+            rest = float(left[cut])
+            full = lambda some: self._finish(some, lists[cut:], own[cut:])
+            low = score[top] + full(np.array([top]))[0] - ROOM
+            some = np.flatnonzero((score >= low - rest) & ~away)
+            if len(some) <= FEW:
+                done = np.full(len(score), -1.0)
+                done[some] = score[some] + full(some)
+                score = done
+            else:
+                score = score + self._add(lists[cut:], own[cut:])
+                score[away] = -1
+        score = np.round(score, 9)
+        top = int(score.argmax())
+        return (float(score[top]), self.firsts[top]) if score[top] > 0 else None
 
-def partners(rows: DataFrame, masked: bool = False, tile: int = TILE) -> DataFrame:
+    def _finish(self, some: np.ndarray, lists: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What further lists add to a few vectors: looked up in each list, which is
+        in the order of its vectors."""
+        out = np.zeros(len(some))
+        starts, ends = self.starts[lists], self.starts[lists + 1]
+        for n, k in enumerate(some.tolist()):
+            low, high = starts.copy(), ends.copy()
+            while True:  # all lists are halved at once
+                open_ = low < high
+                if not open_.any():
+                    break
+                middle = (low + high) // 2
+                less = open_ & (self.owner[np.minimum(middle, len(self.owner) - 1)] < k)
+                low = np.where(less, middle + 1, low)
+                high = np.where(open_ & ~less, middle, high)
+            hit = (low < ends) & (self.owner[np.minimum(low, len(self.owner) - 1)] == k)
+            out[n] = float(w[hit] @ self.weight[low[hit]])
+            self.seen += len(lists)
+        return out
+
+
+def best_of_tiles(rows: DataFrame, tile: int = TILE, km: float | None = None) -> DataFrame:
+    """(block, first, partner, similarity) of rows (block, first, grams, weights,
+    latitude, longitude, home, asks): the most similar other item among the homes
+    that an item asks, its own included; no row where it has nothing in common with
+    any. With ``km`` items farther apart, where both have a place, don't count.
+
+    A home's items are dealt into tiles; an item that asks a home passes all its
+    tiles."""
+    kind = rows.schema["first"].dataType.simpleString()
+    sizes = rows.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"))
+    columns = ["block", "first", "grams", "weights", "latitude", "longitude"]
+    held = rows.join(sizes, "home").select("home", F.pmod(F.xxhash64("first"), F.col("tiles")).cast("int").alias("tile"), F.lit(0).alias("role"), *columns)
+    asking = rows.select(F.explode("asks").alias("home"), *columns).join(sizes, "home")
+    asking = asking.select("home", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("role"), *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, index, out = None, [], None, []
+        names, kinds = ["block", "first", "partner", "similarity"], []
+
+        def typed() -> Iterator[pa.RecordBatch]:
+            nonlocal kinds
+            for batch in batches:
+                kinds = [batch.schema.field(n).type for n in ("block", "first", "first")] + [pa.float64()]
+                yield batch
+
+        def made() -> pa.RecordBatch:
+            found = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(found, names)
+
+        for home, number, role, block, first, grams, w, lat, lon in _rows_of(typed()):
+            if (home, number) != at:
+                at, waiting, index = (home, number), [], None
+            if not role:
+                waiting.append((first, grams.copy(), w.copy(), lat, lon))
+                continue
+            if index is None and waiting:
+                index, waiting = Tile(waiting), []
+            best = index.best(first, grams, w, (lat, lon), km) if index and len(index.grams) else None
+            if best:
+                out.append((block, first, best[1], best[0]))
+                if len(out) >= 2000:
+                    yield made()
+        if out:
+            yield made()
+
+    dealt = held.union(asking).repartition("home", "tile").sortWithinPartitions("home", "tile", "role")
+    found = dealt.mapInArrow(run, f"block string, first {kind}, partner {kind}, similarity double")
+    top = found.groupBy("block", "first").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "partner")).alias("top"))
+    return top.select("block", "first", F.col("top.partner").alias("partner"), (-F.col("top.s")).alias("similarity"))
+
+
+def partners(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """(block, first, partner, similarity): the most similar other item of the
-    block, the smallest on ties to nine places; no row where the block has no other.
+    block, the smallest on ties to nine places; partner null and 0 where no other has
+    anything in common, no row where the block has no other.
 
     ``rows`` are items (block, text, n, first): a text that n rows share, the
-    smallest of which is ``first``, which names the item. With ``masked`` also (category, latitude,
-    longitude, km): items of other categories, or farther apart than km where both
-    have a place, count as 0. Weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) +
-    1) with the block's own N and df over rows, normalised.
-
-    A block is dealt into tiles of items; a task holds one block's sparse vectors
-    (as many as the block has different texts) and compares its tile's items with
-    them one by one, so no pair becomes a row."""
-    sizes = rows.groupBy("block").agg(F.sum("n").alias("_all"), F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
-    whole = rows.join(sizes, "block").withColumn("_own", F.pmod(F.xxhash64("first"), F.col("_tiles")).cast("int"))
-    whole = whole.withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", ignore_index=True)
-        asked = np.flatnonzero((pdf["_own"] == pdf["_tile"]).to_numpy())
-        best, found = np.full(len(asked), -1), np.zeros(len(asked))
-        if len(pdf) > 1:
-            rows_, cols, w = _vectors(pdf["text"], pdf["n"].to_numpy(dtype=np.float64))
-            bounds = np.searchsorted(rows_, np.arange(len(pdf) + 1))
-            order = np.argsort(cols, kind="stable")
-            by_row, by_w = rows_[order], w[order]
-            ends = np.cumsum(np.bincount(cols, minlength=int(cols.max(initial=-1)) + 1))
-            far = _mask(pdf) if masked else None
-            for k, i in enumerate(asked.tolist()):
-                own = slice(bounds[i], bounds[i + 1])
-                start = ends[cols[own] - 1] * (cols[own] > 0)
-                many = ends[cols[own]] - start
-                at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if many.size else many
-                s = np.round(np.bincount(by_row[at], by_w[at] * np.repeat(w[own], many), len(pdf)), 9)
-                if masked:
-                    s[far(i)] = 0
-                s[i] = -1
-                best[k] = s.argmax()
-                found[k] = s[best[k]]
-        firsts = pdf["first"].to_numpy()
-        return pd.DataFrame({"block": pdf["block"].to_numpy()[asked], "first": firsts[asked], "partner": firsts[best], "similarity": found})[best >= 0]
+    smallest of which is ``first``, which names the item."""
+    nowhere = F.lit(None).cast("double")
+    own = vectors(rows.select("block", "text", "n", "first"), tile).select("*", nowhere.alias("latitude"), nowhere.alias("longitude"), F.col("block").alias("home"), F.array("block").alias("asks"))
+    return _with_rest(rows, best_of_tiles(own, tile))
 
-    kind = rows.schema["first"].dataType.simpleString()
-    return whole.groupBy("block", "_tile").applyInPandas(compare, f"block string, first {kind}, partner {kind}, similarity double")
 
+def _with_rest(rows: DataFrame, found: DataFrame) -> DataFrame:
+    shared = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_items")).where("_items > 1").select("block")
+    return rows.select("block", "first").join(shared, "block", "left_semi").join(found, ["block", "first"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
+def _cells(latitude: Column, longitude: Column, km: float) -> tuple[Column, Column]:
+    """The cell of a place, and all cells that hold places within ``km`` of it.
+
+    Bands of latitude are km high; a band is cut into as many cells of longitude as
+    are km wide where it is narrowest, one where it touches a pole. What lies within
+    km is in the band, the one above or below, and there within the widest difference
+    of longitude that the distance spans; longitudes go round."""
+    high = math.degrees(km / EARTH_KM) * (1 + 1e-9)
+    bands = math.ceil(180 / high)
+    band = F.least(F.lit(bands - 1), F.greatest(F.lit(0), F.floor((latitude + 90) / high))).cast("int")
+
+    def cells(b: Column) -> Column:
+        edge = F.greatest(F.abs(b * high - 90), F.abs((b + 1) * high - 90))
+        return F.when(edge >= 90, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / high))).cast("int")
+
+    turned = F.pmod(longitude + 180, F.lit(360.0))
+
+    def name(b: Column, c: Column) -> Column:
+        return F.concat(b.cast("string"), F.lit(":"), c.cast("string"))
+
+    own = name(band, F.least(cells(band) - 1, F.floor(turned / 360 * cells(band))).cast("int"))
+    reach = math.sin(min(km / EARTH_KM, math.pi / 2))
+    cosine = F.cos(F.radians(latitude))
+    # beyond that a circle goes round a pole
+    span = F.when(cosine > reach, F.degrees(F.asin(F.least(F.lit(1.0), F.lit(reach) / cosine))) * (1 + 1e-9) + 1e-9).otherwise(180.0)
 
-def _vectors(texts: pd.Series, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, columns and weights of unit vectors, in order of rows."""
-    places: dict[str, int] = {}
-    rows, cols, tf = [], [], []
-    for i, t in enumerate(texts):
-        c = Counter(_grams(t))
-        rows.append(np.full(len(c), i, dtype=np.int32))
-        cols.append(np.fromiter((places.setdefault(g, len(places)) for g in c), dtype=np.int32, count=len(c)))
-        tf.append(1 + np.log(np.fromiter(c.values(), dtype=np.float64, count=len(c))))
-    rows, cols, w = np.concatenate(rows), np.concatenate(cols), np.concatenate(tf)
-    w = w * (np.log((1 + n.sum()) / (1 + np.bincount(cols, n[rows], len(places)))) + 1)[cols]
-    return rows, cols, w / np.maximum(np.sqrt(np.bincount(rows, w * w, len(n))), 1e-300)[rows]
+    def within(b: Column) -> Column:
+        n = cells(b)
+        low, far = F.floor((turned - span) / 360 * n).cast("int"), F.floor((turned + span) / 360 * n).cast("int")
+        some = F.sequence(low, F.least(far, low + n - 1))
+        return F.when((b >= 0) & (b < bands), F.array_distinct(F.transform(some, lambda c: name(b, F.pmod(c, n))))).otherwise(F.array().cast("array<string>"))
 
+    return own, F.flatten(F.array(within(band - 1), within(band), within(band + 1)))
 
-def _mask(pdf: pd.DataFrame):
-    """Of item i: the items that don't count."""
-    category, km = pdf["category"].to_numpy(), float(pdf["km"].iloc[0])
-    lat, lon = (np.radians(pdf[c].to_numpy(dtype=float)) for c in ("latitude", "longitude"))
 
-    def far(i: int) -> np.ndarray:
-        a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
-        apart = 2 * EARTH_KM * np.arcsin(np.sqrt(np.clip(a, 0, 1)))  # NaN where a place is missing, which isn't far
-        return (category != category[i]) | (apart > km)
+def partners_nearby(rows: DataFrame, km: float, tile: int = TILE) -> DataFrame:
+    """As partners(), for items (block, text, n, first, category, latitude,
+    longitude): only items of the same category, and where both have a place no
+    farther apart than km, count.
 
-    return far
+    Items of a category meet through the cells of their places; one without a place
+    meets all of its category."""
+    own = vectors(rows.select("block", "text", "n", "first", "category", "latitude", "longitude"), tile)
+    known = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & ~F.isnan("latitude") & ~F.isnan("longitude")
+    cell, near = _cells(F.col("latitude"), F.col("longitude"), km)
+    group = F.concat_ws("|", F.md5(F.col("block").cast("binary")), F.md5(F.col("category").cast("binary")))
+    nowhere = F.lit("none")
+    own = own.withColumn("group", group).withColumn("cell", F.when(known, cell).otherwise(nowhere)).withColumn("home", F.concat_ws("|", "group", "cell"))
+    # where the items without a place have to look: the cells that a group has
+    every = own.select("group", "home").distinct().join(own.where(~known).select("group").distinct(), "group", "left_semi")
+    loose = own.where(~known).join(every.withColumnRenamed("home", "ask"), "group").withColumn("asks", F.array("ask")).drop("ask")
+    there = F.transform(F.concat(near, F.array(nowhere)), lambda c: F.concat_ws("|", F.col("group"), c))
+    placed = own.where(known).withColumn("asks", there)
+    home = own.where(~known).withColumn("asks", F.array().cast("array<string>"))  # held once, asking one by one
+    columns = ["block", "first", "grams", "weights", "latitude", "longitude", "home", "asks"]
+    asked = loose.withColumn("home", F.lit(None).cast("string"))
+    return _with_rest(rows, best_of_tiles(placed.select(columns).union(home.select(columns)).union(asked.select(columns)), tile, km))
 
 
 def best_partner(df: DataFrame, key: str, block: str, text: str, floor: float, most: int | None = None) -> DataFrame:
@@ -142,10 +390,10 @@ def similarity_nearby(works: DataFrame, floor: float = 0.55, km: float = 12.0) -
     category, within reach where both works have a place. similar_project_id,
     similarity_score (0 where nothing was compared) and signal_similarity."""
     there = works.where("district IS NOT NULL").select(
-        F.col("district").alias("block"), F.lower(F.coalesce("work_description", F.lit(""))).alias("text"), F.lit(1).alias("n"), F.col("project_id").alias("first"),
-        F.coalesce("work_category", F.lit("nan")).alias("category"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), F.lit(km).alias("km"),
+        F.col("district").alias("block"), F.lower(F.coalesce("work_description", F.lit(""))).alias("text"), F.lit(1).cast("long").alias("n"), F.col("project_id").alias("first"),
+        F.coalesce("work_category", F.lit("nan")).alias("category"), F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"),
     )
-    top = partners(there, masked=True).select(F.col("first").alias("_first"), F.col("partner").alias("_partner"), F.col("similarity").alias("_best"))
+    top = partners_nearby(stored(there), km).select(F.col("first").alias("_first"), F.col("partner").alias("_partner"), F.col("similarity").alias("_best"))
     out = works.join(top, F.col("project_id") == F.col("_first"), "left")
     best = F.coalesce("_best", F.lit(0.0))
     return out.withColumns({

@@ -896,11 +896,30 @@ def agency_rollup(spark, sf_dir):
     return rollups.agencies(_v1_scored(spark, sf_dir))
 
 
-@query()
+_NEARBY = f"""WITH {sql.PROJECTS},
+placed AS (SELECT project_id AS id, district AS block, coalesce(work_category, 'nan') AS category, lower(work_description) AS t, k, CASE WHEN k % 41 <> 0 THEN n_nationkey + (k % 100) / 400.0::DOUBLE END AS lat, CASE WHEN k % 41 <> 0 THEN n_nationkey * 2 + (k % 90) / 400.0::DOUBLE END AS lon
+  FROM projects JOIN orders ON o_orderkey = k JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE district IS NOT NULL),
+texts AS (SELECT block, t, count(*) AS n, row_number() OVER () AS ti FROM placed GROUP BY ALL),
+sized AS (SELECT block, sum(n) AS rows FROM texts GROUP BY 1),
+words AS (SELECT ti, block, n, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM texts),
+grams AS (SELECT ti, block, n, w[i:i + m - 1] AS g FROM (SELECT *, unnest(range(1, length(w) - m + 2)) AS i FROM (SELECT *, unnest([3, 4, 5]) AS m FROM words) WHERE m <= length(w))),
+tf AS (SELECT ti, block, n, g, 1 + ln(count(*)) AS f FROM grams GROUP BY ALL),
+raw AS (SELECT ti, block, g, f * (ln((1 + rows) / (1 + sum(n) OVER (PARTITION BY block, g))::DOUBLE) + 1) AS x FROM tf JOIN sized USING (block)),
+unit AS (SELECT ti, block, g, x / sqrt(sum(x * x) OVER (PARTITION BY ti)) AS x FROM raw),
+own AS (SELECT id, block, category, ti, lat, lon FROM placed JOIN texts USING (block, t)),
+kinds AS (SELECT DISTINCT ti, block, category, g, x FROM own JOIN unit USING (ti, block)),
+alike AS (SELECT a.category, a.ti AS a, b.ti AS b, round(sum(a.x * b.x), 9) AS s FROM kinds a JOIN kinds b ON a.block = b.block AND a.category = b.category AND a.g = b.g GROUP BY ALL),
+met AS (SELECT x.id AS a, y.id AS b, s FROM own x JOIN alike ON a = x.ti AND alike.category = x.category JOIN own y ON y.ti = alike.b AND y.category = x.category AND y.id <> x.id
+  WHERE x.lat IS NULL OR y.lat IS NULL OR 2 * {numeric.EARTH_KM} * asin(sqrt(least(1, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) <= 12),
+top AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) = 1)
+SELECT project_id, CASE WHEN s >= 0.55 THEN b ELSE '' END AS similar_project_id, round(coalesce(s, 0), 4) AS similarity_score, round(greatest(0::DOUBLE, (coalesce(s, 0) - 0.55::DOUBLE) / 0.45::DOUBLE), 4) AS signal FROM projects LEFT JOIN top ON project_id = a"""
+
+
+@query(_NEARBY)
 def v1_duplicates(spark, sf_dir):
-    """Within a district, a category and 12 km; tested against brute force."""
+    """Within a district, a category and 12 km."""
     found = similarity.similarity_nearby(_projects(spark, sf_dir))
-    return found.select("project_id", "similar_project_id", F.round("similarity_score", 6).alias("similarity_score"), F.round("signal_similarity", 6).alias("signal"))
+    return found.select("project_id", "similar_project_id", F.round("similarity_score", 4).alias("similarity_score"), F.round("signal_similarity", 4).alias("signal"))
 
 
 def _step(n: int, stride: float) -> int:
