@@ -140,7 +140,8 @@ def score(df: DataFrame, config: BenchmarkConfig = BenchmarkConfig()) -> DataFra
     out = combine(df, config.caps, score_digits=1).withColumn("risk_band", band(F.col("risk_score"), config.band_high, config.band_medium))
     adequate = F.least(F.col("peer_size") / float(config.min_peer_group), F.lit(1.0))
     out = out.withColumn("confidence", F.round(0.7 * F.col("data_completeness") + 0.3 * F.coalesce(adequate, F.lit(0.0)), 3))
-    out = out.withColumn("multivariate_drivers", F.lit(""))  # no attribution of the forest is at hand
+    if "multivariate_drivers" not in out.columns:
+        out = out.withColumn("multivariate_drivers", F.lit(""))
     out = explain(out, BENCHMARK_LABELS, details(), NOTHING, ASSESSMENT)
     return out.withColumn("review_status", F.when(F.col("risk_band") == "High", "Pending review").otherwise("Not queued"))
 
@@ -158,7 +159,7 @@ def run(register: DataFrame, config: BenchmarkConfig = BenchmarkConfig(), model:
     out = stored(signals(stored(features(stored(check_register(register)), config)), config))
     out = stored(similarity_nearby(out, config.duplicate_floor, config.duplicate_km))
     out = out.withColumnsRenamed({"signal_similarity": "signal_duplicate", "similar_project_id": "duplicate_match_id"})
-    out = mv.multivariate(out, model, "project_id", FEATURES)
+    out = mv.multivariate(out, model, "project_id", FEATURES, drivers="multivariate_drivers")
     return score(stored(out), config)
 
 

@@ -45,6 +45,7 @@ class IsolationForest:
     def __init__(self, trees: int, sample: int, seed: int):
         self.trees, self.sample, self.seed = trees, sample, seed
         self.nodes: list[tuple[np.ndarray, ...]] = []
+        self.held: list[np.ndarray] = []
         self.used = 0
 
     def fit(self, rows: np.ndarray) -> IsolationForest:
@@ -53,11 +54,11 @@ class IsolationForest:
         depth = max(1, math.ceil(math.log2(max(2, self.used))))
         for _ in range(self.trees):
             own = rows[rng.choice(len(rows), self.used, replace=False)]
-            feature, cut, left, right, length = [], [], [], [], []
+            feature, cut, left, right, length, held = [], [], [], [], [], []
 
             def grow(part: np.ndarray, level: int) -> int:
                 at = len(feature)
-                feature.append(-1), cut.append(0.0), left.append(-1), right.append(-1), length.append(level + harmonic(len(part)))
+                feature.append(-1), cut.append(0.0), left.append(-1), right.append(-1), length.append(level + harmonic(len(part))), held.append(len(part))
                 spread = part.max(axis=0) - part.min(axis=0) if len(part) else np.zeros(part.shape[1])
                 open_ = np.flatnonzero(spread > 0)
                 if level < depth and len(part) > 1 and len(open_):
@@ -70,6 +71,7 @@ class IsolationForest:
 
             grow(own, 0)
             self.nodes.append(tuple(np.array(x) for x in (feature, cut, left, right, length)))
+            self.held.append(np.array(held))
         return self
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
@@ -87,8 +89,62 @@ class IsolationForest:
         return 2 ** -(total / max(1, len(self.nodes)) / max(harmonic(self.used), 1e-9))
 
 
-def isolation_scores(df: DataFrame, key: str, columns: list[str], config: RiskConfig, name: str = "forest_score") -> DataFrame:
-    """Scores of all rows. A tree draws tree_sample rows, so trees * tree_sample
+    def _paths(self) -> tuple[np.ndarray, ...]:
+        """Of every leaf: the features on its way with the range that leads there and
+        the share of rows that would go that way not knowing the feature (a place
+        without one has the share 1 and no bounds), and its length."""
+        found, most = [], 1
+        for (feature, cut, left, right, length), held in zip(self.nodes, self.held, strict=True):
+            todo = [(0, {})]
+            while todo:
+                at, way = todo.pop()
+                f = int(feature[at])
+                if f < 0:
+                    found.append((way, length[at]))
+                    most = max(most, len(way))
+                    continue
+                low, high, share = way.get(f, (-math.inf, math.inf, 1.0))
+                for child, a, b in ((left[at], low, min(high, cut[at])), (right[at], max(low, cut[at]), high)):
+                    todo.append((child, way | {f: (a, b, share * held[child] / held[at])}))
+        shape = (len(found), most)
+        feature, low, high, share = np.zeros(shape, dtype=int), np.full(shape, -math.inf), np.full(shape, math.inf), np.ones(shape)
+        for k, (way, _) in enumerate(found):
+            for n, (f, (a, b, z)) in enumerate(way.items()):
+                feature[k, n], low[k, n], high[k, n], share[k, n] = f, a, b, z
+        return feature, low, high, share, np.array([x for _, x in found])
+
+    def attributions(self, rows: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+        """How much each feature shortens a row's mean path, as exact Shapley values:
+        they sum to the expected path less the row's. Unusual is positive.
+
+        To a leaf leads, for a set of known features, the product of indicators (is
+        the row in the range?) of those and shares of the others. The Shapley value
+        of a product is the integral over u from 0 to 1 of the others' u * indicator +
+        (1 - u) * share, times the feature's indicator less its share: a polynomial,
+        which Gauss' quadrature integrates exactly."""
+        feature, low, high, share, length = self._paths()
+        places = feature.shape[1]
+        nodes, weights = np.polynomial.legendre.leggauss((places + 1) // 2)
+        out = np.zeros(rows.shape)
+        step = max(1, at_once // max(1, places * len(rows)))
+        for at in range(0, len(length), step):
+            part = slice(at, at + step)
+            x = rows[:, feature[part]]
+            inside = (x > low[part]) & (x <= high[part])
+            total = np.zeros(inside.shape)
+            for u, weight in zip((nodes + 1) / 2, weights / 2, strict=True):
+                factor = inside * u + (1 - u) * share[part]
+                total += weight * factor.prod(axis=2, keepdims=True) / factor
+            total *= (inside - share[part]) * length[part][:, None]
+            own = np.zeros((total.shape[1] * places, rows.shape[1]))
+            own[np.arange(len(own)), feature[part].ravel()] = 1
+            out -= total.reshape(len(rows), -1) @ own
+        return out / max(1, len(self.nodes))
+
+
+def isolation_scores(df: DataFrame, key: str, columns: list[str], config: RiskConfig, name: str = "forest_score", drivers: str | None = None) -> DataFrame:
+    """Scores of all rows, and if asked for, in the column ``drivers``, the names of
+    the two features that add most to a row's score. A tree draws tree_sample rows, so trees * tree_sample
     rows, chosen by a hash of the key, are as many as the forest can use; it is
     broadcast (a few MB)."""
     share = min(1.0, config.trees * config.tree_sample / max(1, df.count()))
@@ -101,7 +157,15 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], config: RiskCo
     def of(*parts: pd.Series) -> pd.Series:
         return pd.Series(forest.value.scores(np.column_stack([p.to_numpy(dtype=float) for p in parts])))
 
-    return df.withColumn(name, of(*[F.col(c) for c in columns]))
+    @F.pandas_udf("string")
+    def named(*parts: pd.Series) -> pd.Series:
+        rows = np.column_stack([p.to_numpy(dtype=float) for p in parts])
+        names = np.array([c.replace("_", " ") for c in columns])
+        top = np.concatenate([np.argsort(-forest.value.attributions(rows[k : k + 500]), axis=1, kind="stable")[:, :2] for k in range(0, len(rows), 500)]) if len(rows) else np.zeros((0, 2), dtype=int)
+        return pd.Series([", ".join(names[t]) for t in top], dtype=object)
+
+    out = df.withColumn(name, of(*[F.col(c) for c in columns]))
+    return out.withColumn(drivers, named(*[F.col(c) for c in columns])) if drivers else out
 
 
 def tail_signal(df: DataFrame, forest: str = "forest_score", noise: str = "is_noise", tail: float = 0.85) -> DataFrame:
@@ -114,13 +178,16 @@ def tail_signal(df: DataFrame, forest: str = "forest_score", noise: str = "is_no
     return ranked.withColumn("signal_multivariate", ramp(F.col("_rank"), tail, 1.0)).drop("_low", "_high", "_blend", "_rank")
 
 
-def multivariate(works: DataFrame, config: RiskConfig, key: str = "work_id", columns: tuple[str, ...] = FEATURES) -> DataFrame:
-    """signal_multivariate of all works; null where there are too few to fit."""
+def multivariate(works: DataFrame, config: RiskConfig, key: str = "work_id", columns: tuple[str, ...] = FEATURES, drivers: str | None = None) -> DataFrame:
+    """signal_multivariate of all works, null where there are too few to fit, and if
+    asked for the names of its drivers (else empty)."""
     if works.count() < config.model_rows:
-        return works.withColumn("signal_multivariate", F.lit(None).cast("double"))
+        out = works.withColumn("signal_multivariate", F.lit(None).cast("double"))
+        return out.withColumn(drivers, F.lit("")) if drivers else out
     there = [c for c in columns if c in works.columns]
     own = works.select(F.col(key).alias("_key"), *there)
     scaled = stored(robust_scale(feature_matrix(own, tuple(there)), there))  # both models and the ranks read it
     noisy = dbscan_noise(scaled, there, config.dbscan_eps, config.dbscan_neighbours)
-    found = stored(isolation_scores(noisy, "_key", there, config))
-    return works.join(tail_signal(found, tail=config.tail).select("_key", "signal_multivariate"), F.col(key) == F.col("_key"), "left").drop("_key")
+    found = stored(isolation_scores(noisy, "_key", there, config, drivers=drivers))
+    own = tail_signal(found, tail=config.tail).select("_key", "signal_multivariate", *([drivers] if drivers else []))
+    return works.join(own, F.col(key) == F.col("_key"), "left").drop("_key")
