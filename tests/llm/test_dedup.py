@@ -172,6 +172,37 @@ def test_vectors_equal_brute_force(spark, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (c, low[i], low[i] == i), i
 
 
+@pytest.mark.parametrize(("dims", "block"), [(12, 64), (2, 50)])
+def test_one_label_of_many_near_vectors(spark, dims, block):
+    """A label that holds nearly all rows, crowded in a few directions."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, dims))
+    rows = [(k, (centres[int(rng.integers(40)) ** 2 // 40] + (0.16 if dims > 2 else 0.01) * rng.normal(size=dims)).tolist(), 0 if k % 50 else 1) for k in range(2500)]
+    got = {r.vec_id: r for r in p.link(spark.createDataFrame(rows, VECTORS), block=block).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (v @ v.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    assert 2500 < near.sum() and (dims == 2 or near.sum() < 2500 * 600)
+    low = np.arange(len(rows))
+    while True:
+        new = np.minimum(low, np.where(near, low, len(rows)).min(axis=1))
+        if (new == low).all():
+            break
+        low = new
+    assert all((got[k].n_links, got[k].component_id) == (int(near[k].sum()), int(low[k])) for k in range(len(rows)))
+
+
+def test_blocks_are_small_in_all_leading_coordinates(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=5).tolist(), 0) for k in range(4000)]
+    kinds = p.classes(spark.createDataFrame(rows, VECTORS))[1].cache()
+    blocks = p.make_blocks(kinds, p.axes(kinds), 50).select("low", "high").collect()
+    sides = np.array([np.array(b.high) - np.array(b.low) for b in blocks])
+    assert np.median(sides[:, :4], axis=0).max() < 1
+
+
 @pytest.mark.parametrize("dims", [3, 64, 300])
 def test_rotations_keep_lengths_and_follow_the_axes(dims):
     rng = np.random.default_rng(4)

@@ -4,8 +4,10 @@ Unit vectors are rotated so that the leading coordinates, along principal axes o
 a bounded sample of their table, hold most of every inner product; the others
 complete the rotation, which is a product of one reflection an axis and so costs
 the same a coordinate in 16 and in 4,096 dimensions. Vectors of a label are dealt
-into blocks along the first axis, and only blocks whose boxes in the leading
-coordinates are near enough form a tile. In a tile the product is accumulated a
+into blocks along a curve through the leading coordinates (Morton's order), which
+keeps blocks small in all of them, and only blocks whose boxes are near enough form
+a tile: boxes of the leading coordinates and of the norm that they leave, whose
+difference no rotation of the rest can make up. In a tile the product is accumulated a
 few coordinates at a time; what the rest can add is at most the product of the two
 suffix norms, so rows and columns without a pair that can still reach the
 threshold drop out, and the tile stops when none is left. The pairs that remain
@@ -114,19 +116,34 @@ def unit_rows(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]
     return out
 
 
+def along_curve(lead: np.ndarray, bits: int = 15) -> np.ndarray:
+    """Places of rows in Morton's order: the bits of their coordinates in turn."""
+    cells = np.clip((lead.astype(np.float64) + 1) / 2 * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+    out = np.zeros(len(cells), dtype=np.int64)
+    for bit in reversed(range(bits)):
+        for column in cells.T:
+            out = out << 1 | column >> bit & 1
+    return out
+
+
+def boxed(rows: np.ndarray) -> np.ndarray:
+    """The leading coordinates of unit vectors, and the norm that they leave."""
+    return np.column_stack([rows[:, :BOX].astype(np.float64), np.sqrt((rows[:, BOX:].astype(np.float64) ** 2).sum(axis=1))])
+
+
 def make_blocks(kinds: DataFrame, rotation: dict[int, Rotation], block: int = BLOCK) -> DataFrame:
-    """Blocks of at most ``block`` classes of a label, along the first axis:
-    block, home (the group that holds it), label, dims, low and high of the leading
-    coordinates, and the rows."""
+    """Blocks of at most ``block`` classes of a label, along Morton's curve: block,
+    home (the group that holds it), label, dims, low and high of the leading
+    coordinates and of the norm that they leave, and the rows."""
     rotation_of = kinds.sparkSession.sparkContext.broadcast(rotation)  # as many numbers as the sample at most
 
     def rotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lead, units = np.zeros(batch.num_rows), [b""] * batch.num_rows
+            lead, units = np.zeros(batch.num_rows, dtype=np.int64), [b""] * batch.num_rows
             turned = [b""] * batch.num_rows
             for dims, (which, rows) in unit_rows(batch.column("vector")).items():
                 new = (rotation_of.value[dims].turn(rows) if dims in rotation_of.value else rows).astype("<f4")
-                lead[which] = new[:, 0]
+                lead[which] = along_curve(new[:, :BOX])
                 for i, u, r in zip(which.tolist(), rows, new, strict=True):
                     units[i], turned[i] = u.astype("<f8").tobytes(), r.tobytes()
             names = ["label", "dims", "lead", "key", "copies", "unit", "turned"]
@@ -142,7 +159,7 @@ def make_blocks(kinds: DataFrame, rotation: dict[int, Rotation], block: int = BL
             if room[0] + 1 > HOME or room[1] + len(held) * dims > HOME_NUMBERS:
                 home, room = home + 1, (0, 0)
             room = room[0] + 1, room[1] + len(held) * dims
-            turned = np.frombuffer(b"".join(r[3] for r in held), dtype="<f4").reshape(len(held), dims)[:, :BOX]
+            turned = boxed(np.frombuffer(b"".join(r[3] for r in held), dtype="<f4").reshape(len(held), dims))
             count += 1
             row = {"block": f"{part:06d}-{count:09d}", "home": f"{part:06d}-{home:09d}", "label": label, "dims": dims, "low": turned.min(axis=0).tolist(), "high": turned.max(axis=0).tolist(),
                    "keys": [r[0] for r in held], "copies": [r[1] for r in held], "units": b"".join(r[2] for r in held), "turned": b"".join(r[3] for r in held)}
@@ -165,7 +182,7 @@ def make_blocks(kinds: DataFrame, rotation: dict[int, Rotation], block: int = BL
     packed = pa.schema([("block", pa.string()), ("home", pa.string()), ("dims", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())),
                         ("keys", pa.list_(pa.string())), ("copies", pa.list_(pa.int64())), ("units", pa.binary()), ("turned", pa.binary())])
     rows = kinds.select("key", "label", "vector", "copies", "dims")
-    turned = rows.mapInArrow(rotate, f"label {label_ddl}, dims int, lead double, key string, copies long, unit binary, turned binary")
+    turned = rows.mapInArrow(rotate, f"label {label_ddl}, dims int, lead long, key string, copies long, unit binary, turned binary")
     dealt = turned.repartitionByRange("label", "dims", "lead", "key").sortWithinPartitions("label", "dims", "lead", "key")
     return dealt.mapInArrow(pack, f"block string, home string, label {label_ddl}, dims int, low array<double>, high array<double>, keys array<string>, copies array<long>, units binary, turned binary")
 
@@ -234,18 +251,23 @@ def _visits(blocks: DataFrame, apart: float) -> DataFrame:
     """The blocks of each home (visits 0), then those of later ones that a block of
     it has to meet (visits 1): a block comes once a home, not once a pair.
 
-    Blocks meet through the cells of width ``apart`` that their first coordinates
-    span, each pair in the first cell that both have, and by their boxes."""
+    Blocks meet through the squares of width ``apart`` that their first two
+    coordinates span, each pair in the first square that both have, and by their
+    boxes; squares with many blocks are split by adaptive execution, as the join is
+    an inner one of two plain sides."""
     outline = blocks.select("block", "home", "label", "dims", "low", "high")
-    cell = lambda c: F.floor(F.col(c)[0] / apart).cast("int")
-    spans = outline.withColumn("first", cell("low")).withColumn("last", cell("high") + 1)
-    spans = spans.withColumn("cell", F.explode(F.sequence("first", "last"))).drop("last")
+    cell = lambda c, k: F.floor(F.col(c)[k] / apart).cast("int")
+    spans = outline
+    for k, name in enumerate(("x", "y")):
+        spans = spans.withColumn(f"first_{name}", cell("low", k)).withColumn(name, F.explode(F.sequence(cell("low", k), cell("high", k) + 1)))
     other = spans.select(*[F.col(c).alias(f"other_{c}") for c in spans.columns])
-    same = (F.col("label") == F.col("other_label")) & (F.col("dims") == F.col("other_dims")) & (F.col("cell") == F.col("other_cell"))
+    same = F.lit(True)
+    for c in ("label", "dims", "x", "y"):
+        same = same & (F.col(c) == F.col(f"other_{c}"))
     gap = F.zip_with(F.array(F.col("low"), F.col("high")), F.array(F.col("other_high"), F.col("other_low")), lambda p, q: F.zip_with(p, q, lambda u, v: u - v))
-    # the squared distance of two boxes in the leading coordinates
+    # the squared distance of two boxes
     square = F.aggregate(F.zip_with(gap[0], gap[1], lambda over, under: F.greatest(over, -under, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    once = F.col("cell") == F.greatest("first", "other_first")
+    once = (F.col("x") == F.greatest("first_x", "other_first_x")) & (F.col("y") == F.greatest("first_y", "other_first_y"))
     pairs = spans.join(other, same & once & (F.col("block") < F.col("other_block")) & (F.col("home") != F.col("other_home")) & (square <= apart * apart))
     columns = ["block", "label", "dims", "keys", "copies", "units", "turned"]
     visitors = pairs.select(F.col("home").alias("at"), F.col("other_block").alias("block")).distinct().join(blocks.drop("home"), "block")
