@@ -36,7 +36,7 @@ def query(oracle: str | None = None):
 
 def whole(f):
     """Register a query over scored works again, as <name>_full: SQL can follow
-    four of the detectors, this one has all six."""
+    five of the detectors, this one has all six."""
     QUERIES[f"{f.__name__}_full"] = lambda spark, sf_dir: f(spark, sf_dir, register.scored)
     return f
 
@@ -429,7 +429,7 @@ def rule_report(spark, sf_dir):
 @whole
 @query(sql.with_signals(" UNION ALL ".join(f"SELECT '{n}' AS detector, count(signal_{n}) AS evaluated, count(*) FILTER (signal_{n} > 0) AS flagged, CASE WHEN count(signal_{n}) > 0 THEN 'evaluated' ELSE 'skipped' END AS status FROM detected" for n in sql.SIGNALS)))
 def detector_report(spark, sf_dir, scored=_plain):
-    return detectors.detector_report(_signals(spark, sf_dir) if scored is _plain else scored(spark, sf_dir), _names(scored))
+    return detectors.detector_report(scored(spark, sf_dir), _names(scored))
 
 
 _GRAMS = r"""used AS (SELECT doc_id, lang || '/' || source AS block, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), '') AS t FROM documents),
@@ -538,11 +538,12 @@ _WORDED = f"""worded AS (SELECT work_id, 'This ' || {_MONEY("sanction_amount")}
   CASE WHEN sanction_amount / nullif(peer_median_cost, 0) >= 2 THEN 'It is ' || printf('%.1f', sanction_amount / peer_median_cost) || ' times the median of ' || {_MONEY("peer_median_cost")} || ' for ' || peer_size || ' comparable works grouped by ' || peer_level || '.' END AS cost,
   CASE WHEN is_completed AND total_expenditure IS NULL THEN 'It is recorded as completed but carries no payment record at all.' WHEN expenditure_ratio IS NOT NULL
     THEN round_even(expenditure_ratio * 100, 0)::BIGINT || '% of the sanctioned amount has been disbursed across ' || coalesce(payment_count, 0) || ' payment(s).' END AS paid,
+  'A closely similar work, ' || similar_work_id || ', was sanctioned in the same district and should be checked to confirm the two were separately executed.' AS twin_,
   CASE WHEN rule_reasons <> '' THEN 'Rule check: ' || string_split(rule_reasons, '; ')[1] || '.' END AS rule FROM scored WHERE risk_band <> 'Low')"""
 
 
 @whole
-@query(sql.with_scores("SELECT work_id, concat_ws(' ', opening, cost, paid, rule, 'Suggested action: verify scope and supporting records before any site visit. This summary describes unusual patterns only and does not establish irregularity or fraud.') AS briefing FROM worded", _WORDED))
+@query(sql.with_scores("SELECT work_id, concat_ws(' ', opening, cost, paid, twin_, rule, 'Suggested action: verify scope and supporting records before any site visit. This summary describes unusual patterns only and does not establish irregularity or fraud.') AS briefing FROM worded", _WORDED))
 def briefings(spark, sf_dir, scored=_plain):
     return scored(spark, sf_dir).where("risk_band <> 'Low'").select("work_id", "briefing")
 
@@ -551,6 +552,7 @@ _SENTENCES = {
     "cost_deviation": f"'Sanctioned at Rs ' || format('{{:,}}', {_MARGIN}) || ' against a peer median of Rs ' || format('{{:,}}', round_even(peer_median_cost, 0)::BIGINT) || ' (' || round_even(peer_cost_percentile, 0)::BIGINT || 'th percentile among ' || peer_size || ' comparable works, grouped by ' || peer_level || ')'",
     "timeline": "CASE WHEN peer_median_duration > 0 THEN days_sanction_to_reference || ' days since sanction against a peer median of ' || trunc(peer_median_duration)::INT || ' days (' || age_basis || ')' ELSE coalesce(days_recommendation_to_sanction || ' days between recommendation and sanction', 'Timeline indicator') END",
     "expenditure_consistency": "CASE WHEN is_completed AND NOT has_expenditure THEN 'Recorded as completed but carries no payment record' ELSE coalesce(round_even(expenditure_ratio * 100, 0)::BIGINT || '% of the sanctioned amount disbursed across ' || payment_count || ' payment(s)', 'Expenditure consistency indicator') END",
+    "similarity": "coalesce('Description closely resembles ' || similar_work_id || ' in the same district (similarity ' || printf('%.2f', round_even(similarity_score, 2)) || ') — requires verification, not a confirmed duplicate', 'Description resembles another nearby work')",
     "compliance": "coalesce(nullif(rule_reasons, ''), 'Rule-based indicator')",
 }
 _DETAILS = " UNION ALL ".join(f"SELECT work_id, '{scoring.LABELS[n]}' AS indicator, {_SENTENCES[n]} AS detail FROM scored WHERE points_{n} >= 3" for n in sql.SIGNALS)

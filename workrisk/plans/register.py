@@ -28,11 +28,10 @@ def features(works: DataFrame, config: RiskConfig) -> DataFrame:
 
 
 def evidence(featured: DataFrame, config: RiskConfig, full: bool = True) -> DataFrame:
-    """Signals, points, bands and confidence; all six detectors, or the row-wise
-    four."""
-    out = detectors.detect(featured, config)
+    """Signals, points, bands and confidence; all six detectors, or all but the
+    models of unusual combinations."""
+    out = similarity.similarity(detectors.detect(featured, config), config.similarity_floor, config.similarity_block)
     if full:
-        out = similarity.similarity(out, config.similarity_floor, config.similarity_block)
         out = multivariate.multivariate(stored(out), config)
     return scoring.score(out, config)
 
@@ -61,5 +60,5 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the two detectors that SQL can't express."""
+    """Without the detector that SQL can't express."""
     return scoring.narrate(_shared(spark, sf_dir, "plain", lambda: evidence(shared_features(spark, sf_dir), CONFIG, False)))

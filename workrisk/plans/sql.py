@@ -6,7 +6,7 @@ from workrisk.config import BENCHMARK_CAPS, BENCHMARK_LABELS, CAPS, EXPECTED_DAY
 from workrisk.plans.adapter import AS_OF, CATEGORIES, PEERS
 
 CONFIG = RiskConfig(min_peer_group=PEERS)
-SIGNALS = ("cost_deviation", "timeline", "expenditure_consistency", "compliance")
+SIGNALS = ("cost_deviation", "timeline", "expenditure_consistency", "similarity", "compliance")
 
 SPINE = """
 spine AS (
@@ -118,7 +118,24 @@ def _ramp(x: str, low: str, high: str) -> str:
 
 
 _PAYMENT_RAMP = f"CASE WHEN {CONFIG.payments_full} <= payments_floor THEN CASE WHEN payment_count IS NOT NULL THEN 0::DOUBLE END ELSE {_ramp('payment_count', 'payments_floor', str(CONFIG.payments_full))} END"
-DETECTED = f"""
+#: TF-IDF of n-grams over a district's different texts, and the best partner of each.
+ALIKE = f"""
+told AS (SELECT work_id, district, description_normalised AS t FROM works WHERE description_normalised IS NOT NULL AND NOT coalesce(description_is_mojibake, false)),
+texts AS (SELECT district, t, count(*) AS n, min(work_id) AS first, min(work_id, 2)[2] AS second, row_number() OVER () AS ti FROM told WHERE district IS NOT NULL GROUP BY district, t),
+sized AS (SELECT district, sum(n) AS rows, count(*) AS items FROM texts GROUP BY 1),
+cut_ AS (SELECT ti, district, n, ' ' || unnest(string_split(t, ' ')) || ' ' AS w FROM texts),
+grams AS (SELECT ti, district, n, w[i:i + m - 1] AS g FROM (SELECT *, unnest(range(1, length(w) - m + 2)) AS i FROM (SELECT *, unnest([3, 4, 5]) AS m FROM cut_) WHERE m <= length(w))),
+tf AS (SELECT ti, district, n, g, 1 + ln(count(*)) AS f FROM grams GROUP BY ALL),
+heavy AS (SELECT ti, district, g, f * (ln((1 + rows) / (1 + sum(n) OVER (PARTITION BY district, g))::DOUBLE) + 1) AS x FROM tf JOIN sized USING (district)),
+unit AS (SELECT ti, district, g, x / sqrt(sum(x * x) OVER (PARTITION BY ti)) AS x FROM heavy),
+met AS (SELECT a.ti AS a, b.ti AS b, round(sum(a.x * b.x), 9) AS s FROM unit a JOIN unit b ON a.district = b.district AND a.g = b.g AND a.ti <> b.ti GROUP BY ALL),
+top AS (SELECT a, s, first AS other FROM met JOIN texts ON b = ti QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, first) = 1),
+likened AS (
+  SELECT work_id AS like_id, CASE WHEN n > 1 THEN 1::DOUBLE WHEN items > 1 THEN coalesce(s, 0) END AS alike,
+    CASE WHEN n = 1 THEN other WHEN s >= 1 THEN least(CASE WHEN work_id = first THEN second ELSE first END, other) WHEN work_id = first THEN second ELSE first END AS twin
+  FROM told JOIN texts USING (district, t) JOIN sized USING (district) LEFT JOIN top ON a = ti
+)"""
+DETECTED = f"""{ALIKE},
 cuts AS (
   SELECT quantile_cont(days_recommendation_to_sanction, {CONFIG.lag_floor_percentile}) AS lag_floor, quantile_cont(days_recommendation_to_sanction, {CONFIG.lag_full_percentile}) AS lag_full,
     quantile_cont(CASE WHEN has_expenditure THEN payment_count END, {CONFIG.payments_percentile}) AS payments_floor FROM feats
@@ -129,9 +146,11 @@ detected AS (
     CASE WHEN has_expenditure OR is_completed THEN greatest(coalesce({_ramp("underspend_gap", str(CONFIG.underspend_floor), str(CONFIG.underspend_full))}, 0),
       CASE WHEN is_completed AND NOT has_expenditure THEN {CONFIG.unpaid_signal}::DOUBLE END, {_PAYMENT_RAMP},
       CASE WHEN payments_not_successful > 0 THEN {CONFIG.pending_signal}::DOUBLE END) END AS signal_expenditure_consistency,
+    CASE WHEN description_normalised IS NOT NULL AND NOT coalesce(description_is_mojibake, false) THEN coalesce({_ramp("alike", str(CONFIG.similarity_floor), "1.0")}, 0) END AS signal_similarity,
+    round(alike, 3) AS similarity_score, CASE WHEN alike >= {CONFIG.similarity_floor} THEN twin END AS similar_work_id,
     least(1::DOUBLE, {" + ".join(f"CASE WHEN {_CONDITIONS[r.rule_id]} THEN {r.weight!r}::DOUBLE ELSE 0 END" for r in LIVE_RULES)}) AS signal_compliance,
     concat_ws('; ', {", ".join(f"CASE WHEN {_CONDITIONS[r.rule_id]} THEN '[{r.rule_id}] {r.name}' END" for r in LIVE_RULES)}) AS rule_reasons
-  FROM feats, cuts
+  FROM feats LEFT JOIN likened ON like_id = work_id, cuts
 )"""
 _E = {n: f"(-ln(1 - {CAPS[n]}::DOUBLE * least(coalesce(signal_{n}, 0), 0.999::DOUBLE)))" for n in SIGNALS}
 SCORED = f"""
