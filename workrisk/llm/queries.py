@@ -151,6 +151,8 @@ FROM stats"""
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_quality": line_quality_sql(),
+        "op8_hyperminhash": sql.near_duplicates_sql(),
+        "op9_pca_neighbours": sql.neighbours_sql(),
         "op12_byte_automaton": sql.importance_sql(),
         "op13_spelling_variants": sql.variants_sql(),
     }

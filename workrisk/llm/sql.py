@@ -92,3 +92,41 @@ path AS (
 )
 SELECT own.word, own.n, own.n_near, own.form, own.form_n, path.at AS root
 FROM own JOIN path USING (word) JOIN own AS last ON last.word = path.at WHERE last.form IS NULL"""
+
+
+def _components(nodes: str, links: str) -> str:
+    """CTEs after WITH RECURSIVE: low (a, root), the smallest id that each node of
+    ``nodes`` (a, id) reaches by ``links`` (a, b, both ways)."""
+    return f"""
+reach AS (SELECT a, a AS b FROM {nodes} UNION SELECT reach.a, {links}.b FROM reach JOIN {links} ON {links}.a = reach.b),
+low AS (SELECT reach.a, min(id) AS root FROM reach JOIN {nodes} ON {nodes}.a = reach.b GROUP BY reach.a)"""
+
+
+def near_duplicates_sql(shingle: int = 5, percent: int = 75) -> str:
+    """hyperminhash.near_duplicates, by comparing the full sets of all documents that
+    share a shingle."""
+    return f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS a, doc_id AS id, regexp_extract_all({lowered("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT a, CASE WHEN len(w) < {shingle} THEN array_to_string(w, ' ') ELSE array_to_string(w[k:k + {shingle - 1}], ' ') END AS s
+  FROM (SELECT a, w, unnest(range(1, greatest(2, len(w) - {shingle - 2}))) AS k FROM docs WHERE len(w) > 0)
+),
+sizes AS (SELECT a, count(*) AS n FROM sets GROUP BY a),
+shared AS (SELECT x.a, y.a AS b, count(*) AS n FROM sets x JOIN sets y ON x.s = y.s AND x.a <> y.a GROUP BY ALL),
+links AS (SELECT shared.a, shared.b FROM shared JOIN sizes x ON x.a = shared.a JOIN sizes y ON y.a = shared.b WHERE 100 * shared.n >= {percent} * (x.n + y.n - shared.n)),
+{_components("docs", "links").strip()}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, id = root AS kept FROM docs JOIN low USING (a) LEFT JOIN sizes USING (a)"""
+
+
+def neighbours_sql(threshold: float = 0.98) -> str:
+    """pca_neighbours.link, by comparing all vectors of a label."""
+    return f"""
+WITH RECURSIVE vecs AS (SELECT row_number() OVER () AS a, vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings),
+usable AS (
+  SELECT a, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM vecs
+  WHERE id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (SELECT x.a, y.a AS b FROM usable x JOIN usable y ON x.label = y.label AND len(x.u) = len(y.u) AND x.a <> y.a WHERE list_dot_product(x.u, y.u) >= {threshold}::DOUBLE),
+{_components("vecs", "links").strip()},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, root::BIGINT AS component_id, id = root AS kept FROM vecs JOIN low USING (a) LEFT JOIN counts USING (a)"""
