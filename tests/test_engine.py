@@ -119,7 +119,7 @@ def test_command_line(spark, folder, tmp_path, capsys):
     from workrisk.__main__ import main
 
     main(["build", "--data-dir", folder, "--outdir", f"{tmp_path}/tables", "--as-of", "2026-01-01"], spark)
-    report = sinks.read_report(f"{tmp_path}/tables/ingest_report.json")
+    report = sinks.read_report(spark, f"{tmp_path}/tables/ingest_report.json")
     assert report["coverage"]["works_total"] == 6 and report["matching"]["completed_matched_to_sanctioned"] == 1 and report["quarantined_rows"] == 6
     main(["score", "--data-dir", f"{tmp_path}/tables", "--outdir", f"{tmp_path}/scored", "--details", "all"], spark)
     assert sinks.work_detail(spark, f"{tmp_path}/scored", "WS/MP1/2023-2024/101").work_status == "Work Completed"
@@ -130,9 +130,12 @@ def test_benchmark_command(spark, tmp_path, capsys):
     from workrisk.__main__ import main
 
     main(["benchmark", "--n", "300", "--seed", "7", "--outdir", str(tmp_path)], spark)
-    assert sinks.read_report(f"{tmp_path}/benchmark.json")["roc_auc"] > 0.75
+    assert sinks.read_report(spark, f"{tmp_path}/benchmark.json")["roc_auc"] > 0.75
     blocks = {r.block: r.content for r in spark.read.json(f"{tmp_path}/payload").collect()}
-    assert set(blocks) == {"meta", "dashboard", "priority_queue", "agencies", "benchmark"} and '"projects_analysed": 300' in blocks["dashboard"]
+    assert set(blocks) == {"meta", "generated_by", "disclaimer", "dashboard", "priority_queue", "agencies", "benchmark"} and '"projects_analysed": 300' in blocks["dashboard"]
+    one = spark.read.json(f"{tmp_path}/projects").select(F.from_json("record", "isolation_forest_score double, dbscan_is_noise double, risk_score double").alias("r")).select("r.*")
+    assert one.where("isolation_forest_score BETWEEN 0 AND 1 AND dbscan_is_noise IN (0, 1)").count() == 300
+    assert '"config_version": "v1"' in blocks["meta"] and blocks["meta"].count("data") > 3
     assert spark.read.json(f"{tmp_path}/projects").count() == 300 == spark.read.option("header", True).csv(f"{tmp_path}/scored").count()
     back = sinks.read_csv(spark, f"{tmp_path}/scored", ("project_id", "sanction_date"), benchmark.TYPES)
     assert dict(back.dtypes)["sanction_date"] == "date" and dict(back.dtypes)["project_id"] == "string" and back.where("sanction_date IS NULL").count() == 0
@@ -156,10 +159,19 @@ def test_sinks(spark, tmp_path, scored, sf_dir):
     blocks, works = sinks.read_payload(spark, str(tmp_path / "out"))
     assert set(blocks) == {"meta", "dashboard", "detectors", "rules", "data_quality", "priority_queue", "similar_pairs", "national", "rollups", "trends", "fund_utilisation", "early_warning", "recommendation_pipeline", "detail_scope", "detail_available_for"}
     assert works.count() == 50 and len(blocks["priority_queue"]) == 10 and blocks["national"]["works"] == blocks["dashboard"]["works_total"] == 50
+    assert (blocks["meta"]["engine_version"], blocks["meta"]["config_version"]) == ("v2.0", "risk-v2-1")
+    assert {"rule_id", "name", "rule_type", "source", "status", "records_flagged", "explanation"} <= set(blocks["rules"][0]) and all(r["explanation"] for r in blocks["rules"])
+    (lacking,) = [r for r in blocks["rules"] if r["status"] == "not_evaluated"]
+    assert "inadmissible_category" in lacking["explanation"]
+    assert [d["status"] for d in blocks["detectors"]] == ["active"] * 6 and all(set(d) == {"detector", "status", "reason", "records_evaluated", "records_flagged", "missing_fields"} for d in blocks["detectors"])
+    assert all({"work_id", "similar_work_id", "state", "work_category", "sanction_amount", "work_description"} <= set(p) for p in blocks["similar_pairs"])
+    assert "members match" in blocks["fund_utilisation"]["note"] or "could not be joined" in blocks["fund_utilisation"]["note"]
+    few = detectors.detector_details(scored.drop("district"), ("similarity",))
+    assert few[0]["status"] == "active" and detectors.detector_details(scored.drop("district").withColumn("signal_similarity", F.lit(None).cast("double")), ("similarity",))[0]["missing_fields"] == ["district"]
     assert blocks["recommendation_pipeline"]["works"] == open_.count() and set(blocks["rollups"]) == {"state", "district", "mp", "vendor"}
     flagged = some.where("risk_band <> 'Low'").head()
     assert sinks.work_detail(spark, str(tmp_path / "out"), flagged.work_id).risk_score == flagged.risk_score and sinks.work_detail(spark, str(tmp_path / "out"), "none") is None
-    path = sinks.export_csv([{"a": 'x,"y"', "b": None}], ["a", "b"], str(tmp_path), "rows")
+    path = sinks.export_csv(spark, [{"a": 'x,"y"', "b": None}], ["a", "b"], str(tmp_path), "rows")
     assert open(path, "rb").read() == '﻿a,b\r\n"x,""y""",\r\n'.encode()
     assert sinks.read_table(spark, str(tmp_path / "no"), optional=True) is None
     assert "points don't add up: 0" in sinks.console_report(scored)

@@ -32,7 +32,7 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     if rejected is not None and not rejected.isEmpty():
         sinks.write_csv(rejected.select([F.col(c).cast("string") for c in rejected.columns]), f"{args.outdir}/quarantine")
     report = exports.reports(out, works, config)
-    sinks.write_report(report, f"{args.outdir}/ingest_report.json")
+    sinks.write_report(spark, report, f"{args.outdir}/ingest_report.json")
     for name in ("coverage", "recommendation_pipeline", "matching", "dates", "amounts"):
         print(sinks.listed(name, report.get(name, {})))
     print(sinks.listed("quarantine", {f"{r['source']}: {r['reason']}": r["rows"] for r in report["quarantine"]}))
@@ -42,7 +42,7 @@ def score(spark: SparkSession, args: argparse.Namespace) -> None:
     scored = stored(register.score_works(sinks.read_table(spark, f"{args.data_dir}/works"), RiskConfig()))
     top = args.top or scored.where("risk_band <> 'Low'").count()
     limits, open_ = (sinks.read_table(spark, f"{args.data_dir}/{n}", optional=True) for n in ("allocation", "pipeline"))
-    report = sinks.read_report(f"{args.data_dir}/ingest_report.json")
+    report = sinks.read_report(spark, f"{args.data_dir}/ingest_report.json")
     sinks.export_register(scored, args.outdir, report, args.details, top, RiskConfig(), limits, open_)
     for name, keys, least in (("state", ["state"], 0), ("district", ["state", "district"], 0), ("member", ["mp_name", "state"], 0), ("vendor", ["primary_vendor", "district"], 5)):
         sinks.write_csv(rollups.capped(rollups.rollup(scored, keys, least), name), f"{args.outdir}/rollup_{name}")
@@ -58,7 +58,7 @@ def run_benchmark(spark: SparkSession, args: argparse.Namespace) -> None:
     measures = evaluation.evaluate(scored, "risk_score", "is_anomaly", "project_id")
     found = {"available": False} if measures is None else {"available": True, **measures.head().asDict()}
     sinks.export_benchmark(scored, args.outdir, found)
-    sinks.write_report(found, f"{args.outdir}/benchmark.json")
+    sinks.write_report(spark, found, f"{args.outdir}/benchmark.json")
     print(found)
 
 

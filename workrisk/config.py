@@ -67,24 +67,30 @@ class Rule:
     tier: str
     fields: tuple[str, ...]
     severity: float
+    source: str = "An analytical rule of this engine"
+    explanation: str = ""
 
     @property
     def weight(self) -> float:
         return self.severity * TIER_WEIGHT[self.tier]
 
 
-# The rules, in the order of their reasons.
+# Versions that payloads name.
+ENGINE_VERSION, CONFIG_VERSION = "v2.0", "risk-v2-1"
+BENCHMARK_VERSION, BENCHMARK_CONFIG_VERSION = "v1-benchmark", "v1"
+
+# The rules, in the order of their reasons (but for their texts).
 RULES = (
-    Rule("FIN_001", "Total expenditure exceeds sanctioned amount", "financial_consistency", ("total_expenditure", "sanction_amount"), 0.8),
-    Rule("FIN_002", "Single payment exceeds sanctioned amount", "financial_consistency", ("max_single_payment", "sanction_amount"), 0.7),
-    Rule("FIN_003", "Completed work with no recorded expenditure", "data_quality", ("completion_date", "total_expenditure"), 0.45),
-    Rule("DATE_001", "First payment precedes the sanction date", "financial_consistency", ("first_payment_date", "sanction_date"), 0.7),
-    Rule("DATE_002", "Completion precedes sanction", "data_quality", ("completion_date", "sanction_date"), 0.6),
-    Rule("DATE_003", "Long delay between recommendation and sanction", "heuristic", ("days_recommendation_to_sanction",), 0.35),
-    Rule("CEIL_001", "Sanctioned amount above the configured single-work ceiling", "configurable", ("sanction_amount",), 0.5),
-    Rule("DUP_001", "Identical description to another work in the same district", "heuristic", ("description_normalised", "district"), 0.5),
-    Rule("COMP_001", "Work falls in an inadmissible category", "configurable", ("inadmissible_category",), 1.0),
-    Rule("COST_002", "Sanctioned materially above the amount recommended", "financial_consistency", ("sanction_uplift_pct",), 0.55),
+    Rule("FIN_001", "Total expenditure exceeds sanctioned amount", "financial_consistency", ("total_expenditure", "sanction_amount"), 0.8, explanation="More has been disbursed than was sanctioned."),
+    Rule("FIN_002", "Single payment exceeds sanctioned amount", "financial_consistency", ("max_single_payment", "sanction_amount"), 0.7, explanation="A single payment is larger than the whole sanction."),
+    Rule("FIN_003", "Completed work with no recorded expenditure", "data_quality", ("completion_date", "total_expenditure"), 0.45, explanation="The work is marked completed, yet no payment for it is on record."),
+    Rule("DATE_001", "First payment precedes the sanction date", "financial_consistency", ("first_payment_date", "sanction_date"), 0.7, explanation="Money was paid before the work was sanctioned."),
+    Rule("DATE_002", "Completion precedes sanction", "data_quality", ("completion_date", "sanction_date"), 0.6, explanation="The work was completed before it was sanctioned."),
+    Rule("DATE_003", "Long delay between recommendation and sanction", "heuristic", ("days_recommendation_to_sanction",), 0.35, source="A threshold that can be configured", explanation="Recommendation and sanction lie unusually far apart."),
+    Rule("CEIL_001", "Sanctioned amount above the configured single-work ceiling", "configurable", ("sanction_amount",), 0.5, source="An administrative threshold, not checked against any edition of the guidelines", explanation="The sanction is above the ceiling that is configured for one work."),
+    Rule("DUP_001", "Identical description to another work in the same district", "heuristic", ("description_normalised", "district"), 0.5, explanation="Another work of the district has the very same description."),
+    Rule("COMP_001", "Work falls in an inadmissible category", "configurable", ("inadmissible_category",), 1.0, source="Needs a verified list of the guidelines' categories", explanation="Works of this category are not admissible."),
+    Rule("COST_002", "Sanctioned materially above the amount recommended", "financial_consistency", ("sanction_uplift_pct",), 0.55, source="The register of recommendations, against the sanction", explanation="The sanction is above the recommended amount by more than the configured margin."),
 )
 
 

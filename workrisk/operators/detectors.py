@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from workrisk.config import RiskConfig, Rule
+from workrisk.config import TIER_WEIGHT, RiskConfig, Rule
 from workrisk.functions.numeric import is_true, ramp
 from workrisk.operators.ranks import quantiles
 
@@ -107,6 +107,45 @@ def rule_report(df: DataFrame, config: RiskConfig) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
+def rule_details(df: DataFrame, config: RiskConfig) -> list[dict]:
+    """rule_report() with the rules' names, types, sources and explanations; of a
+    rule that could not be evaluated, the fields that it lacks."""
+    found = {r.rule_id: r for r in rule_report(df, config).collect()}
+    out = []
+    for r in config.rules:
+        status, lacking = found[r.rule_id].status, [f for f in r.fields if f not in df.columns]
+        own = {"rule_id": r.rule_id, "name": r.name, "rule_type": r.tier, "source": r.source, "status": status, "records_flagged": found[r.rule_id].flagged}
+        if status == "evaluated":
+            own |= {"tier_weight": TIER_WEIGHT[r.tier], "explanation": r.explanation}
+        else:
+            own["explanation"] = f"Not evaluated, since the data lack {', '.join(lacking) or 'what it needs'}"
+        out.append(own)
+    return out
+
+
+#: What a detector does, and the fields without which it can't.
+REASONS = {
+    "cost_deviation": ("The sanctioned amount against the median of its peers, on a logarithmic scale, in median absolute deviations.", ("sanction_amount", "peer_key")),
+    "timeline": ("The duration against the peers' median, and the time from recommendation to sanction against a configurable threshold.", ("days_sanction_to_reference", "days_recommendation_to_sanction")),
+    "expenditure_consistency": ("Disbursement against sanction for completed works, and the number and status of payments.", ("total_expenditure", "sanction_amount")),
+    "similarity": ("Descriptions of a district compared by character n-grams. A match may be a similar work and needs verification.", ("description_normalised", "district")),
+    "compliance": ("Deterministic checks, whose thresholds are administrative or analytical choices.", ()),
+    "multivariate": ("Combinations of features that an isolation forest and density noise find unusual.", ()),
+}
+
+
+def detector_details(df: DataFrame, names: tuple[str, ...]) -> list[dict]:
+    """detector_report() with what each detector does, or the fields that it lacks."""
+    out = []
+    for r in detector_report(df, names).collect():
+        reason, fields = REASONS[r.detector]
+        lacking = [f for f in fields if f not in df.columns]
+        if r.status != "evaluated":
+            reason = f"Not evaluated, since the data lack {', '.join(lacking)}" if lacking else "Not evaluated: too few works, or none with what it needs"
+        out.append({"detector": r.detector, "status": "active" if r.status == "evaluated" else "skipped", "reason": reason, "records_evaluated": r.evaluated, "records_flagged": r.flagged, "missing_fields": lacking})
+    return out
+
+
 def detect(works: DataFrame, config: RiskConfig) -> DataFrame:
     """All row-wise detectors as signal_<name>, with the thresholds they used."""
     out = with_percentiles(works, config)

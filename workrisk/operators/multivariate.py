@@ -174,20 +174,21 @@ def tail_signal(df: DataFrame, forest: str = "forest_score", noise: str = "is_no
     one = df.agg(F.min(forest).alias("_low"), F.max(forest).alias("_high"))
     scaled = F.coalesce(F.try_divide(F.col(forest) - F.col("_low"), F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))), F.lit(0.0))
     blend = F.least(F.lit(1.0), scaled + 0.25 * F.col(noise).cast("double"))
-    ranked = percent_rank(df.crossJoin(F.broadcast(one)).withColumn("_blend", blend), "_blend", "_rank")
+    ranked = percent_rank(df.crossJoin(F.broadcast(one)).withColumn("_scaled", scaled).withColumn("_blend", blend), "_blend", "_rank")
     return ranked.withColumn("signal_multivariate", ramp(F.col("_rank"), tail, 1.0)).drop("_low", "_high", "_blend", "_rank")
 
 
 def multivariate(works: DataFrame, config: RiskConfig, key: str = "work_id", columns: tuple[str, ...] = FEATURES, drivers: str | None = None) -> DataFrame:
     """signal_multivariate of all works, null where there are too few to fit, and if
-    asked for the names of its drivers (else empty)."""
+    asked for the names of its drivers (else empty) with the forest's score from 0 to
+    1 and the density's verdict."""
     if works.count() < config.model_rows:
         out = works.withColumn("signal_multivariate", F.lit(None).cast("double"))
-        return out.withColumn(drivers, F.lit("")) if drivers else out
+        return out.withColumns({drivers: F.lit(""), "isolation_forest_score": F.lit(None).cast("double"), "dbscan_is_noise": F.lit(None).cast("double")}) if drivers else out
     there = [c for c in columns if c in works.columns]
     own = works.select(F.col(key).alias("_key"), *there)
     scaled = stored(robust_scale(feature_matrix(own, tuple(there)), there))  # both models and the ranks read it
     noisy = dbscan_noise(scaled, there, config.dbscan_eps, config.dbscan_neighbours)
     found = stored(isolation_scores(noisy, "_key", there, config, drivers=drivers))
-    own = tail_signal(found, tail=config.tail).select("_key", "signal_multivariate", *([drivers] if drivers else []))
+    own = tail_signal(found, tail=config.tail).select("_key", "signal_multivariate", *([drivers, F.col("_scaled").alias("isolation_forest_score"), F.col("is_noise").cast("double").alias("dbscan_is_noise")] if drivers else []))
     return works.join(own, F.col(key) == F.col("_key"), "left").drop("_key")

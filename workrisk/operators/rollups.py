@@ -115,16 +115,26 @@ def member_utilisation(scored: DataFrame) -> DataFrame:
     return out.withColumn("utilisation_pct", share_percent(F.col("expenditure"), F.col("sanctioned")))
 
 
+def _with_allocation(rows: DataFrame, allocation: DataFrame) -> DataFrame:
+    own = allocation.select("mp_name", "state", "constituency", F.col("allocated_amount").alias("allocated"))
+    return rows.join(own, ["mp_name", "state"], "left")
+
+
+def allocation_counts(rows: DataFrame, allocation: DataFrame) -> tuple[int, int, int]:
+    """Members that an allocation file matches, members in all, and members it lists."""
+    one = _with_allocation(rows, allocation).agg(F.count("allocated").alias("m"), F.count(F.lit(1)).alias("n")).head()
+    return one.m, one.n, allocation.count()
+
+
 def fund_utilisation(scored: DataFrame, allocation: DataFrame | None, least_match_pct: float = 20.0) -> tuple[DataFrame, bool, float]:
     """Utilisation by member, with allocations where enough of them match; rows,
     whether they were joined, and the match rate."""
     rows = member_utilisation(scored)
     if allocation is None:
         return rows, False, 0.0
-    own = allocation.select("mp_name", "state", "constituency", F.col("allocated_amount").alias("allocated"))
-    joined = rows.join(own, ["mp_name", "state"], "left")
-    one = joined.agg(F.count("allocated").alias("m"), F.count(F.lit(1)).alias("n")).head()
-    rate = round(100 * one.m / max(one.n, 1), 1)
+    joined = _with_allocation(rows, allocation)
+    matched, members, _ = allocation_counts(rows, allocation)
+    rate = round(100 * matched / max(members, 1), 1)
     if rate < least_match_pct:
         return rows, False, rate
     out = joined.withColumn("sanctioned_pct_of_allocation", share_percent(F.col("sanctioned"), F.col("allocated")))
@@ -132,12 +142,17 @@ def fund_utilisation(scored: DataFrame, allocation: DataFrame | None, least_matc
     return out.withColumn("allocation_matched", F.col("allocated").isNotNull()), True, rate
 
 
-def utilisation_note(joined: bool, rate: float, supplied: bool = True) -> str:
+def utilisation_note(joined: bool, rate: float, supplied: bool = True, matched: int = 0, members: int = 0, listed: int = 0) -> str:
+    """What the viewer says of the allocation, with the counts behind it."""
     if not supplied:
         return "No allocation file was supplied, so utilisation is against sanctioned amounts only."
     if not joined:
-        return f"The allocation file could not be joined: {rate}% of the members match it. Figures are against sanctioned amounts only."
-    return f"{rate}% of the members match the allocation file."
+        return (
+            f"The allocation file could not be joined: only {matched} of {members} members match it ({rate}%). It lists {listed} members with constituencies, "
+            "and the works' members may have none, as in the other house; the two would then describe different houses. "
+            "Figures are against sanctioned amounts only; the matching allocation export would give utilisation against entitlement."
+        )
+    return f"{matched} of {members} members match the allocation file ({rate}%)."
 
 
 def early_warning(scored: DataFrame, as_of: str, most: int | None = 300) -> DataFrame:

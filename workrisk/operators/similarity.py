@@ -403,9 +403,10 @@ def similarity_nearby(works: DataFrame, floor: float = 0.55, km: float = 12.0) -
     }).drop("_first", "_partner", "_best")
 
 
-def top_pairs(scored: DataFrame, most: int = 200) -> DataFrame:
-    """Each unordered pair once, the most similar first."""
-    some = scored.where("similar_work_id IS NOT NULL").select("work_id", "similar_work_id", "similarity_score", "district", "risk_score")
+def top_pairs(scored: DataFrame, most: int = 200, more: tuple[str, ...] = ("district", "risk_score")) -> DataFrame:
+    """Each unordered pair once, the most similar first, with ``more`` columns of its
+    first work, as far as there are such."""
+    some = scored.where("similar_work_id IS NOT NULL").select("work_id", "similar_work_id", "similarity_score", *[c for c in more if c in scored.columns])
     key = F.concat_ws("||", F.least("work_id", "similar_work_id"), F.greatest("work_id", "similar_work_id"))
     w = Window.partitionBy("pair_key").orderBy(F.desc("similarity_score"), "work_id")
     first = some.withColumn("pair_key", key).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -55,6 +55,20 @@ def clear(spark: SparkSession) -> None:
     system.delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, in whatever store Spark's file systems reach."""
+    at, system = _path(spark, path)
+    out = system.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).head().value
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, system = _path(spark, path)
     return system.exists(at)
@@ -71,8 +85,11 @@ def stamp(spark: SparkSession, path: str) -> tuple:
 
 
 def kept(spark: SparkSession, key: tuple, make) -> DataFrame:
-    """make(), stored once an application and key, until clear()."""
+    """make(), stored once an application and key, until clear(). Where files have
+    changed since, what was made of the old ones goes."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _KEPT:
+        for old in [k for k in _KEPT if k[:2] == key[:2] and [x[0] for x in k[2:]] == [x[0] for x in key[2:]]]:
+            discard(_KEPT.pop(old))
         _KEPT[key] = stored(make())
     return _KEPT[key].sparkSession.read.schema(_KEPT[key].schema).parquet(_KEPT[key]._stored)

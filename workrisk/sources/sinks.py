@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workrisk.config import BENCHMARK_CAPS, INDICATORS, BenchmarkConfig, RiskConfig
+from workrisk.config import BENCHMARK_CAPS, BENCHMARK_CONFIG_VERSION, BENCHMARK_VERSION, CONFIG_VERSION, ENGINE_VERSION, INDICATORS, BenchmarkConfig, RiskConfig
 from workrisk.functions.text import shortened
 from workrisk.operators import rollups as r
+from workrisk.plans.storage import read_text, write_text
 
 # The fields of the index, of a full record, and of the queue.
 INDEX = ("work_id", "work_description", "state", "district", "work_category", "work_type", "sanction_amount", "work_status", "risk_score", "risk_band", "confidence", "confidence_band", "primary_reason")
@@ -57,23 +57,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path)
 
 
-def export_csv(rows: list[dict], columns: list[str], folder: str, stem: str) -> str:
+def export_csv(spark: SparkSession, rows: list[dict], columns: list[str], folder: str, stem: str) -> str:
     """A small file for a spreadsheet: UTF-8 with a mark, CRLF, a stamped name."""
     quote = lambda v: '"' + str(v).replace('"', '""') + '"' if v is not None and any(c in str(v) for c in '",\r\n') else "" if v is None else str(v)
-    path = os.path.join(folder, f"{stem}-{datetime.now(timezone.utc):%Y%m%d}.csv")
-    with open(path, "w", encoding="utf-8-sig", newline="") as out:
-        out.write("\r\n".join([",".join(map(quote, columns)), *(",".join(quote(x.get(c)) for c in columns) for x in rows)]) + "\r\n")
+    path = f"{folder}/{stem}-{datetime.now(timezone.utc):%Y%m%d}.csv"
+    write_text(spark, path, "\ufeff" + "\r\n".join([",".join(map(quote, columns)), *(",".join(quote(x.get(c)) for c in columns) for x in rows)]) + "\r\n")
     return path
 
 
-def write_report(report: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(report, out, indent=2, default=str, ensure_ascii=False)
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    write_text(spark, path, json.dumps(report, indent=2, default=str, ensure_ascii=False))
 
 
-def read_report(path: str) -> dict:
-    with open(path, encoding="utf-8") as source:
-        return json.load(source)
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
 
 
 def read_table(spark: SparkSession, path: str, optional: bool = False) -> DataFrame | None:
@@ -97,6 +94,8 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], types: di
     return raw.select(*[F.expr(f"try_cast(`{c}` AS {types.get(c, 'string')})").alias(c) for c in names if c in columns or c in types or c == "anomaly_type"])
 
 
+# What a pair says of its first work.
+PAIR = ("state", "district", "work_category", "sanction_amount", "work_description")
 #: Rows of a payload's lists.
 PAIRS, DISTRICTS, VENDORS, WARNINGS = 200, 400, 300, 300
 # What a payload says about itself.
@@ -131,16 +130,18 @@ def payload(scored: DataFrame, report: dict, config: RiskConfig = RiskConfig(),
         oldest = r.oldest_recommendations(open_, ["source_row"]).select(*[c for c in columns if c in open_.columns])
         waiting = one(r.pipeline_totals(open_, scored)) | {"by_state": _list(r.pipeline_by_state(open_)), "oldest": _list(oldest)}
     flagged = scored.where("risk_band <> 'Low'")
+    paired = similarity.top_pairs(scored, PAIRS, PAIR)
+    counts = r.allocation_counts(rows if not joined else r.member_utilisation(scored), allocation) if allocation is not None else ()
     return {
-        "meta": {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "data_mode": report["config"]["data_mode"], "data_source": report["config"]["source_label"], "as_of_date": as_of,
+        "meta": {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "data_mode": report["config"]["data_mode"], "data_source": report["config"]["source_label"], "as_of_date": as_of, "engine_version": ENGINE_VERSION, "config_version": CONFIG_VERSION,
                  "source_files": list(report["config"]["files"].values()), "limitations": list(LIMITATIONS)},
         "dashboard": one(r.dashboard(scored)) | {"risk_distribution": _list(r.band_summary(scored)), "flag_reasons": _list(r.reason_counts(scored).orderBy(F.desc("works"), "primary_reason")),
                                                  "caps": config.caps, "bands": {"high": config.band_high, "medium": config.band_medium}},
-        "detectors": _list(detectors.detector_report(scored, INDICATORS)), "rules": _list(detectors.rule_report(scored, config)), "data_quality": report,
+        "detectors": detectors.detector_details(scored, INDICATORS), "rules": detectors.rule_details(scored, config), "data_quality": report,
         "priority_queue": _list(r.queue(scored, top).select(*[c for c in QUEUE if c in scored.columns])),
-        "similar_pairs": _list(similarity.top_pairs(scored, PAIRS)), "national": one(r.national(scored)), "rollups": {name: _list(df) for name, df in rolled.items()},
+        "similar_pairs": _list(paired.select("pair_key", "work_id", "similar_work_id", "similarity_score", *[c for c in PAIR if c in paired.columns])), "national": one(r.national(scored)), "rollups": {name: _list(df) for name, df in rolled.items()},
         "trends": {"monthly": _list(r.monthly(scored)), "risk_by_month": _list(r.risk_by_month(scored).orderBy("month"))},
-        "fund_utilisation": {"rows": _list(rows), "allocation_joined": joined, "match_rate_pct": rate, "note": r.utilisation_note(joined, rate, allocation is not None)},
+        "fund_utilisation": {"rows": _list(rows), "allocation_joined": joined, "match_rate_pct": rate, "note": r.utilisation_note(joined, rate, allocation is not None, *counts)},
         "early_warning": _list(r.early_warning(scored, as_of, WARNINGS)), "recommendation_pipeline": waiting, "detail_scope": scope,
         "detail_available_for": (scored if scope == "all" else flagged).count(),
     }
@@ -169,7 +170,7 @@ def export_register(scored: DataFrame, folder: str, report: dict, scope: str = "
 PROJECT = (
     "project_id", "state", "district", "block", "latitude", "longitude", "constituency", "sector", "work_category", "work_description", "implementing_agency", "sanction_date", "expected_completion_date",
     "actual_completion_date", "sanctioned_cost", "revised_cost", "effective_cost", "expenditure", "physical_progress_pct", "status", "peer_median_cost", "peer_cost_percentile", "peer_size", "cost_robust_z",
-    "overrun_days", "expected_duration_days", "expenditure_ratio_pct", "progress_gap_pct", "cost_escalation_pct", "duplicate_match_id", "compliance_reasons", "agency_work_share", "risk_score", "risk_band",
+    "overrun_days", "expected_duration_days", "expenditure_ratio_pct", "progress_gap_pct", "cost_escalation_pct", "duplicate_match_id", "compliance_reasons", "agency_work_share", "isolation_forest_score", "dbscan_is_noise", "risk_score", "risk_band",
     "confidence", "primary_reason", "review_status", "assessment", *(f"points_{n}" for n in BENCHMARK_CAPS),
 )
 
@@ -181,7 +182,9 @@ def export_benchmark(scored: DataFrame, folder: str, measures: dict, config: Ben
 
     queue, agencies = benchmark.queue(scored, top), r.agencies(scored)
     blocks = {
-        "meta": {"data_mode": "synthetic_benchmark", "engine_version": "v1-benchmark", "limitations": ["Every record here is generated. No work, agency or amount describes anything real."]},
+        "meta": {"data_mode": "synthetic_benchmark", "data_source": "A generated register with planted irregularities, not real data", "as_of_date": "n/a", "engine_version": BENCHMARK_VERSION, "config_version": BENCHMARK_CONFIG_VERSION,
+                 "source_files": ["workrisk/operators/datagen.py"], "limitations": ["Every record here is generated. No work, agency or amount describes anything real.", "Precision and recall on it describe the detectors, not how they do on real data."]},
+        "generated_by": "workrisk (labelled benchmark)", "disclaimer": "A risk score points to unusual patterns for people to review. It does not establish irregularity or fraud.",
         "dashboard": _list(benchmark.dashboard(scored))[0] | {"risk_distribution": _list(benchmark.band_summary(scored)), "flag_reasons": _list(benchmark.reason_summary(scored)),
                                                               "weights": config.caps, "bands": {"high": config.band_high, "medium": config.band_medium}},
         "priority_queue": _list(queue), "agencies": _list(agencies), "benchmark": measures,
