@@ -97,19 +97,21 @@ class Quarantine:
 
 
 def column_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """Per column: values, nulls, completeness and distinct values, in one pass;
-    columns of origin are left out."""
+    """Per column: values, nulls, completeness and distinct values; columns of origin
+    are left out. Values are counted in long form, (column, value) first, so a row
+    becomes a narrow row a column, not a whole one, and a frequent value is added up
+    before it is sent."""
     columns = [c for c in df.columns if c not in ORIGIN]
-    sums = [F.count(F.lit(1)).alias("_rows")]
-    for k, c in enumerate(columns):
-        sums += [F.count(F.col(f"`{c}`")).alias(f"n{k}"), F.countDistinct(F.col(f"`{c}`")).alias(f"d{k}")]
-    one = df.agg(*sums)
-    parts = [F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("non_null"), F.col(f"d{k}").alias("distinct_values")) for k, c in enumerate(columns)]
-    long = one.select("_rows", F.explode(F.array(*parts)).alias("p"))
-    missing = F.col("_rows") - F.col("p.non_null")
-    return long.select(
-        F.lit(dataset).alias("dataset"), "p.column", "p.non_null", missing.alias("missing"),
-        F.round(F.col("p.non_null") * 100.0 / F.greatest("_rows", F.lit(1)), 1).alias("completeness_pct"), "p.distinct_values",
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("string").alias("v")) for k, c in enumerate(columns)])
+    values = df.select(F.explode(each).alias("p")).groupBy("p.k", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    known = F.col("v").isNotNull()
+    found = values.groupBy("k").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("non_null"), F.count_if(known).alias("distinct_values"))
+    # an empty table has its columns, too
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "k int, column string")
+    whole = names.join(found, "k", "left").fillna(0, ["rows", "non_null", "distinct_values"])
+    return whole.select(
+        F.lit(dataset).alias("dataset"), "column", "non_null", (F.col("rows") - F.col("non_null")).alias("missing"),
+        F.round(F.col("non_null") * 100.0 / F.greatest("rows", F.lit(1)), 1).alias("completeness_pct"), "distinct_values",
     )
 
 

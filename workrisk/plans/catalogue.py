@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workrisk.config import INDICATORS
 from workrisk.functions import numeric, text
-from workrisk.operators import benchmark, build, datagen, detectors, evaluation, multivariate, peers, reviews, rollups, scoring, similarity
+from workrisk.operators import benchmark, build, datagen, detectors, evaluation, multivariate, peers, reviews, rollups, scoring, search, similarity
 from workrisk.operators import validation as v
 from workrisk.plans import adapter, register, sql
 from workrisk.plans.storage import stored
@@ -754,6 +755,25 @@ def works_search(spark, sf_dir, scored=_plain):
     return reviews.search(scored(spark, sf_dir), "urgent lot 7").select("work_id", "risk_score")
 
 
+#: Searches of one, two, three and more letters, and of nothing that is there.
+NEEDLES = ("7", "q5", "lot", " Urgent lot 7", "4-NOT SPECIFIED", "none of it", "9%")
+
+
+@query(sql.with_scores(f"SELECT needle, work_id, risk_score FROM scored, (SELECT unnest([{', '.join(repr(x) for x in NEEDLES)}]) AS needle) WHERE contains(lower(concat_ws(' ', work_id, work_description, state, district, mp_name, primary_vendor, work_category, work_type)), lower(trim(needle)))"))
+def works_search_indexed(spark, sf_dir):
+    """The same through the trigram index, built once for all searches."""
+    index = search.SearchIndex(_plain(spark, sf_dir), ["work_id", "risk_score"])
+    found = [index.find(x).select(F.lit(x).alias("needle"), "work_id", "risk_score") for x in NEEDLES]
+    return reduce(DataFrame.union, found)
+
+
+@query(sql.with_scores("SELECT work_id, risk_score, row_number() OVER (ORDER BY risk_score DESC, confidence DESC, work_id) AS rank FROM scored QUALIFY rank BETWEEN 5001 AND 5100"))
+def queue_page_indexed(spark, sf_dir):
+    """A far page through the rank index."""
+    index = search.rank_index(_plain(spark, sf_dir).select("work_id", "risk_score", "confidence"), search.QUEUE_ORDER)
+    return search.page(index, 50).select("work_id", "risk_score", "rank")
+
+
 @whole
 @query(sql.with_scores("SELECT work_id, risk_score FROM scored ORDER BY risk_score DESC, confidence DESC, work_id LIMIT 100 OFFSET 200"))
 def queue_page(spark, sf_dir, scored=_plain):

@@ -9,7 +9,7 @@ from workrisk.config import IngestConfig
 from workrisk.functions import text as t
 from workrisk.operators import validation as v
 from workrisk.operators.build import check_unmultiplied, no_recommendations, recommendations, unify
-from workrisk.plans.storage import exists
+from workrisk.plans.storage import exists, stored
 from workrisk.sources.workbook import PROVENANCE, read_workbook
 
 # Names of files and columns of the exports.
@@ -75,7 +75,8 @@ def recommended(raw: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, folder: str, config: IngestConfig = IngestConfig()) -> dict[str, DataFrame | v.Quarantine | None]:
     """works, payments, allocation, pipeline (open recommendations) and the
     quarantine, from a folder of exports; the last export may be missing."""
-    raw = {k: read_workbook(spark, f"{folder}/{f}") for k, f in FILES.items() if exists(spark, f"{folder}/{f}")}
+    # each workbook is parsed once, whatever reads it later
+    raw = {k: stored(read_workbook(spark, f"{folder}/{f}")) for k, f in FILES.items() if exists(spark, f"{folder}/{f}")}
     if missing := [FILES[k] for k in list(FILES)[:3] if k not in raw]:
         raise v.IngestError(f"no workbook at {folder}: {', '.join(missing)}")
     rejected = v.Quarantine()
@@ -99,7 +100,7 @@ def ingest(spark: SparkSession, folder: str, config: IngestConfig = IngestConfig
         rows = recommended(raw["recommended"])
         rows = rows.where(~v.is_summary(F.col("row_key"))).drop("row_key")
         matched, open_ = recommendations(rows)
-    works = check_unmultiplied(unify(spine, done, paid, matched, str(config.as_of)))
+    works = check_unmultiplied(stored(unify(spine, done, paid, matched, str(config.as_of))))
     return {"works": works, "payments": paid, "allocation": limits, "pipeline": open_, "matched": matched, "quarantine": rejected, "spine": spine, "completed": done}
 
 
