@@ -1,8 +1,12 @@
 """Rounding and printing to the last place, as C and SQL engines do it."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
 from workrisk.functions import text
+from workrisk.operators import scoring
 
 
 def test_printed_numbers_are_binary_values(spark):
@@ -12,3 +16,22 @@ def test_printed_numbers_are_binary_values(spark):
     for digits in (0, 1, 2):
         assert [r[0] for r in rows.select(text.fixed(F.col("x"), digits)).collect()][:-1] == [f"{x:.{digits}f}" for x in values]
     assert spark.range(1).select(text.rupees(F.lit(198500.0))).head()[0] == "Rs 1.99 lakh"
+
+
+def test_scores_between_two_steps_are_those_of_c(spark):
+    """Single signals make scores that lie between two steps; C's log and exp decide."""
+    rng = random.Random(1)
+    rows = [(k, k / 1000, 0.0) for k in range(1001)] + [(2000 + k, round(rng.random(), 2), round(rng.random(), 1)) for k in range(500)]
+    caps = {"a": 0.85, "b": 0.5}
+    own = spark.createDataFrame(rows, "k int, signal_a double, signal_b double")
+    got = {r.k: (r.points_a, r.points_b, r.risk_score) for r in scoring.combine(own, caps, score_digits=1).collect()}
+
+    def half(x, digits):
+        y = x * 10**digits
+        return (math.floor(y) + (y - math.floor(y) >= 0.5)) / 10**digits
+
+    for k, a, b in rows:
+        e = [-math.log(1 - cap * min(s, 0.999)) for cap, s in ((0.85, a), (0.5, b))]
+        total = e[0] + e[1]
+        want = [half(x / total * 100 * (1 - math.exp(-total)), 2) if total else 0.0 for x in e]
+        assert got[k] == (*want, half(100 * (1 - math.exp(-total)), 1)), k
