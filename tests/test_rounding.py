@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from workrisk.functions import text
-from workrisk.operators import scoring
+from workrisk.operators import rollups, scoring
 
 
 def test_printed_numbers_are_binary_values(spark):
@@ -18,6 +18,16 @@ def test_printed_numbers_are_binary_values(spark):
     assert spark.range(1).select(text.rupees(F.lit(198500.0))).head()[0] == "Rs 1.99 lakh"
 
 
+def test_monthly_mean_is_rounded_as_a_double(spark):
+    """67.225 times 100 lies below 6722.5; and sums don't depend on the order of rows."""
+    rows = [("2001-08-01", 60.01, "High"), ("2001-08-02", 74.44, "Low"), ("2001-09-01", 0.1, "Low"), ("2001-09-01", 0.2, "Low"), ("2001-09-03", 0.3, "Low")]
+    found = {}
+    for k in (1, -1):
+        own = spark.createDataFrame(rows[::k], "d string, risk_score double, risk_band string").select(F.col("d").cast("date").alias("sanction_date"), "risk_score", "risk_band")
+        found[k] = {r.month: r.mean_risk for r in rollups.risk_by_month(own.coalesce(1)).collect()}
+    assert found[1] == found[-1] == {"2001-08": 67.22, "2001-09": 0.2}
+
+
 def test_scores_between_two_steps_are_those_of_c(spark):
     """Single signals make scores that lie between two steps; C's log and exp decide."""
     rng = random.Random(1)

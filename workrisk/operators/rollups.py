@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from workrisk.functions.numeric import is_true, mean_of, money_sum, share_percent
+from workrisk.functions.numeric import is_true, mean_of, money_sum, round_scaled, share_percent
 
 #: An open work without a payment for so long has stalled.
 STALLED_DAYS = 365
@@ -102,8 +102,11 @@ def monthly(works: DataFrame) -> DataFrame:
 
 
 def risk_by_month(scored: DataFrame) -> DataFrame:
+    """The mean comes from a sum of whole hundredths, so the order of rows doesn't
+    decide; it is rounded as SQL rounds the double."""
+    mean = round_scaled(F.sum(F.round(F.col("risk_score") * 100).cast("long")) / 100.0 / F.count("risk_score"), 2)
     known = scored.where("sanction_date IS NOT NULL").groupBy(F.date_format("sanction_date", "yyyy-MM").alias("month"))
-    out = known.agg(F.count(F.lit(1)).alias("works"), F.count_if(F.col("risk_band") == "High").alias("high"), F.count_if(F.col("risk_band") == "Medium").alias("medium"), F.round(F.avg("risk_score"), 2).alias("mean_risk"))
+    out = known.agg(F.count(F.lit(1)).alias("works"), F.count_if(F.col("risk_band") == "High").alias("high"), F.count_if(F.col("risk_band") == "Medium").alias("medium"), mean.alias("mean_risk"))
     return out.withColumn("high_pct", share_percent(F.col("high"), F.col("works")))
 
 
