@@ -18,3 +18,10 @@ def test_rollup_is_the_same_for_frequent_works(spark):
     assert set(got) == {"a", "b"}
     assert (a.total_expenditure, a.payment_count, a.distinct_vendors, a.work_type, a.primary_vendor, a.payments_not_successful) == (124750.0, 500, 7, "t0", "V0", 250)
     assert (b.payment_count, b.distinct_vendors, b.work_type, b.primary_vendor, b.payments_not_successful) == (1, 0, None, None, 1)
+
+
+def test_aggregates_run_twice_at_most(spark, sf_dir):
+    """A distinct count beside other aggregates makes four of two."""
+    raw = adapter.payments(spark, sf_dir).localCheckpoint()
+    plan = build.payment_rollup(raw)._jdf.queryExecution().executedPlan().toString()
+    assert sum(" ObjectHashAggregate(" in x or "HashAggregate(" in x or "SortAggregate(" in x for x in plan.splitlines()) == 2, plan
