@@ -1,6 +1,7 @@
 """Order statistics of groups of any size against numpy and sorting."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -54,3 +55,17 @@ def test_running_sums_of_a_skewed_group(spark, rows):
             seen[key] += r._n
             assert (r._upto, r._all) == (seen[key], total[key])
         assert len(got) == len(counts)
+
+
+def test_ranks_of_one_range_are_cut_once(spark, monkeypatch):
+    """Six ranks of a column begin in one range, whose values are looked at once."""
+    plans, stored = [], ranks.stored
+    monkeypatch.setattr(ranks, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df))
+    table = spark.range(1000).select((F.col("id") * 7919 % 1000).cast("double").alias("x"))
+    x = F.col("x")
+    got = ranks.quantiles(table, None, {f"q{k}": (x, k / 4) for k in (1, 2, 3)}, 10).head()
+    assert tuple(got) == (249.75, 499.5, 749.25)
+    cut = [re.sub(r"#\d+L?", "", line) for p in plans for line in p.splitlines() if "percentile_approx(" in line]
+    assert cut and all("_i, _low, _high], [" in line for line in cut), cut
+    values = [line for p in plans for line in p.splitlines() if "Generate" in line]
+    assert values and not any("_i:1" in line or "1 AS _i" in line or "_v1" in line for line in values), values
